@@ -43,11 +43,11 @@ class Rule:
 
 
 RULES = (
-    Rule("symbol_share", (0.04, 0.25)),
+    Rule("symbol_share", (0.02, 0.25)),
     Rule("dup_line_share", (0.30, 0.60)),
-    Rule("repeat_share", (0.25, 0.50)),
-    Rule("long_words", (11.0, 25.0)),
-    Rule("short_words", (1.5, 2.5), upper=False),
+    Rule("repeat_share", (0.20, 0.50)),
+    Rule("long_words", (6.0, 25.0)),
+    Rule("short_words", (1.0, 4.0), upper=False),
 )
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 _SPACE = (" ", "\t", "\n", "\v", "\f", "\r")
