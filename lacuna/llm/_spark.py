@@ -63,3 +63,18 @@ def slices(sizes: list[int], limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         total += n
     if start < len(sizes):
         yield start, len(sizes)
+
+
+def keyed(docs: DataFrame, name: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with a long column ``name`` that tells its rows apart and orders them as doc_id does.
+
+    Where ids are unique and known it is the id.  Otherwise rows are put in order (by id, nulls last, then by
+    a hash of the text) and numbered, each one a document of its own; that table is written once, so that
+    the numbers hold.
+    """
+    ids = docs.select(F.col(doc_id).cast("long").alias("id"))
+    odd = ids.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or id is null").limit(1).count()
+    if not odd:
+        return docs.withColumn(name, F.col(doc_id).cast("long"))
+    order = docs.orderBy(F.col(doc_id).cast("long").asc_nulls_last(), F.xxhash64(text))
+    return materialize(order.withColumn(name, F.monotonically_increasing_id()))

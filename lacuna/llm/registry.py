@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import langid, matroska, packing, quality
+from . import langid, matroska, near_dedup, packing, quality, substring_dedup
 
 _QUERIES = {
     "op1_packing": packing.op1_packing,
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_language": langid.op3_language,
     "op4_matroska": matroska.op4_matroska,
+    "op7_near_dedup": near_dedup.op7_near_dedup,
     "op10_quality": quality.op10_quality,
 }
 _ORACLES: dict[str, str] = {}
