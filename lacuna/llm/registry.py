@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import langid, matroska, near_dedup, packing, quality, substring_dedup
+from . import langid, licenses, matroska, near_dedup, packing, quality, substring_dedup, warc_audit
 
 _QUERIES = {
     "op1_packing": packing.op1_packing,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_language": langid.op3_language,
     "op4_matroska": matroska.op4_matroska,
+    "op5_warc_audit": warc_audit.op5_warc_audit,
+    "op6_licenses": licenses.op6_licenses,
     "op7_near_dedup": near_dedup.op7_near_dedup,
     "op10_quality": quality.op10_quality,
 }
-_ORACLES: dict[str, str] = {}
+_ORACLES: dict[str, str] = {"op5_warc_audit": warc_audit.ORACLE_SQL, "op6_licenses": licenses.ORACLE_SQL}
 
 
 def queries():
