@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, licenses, matroska, near_dedup, packing, quality, substring_dedup, warc_audit
+from . import bpe_reuse, langid, licenses, matroska, near_dedup, packing, quality, substring_dedup, warc_audit
 
 _QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -12,6 +12,7 @@ _QUERIES = {
     "op5_warc_audit": warc_audit.op5_warc_audit,
     "op6_licenses": licenses.op6_licenses,
     "op7_near_dedup": near_dedup.op7_near_dedup,
+    "op9_bpe_reuse": bpe_reuse.op9_bpe_reuse,
     "op10_quality": quality.op10_quality,
 }
 _ORACLES: dict[str, str] = {"op5_warc_audit": warc_audit.ORACLE_SQL, "op6_licenses": licenses.ORACLE_SQL}
