@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe_reuse, langid, licenses, matroska, near_dedup, packing, quality, substring_dedup, warc_audit
+import corpus_pipeline
+
+from . import bpe_reuse, hmm, langid, licenses, matroska, near_dedup, packing, quality, substring_dedup, warc_audit
 
 _QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_packing": packing.op1_packing,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_language": langid.op3_language,
@@ -12,6 +15,7 @@ _QUERIES = {
     "op5_warc_audit": warc_audit.op5_warc_audit,
     "op6_licenses": licenses.op6_licenses,
     "op7_near_dedup": near_dedup.op7_near_dedup,
+    "op8_hmm": hmm.op8_hmm,
     "op9_bpe_reuse": bpe_reuse.op9_bpe_reuse,
     "op10_quality": quality.op10_quality,
 }
