@@ -18,6 +18,7 @@ STRIDE = 1_000_003
 
 def uniform_sql(seed: int, number: str) -> str:
     """SQL text of a draw in [0, 1) for a whole-number expression."""
+    number = f"CAST({number} AS BIGINT)"
     one = f"((({number}) * 48271 + {seed * 69621 + 1}) % {P})"
     two = f"(({one} * {one} + ({number}) * 16807 + {seed}) % {P})"
     return f"(({two} * {two} + {one} * 16807 + {seed}) % {P} / CAST({P} AS DOUBLE))"
