@@ -7,9 +7,11 @@ each bit is hit by the samples) estimates similarity from the population count o
 candidates that are far below the threshold before any set is moved.  The rest is confirmed on full sets.
 
 Large buckets are not paired with themselves.  First each member meets the bucket's least class and its
-neighbours in order of size; confirmed links give components.  Then only classes outside the component that
-holds most of a bucket meet members of other components there (again through the sketch), so every
-candidate link between different components is still tested, and links within one are not needed.
+neighbours in three orders (by size, and by the keys of other bands, so that neighbours agree in several);
+confirmed links give components.  Then only classes outside the component that holds most of a bucket meet
+members of other components there, so every candidate link between different components is still tested, and
+links within one are not needed.  That step has a second odd sketch, of the whole set: a pair cannot differ in more
+of its bits than in elements, so sizes and an XOR bound the similarity from above without a chance to miss.
 
 Defined cases: a text without words has an empty set, is linked with nothing and kept; repeated or null
 ids are told apart by order (see ``keyed``), and one row of each group is kept; an empty table gives no rows; other columns
@@ -33,6 +35,9 @@ from ._words import HASHES, mix, shifted
 WORDS = 5
 SKETCH_LONGS = 8
 SKETCH_BITS = 64 * SKETCH_LONGS
+#: Bits of the odd sketch of a whole set, which only candidates have.
+WHOLE_LONGS = 32
+WHOLE_BITS = 64 * WHOLE_LONGS
 #: Values in a band; the number of bands follows from the chance to miss a pair at the threshold.
 ROWS, MISS = 5, 1e-6
 #: Deviations of the estimate by which a candidate may lie below the threshold and still be confirmed.
@@ -128,6 +133,13 @@ def alike(a: str, b: str, threshold: float, samples: int) -> Column:
     return (100 * na >= percent * nb) & (100 * nb >= percent * na) & (differ <= most_different(threshold, samples))
 
 
+def possible(a: str, b: str, threshold: float) -> Column:
+    """Sizes and odd sketches of the whole sets allow the threshold t: of n elements in both, at most n (1 - t) / (1 + t) differ."""
+    na, nb, percent = F.col(f"{a}.n"), F.col(f"{b}.n"), round(100 * threshold)
+    differ = sum((F.bit_count(F.col(f"{a}.whole")[i].bitwiseXOR(F.col(f"{b}.whole")[i])) for i in range(WHOLE_LONGS)), start=F.lit(0))
+    return (100 * na >= percent * nb) & (100 * nb >= percent * na) & ((100 + percent) * differ <= (100 - percent) * (na + nb))
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose full sets reach the threshold."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(
@@ -172,18 +184,22 @@ def classes(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     members = materialize(members)
     lead = signed.join(same.select(F.col("node").alias("key")), "key", "left_semi")
     nodes = lead.select(F.col("key").alias("node"), F.col("n_shingles").alias("n"), "odd", "bands")
-    banded = nodes.select("node", "n", F.explode("bands").alias("band"))
+    # the keys of two other bands stand beside each band's, to order its bucket by
+    count = bands_for(threshold)
+    other = lambda by: F.col("bands")[(F.col("at") + by) % count]
+    banded = nodes.select("node", "n", "bands", F.posexplode("bands").alias("at", "band")).select("node", "n", "band", other(1).alias("next"), other(count // 2).alias("far"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least")).where("size > 1")
-    buckets = materialize(banded.join(shared, "band").select("band", "node", "n", "least"))
+    buckets = materialize(banded.join(shared, "band").select("band", "node", "n", "least", "next", "far"))
     used = materialize(buckets.select("node").distinct())
     sketches = materialize(nodes.select("node", "n", "odd").join(used, "node", "left_semi"))
     texts_used = rows.join(used.select(F.col("node").alias("key")), "key", "left_semi").select("key", "text")
     sets = materialize(_sets(texts_used))
 
-    before = F.lag("node").over(W.partitionBy("band").orderBy("n", "node"))
-    near = buckets.select("node", "least", before.alias("before"))
-    first = near.select(F.col("least").alias("a"), F.col("node").alias("b")).union(near.select(F.least("before", "node"), F.greatest("before", "node")))
-    first = first.where("a < b").distinct()
+    orders = (["n", "node"], ["next", "far", "node"], ["far", "next", "node"])
+    before = [F.lag("node").over(W.partitionBy("band").orderBy(*o)).alias(f"before{i}") for i, o in enumerate(orders)]
+    near = buckets.select("node", "least", *before)
+    near = near.select("node", F.explode(F.array("least", "before0", "before1", "before2")).alias("met"))
+    first = materialize(near.select(F.least("met", "node").alias("a"), F.greatest("met", "node").alias("b")).where("met is not null and a < b").distinct())
     a, b = sketches.alias("x"), sketches.alias("y")
     tried = first.join(a, F.col("a") == F.col("x.node")).join(b, (F.col("b") == F.col("y.node")) & alike("x", "y", threshold, samples))
     links = materialize(confirmed(tried.select("a", "b"), sets, threshold))
@@ -191,13 +207,13 @@ def classes(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
 
     # what is left: members outside the component that holds most of their bucket, against other components there
     full = buckets.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
-    full = materialize(full.join(sketches, "node"))
+    full = materialize(full.join(sets.select("node", F.size("shingles").alias("n"), "whole"), "node"))
     sizes = full.groupBy("band", "label").agg(F.count(F.lit(1)).alias("size"))
     most = sizes.groupBy("band").agg(F.max_by("label", F.struct("size", "label")).alias("most"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    few = full.join(most, "band").where(F.col("label") != F.col("most")).select("band", "node", "label", "n", "odd", "most")
+    few = full.join(most, "band").where(F.col("label") != F.col("most")).select("band", "node", "label", "n", "whole", "most")
     x, y = few.alias("x"), full.alias("y")
     once = (F.col("y.label") == F.col("x.most")) | (F.col("x.label") < F.col("y.label"))
-    across = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.label") != F.col("y.label")) & once & alike("x", "y", threshold, samples))
+    across = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.label") != F.col("y.label")) & once & possible("x", "y", threshold))
     pairs = across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     more = materialize(confirmed(pairs.join(first, ["a", "b"], "left_anti"), sets, threshold))
     if more.limit(1).count():
@@ -205,13 +221,22 @@ def classes(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     return members, labels
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """Odd sketch of a whole set: how often each of WHOLE_BITS is hit, modulo two."""
+    bits = (shingles >> np.uint64(23)) % np.uint64(WHOLE_BITS)
+    return np.packbits((np.bincount(bits.astype(np.int64), minlength=WHOLE_BITS) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _sets(rows: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
-            sets = [s.view(np.int64) for s in sets_of(texts(batch))]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+            sets = sets_of(texts(batch))
+            long = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("key"), pa.array([s.view(np.int64) for s in sets], long), pa.array([parity(s) for s in sets], long)], names=["node", "shingles", "whole"]
+            )
 
-    return rows.mapInArrow(run, "node long, shingles array<long>")
+    return rows.mapInArrow(run, "node long, shingles array<long>, whole array<long>")
 
 
 def grouped(rows: DataFrame, threshold: float) -> DataFrame:
