@@ -30,6 +30,7 @@ SYMBOLS = "#*$%&|<>"
 GAMMA, LEAST = 1.05, 1e-4
 #: Documents that a group needs to have thresholds of its own, and the fence's width in quartile ranges.
 MIN_GROUP, FENCE = 200, 3.0
+LEAST_SPREAD = 0.1
 MIN_WORDS = 50
 
 
@@ -174,9 +175,11 @@ def thresholds(sketches: DataFrame) -> DataFrame:
         return F.when(enough("o"), F.col(f"o.{q}")).when(enough("l"), F.col(f"l.{q}")).otherwise(F.col(f"e.{q}"))
 
     lo, hi = picked("q0"), picked("q1")
+    # quartiles that share a bucket look equal: the range counts as a tenth of the upper one at least
+    spread = F.greatest(hi - lo, LEAST_SPREAD * hi)
     fence = F.lit(None).cast("double")
     for r in RULES:
-        value = hi + FENCE * (hi - lo) if r.upper else lo - FENCE * (hi - lo)
+        value = hi + FENCE * spread if r.upper else lo - FENCE * spread
         fence = F.when(F.col("g.rule") == r.name, F.least(F.greatest(value, F.lit(r.rails[0])), F.lit(r.rails[1]))).otherwise(fence)
     return (
         joined.select(F.col("g.lang").alias("lang"), F.col("g.source").alias("source"), F.col("g.rule").alias("rule"), fence.alias("fence"))
