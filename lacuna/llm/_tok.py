@@ -21,8 +21,31 @@ _PLAIN = re.compile(r"[\t-\r -\x7e\xa0-ɏ]*")
 _JOINED = ("  ", "\n ", "\t ", "\r ", "\x0b ", "\x0c ", "\xa0 ")
 #: The byte-level pattern as the library states it (fixed value).
 _BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Words in the table; when it would grow beyond this, it starts anew.
-MEMO_WORDS = 400_000
+#: Words in either generation of the table; when the young one is full, it becomes the old one, and
+#: what is used again moves back.
+MEMO_WORDS = 250_000
+
+
+class _Memo(dict):
+    """The young generation; words of the old one move in when they are used."""
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, word):
+        got = self[word] = self.old[word]
+        return got
+
+    def unknown(self, words: list[str]) -> list[str]:
+        old = self.old
+        new = [w for w in set(words) if w not in self and w not in old]
+        if len(self) + len(new) > MEMO_WORDS:
+            self.old = dict(self)
+            self.clear()
+            old = self.old
+            new = [w for w in set(words) if w not in old]
+        return new
 
 
 def load(path: str):
@@ -43,7 +66,7 @@ def plain(text: str) -> bool:
 class _Encoder:
     def __init__(self, path: str):
         self.tokenizer = load(path)
-        self.memo: dict[str, bytes] = {}
+        self.memo = _Memo()
 
     def whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -52,6 +75,21 @@ class _Encoder:
         got = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
         self.memo.update((w, array("I", x.ids).tobytes()) for w, x in zip(new, got, strict=True))
 
+    def learn_together(self, new: list[str], mark: str) -> None:
+        """The same in one call: words joined by a mark, a pre-token of one id that none of them contains."""
+        plain_, rest = [w for w in new if mark not in w], [w for w in new if mark in w]
+        sign = self.tokenizer.encode(mark, add_special_tokens=False).ids
+        ids = np.array(self.tokenizer.encode_batch_fast([f" {mark} ".join(plain_)], add_special_tokens=False)[0].ids, dtype="<u4")
+        cuts = np.flatnonzero(ids == sign[0])
+        if len(sign) != 1 or len(cuts) != len(plain_) - 1:
+            plain_, rest = [], new
+        else:
+            data = ids.tobytes()
+            starts, ends = [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(data)]
+            self.memo.update((w, data[a:b]) for w, a, b in zip(plain_, starts, ends, strict=True))
+        if rest:
+            _Encoder.learn(self, rest)
+
     def words(self, text: str) -> list[str] | None:
         raise NotImplementedError
 
@@ -60,13 +98,9 @@ class _Encoder:
         words = self.words(text)
         if words is None:
             return self.whole(text)
-        memo = self.memo
-        if new := [w for w in set(words) if w not in memo]:
-            if len(memo) + len(new) > MEMO_WORDS:
-                memo.clear()
-                new = list(set(words))
+        if new := self.memo.unknown(words):
             self.learn(new)
-        return b"".join(map(memo.__getitem__, words))
+        return b"".join(map(self.memo.__getitem__, words))
 
 
 class ByteEncoder(_Encoder):
@@ -101,6 +135,15 @@ class WordEncoder(_Encoder):
     def words(self, text: str) -> list[str] | None:
         return text.lower().split() if plain(text) else None
 
+    def learn(self, new: list[str]) -> None:
+        # one mark after a letter or number is a pre-token of its own: the word before it may be known
+        memo = self.memo
+        bare = [w[:-1] if len(w) > 1 and w[-1] in ",." and w[-2].isalnum() else w for w in new]
+        need = {x for w, b in zip(new, bare, strict=True) for x in ((w,) if w is b else (b, w[-1])) if x not in memo and x not in memo.old}
+        if need:
+            self.learn_together(list(need), "|")
+        memo.update((w, memo[b] + memo[w[-1]]) for w, b in zip(new, bare, strict=True) if w is not b)
+
 
 _ENCODERS: dict = {}
 

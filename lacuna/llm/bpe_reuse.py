@@ -33,6 +33,8 @@ from ._words import mix
 WINDOW, MEAN_CHUNK = 16, 1024
 FILTER_BITS, FILTER_HASHES = 1 << 24, 3
 _SPACE = re.compile(r"\s")
+#: A random value for each byte.
+_GEAR = np.random.default_rng(20240611).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
 def default_path() -> str:
@@ -46,12 +48,12 @@ def chunks(text: str) -> list[str]:
     data = np.frombuffer(text.encode(), np.uint8)
     if len(data) <= WINDOW:
         return [text] if text else []
-    h = data.astype(np.uint64)
-    for by in (1, 2, 4, 8):  # hash of the 16 bytes that end at each place
-        before = np.zeros_like(h)
-        before[by:] = h[:-by]
-        h = mix(before, h)
-    cut = np.flatnonzero((h[WINDOW - 1 :] & np.uint64(MEAN_CHUNK - 1)) == 0) + WINDOW
+    h = _GEAR[data]
+    factor = 0x01000193
+    for by in (1, 2, 4, 8):  # polynomial hash of the 16 bytes that end at each place
+        h[by:] = h[by:] + h[:-by] * np.uint32(factor)
+        factor = factor * factor & 0xFFFFFFFF
+    cut = np.flatnonzero(h[WINDOW - 1 :] < np.uint32((1 << 32) // MEAN_CHUNK)) + WINDOW
     if len(data) != len(text):  # from bytes to characters; a cut inside a character moves to its end
         starts = np.cumsum((data & 0xC0) != 0x80)
         cut = np.unique(starts[cut[cut < len(data)] - 1])
