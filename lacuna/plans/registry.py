@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import q_diagnose, q_evaluate, q_features, q_prepare
+from . import q_diagnose, q_evaluate, q_features, q_prepare, q_relevance
 
-_MODULES = (q_features, q_prepare, q_evaluate, q_diagnose)
+_MODULES = (q_features, q_prepare, q_evaluate, q_diagnose, q_relevance)
 
 
 def queries():
