@@ -128,3 +128,21 @@ QUERIES["ft7_log_pval_x1_mask"] = (lambda s, d: ts.log_pval_x1(masked(s, d)), No
 QUERIES["ft9_mannwhitney_pval"] = (lambda s, d: ts.mannwhitney_pval(masked(s, d)), None)
 QUERIES["ts16_mnar_ks_test"] = (lambda s, d: ts.mnar_ks_test(masked(s, d)), None)
 QUERIES["pf8_normality_ks"] = (lambda s, d: ts.normality_ks(masked(s, d)), None)
+
+
+def _linear(s, d):
+    from lacuna.operators import linear
+
+    return rounded(linear.mechdetect_features(masked(s, d)))
+
+
+QUERIES["ft5_6_16_21_mask_models"] = (_linear, None)
+
+
+def _diffuse(s, d):
+    from lacuna.operators import linear
+
+    return rounded(linear.focused_or_diffuse(masked(s, d).where("label = 2")))
+
+
+QUERIES["ts22_mnar_focused_vs_diffuse"] = (_diffuse, None)
