@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words whose hash a Python worker keeps at most; then the table starts anew.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 200_000
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 

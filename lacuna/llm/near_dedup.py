@@ -25,6 +25,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -76,11 +77,13 @@ def shingle_sets(lists: list[list[bytes]]) -> list[np.ndarray]:
     return out
 
 
-def sets_of(made: list[bytes]) -> list[np.ndarray]:
-    out: list[np.ndarray] = []
-    for a, b in slices([len(x) for x in made]):
-        out += shingle_sets([x.lower().split() for x in made[a:b]])
-    return out
+def set_slices(batches):
+    """(keys, sets) of a few rows at a time, so that a task holds the sets of about SLICE_BYTES of text only."""
+    for batch in batches:
+        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0).to_pylist()
+        for a, b in slices(sizes):
+            part = batch.slice(a, b - a)
+            yield part.column("key"), shingle_sets([x.lower().split() for x in texts(part)])
 
 
 class Samples:
@@ -110,13 +113,12 @@ def signatures(rows: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches):
         draw = Samples(bands)
-        for batch in batches:
-            sets = sets_of(texts(batch))
+        for key, sets in set_slices(batches):
             digests = [np.frombuffer(hashlib.md5(s.tobytes()).digest(), np.int64) for s in sets]
             drawn = [draw(s) if len(s) else (None, None) for s in sets]
-            long = lambda k: pa.array([None if d[k] is None else d[k].view(np.int64) for d in drawn], pa.list_(pa.int64()))
+            long = lambda k, drawn=drawn: pa.array([None if d[k] is None else d[k].view(np.int64) for d in drawn], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), long(0), long(1)],
+                [key, pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), long(0), long(1)],
                 names=["key", "n_shingles", "d0", "d1", "bands", "odd"],
             )
 
@@ -229,11 +231,10 @@ def parity(shingles: np.ndarray) -> np.ndarray:
 
 def _sets(rows: DataFrame) -> DataFrame:
     def run(batches):
-        for batch in batches:
-            sets = sets_of(texts(batch))
-            long = pa.list_(pa.int64())
+        long = pa.list_(pa.int64())
+        for key, sets in set_slices(batches):
             yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), pa.array([s.view(np.int64) for s in sets], long), pa.array([parity(s) for s in sets], long)], names=["node", "shingles", "whole"]
+                [key, pa.array([s.view(np.int64) for s in sets], long), pa.array([parity(s) for s in sets], long)], names=["node", "shingles", "whole"]
             )
 
     return rows.mapInArrow(run, "node long, shingles array<long>, whole array<long>")
