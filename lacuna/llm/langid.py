@@ -107,7 +107,7 @@ class Model:
         """(language, score, cross-entropy, rejected) of normal texts."""
         out: list[tuple[str, float, float, bool]] = [(UND, 0.0, 0.0, True)] * len(texts)
         rows = [i for i, t in enumerate(texts) if t] if self.languages else []
-        for a, b in slices([len(texts[i]) for i in rows], 1 << 20):
+        for a, b in slices([len(texts[i]) for i in rows], 1 << 19):
             part = rows[a:b]
             entropy, lengths = self.entropies([texts[i] for i in part])
             best = entropy.argmin(axis=1)

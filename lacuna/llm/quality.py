@@ -31,6 +31,8 @@ GAMMA, LEAST = 1.05, 1e-4
 #: Documents that a group needs to have thresholds of its own, and the fence's width in quartile ranges.
 MIN_GROUP, FENCE = 200, 3.0
 LEAST_SPREAD = 0.1
+#: Groups up to which thresholds are broadcast (about 100 bytes each).
+BROADCAST_GROUPS = 20_000
 MIN_WORDS = 50
 
 
@@ -197,6 +199,8 @@ def judged(docs: DataFrame) -> tuple[DataFrame, str, Column, Column]:
     cut = thresholds(materialize(sketch(small, q)))  # a few rows for each group: read thrice below
     t = fresh(docs, "quality_thresholds")
     cut = cut.select(F.col("lang").alias(f"{t}_lang"), F.col("source").alias(f"{t}_source"), F.struct(*[r.name for r in RULES]).alias(t))
+    if cut.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:  # else an ordinary join, which splits a hot group
+        cut = F.broadcast(cut)
     joined = counted.join(
         cut,
         F.col("lang").cast("string").eqNullSafe(F.col(f"{t}_lang")) & F.col("source").cast("string").eqNullSafe(F.col(f"{t}_source")),
