@@ -146,3 +146,54 @@ def _diffuse(s, d):
 
 
 QUERIES["ts22_mnar_focused_vs_diffuse"] = (_diffuse, None)
+
+
+def _split(s, d):
+    df = features(s, d)
+    return df.where("id % 5 <> 0"), df.where("id % 5 = 0")
+
+
+def _classify(kind):
+    def query(s, d):
+        from lacuna.operators import classify
+
+        train, test = _split(s, d)
+        return rounded(classify.predict(classify.fit(train, _COLUMNS, kind), test))
+
+    return query
+
+
+for _i, _kind in ((6, "forest"), (7, "logistic"), (8, "perceptron"), (9, "boosting"), (10, "linear_svm")):
+    QUERIES[f"ml{_i}_{_kind}"] = (_classify(_kind), None)
+
+
+def _ml(name, *more):
+    def query(s, d):
+        from lacuna.operators import classify
+
+        return rounded(getattr(classify, name)(features(s, d), _COLUMNS, *more))
+
+    return query
+
+
+QUERIES["ml3_pca_95"] = (_ml("pca_share"), None)
+QUERIES["ml25_feature_importance"] = (_ml("feature_importance"), None)
+
+
+def _cv(s, d):
+    from lacuna.operators import classify
+
+    return rounded(classify.cross_validate(features(s, d).withColumn("fold", (F.col("id") % 3).cast("int")), ["draw", "customer"], "logistic", 3))
+
+
+QUERIES["ml15_cross_validate"] = (_cv, None)
+
+
+def _group_folds(s, d):
+    from lacuna.operators import classify
+
+    df = panels.read(s, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 25).alias("grp"))
+    return classify.group_kfold(df, "grp")
+
+
+QUERIES["ml13_group_kfold"] = (_group_folds, None)
