@@ -79,3 +79,25 @@ def group_kfold(df: DataFrame, group: str, folds: int = 5) -> DataFrame:
         load[k] += n
         rows.append((g, k))
     return df.join(df.sparkSession.createDataFrame(rows, df.select(F.col(group), F.lit(0).alias("fold")).schema), group)
+
+
+def _positive(train: DataFrame, test: DataFrame, columns: list[str], kind: str, name: str) -> DataFrame:
+    """test with the probability of label 1 of a two-class fit."""
+    out = fit(train, columns, kind).transform(test)
+    return out.withColumn(name, vector_to_array("probability")[1]).select(*test.columns, name)
+
+
+def hierarchical(train: DataFrame, test: DataFrame, columns: list[str], kind: str = "logistic") -> DataFrame:
+    """id, label, p_rest = P(not MCAR) and p_mnar = P(MNAR | not MCAR): one fit on all rows, one on those that are not MCAR."""
+    first = train.withColumn("label", (F.col("label") > 0).cast("int"))
+    second = train.where("label > 0").withColumn("label", (F.col("label") == 2).cast("int"))
+    made = _positive(first, test, columns, kind, "p_rest")
+    return _positive(second, made, columns, kind, "p_mnar").select("id", "label", "p_rest", "p_mnar")
+
+
+def level_accuracies(predictions: DataFrame) -> DataFrame:
+    """level, accuracy, n: MCAR against the rest, MAR against MNAR among rows that are neither in truth nor in prediction MCAR, and all three."""
+    c = predictions.select("label", "y_pred")
+    one = c.select(F.lit("mcar or rest").alias("level"), ((F.col("label") > 0) == (F.col("y_pred") > 0)).alias("hit"))
+    two = c.where("label > 0 and y_pred > 0").select(F.lit("mar or mnar"), F.col("label") == F.col("y_pred"))
+    return one.union(two).union(c.select(F.lit("all"), F.col("label") == F.col("y_pred"))).groupBy("level").agg(F.avg(F.col("hit").cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("n"))

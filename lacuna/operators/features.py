@@ -156,3 +156,12 @@ def density_ratio(panel: DataFrame) -> DataFrame:
     )
 
 
+
+
+def extract_features(panel: DataFrame, label: str | None = "label") -> DataFrame:
+    """All features built from aggregations in one row for each dataset, with source_group and label; infinite values are null, null statistics 0."""
+    keys = panel.groupBy(*DS).agg(F.first("source_group").alias("source_group"), *([F.first(label).alias("label")] if label else []))
+    for family in (moments, little_proxy_score, ks_obs_vs_imputed, tail_missing_ratio, mask_entropy, censoring_score, kl_density, cond_entropy, density_ratio):
+        keys = keys.join(family(panel), DS, "left")
+    doubles = [c for c, t in keys.dtypes if t == "double"]
+    return keys.withColumns({c: F.coalesce(F.when(F.abs(c) < float("inf"), F.col(c)), F.lit(0.0)) for c in doubles})

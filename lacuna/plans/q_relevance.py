@@ -197,3 +197,45 @@ def _group_folds(s, d):
 
 
 QUERIES["ml13_group_kfold"] = (_group_folds, None)
+
+
+def _hierarchical(s, d):
+    from lacuna.operators import classify, evaluate
+
+    train, test = _split(s, d)
+    return rounded(evaluate.route(classify.hierarchical(train, test, _COLUMNS), "soft3zone"))
+
+
+QUERIES["ml18_hierarchical_classify"] = (_hierarchical, None)
+
+
+def _weighted(s, d):
+    from lacuna.operators import classify
+
+    train, test = _split(s, d)
+    train = train.withColumn("row_weight", F.when(F.col("id") % 2 == 0, 1.0).otherwise(0.5))
+    return rounded(classify.predict(classify.fit(train, _COLUMNS, "logistic", "row_weight"), test))
+
+
+QUERIES["ml22_weighted_fit"] = (_weighted, None)
+
+
+def _out_of_sample(s, d):
+    """Probabilities of every order by models that have not seen its customer."""
+    from lacuna.operators import classify
+
+    groups = panels.read(s, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 25).alias("grp"))
+    df = classify.group_kfold(features(s, d).join(groups, "id"), "grp", 3)
+    return rounded(classify.cross_validate(df, _COLUMNS, "logistic", 3))
+
+
+QUERIES["lq1_out_of_sample_probs"] = (_out_of_sample, None)
+
+
+def _wide(s, d):
+    from lacuna.operators import features as ft
+
+    return rounded(ft.extract_features(masked(s, d)))
+
+
+QUERIES["ft33_extract_features"] = (_wide, None)

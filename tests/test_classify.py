@@ -27,3 +27,11 @@ def test_components_importance_and_folds(clouds):
     assert classify.feature_importance(clouds, ["a", "b"]).where("rank = 1").first()["var"] == "a"
     folded = classify.group_kfold(clouds.drop("fold").withColumnRenamed("label", "g"), "g", 2)
     assert folded.groupBy("g").agg({"fold": "min"}).count() == 3 and folded.count() == 240
+
+
+def test_two_levels(clouds):
+    from lacuna.operators import evaluate
+
+    out = evaluate.route(classify.hierarchical(clouds.where("id % 5 <> 0"), clouds.where("id % 5 = 0"), ["a", "b"]), "hard")
+    acc = {r["level"]: r["accuracy"] for r in classify.level_accuracies(out).collect()}
+    assert acc["all"] > 0.9 and acc["mcar or rest"] > 0.9

@@ -127,3 +127,9 @@ def test_new_files_are_worked_on_once(spark, tmp_path):
         p.write.mode("append").parquet(str(tmp_path / "in"))
         process_new_files(spark, str(tmp_path / "in"), p.schema, prepare.dataset_summary, str(tmp_path / "out"), str(tmp_path / "ck"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_wide_feature_row(spark):
+    base = simulate.base_panel(spark, 3, 120)
+    out = features.extract_features(simulate.simulate(base, "mar_rank", 0.1, 2), label=None)
+    assert out.count() == 3 and all(v is not None for r in out.collect() for v in r)
