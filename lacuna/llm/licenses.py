@@ -92,27 +92,26 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     known = {k: bigrams(v) for k, v in templates.items()}
     sizes = [(n, k, known[k]) for k in known if known[k] for n in admissible(len(known[k]), threshold)]
     small = docs.sparkSession.createDataFrame(sizes, "size int, license string, template array<string>")
-    longest = max((n for n, _, _ in sizes), default=0)
     row = F.monotonically_increasing_id()
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select(
         "doc_id", row.alias("row"), "text"
     )
     paragraphs = F.split("text", r"\n[ \t\r]*\n")
     units = F.array_distinct(F.concat(F.split("text", "\n"), paragraphs))
-    # a unit longer than any admissible one is left out by its spaces before it is cut into words
     plain = F.transform(units, lambda u: F.trim(F.regexp_replace(F.lower(u), "[^a-z0-9]+", " ")))
-    spaces = lambda u: F.length(u) - F.length(F.replace(u, F.lit(" "), F.lit("")))
-    short = F.filter(plain, lambda u: (u != "") & (spaces(u) <= 4 * longest))
-    each = base.select("doc_id", "row", F.explode_outer(F.array_distinct(short)).alias("unit"))
+    found = F.array_distinct(F.filter(plain, lambda u: u != ""))
+    each = base.select("doc_id", "row", found.alias("units")).select("doc_id", "row", F.size("units").cast("long").alias("n_units"), F.explode_outer("units").alias("unit"))
     grams = _bigrams(F.split("unit", " "))
-    cut = each.select("doc_id", "row", "unit", F.when(F.col("unit").isNotNull(), grams).alias("grams")).withColumn("size", F.size("grams"))
+    # a repeated notice is long with few distinct bigrams: only the number of distinct ones proves anything
+    cut = each.select("doc_id", "row", "n_units", "unit", F.when(F.col("unit").isNotNull(), grams).alias("grams")).withColumn("size", F.size("grams"))
     met = cut.join(F.broadcast(small), "size", "left")
     dice = 2 * F.size(F.array_intersect("grams", "template")) / (F.size("grams") + F.size("template"))
-    rated = met.select("doc_id", "row", "unit", "license", F.when(F.col("license").isNotNull(), dice).alias("dice"))
+    rated = met.select("doc_id", "row", "n_units", "unit", "license", F.when(F.col("license").isNotNull(), dice).alias("dice"))
     hit = F.col("dice") >= threshold
+    # only texts that match are sent on; the rest of a row is its number of units
+    rated = rated.select("doc_id", "row", "n_units", F.when(hit, F.col("unit")).alias("unit"), F.when(hit, F.struct((-F.col("dice")).alias("low"), "license", "unit")).alias("found"))
     # best template of each row: highest coefficient, then first name, then first text
-    best = F.min(F.when(hit, F.struct((-F.col("dice")).alias("low"), "license", "unit")))
-    out = rated.groupBy("doc_id", "row").agg(F.count_distinct("unit").alias("n_units"), F.count_distinct(F.when(hit, F.col("unit"))).alias("n_matches"), best.alias("best"))
+    out = rated.groupBy("doc_id", "row", "n_units").agg(F.count_distinct("unit").alias("n_matches"), F.min("found").alias("best"))
     return out.select("doc_id", "n_units", "n_matches", F.col("best.license").alias("license"), F.round(-F.col("best.low"), 6).alias("dice"), F.col("best.unit").alias("unit"))
 
 

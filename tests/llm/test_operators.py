@@ -238,6 +238,14 @@ def test_license_scan(spark, repeated, empty):
     assert licenses.scan(repeated).count() == repeated.count() and licenses.scan(empty).count() == 0
 
 
+def test_repeated_notices_are_units(spark):
+    header = licenses.TEMPLATES["apache-2.0-header"]
+    rows = [(1, " ".join(["All rights reserved."] * 150)), (2, " ".join([header] * 7)), (3, " ".join(f"w{i}" for i in range(3000)))]
+    got = by_id(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [got[k]["n_units"] for k in (1, 2, 3)] == [1, 1, 1] and [got[k]["n_matches"] for k in (1, 2, 3)] == [1, 1, 0]
+    assert got[1]["license"] == "all-rights-reserved" and got[2]["license"] == "apache-2.0-header" and got[3]["license"] is None
+
+
 @pytest.mark.parametrize("size", [1, 2, 7, 60])
 def test_size_bounds_lose_nothing(size):
     for n in range(1, 400):
