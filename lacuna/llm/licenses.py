@@ -5,7 +5,9 @@ one space).  What is compared are the units of a text: each line and each paragr
 blank ones).  The Dice coefficient of two sets of bigrams of sizes a and b is at most 2 min(a, b) / (a + b), so a unit
 meets only templates whose size lies in the interval that leaves the coefficient possible; that is an
 equality join on the number of bigrams with a table of fixed size (templates times admissible sizes),
-which is broadcast.  DataFrame functions only.
+which is broadcast.  Besides the units, every window of words of the whole text is compared, so a notice is found
+within a longer line or across lines; ``best_windows`` says why few windows have to be looked at.  ``n_matches``
+counts the units that match as a whole; license, dice and unit are those of the best window.
 
 Defined cases: null and empty texts have no units and get null; a unit of one word has its word as only
 bigram; of equally similar templates the first name wins; each row is judged alone; an empty table
@@ -14,8 +16,11 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import bisect
+import math
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,8 +91,92 @@ def _bigrams(words: Column) -> Column:
     return F.when(F.size(words) > 1, F.array_distinct(pairs)).otherwise(words)
 
 
+def best_windows(words: list[str], known: dict[str, list[str]], vocabulary: dict[tuple[str, ...], list[str]], threshold: float) -> tuple[float, str, str] | None:
+    """(-dice, license, text) of the best window of any length, or nothing below the threshold.
+
+    ``vocabulary`` has the licenses of each bigram (a tuple of words; one word for templates of one word).  A window can reach
+    the threshold only if the text has enough of the template's distinct bigrams.  A best window starts and ends with bigrams of
+    the template, holds its first bigram once (else a later start is as good) and has at most so many distinct ones
+    as ``admissible`` allows: that ends the walk from each start.  Where windows of a template overlap, the better one
+    counts; one within a match of a larger template is a part of that notice and does not count.
+    """
+    grams: list = list(zip(words, words[1:], strict=False))
+    own: dict[str, list[int]] = {}
+    for i in [i for i, g in enumerate(grams) if g in vocabulary]:
+        for name in vocabulary[grams[i]]:
+            own.setdefault(name, []).append(i)
+    single = {g[0] for g in vocabulary if len(g) == 1}
+    for i in [i for i, w in enumerate(words) if w in single] if single else []:
+        for name in vocabulary[(words[i],)]:
+            own.setdefault(name, []).append(i)
+    best = None
+    taken: list[list[tuple[int, int]]] = []  # matches of each larger template: first and last word
+    for name in sorted(own, key=lambda k: (-len(known[k]), k)):
+        at, size = own[name], len(known[name])
+        one = " " not in known[name][0]
+        template = {grams[i] for i in at} if not one else set()
+        have = 1 if one else len(template)
+        if 2 * have / (have + size) < threshold:
+            continue
+        most = size * (2 - threshold) / threshold + 1e-9
+        spans = [(-1.0, i, i) for i in at] if one else []
+        for start in at if not one else ():
+            seen: set = set()
+            hits, top = 0, None
+            for k in range(start, len(grams)):
+                g = grams[k]
+                if k > start and g == grams[start]:
+                    break
+                if g in seen:
+                    continue
+                seen.add(g)
+                if len(seen) > most:
+                    break
+                if g in template:
+                    hits += 1
+                    dice = 2 * hits / (len(seen) + size)
+                    if dice >= threshold and (top is None or -dice < top[0]):
+                        top = (-dice, start, k + 1)
+            if top:
+                spans.append(top)
+        accepted: list[tuple[int, int]] = []  # in order, without overlap
+        for low, first, last in sorted(spans):
+            place = bisect.bisect(accepted, (first, last))
+            if place and accepted[place - 1][1] >= first or place < len(accepted) and accepted[place][0] <= last:
+                continue
+            accepted.insert(place, (first, last))
+            if best and (low, name) > best[:2]:
+                continue
+            before = ((x, bisect.bisect(x, (first, math.inf))) for x in taken)
+            if any(place and x[place - 1][1] >= last for x, place in before):
+                continue
+            found = (low, name, " ".join(words[first : last + 1]))
+            best = min(best or found, found)
+        taken.append(accepted)
+    return best
+
+
+def _with_windows(base: DataFrame, known: dict[str, list[str]], threshold: float) -> DataFrame:
+    """``base`` with a struct ``window`` (low, license, unit): the best window of its text."""
+    vocabulary: dict[tuple[str, ...], list[str]] = {}
+    for name in sorted(known):
+        for g in known[name]:
+            vocabulary.setdefault(tuple(g.split(" ")), []).append(name)
+    at = base.columns.index("text")
+    other = re.compile("[^a-z0-9]+")
+
+    def run(batches):
+        for batch in batches:
+            found = [best_windows(other.sub(" ", t.lower()).split(), known, vocabulary, threshold) for t in batch.column(at).to_pylist()]
+            rows = [None if x is None else dict(zip(("low", "license", "unit"), x, strict=True)) for x in found]
+            kind = pa.struct([("low", pa.float64()), ("license", pa.string()), ("unit", pa.string())])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], names=[*batch.schema.names, "window"])
+
+    return base.mapInArrow(run, base.select("*", F.lit(None).cast("struct<low:double,license:string,unit:string>").alias("window")).schema)
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, n_units compared, n_matches, license (best), dice and unit (the matching text), one row for each row."""
+    """doc_id, n_units compared, n_matches, license (best), dice and unit (the best window's text), one row for each row."""
     templates = TEMPLATES if templates is None else templates
     known = {k: bigrams(v) for k, v in templates.items()}
     sizes = [(n, k, known[k]) for k in known if known[k] for n in admissible(len(known[k]), threshold)]
@@ -96,22 +185,23 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select(
         "doc_id", row.alias("row"), "text"
     )
+    base = _with_windows(base, known, threshold)
     paragraphs = F.split("text", r"\n[ \t\r]*\n")
     units = F.array_distinct(F.concat(F.split("text", "\n"), paragraphs))
     plain = F.transform(units, lambda u: F.trim(F.regexp_replace(F.lower(u), "[^a-z0-9]+", " ")))
     found = F.array_distinct(F.filter(plain, lambda u: u != ""))
-    each = base.select("doc_id", "row", found.alias("units")).select("doc_id", "row", F.size("units").cast("long").alias("n_units"), F.explode_outer("units").alias("unit"))
+    each = base.select("doc_id", "row", "window", found.alias("units")).select("doc_id", "row", "window", F.size("units").cast("long").alias("n_units"), F.explode_outer("units").alias("unit"))
     grams = _bigrams(F.split("unit", " "))
     # a repeated notice is long with few distinct bigrams: only the number of distinct ones proves anything
-    cut = each.select("doc_id", "row", "n_units", "unit", F.when(F.col("unit").isNotNull(), grams).alias("grams")).withColumn("size", F.size("grams"))
+    cut = each.select("doc_id", "row", "window", "n_units", "unit", F.when(F.col("unit").isNotNull(), grams).alias("grams")).withColumn("size", F.size("grams"))
     met = cut.join(F.broadcast(small), "size", "left")
     dice = 2 * F.size(F.array_intersect("grams", "template")) / (F.size("grams") + F.size("template"))
-    rated = met.select("doc_id", "row", "n_units", "unit", "license", F.when(F.col("license").isNotNull(), dice).alias("dice"))
+    rated = met.select("doc_id", "row", "window", "n_units", "unit", "license", F.when(F.col("license").isNotNull(), dice).alias("dice"))
     hit = F.col("dice") >= threshold
     # only texts that match are sent on; the rest of a row is its number of units
-    rated = rated.select("doc_id", "row", "n_units", F.when(hit, F.col("unit")).alias("unit"), F.when(hit, F.struct((-F.col("dice")).alias("low"), "license", "unit")).alias("found"))
-    # best template of each row: highest coefficient, then first name, then first text
-    out = rated.groupBy("doc_id", "row", "n_units").agg(F.count_distinct("unit").alias("n_matches"), F.min("found").alias("best"))
+    # a unit is a window too; the best is the highest coefficient, then the first name, then the first text
+    rated = rated.select("doc_id", "row", "n_units", F.when(hit, F.col("unit")).alias("unit"), "window")
+    out = rated.groupBy("doc_id", "row", "n_units").agg(F.count_distinct("unit").alias("n_matches"), F.min("window").alias("best"))
     return out.select("doc_id", "n_units", "n_matches", F.col("best.license").alias("license"), F.round(-F.col("best.low"), 6).alias("dice"), F.col("best.unit").alias("unit"))
 
 

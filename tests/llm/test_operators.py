@@ -240,12 +240,43 @@ def test_license_scan(spark, repeated, empty):
 
 def test_repeated_notices_are_units(spark):
     header = licenses.TEMPLATES["apache-2.0-header"]
-    rows = [(1, " ".join(["All rights reserved."] * 150)), (2, " ".join([header] * 7)), (3, " ".join(f"w{i}" for i in range(3000)))]
+    rows = [(1, " ".join(["All rights reserved."] * 200)), (2, " ".join([header] * 7)), (3, " ".join(f"w{i}" for i in range(3000)))]
     got = by_id(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")))
     assert [got[k]["n_units"] for k in (1, 2, 3)] == [1, 1, 1] and [got[k]["n_matches"] for k in (1, 2, 3)] == [1, 1, 0]
     assert got[1]["license"] == "all-rights-reserved" and got[2]["license"] == "apache-2.0-header" and got[3]["license"] is None
 
 
+def test_notices_inside_longer_lines(spark):
+    import random
+
+    rng = random.Random(3)
+    prose = lambda n: " ".join(f"w{rng.randrange(900)}" for _ in range(n))
+    mit = licenses.TEMPLATES["mit-grant"]
+    rows = [(1, "Licensed under the Apache License, Version 2.0 (the License); you may not use"), (2, f"{prose(400)} {mit} {prose(300)}"), (3, f"{prose(50)} All rights\nreserved. {prose(9)}"), (4, prose(500))]
+    got = by_id(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert [got[k]["license"] for k in (1, 2, 3, 4)] == ["apache-2.0", "mit-grant", "all-rights-reserved", None]
+    assert got[1]["unit"] == "licensed under the apache license version 2 0" and got[1]["dice"] == got[2]["dice"] == got[3]["dice"] == 1
+    one = licenses.scan(spark.createDataFrame([(1, "so wtfpl it is")], "doc_id long, text string"), {"wtfpl": "WTFPL"}).first()
+    assert (one["license"], one["unit"]) == ("wtfpl", "wtfpl")
+
+
+def test_windows_equal_brute_force():
+    import random
+
+    rng = random.Random(4)
+    for grams in (["p q", "q r", "r p", "p s", "s q"], ["q p", "p p"]):
+        vocabulary = {tuple(g.split()): ["a"] for g in grams}
+        for _ in range(300):
+            w = [rng.choice("ppqqrrsx") for _ in range(rng.randrange(2, 26))]
+            want = 0
+            for i in range(len(w)):
+                for j in range(i + 2, len(w) + 1):
+                    own = {f"{a} {b}" for a, b in zip(w[i:j], w[i + 1 : j], strict=False)}
+                    want = max(want, 2 * len(own & set(grams)) / (len(own) + len(grams)))
+            got = licenses.best_windows(w, {"a": grams}, vocabulary, 0.8)
+            assert (-got[0] if got else 0) == (want if want >= 0.8 else 0)
+
+
 @pytest.mark.parametrize("size", [1, 2, 7, 60])
 def test_size_bounds_lose_nothing(size):
     for n in range(1, 400):
