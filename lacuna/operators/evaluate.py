@@ -56,7 +56,7 @@ def accuracy_by_group(predictions: DataFrame) -> DataFrame:
     return a.select("source_group", *BY, "n", "accuracy", label.alias("label"), place.cast("long").alias("place"))
 
 
-def bootstrap_ci(predictions: DataFrame, replicates: int = 200, seed: int = 11, by: list[str] = BY) -> DataFrame:
+def bootstrap_ci(predictions: DataFrame, replicates: int = 1000, seed: int = 11, by: list[str] = BY) -> DataFrame:
     """2.5 and 97.5 percentiles of accuracy over resamples of each model's predictions.
 
     A resample of n predictions has a binomial number of hits, so counts suffice: rows are not copied.  Each replicate draws

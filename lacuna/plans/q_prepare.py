@@ -151,7 +151,7 @@ add(
 )
 _B = "dr.dataset_no * 1000003 + boot_id * 100 + draw"
 add(
-    "pr12_bootstrap_datasets", lambda s, d: pr.bootstrap_datasets(masked(s, d), resamples=10),
+    "pr12_bootstrap_datasets", lambda s, d: pr.bootstrap_datasets(masked(s, d)),
     on_panel(f""", nn AS (SELECT dataset_id, any_value(dataset_no) AS dataset_no, count(*) AS n FROM panel GROUP BY dataset_id),
   b AS (SELECT *, unnest(range(1, 11)) AS boot_id FROM nn), dr AS (SELECT *, unnest(range(1, least(100, n) + 1)) AS draw FROM b),
   j AS (SELECT dr.dataset_id, CAST(boot_id AS INT) AS boot_id, CAST(draw AS INT) AS draw, x0, x1, x2, x3, x4, avg(CASE WHEN x0 IS NULL THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY dr.dataset_id, boot_id) AS rate
