@@ -6,7 +6,7 @@ characters is one space.  The models are fitted on a bounded sample of the label
 whole text.  The tables are arrays of 64-bit hashes in order, looked up by binary search, with one
 column of log probabilities for each language.  A text gets the language of the lowest cross-entropy
 for each character.  It is rejected when even that is beyond what the language's own texts show:
-the limits come from labelled rows kept out of the fit.
+the limits come from pieces of labelled rows kept out of the fit; a language with few of them has those of all languages.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0, and rejected; with no
 labelled rows at all, every text is ``und``; ties go to the language that sorts first; each row is
@@ -27,11 +27,12 @@ from pyspark.sql import functions as F
 from ._spark import fresh, held_out, slices, table
 
 ORDER = 4
-#: Characters of labelled text for each language that the fit may use, and languages at most.
+#: Characters of labelled text for each language that the fit may use.
 FIT_CHARS = 3_000_000
-MAX_LANGUAGES = 200
 #: One labelled row in so many calibrates the rejection instead of being fitted.
 CALIBRATE_ONE_IN = 8
+#: Characters of the pieces that those rows are cut into, and pieces that a language needs for limits of its own.
+PIECE_CHARS, MIN_PIECES = 500, 20
 #: Characters beyond which a text gives no more certainty (for the score).
 SURE_CHARS = 40
 #: A text is rejected beyond SLACK times its language's usual cross-entropy, plus z deviations of the mean.
@@ -181,17 +182,15 @@ def fit(labelled: DataFrame, fit_chars: int = FIT_CHARS) -> Model:
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(
         F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")
     )
-    # labels and their sizes: one row for each language, the commonest first
-    sizes = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("chars")).orderBy(F.desc("chars"), "lang").limit(MAX_LANGUAGES).collect()
+    # labels and their sizes: one row for each language
+    sizes = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("chars")).orderBy("lang").collect()
     none = Model([], *[[]] * 4, np.zeros(0))
     if not sizes:
         return none
     draw = F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 20)) / float(1 << 20)
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], min(1.0, fit_chars / max(r["chars"], 1))).otherwise(share)
+    shares = labelled.sparkSession.createDataFrame([(r["lang"], min(1.0, fit_chars / max(r["chars"], 1))) for r in sizes], "lang string, share double")
     part = F.pmod(F.xxhash64("text", F.lit(29)), F.lit(CALIBRATE_ONE_IN))
-    sample = rows.where(draw < share).withColumn("part", part)
+    sample = rows.join(F.broadcast(shares), "lang").where(draw < F.col("share")).select("text", "lang", part.alias("part"))
 
     def count(batches):
         for batch in batches:
@@ -222,28 +221,44 @@ def fit(labelled: DataFrame, fit_chars: int = FIT_CHARS) -> Model:
     def calibrate(batches):
         for batch in batches:
             frame = batch.to_pandas()
-            frame["text"] = frame["text"].map(normal)
+            frame["text"] = [[t[i : i + PIECE_CHARS].strip() for i in range(0, len(t), PIECE_CHARS)] for t in map(normal, frame["text"])]
+            frame = frame.explode("text", ignore_index=True).dropna()
             frame = frame[frame["text"].str.len() > 0]
             made = shared.value
+            place = {lang: k for k, lang in enumerate(made.languages)}
             out = {"lang": [], "h": [], "n": []}
             for a, b in slices([len(t) for t in frame["text"]], 1 << 20):
                 own = frame.iloc[a:b]
                 entropy, lengths = made.entropies(own["text"].tolist())
                 for lang, h, n in zip(own["lang"], entropy, lengths, strict=True):
-                    if lang in made.languages:
+                    if lang in place:
                         out["lang"].append(lang)
-                        out["h"].append(float(h[made.languages.index(lang)]))
+                        out["h"].append(float(h[place[lang]]))
                         out["n"].append(int(n))
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("lang", pa.string()), ("h", pa.float64()), ("n", pa.int64())]))
 
     seen = held.mapInArrow(calibrate, "lang string, h double, n long")
-    mean = F.sum(F.col("h") * F.col("n")) / F.sum("n")
-    for r in seen.groupBy("lang").agg(mean.alias("m"), F.sqrt(F.avg(F.pow(F.col("h"), 2) * F.col("n")) - 2 * mean * F.avg(F.col("h") * F.col("n")) + mean * mean * F.avg("n")).alias("d"), F.count(F.lit(1)).alias("rows")).collect():
-        if r["rows"] >= 20 and r["d"] and np.isfinite(r["d"]):
-            model.limits[model.languages.index(r["lang"])] = (r["m"], r["d"])
+    sums = seen.groupBy("lang").agg(
+        F.count(F.lit(1)).alias("pieces"), F.sum("n").alias("n"), F.sum(F.col("h") * F.col("n")).alias("hn"), F.sum(F.col("h") * F.col("h") * F.col("n")).alias("hhn")
+    ).collect()  # one row for each language
+    for r in sums:
+        if r["pieces"] >= MIN_PIECES:
+            model.limits[model.languages.index(r["lang"])] = _limits(r["pieces"], r["n"], r["hn"], r["hhn"])
+    few = [k for k, lang in enumerate(model.languages) if lang not in {r["lang"] for r in sums if r["pieces"] >= MIN_PIECES}]
+    if few and sums:
+        pieces, *all_sums = (sum(r[c] for r in sums) for c in ("pieces", "n", "hn", "hhn"))
+        mean, deviation = _limits(pieces, *all_sums)
+        # pooled over languages; a handful of pieces tells the mean but no deviation
+        model.limits[few] = (mean, deviation if pieces >= MIN_PIECES else max(deviation, 2.0))
     return model
 
 
+def _limits(pieces: int, n: float, hn: float, hhn: float) -> tuple[float, float]:
+    """Mean cross-entropy and deviation of one character, from sums over pieces of n, h n and h h n."""
+    mean = hn / n
+    return mean, float(np.sqrt(max(hhn - mean * hn, 0.0) / pieces))
+
+
 def with_language(docs: DataFrame, model: Model, name: str) -> DataFrame:
     """All columns of ``docs``, and a struct (lang_pred, score, cross_entropy, rejected)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

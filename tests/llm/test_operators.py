@@ -137,6 +137,34 @@ def test_kneser_ney_adds_up(spark):
         assert total == pytest.approx(1.0, abs=1e-9)
 
 
+def _prose(rng, letters, n):
+    vocabulary = ["".join(rng.choice(letters) for _ in range(rng.randrange(3, 8))) for _ in range(60)]
+    return lambda: " ".join(rng.choice(vocabulary) for _ in range(n))
+
+
+def test_few_long_texts_still_calibrate(spark):
+    import random
+
+    rng = random.Random(2)
+    a, b = _prose(rng, "abcdefg", 4000), _prose(rng, "nopqrst", 40)
+    rows = [(a(), "aa") for _ in range(24)] + [(b(), "bb") for _ in range(12)]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"))
+    assert model.limits[:, 0].max() < 3.5  # neither language keeps the limit that rejects nothing
+    odd = "".join(rng.choice("abcdefg") + " " * (i % 9 == 8) for i in range(3000))
+    assert [p[3] for p in model.predict([langid.normal(x) for x in (a(), odd[::-1] + "zzz yyy " * 300)])] == [False, True]
+
+
+def test_every_label_is_fitted(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = []
+    for i in range(210):
+        own = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+        rows += [(f"{own} {i * j} {own}{'xyz'[j % 3]} {own}", f"l{i:03d}") for j in range(6)]
+    assert len(langid.fit(spark.createDataFrame(rows, "text string, lang string")).languages) == 210
+
+
 def test_language_of_nothing(spark, empty, repeated):
     assert langid.filter_documents(empty).count() == 0
     out = langid.filter_documents(repeated)
