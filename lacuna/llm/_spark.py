@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that are worked on together inside a task (bounds the arrays made from them).
 SLICE_BYTES = 1 << 21
+#: Rows that Spark sends to a Python worker at a time (texts of some kilobytes: a few megabytes).
+BATCH_ROWS = 2000
+_BATCH_ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+_KEPT: dict = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,17 +28,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster (``spark.checkpoint.dir``); a local one only where none is set."""
+    """The shared folder of the cluster (``spark.checkpoint.dir``); a temporary one only where Spark runs in one process."""
     sc = spark.sparkContext
+    told = spark.conf.get("spark.checkpoint.dir", None)
+    if told is None and not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().get()
+        sc.setCheckpointDir(told or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return told or sc._jsc.sc().getCheckpointDir().get()
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it back: lineage ends there, a lost executor costs nothing."""
+    """Write a table to the shared folder and read it back: lineage ends there, a lost executor costs nothing.
+
+    The tables of one application lie in one folder, so that they can be removed together when it has ended.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/lacuna-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/lacuna-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -48,7 +63,39 @@ def held_out(doc_id: str, parts: int) -> Column:
     return F.crc32(text.cast("binary")) % parts == 2
 
 
-def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
+def release() -> None:
+    """Give memory that nothing uses back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+def kept(name: Any, make: Callable[[], Any]) -> Any:
+    """What the tasks of one operator keep in a Python worker.  Workers outlive tasks: another operator's things go first."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        release()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` in batches of ``BATCH_ROWS`` at most; a task that ends gives its memory back."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH_ROWS_SETTING)) <= BATCH_ROWS:
+        conf.set(_BATCH_ROWS_SETTING, BATCH_ROWS)
+
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def texts(batch: pa.RecordBatch, column: str | int = "text") -> list[bytes]:
     """The texts of a batch as UTF-8; null counts as empty."""
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
@@ -65,6 +112,12 @@ def slices(sizes: list[int], limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         yield start, len(sizes)
 
 
+def parts(batch: pa.RecordBatch, column: str | int = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch a few rows at a time: texts of about ``limit`` bytes together (a longer one stands alone)."""
+    for a, b in slices(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_pylist(), limit):
+        yield batch.slice(a, b - a)
+
+
 def keyed(docs: DataFrame, name: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with a long column ``name`` that tells its rows apart and orders them as doc_id does.
 

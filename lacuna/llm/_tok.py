@@ -15,6 +15,8 @@ from array import array
 
 import numpy as np
 
+from ._spark import kept
+
 #: Characters for which Python and the library agree on letters, numbers, white space and case.
 _PLAIN = re.compile(r"[\t-\r -\x7e\xa0-ɏ]*")
 #: White space before a space: the byte-level pattern would join the two.
@@ -22,8 +24,12 @@ _JOINED = ("  ", "\n ", "\t ", "\r ", "\x0b ", "\x0c ", "\xa0 ")
 #: The byte-level pattern as the library states it (fixed value).
 _BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words in either generation of the table; when the young one is full, it becomes the old one, and
-#: what is used again moves back.
-MEMO_WORDS = 250_000
+#: what is used again moves back.  Longer words than MEMO_CHARS are not kept, so the table is bounded in bytes, too.
+MEMO_WORDS, MEMO_CHARS = 250_000, 48
+#: Characters of a text that are encoded together; longer texts are cut before a space between two other characters, which
+#: both files' patterns cut before as well.
+PIECE_CHARS = 1 << 20
+_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
 class _Memo(dict):
@@ -63,6 +69,18 @@ def plain(text: str) -> bool:
     return "<|" not in text and _PLAIN.fullmatch(text) is not None
 
 
+def cuts(text: str):
+    """A long text in pieces that can be encoded singly."""
+    at = 0
+    while len(text) - at > PIECE_CHARS:
+        found = _CUT.search(text, at + PIECE_CHARS)
+        if found is None:
+            break
+        yield text[at : found.start()]
+        at = found.start()
+    yield text[at:] if at else text
+
+
 class _Encoder:
     def __init__(self, path: str):
         self.tokenizer = load(path)
@@ -95,12 +113,21 @@ class _Encoder:
 
     def encode(self, text: str) -> bytes:
         """The text's ids, little-endian unsigned 32-bit."""
+        return b"".join(map(self._encode, cuts(text))) if len(text) > PIECE_CHARS else self._encode(text)
+
+    def _encode(self, text: str) -> bytes:
         words = self.words(text)
         if words is None:
             return self.whole(text)
-        if new := self.memo.unknown(words):
+        new = self.memo.unknown(words)
+        if new:
             self.learn(new)
-        return b"".join(map(self.memo.__getitem__, words))
+        out = b"".join(map(self.memo.__getitem__, words))
+        for w in new:
+            if len(w) > MEMO_CHARS:
+                self.memo.pop(w, None)
+                self.memo.pop(w[:-1], None)
+        return out
 
 
 class ByteEncoder(_Encoder):
@@ -145,11 +172,6 @@ class WordEncoder(_Encoder):
         memo.update((w, memo[b] + memo[w[-1]]) for w, b in zip(new, bare, strict=True) if w is not b)
 
 
-_ENCODERS: dict = {}
-
-
 def encoder(kind, *paths: str):
-    """One encoder for each kind and file in a Python worker, kept between tasks."""
-    if (kind, paths) not in _ENCODERS:
-        _ENCODERS[kind, paths] = kind(*paths)
-    return _ENCODERS[kind, paths]
+    """One encoder for a kind and file in a Python worker, kept between the tasks of an operator."""
+    return kept((kind.__name__, paths), lambda: kind(*paths))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import table, texts
+from ._spark import mapped, parts, table, texts
 
 # Element ids of the format (fixed values).
 EBML, DOC_TYPE, DOC_TYPE_VERSION, DOC_TYPE_READ_VERSION = 0x1A45DFA3, 0x4282, 0x4287, 0x4285
@@ -106,7 +106,7 @@ def write(payload: bytes, frame: int = FRAME, lacing: str = "fixed", laced: int
 
 @dataclass
 class Media:
-    """What a file holds. packets: (track, timestamp in ns, keyframe, lacing, cluster, offset, size)."""
+    """What a file holds. packets: (track, timestamp in ns, keyframe, lacing, cluster, offset, size); clusters: where they start."""
 
     packets: list[tuple] = field(default_factory=list)
     tracks: dict[int, dict] = field(default_factory=dict)
@@ -232,7 +232,9 @@ def parse(data: bytes | None) -> Media:
 
 
 def _segment(out: Media, data: bytes, base: int, end: int) -> None:
+    begin = base
     for kind, at, stop in children(data, base, end):
+        begin, start = stop, begin
         if kind == INFO:
             for k, a, b in children(data, at, stop):
                 out.scale = _number(data, a, b) if k == TIMESTAMP_SCALE else out.scale
@@ -247,7 +249,7 @@ def _segment(out: Media, data: bytes, base: int, end: int) -> None:
                         "duration": int.from_bytes(text(DEFAULT_DURATION), "big"),
                     }
         elif kind == CLUSTER:
-            out.clusters.append(at)
+            out.clusters.append(start)
             time = 0
             for k, a, b in children(data, at, stop, _TOP):
                 if k == TIMESTAMP:
@@ -295,7 +297,7 @@ def packets(media: DataFrame, key: str, column: str) -> DataFrame:
     kind = chosen.schema["key"].dataType.simpleString()
     schema = media.sparkSession.createDataFrame([], f"key {kind}, packet long, {_PACKET}, complete boolean").schema
     arrow = to_arrow_schema(schema)
-    return chosen.mapInArrow(run, schema)
+    return mapped(chosen, run, schema)
 
 
 def payload_of(text: bytes) -> bytes:
@@ -303,19 +305,32 @@ def payload_of(text: bytes) -> bytes:
     return text + PAD * (-len(text) % FRAME if text else FRAME)
 
 
+def lacing_of(text: bytes) -> str:
+    """Files differ in their lacing, by a rule of the text's length."""
+    return LACINGS[len(text) // FRAME % len(LACINGS)]
+
+
 def store(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and media: each text as a Matroska file."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole)):
             made = texts(batch)
+            files = [write(payload_of(x), lacing=lacing_of(x)) for x in made]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(x) for x in made], pa.int64()), pa.array([write(payload_of(x)) for x in made], pa.binary())],
+                [batch.column("doc_id"), pa.array([len(x) for x in made], pa.int64()), pa.array(files, pa.binary())],
                 names=["doc_id", "n_bytes", "media"],
             )
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return mapped(chosen, run, "doc_id long, n_bytes long, media binary")
+
+
+def sound_cues(media: Media) -> int:
+    """Cues that lead to a cluster in which a packet of their track has their time."""
+    places = {(p[4], p[0], p[1] // 1_000_000) for p in media.packets}
+    at = {start: k for k, start in enumerate(media.clusters)}
+    return sum((at.get(start), track, time) in places for time, track, start in media.cues)
 
 
 def feature(media: Media, payload: bytes) -> str:
@@ -323,8 +338,9 @@ def feature(media: Media, payload: bytes) -> str:
     samples = np.frombuffer(payload, np.uint8).astype(np.int64)
     crossings = int(np.count_nonzero(np.diff(samples >= 128)))
     last = max((p[1] for p in media.packets), default=0) // 1_000_000
+    lacings = ",".join(sorted({p[3] for p in media.packets}))
     return (
-        f"packets={len(media.packets)};clusters={len(media.clusters)};cues={len(media.cues)};tracks={len(media.tracks)}"
+        f"packets={len(media.packets)};clusters={len(media.clusters)};cues={len(media.cues)};sound_cues={sound_cues(media)};tracks={len(media.tracks)};lacing={lacings}"
         f";last_ms={last};sum={int(samples.sum())};energy={int((samples * samples).sum())};crossings={crossings}"
     )
 
@@ -334,7 +350,7 @@ def digest(stored: DataFrame) -> DataFrame:
     out = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, "media")):
             rows = []
             for media in batch.column("media").to_pylist():
                 got = parse(media)
@@ -346,7 +362,7 @@ def digest(stored: DataFrame) -> DataFrame:
             names = [x.split()[0] for x in out.split(", ")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *made], names=names)
 
-    return stored.mapInArrow(run, out)
+    return mapped(stored, run, out)
 
 
 def op4_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import table, texts
+from ._spark import mapped, parts, table, texts
 from ._tok import ByteEncoder, encoder
 
 CONTEXT = 1024
@@ -55,7 +55,7 @@ def pieces(docs: DataFrame, paths: tuple[str, str] | None = None, context: int =
 
     def run(batches):
         one = encoder(ByteEncoder, *paths)
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole)):
             ids = batch.column("doc_id").to_pylist()
             out: list[list] = [[] for _ in range(7)]
             for doc, text in zip(ids, texts(batch), strict=True):
@@ -72,7 +72,7 @@ def pieces(docs: DataFrame, paths: tuple[str, str] | None = None, context: int =
 
     made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # each piece is one sequence of its bucket; its number is unique without any exchange of rows
-    return made.mapInArrow(run, _PIECES).withColumns(
+    return mapped(made, run, _PIECES).withColumns(
         {"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")}
     )
 
