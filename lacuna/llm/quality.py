@@ -4,13 +4,19 @@ Each document gets plain counts (words, characters, symbols, repeated lines, wor
 three-word windows).  The shares made of them go into logarithmic quantile sketches (buckets of a
 fixed relative width), one for each language, source and rule.  Sketches are tables of bucket
 counts: they merge by addition, do not depend on the order of rows, and are of bounded size.  A
-group with few documents borrows the merged sketch of its language, or of everything.  A rule's
-threshold is the upper (or lower) fence of its group's quartiles, held between two guard rails;
-documents are joined with the thresholds of their group and pass if no rule fails.
+group with few documents borrows the merged sketch of its language, or of everything.
+
+Every threshold comes from quantiles of these sketches; there are no fixed bounds beside them.  Mean word
+lengths have fences around the quartiles.  Most documents have no symbols, no repeated lines and no repeated windows,
+so these shares are judged by the part of the sketch above zero: where even its small values are far from
+zero (``GAP``) and most documents have none, the two parts are different populations, and the threshold lies between them; else it
+is the fence of that part's quartiles in logarithms.  Documents are joined with the thresholds of their group and pass
+if no rule fails.
 
 Defined cases: a null text has no words (and so fails the base rule); null lang or source are
-groups of their own; each row is judged alone, so repeated rows get equal verdicts; an empty
-table gives no rows; other columns are kept by ``filter_documents`` and ignored otherwise.
+groups of their own; each row is judged alone, so repeated rows get equal verdicts; where no document anywhere
+has passed the base rule, or none has a share above zero, that rule has no threshold and fails nothing; an empty
+table gives no rows; very long texts are counted piece by piece; other columns are kept by ``filter_documents`` and ignored otherwise.
 """
 
 from __future__ import annotations
@@ -18,19 +24,25 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._spark import fresh, materialize, table
+from ._spark import fresh, mapped, materialize, parts, table, texts
+from ._words import mix, shifted, word_hashes
 
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = b"#*$%&|<>"
+_SPACE = b" \t\n\v\f\r"
 #: Relative width of a bucket, and the smallest share that is told from zero.
 GAMMA, LEAST = 1.05, 1e-4
-#: Documents that a group needs to have thresholds of its own, and the fence's width in quartile ranges.
-MIN_GROUP, FENCE = 200, 3.0
-LEAST_SPREAD = 0.1
+#: Documents that a group needs to have thresholds of its own (for shares: documents above zero).
+MIN_GROUP, MIN_ABOVE = 200, 50
+#: Widths of the fences: in quartile ranges, and in those of logarithms; least range as a part of the upper quartile.
+FENCE, LOG_FENCE, LEAST_SPREAD = 3.0, 1.5, 0.1
+#: How far from zero the small values (5 %) of a share must lie, and how many documents must have none, to be two populations.
+GAP, MOSTLY = 0.05, 0.75
 #: Groups up to which thresholds are broadcast (about 100 bytes each).
 BROADCAST_GROUPS = 20_000
 MIN_WORDS = 50
@@ -38,50 +50,55 @@ MIN_WORDS = 50
 
 @dataclass(frozen=True)
 class Rule:
-    """A share that must not lie beyond a fence; ``rails`` hold the fence within sensible bounds."""
+    """A figure that must not lie beyond a threshold; a share is judged by its part above zero."""
 
     name: str
-    rails: tuple[float, float]
+    share: bool = False
     upper: bool = True
 
 
 RULES = (
-    Rule("symbol_share", (0.02, 0.25)),
-    Rule("dup_line_share", (0.30, 0.60)),
-    Rule("repeat_share", (0.20, 0.50)),
-    Rule("long_words", (6.0, 25.0)),
-    Rule("short_words", (1.0, 4.0), upper=False),
+    Rule("symbol_share", share=True),
+    Rule("dup_line_share", share=True),
+    Rule("repeat_share", share=True),
+    Rule("long_words"),
+    Rule("short_words", upper=False),
 )
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
-_SPACE = (" ", "\t", "\n", "\v", "\f", "\r")
-
-
-def counts(text: bytes) -> tuple[int, ...]:
-    """The counts named in ``_COUNTS`` of a whole text."""
-    words = text.split()
-    plain = text.decode()
-    lines = [x for x in text.split(b"\n") if x.split()] if b"\n" in text else [text] * bool(words)
-    n = len(words)
-    covered = 0
-    if n > 2:
-        windows = list(zip(words, words[1:], words[2:], strict=False))
-        if len(set(windows)) < len(windows):
-            seen: dict = {}
-            for w in windows:
-                seen[w] = seen.get(w, 0) + 1
-            end = 0
-            for i, w in enumerate(windows):
-                if seen[w] > 1:
-                    covered += i + 3 - max(i, end)
-                    end = i + 3
-    return (
-        n,
-        len(plain) - sum(plain.count(c) for c in _SPACE),
-        sum(plain.count(c) for c in SYMBOLS),
-        len(lines),
-        len(lines) - len(set(lines)),
-        covered,
-    )
+
+
+def counts(made: list[bytes]) -> np.ndarray:
+    """The counts named in ``_COUNTS`` of whole texts, one row for each text.
+
+    Windows are told apart by 64-bit hashes within their text.
+    """
+    out = np.zeros((len(made), len(_COUNTS)), np.int64)
+    hashes, sizes = word_hashes().of(made)
+    out[:, 0] = sizes
+    for i, text in enumerate(made):
+        inside = np.frombuffer(text, np.uint8)
+        letters = len(text) - sum(map(text.count, (_SPACE[k : k + 1] for k in range(len(_SPACE)))))
+        out[i, 1] = letters - (0 if text.isascii() else int(np.count_nonzero((inside & 0xC0) == 0x80)))
+        out[i, 2] = sum(map(text.count, (SYMBOLS[k : k + 1] for k in range(len(SYMBOLS)))))
+        if b"\n" in text:
+            lines = [x for x in text.split(b"\n") if x and not x.isspace()]
+            out[i, 3], out[i, 4] = len(lines), len(lines) - len(set(lines))
+        else:
+            out[i, 3] = int(sizes[i] > 0)
+    has = np.maximum(sizes - 2, 0)
+    if has.sum():
+        owner = np.repeat(np.arange(len(made)), has)
+        starts = np.repeat(np.cumsum(sizes) - sizes - np.cumsum(has) + has, has) + np.arange(has.sum())
+        windows = mix(mix(hashes, shifted(hashes, 1)), shifted(hashes, 2))[starts]
+        _, where, often = np.unique(mix(windows, owner.astype(np.uint64)), return_inverse=True, return_counts=True)
+        twice = starts[often[where.ravel()] > 1]
+        covered = np.zeros(len(hashes) + 2, bool)
+        for by in range(3):
+            covered[twice + by] = True
+        upto = np.concatenate([[0], np.cumsum(covered)])
+        ends = np.cumsum(sizes)
+        out[:, 5] = upto[ends] - upto[ends - sizes]
+    return out
 
 
 def with_counts(docs: DataFrame, name: str) -> DataFrame:
@@ -89,16 +106,13 @@ def with_counts(docs: DataFrame, name: str) -> DataFrame:
     at = docs.columns.index("text") if "text" in docs.columns else [c.lower() for c in docs.columns].index("text")
 
     def run(batches):
-        for batch in batches:
-            text = batch.column(at).cast(pa.binary()).to_pylist()
-            made = [counts(x or b"") for x in text]
-            struct = pa.StructArray.from_arrays(
-                [pa.array([m[k] for m in made], pa.int64()) for k in range(len(_COUNTS))], names=list(_COUNTS)
-            )
+        for batch in (part for whole in batches for part in parts(whole, at)):
+            made = counts(texts(batch, at))
+            struct = pa.StructArray.from_arrays([pa.array(made[:, k]) for k in range(len(_COUNTS))], names=list(_COUNTS))
             yield pa.RecordBatch.from_arrays([*batch.columns, struct], names=[*batch.schema.names, name])
 
     schema = docs.select("*", F.lit(None).cast(f"struct<{','.join(f'{c}:bigint' for c in _COUNTS)}>").alias(name)).schema
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)
 
 
 def shares(q: str) -> dict[str, Column]:
@@ -142,24 +156,28 @@ def sketch(counted: DataFrame, q: str) -> DataFrame:
 
 
 def quantile(keys: list[str], sketches: DataFrame, *ps: float) -> DataFrame:
-    """Quantiles of merged sketches: one row for each key with its number of documents and q0, q1, ..."""
+    """Quantiles of merged sketches: one row for each key with its number of documents and q0, q1, ...
+
+    Beside them, the number of documents above zero (``above``) and quantiles of those alone: a0, a1, ...
+    """
     merged = sketches.groupBy(*keys, "bucket").agg(F.sum("n").alias("n"))
     whole = W.partitionBy(*keys)
+    above = F.when(F.col("bucket") > 0, F.col("n")).otherwise(0)
     ranked = merged.select(
-        *keys, "bucket", F.sum("n").over(whole.orderBy("bucket")).alias("upto"), F.sum("n").over(whole).alias("total")
+        *keys, "bucket", F.sum("n").over(whole.orderBy("bucket")).alias("upto"), F.sum("n").over(whole).alias("total"),
+        F.sum(above).over(whole.orderBy("bucket")).alias("above_upto"), F.sum(above).over(whole).alias("above_total"),
     )
+    at = lambda upto, total, p: F.min(F.when((F.col(upto) >= p * F.col(total)) & (F.col(upto) > 0), F.col("bucket")))
     return ranked.groupBy(*keys).agg(
-        F.max("total").alias("docs"),
-        *[
-            bucket_value(F.min(F.when(F.col("upto") >= p * F.col("total"), F.col("bucket")))).alias(f"q{i}")
-            for i, p in enumerate(ps)
-        ],
+        F.max("total").alias("docs"), F.max("above_total").alias("above"),
+        *[bucket_value(at("upto", "total", p)).alias(f"q{i}") for i, p in enumerate(ps)],
+        *[bucket_value(at("above_upto", "above_total", p)).alias(f"a{i}") for i, p in enumerate(ps)],
     )
 
 
 def thresholds(sketches: DataFrame) -> DataFrame:
-    """lang, source and one column for each rule: the fence of the group, its language or everything."""
-    ps = (0.25, 0.75)
+    """lang, source and one column for each rule: the threshold of the group, its language or everything (null: none)."""
+    ps = (0.05, 0.25, 0.75)
     groups = sketches.select("lang", "source", "rule").distinct()
     own = quantile(["lang", "source", "rule"], sketches, *ps).alias("o")
     lang = quantile(["lang", "rule"], sketches, *ps).alias("l")
@@ -172,17 +190,20 @@ def thresholds(sketches: DataFrame) -> DataFrame:
         .join(every, same("g", "e", ["rule"]), "left")
     )
 
-    def picked(q: str) -> Column:
-        enough = lambda t: F.col(f"{t}.docs") >= MIN_GROUP
+    def picked(q: str, size: str, least: int) -> Column:
+        enough = lambda t: F.col(f"{t}.{size}") >= least
         return F.when(enough("o"), F.col(f"o.{q}")).when(enough("l"), F.col(f"l.{q}")).otherwise(F.col(f"e.{q}"))
 
-    lo, hi = picked("q0"), picked("q1")
+    lo, hi = picked("q1", "docs", MIN_GROUP), picked("q2", "docs", MIN_GROUP)
     # quartiles that share a bucket look equal: the range counts as a tenth of the upper one at least
     spread = F.greatest(hi - lo, LEAST_SPREAD * hi)
+    small, low, high, docs, above = (picked(x, "above", MIN_ABOVE) for x in ("a0", "a1", "a2", "docs", "above"))
+    apart = (small >= GAP) & (above <= (1 - MOSTLY) * docs)
+    share = F.when(apart, small / 2).otherwise(high * F.pow(F.greatest(high / low, F.lit(1 + LEAST_SPREAD)), F.lit(LOG_FENCE)))
     fence = F.lit(None).cast("double")
     for r in RULES:
-        value = hi + FENCE * spread if r.upper else lo - FENCE * spread
-        fence = F.when(F.col("g.rule") == r.name, F.least(F.greatest(value, F.lit(r.rails[0])), F.lit(r.rails[1]))).otherwise(fence)
+        value = share if r.share else hi + FENCE * spread if r.upper else lo - FENCE * spread
+        fence = F.when(F.col("g.rule") == r.name, value).otherwise(fence)
     return (
         joined.select(F.col("g.lang").alias("lang"), F.col("g.source").alias("source"), F.col("g.rule").alias("rule"), fence.alias("fence"))
         .groupBy("lang", "source")
@@ -209,10 +230,8 @@ def judged(docs: DataFrame) -> tuple[DataFrame, str, Column, Column]:
     by = shares(q)
     beyond = lambda r: by[r.name] > F.col(f"{t}.{r.name}") if r.upper else by[r.name] < F.col(f"{t}.{r.name}")
     failed = F.lit(False)
-    for r in RULES:
-        # a group whose documents all fail the base rule has no fence; the rail stands in
-        rail = by[r.name] > r.rails[1] if r.upper else by[r.name] < r.rails[0]
-        failed = failed | F.when(F.col(t).isNull(), rail).otherwise(F.coalesce(beyond(r), F.lit(False)))
+    for r in RULES:  # a group whose documents all fail the base rule has no row in the table: they fail anyway
+        failed = failed | F.coalesce(beyond(r), F.lit(False))
     return joined, q, base_failed(q), ~failed
 
 
