@@ -4,14 +4,17 @@ A document is the set of its distinct five-word shingles (A-Z lower-cased; all i
 shingle where it has fewer than five).  Documents of one set form a class.  Each class has ``samples``
 MinHash values, in bands; classes that agree in a band are candidates.  An odd sketch (the parity of how often
 each bit is hit by the samples) estimates similarity from the population count of an XOR, and discards
-candidates that are far below the threshold before any set is moved.  The rest is confirmed on full sets.
+candidates that are far below the threshold.  A second odd sketch, of the whole set, bounds similarity from above without a
+chance to miss: a pair cannot differ in more of its bits than in elements.  What passes both is confirmed on full sets.
 
-Large buckets are not paired with themselves.  First each member meets the bucket's least class and its
+Buckets are not paired with themselves.  First each member meets the bucket's least class and its
 neighbours in three orders (by size, and by the keys of other bands, so that neighbours agree in several);
-confirmed links give components.  Then only classes outside the component that holds most of a bucket meet
-members of other components there, so every candidate link between different components is still tested, and
-links within one are not needed.  That step has a second odd sketch, of the whole set: a pair cannot differ in more
-of its bits than in elements, so sizes and an XOR bound the similarity from above without a chance to miss.
+confirmed links give components.  Then only members of different components are left to compare.  In buckets of up to
+``SMALL_BUCKET`` members, those outside the component that holds most of the bucket meet the others.  Larger buckets are
+split by the rarest elements of their sets: in an order of elements that all sets share, two sets of similarity t have an element in
+common among the first n (1 - t) + 1 of the larger and the first n (1 - t) / (1 + t) + 1 of the smaller one; the order puts
+elements first that few members have, so documents of one template, which share only common elements, do not meet at all.  No
+link between different components is lost either way.
 
 Defined cases: a text without words has an empty set, is linked with nothing and kept; repeated or null
 ids are told apart by order (see ``keyed``), and one row of each group is kept; an empty table gives no rows; other columns
@@ -26,23 +29,26 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (pa.compute)
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import fresh, keyed, materialize, slices, table, texts
-from ._words import HASHES, mix, shifted
+from ._spark import fresh, keyed, mapped, materialize, parts, slices, table, texts
+from ._words import mix, shifted, word_hashes
 
 WORDS = 5
 SKETCH_LONGS = 8
 SKETCH_BITS = 64 * SKETCH_LONGS
 #: Bits of the odd sketch of a whole set, which only candidates have.
-WHOLE_LONGS = 32
+WHOLE_LONGS = 16
 WHOLE_BITS = 64 * WHOLE_LONGS
 #: Values in a band; the number of bands follows from the chance to miss a pair at the threshold.
 ROWS, MISS = 5, 1e-6
 #: Deviations of the estimate by which a candidate may lie below the threshold and still be confirmed.
 DEVIATIONS = 6.0
+#: Members up to which a bucket's members meet one another; larger ones are split by rare elements.
+SMALL_BUCKET = 64
+#: Slots of the table of frequencies that orders elements, and the part of the members that it is counted on.
+SLOTS, COUNTED_ONE_IN = 1 << 20, 4
 
 
 def bands_for(threshold: float) -> int:
@@ -56,14 +62,13 @@ def most_different(threshold: float, samples: int) -> int:
     return math.ceil(SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** toggles) + 3 * math.sqrt(SKETCH_BITS) / 4)
 
 
-def shingle_sets(lists: list[list[bytes]]) -> list[np.ndarray]:
-    """For each list of (lower-cased) words the hashes of its distinct shingles, in order."""
-    one = HASHES.array([w for x in lists for w in x])
+def shingle_sets(made: list[bytes]) -> list[np.ndarray]:
+    """For each (lower-cased) text the hashes of its distinct shingles, in order."""
+    one, sizes = word_hashes().of(made)
     two = mix(one, shifted(one, 1))
     five = mix(mix(two, shifted(two, 2)), shifted(one, 4))
     out, at = [], 0
-    for x in lists:
-        n = len(x)
+    for n in sizes.tolist():
         if n >= WORDS:
             out.append(np.unique(five[at : at + n - WORDS + 1]))
         elif n:
@@ -80,10 +85,8 @@ def shingle_sets(lists: list[list[bytes]]) -> list[np.ndarray]:
 def set_slices(batches):
     """(keys, sets) of a few rows at a time, so that a task holds the sets of about SLICE_BYTES of text only."""
     for batch in batches:
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0).to_pylist()
-        for a, b in slices(sizes):
-            part = batch.slice(a, b - a)
-            yield part.column("key"), shingle_sets([x.lower().split() for x in texts(part)])
+        for part in parts(batch):
+            yield part.column("key"), shingle_sets([x.lower() for x in texts(part)])
 
 
 class Samples:
@@ -116,30 +119,45 @@ def signatures(rows: DataFrame, threshold: float) -> DataFrame:
         for key, sets in set_slices(batches):
             digests = [np.frombuffer(hashlib.md5(s.tobytes()).digest(), np.int64) for s in sets]
             drawn = [draw(s) if len(s) else (None, None) for s in sets]
-            long = lambda k, drawn=drawn: pa.array([None if d[k] is None else d[k].view(np.int64) for d in drawn], pa.list_(pa.int64()))
+            keys = pa.array([None if d[0] is None else d[0].view(np.int64) for d in drawn], pa.list_(pa.int64()))
+            odd = pa.array([None if d[1] is None else d[1].tobytes() for d in drawn], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [key, pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), long(0), long(1)],
+                [key, pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in digests], pa.int64()), pa.array([d[1] for d in digests], pa.int64()), keys, odd],
                 names=["key", "n_shingles", "d0", "d1", "bands", "odd"],
             )
 
-    return rows.mapInArrow(run, "key long, n_shingles long, d0 long, d1 long, bands array<long>, odd array<long>")
+    return mapped(rows, run, "key long, n_shingles long, d0 long, d1 long, bands array<long>, odd binary")
 
 
-def alike(a: str, b: str, threshold: float, samples: int) -> Column:
-    """Sizes and odd sketches of two classes allow the threshold."""
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    differ = sum(
-        (F.bit_count(F.col(f"{a}.odd")[i].bitwiseXOR(F.col(f"{b}.odd")[i])) for i in range(SKETCH_LONGS)), start=F.lit(0)
-    )
-    percent = round(100 * threshold)
-    return (100 * na >= percent * nb) & (100 * nb >= percent * na) & (differ <= most_different(threshold, samples))
+def differing(x: pa.Array, y: pa.Array) -> np.ndarray:
+    """Bits in which two columns of sketches (equally long byte strings) differ."""
+    x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint64).reshape(len(c), -1) for c in (x, y))
+    return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+
+
+def possible(pairs: DataFrame, sketches: DataFrame, threshold: float, samples: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and odd sketches allow the threshold.
+
+    The sketch of samples estimates, with ``DEVIATIONS`` to spare; the sketch of the whole set bounds: of n elements in
+    both sets at most n (1 - t) / (1 + t) may differ.
+    """
+    percent, most = round(100 * threshold), most_different(threshold, samples)
+    for k in "ab":
+        pairs = pairs.join(sketches.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("odd").alias(f"odd{k}"), F.col("whole").alias(f"whole{k}")), k)
+        if k == "b":
+            pairs = pairs.where((100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na")))
 
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            c = batch.column
+            total = c("na").to_numpy() + c("nb").to_numpy()
+            near = differing(c("odda"), c("oddb")) <= most
+            near &= (100 + percent) * differing(c("wholea"), c("wholeb")) <= (100 - percent) * total
+            yield batch.select(["a", "b"]).filter(pa.array(near))
 
-def possible(a: str, b: str, threshold: float) -> Column:
-    """Sizes and odd sketches of the whole sets allow the threshold t: of n elements in both, at most n (1 - t) / (1 + t) differ."""
-    na, nb, percent = F.col(f"{a}.n"), F.col(f"{b}.n"), round(100 * threshold)
-    differ = sum((F.bit_count(F.col(f"{a}.whole")[i].bitwiseXOR(F.col(f"{b}.whole")[i])) for i in range(WHOLE_LONGS)), start=F.lit(0))
-    return (100 * na >= percent * nb) & (100 * nb >= percent * na) & ((100 + percent) * differ <= (100 - percent) * (na + nb))
+    return mapped(pairs, run, "a long, b long")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -172,6 +190,84 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def neighbours(buckets: DataFrame, order: list[str]) -> DataFrame:
+    """Pairs (a, b), a < b, of members that follow one another in a bucket in the given order.
+
+    Rows are dealt by ranges of (band, order), so a large bucket is spread over tasks; at the ends of ranges a pair may be missing.
+    """
+
+    def run(batches):
+        band, node = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bands, nodes = batch.column("band").to_numpy(), batch.column("node").to_numpy()
+            before_band = np.concatenate([[bands[0] if band is None else band], bands[:-1]])
+            before = np.concatenate([[nodes[0] if node is None else node], nodes[:-1]])
+            met = (bands == before_band) & (nodes != before)
+            band, node = bands[-1], nodes[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(before, nodes)[met]), pa.array(np.maximum(before, nodes)[met])], names=["a", "b"])
+
+    by = list(dict.fromkeys(["band", *order]))
+    return mapped(buckets.select(*dict.fromkeys([*by, "node"])).repartitionByRange(*by).sortWithinPartitions(*by), run, "a long, b long")
+
+
+def frequencies(members: DataFrame) -> np.ndarray:
+    """How often the elements of each slot occur in the sets of a part of ``members`` (one byte a slot, in steps of a fourth root of two).
+
+    A table of fixed size: where many elements share a slot they are only told apart less well, which costs time and no pairs.
+    """
+
+    def run(batches):
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            made = batch.column("shingles").flatten().to_numpy().view(np.uint64)
+            total += np.bincount((made % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        slot = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(total[slot])], names=["slot", "n"])
+
+    part = members.where(F.pmod(F.xxhash64("node"), F.lit(COUNTED_ONE_IN)) == 0)
+    got = mapped(part.select("shingles"), run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most SLOTS rows
+    out = np.zeros(SLOTS, np.int64)
+    out[got["slot"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
+    return np.minimum(np.round(4 * np.log2(out + 1)), 255).astype(np.uint8)
+
+
+def sharing_rare(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of members (node, label) of different labels that have one of their rarest elements in common; see the module's text."""
+    own = members.select("node").distinct().join(sets.select("node", "shingles"), "node")
+    own = materialize(own.join(members.select("node", "label").distinct(), "node"))
+    order = own.sparkSession.sparkContext.broadcast(frequencies(own))
+
+    percent = round(100 * threshold)
+
+    def run(batches):
+        for batch in batches:
+            lengths = batch.column("shingles").value_lengths().to_numpy()
+            for a, b in slices((8 * lengths).tolist()):
+                part = batch.slice(a, b - a)
+                node, label, lists = part.column("node").to_numpy(), part.column("label").to_numpy(), part.column("shingles")
+                out, index = [], []
+                for i, n in enumerate(lengths[a:b].tolist()):
+                    own = lists[i].values.to_numpy().view(np.uint64)
+                    first = n + percent * n // -100 + 1
+                    out.append(own[np.lexsort((own, order.value[(own % np.uint64(SLOTS)).astype(np.int64)]))[:first]])
+                    index.append(np.arange(first) <= n + 2 * percent * n // -(100 + percent))
+                size = [len(x) for x in out]
+                columns = [np.concatenate(out).view(np.int64), np.repeat(node, size), np.repeat(label, size), np.repeat(lengths[a:b].astype(np.int64), size), np.concatenate(index)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["element", "node", "label", "n", "index"])
+
+    first = mapped(own, run, "element long, node long, label long, n long, index boolean")
+    # an element of one label alone brings nothing together
+    several = first.groupBy("element").agg((F.min("label") != F.max("label")).alias("several")).where("several").select("element")
+    rare = materialize(first.join(materialize(several), "element", "left_semi"))
+    x, y = rare.where("index").alias("x"), rare.alias("y")
+    smaller = F.struct("x.n", "x.node") < F.struct("y.n", "y.node")
+    enough = 100 * F.col("x.n") >= percent * F.col("y.n")
+    met = x.join(y, (F.col("x.element") == F.col("y.element")) & (F.col("x.label") != F.col("y.label")) & smaller & enough)
+    return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
 def classes(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(members: key, n_shingles, node; labels: node, label) where node is the least key with the same set.
 
@@ -179,45 +275,46 @@ def classes(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """
     samples = bands_for(threshold) * ROWS
     signed = materialize(signatures(rows, threshold))
-    same = signed.where("n_shingles > 0").groupBy("d0", "d1").agg(F.min("key").alias("node"))
-    members = signed.select("key", "n_shingles", "d0", "d1").join(same, ["d0", "d1"], "left").select(
-        "key", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("node")).otherwise(F.col("key")).alias("node")
+    same = signed.where("n_shingles > 0").groupBy("d0", "d1").agg(F.min("key").alias("node"), F.count(F.lit(1)).alias("copies"))
+    # written first: the join below can then split the copies of one set
+    copies = materialize(same.where("copies > 1").select("d0", "d1", "node"))
+    members = materialize(
+        signed.select("key", "n_shingles", "d0", "d1").join(copies, ["d0", "d1"], "left").select("key", "n_shingles", F.coalesce("node", "key").alias("node"))
     )
-    members = materialize(members)
-    lead = signed.join(same.select(F.col("node").alias("key")), "key", "left_semi")
+    lead = signed.where("n_shingles > 0").join(members.where("key != node").select("key"), "key", "left_anti")
     nodes = lead.select(F.col("key").alias("node"), F.col("n_shingles").alias("n"), "odd", "bands")
     # the keys of two other bands stand beside each band's, to order its bucket by
     count = bands_for(threshold)
     other = lambda by: F.col("bands")[(F.col("at") + by) % count]
     banded = nodes.select("node", "n", "bands", F.posexplode("bands").alias("at", "band")).select("node", "n", "band", other(1).alias("next"), other(count // 2).alias("far"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("least")).where("size > 1")
-    buckets = materialize(banded.join(shared, "band").select("band", "node", "n", "least", "next", "far"))
+    buckets = materialize(banded.join(materialize(shared), "band").select("band", "node", "n", "size", "least", "next", "far"))
     used = materialize(buckets.select("node").distinct())
-    sketches = materialize(nodes.select("node", "n", "odd").join(used, "node", "left_semi"))
     texts_used = rows.join(used.select(F.col("node").alias("key")), "key", "left_semi").select("key", "text")
     sets = materialize(_sets(texts_used))
+    sketches = materialize(nodes.select("node", "n", "odd").join(sets.select("node", "whole"), "node"))
 
-    orders = (["n", "node"], ["next", "far", "node"], ["far", "next", "node"])
-    before = [F.lag("node").over(W.partitionBy("band").orderBy(*o)).alias(f"before{i}") for i, o in enumerate(orders)]
-    near = buckets.select("node", "least", *before)
-    near = near.select("node", F.explode(F.array("least", "before0", "before1", "before2")).alias("met"))
-    first = materialize(near.select(F.least("met", "node").alias("a"), F.greatest("met", "node").alias("b")).where("met is not null and a < b").distinct())
-    a, b = sketches.alias("x"), sketches.alias("y")
-    tried = first.join(a, F.col("a") == F.col("x.node")).join(b, (F.col("b") == F.col("y.node")) & alike("x", "y", threshold, samples))
-    links = materialize(confirmed(tried.select("a", "b"), sets, threshold))
+    first = buckets.where("least < node").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    for order in (["n", "node"], ["next", "far", "node"], ["far", "next", "node"]):
+        first = first.unionByName(neighbours(buckets, order))
+    first = materialize(first.distinct())
+    links = materialize(confirmed(possible(first, sketches, threshold, samples), sets, threshold))
     labels = components(links)
 
-    # what is left: members outside the component that holds most of their bucket, against other components there
-    full = buckets.join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
-    full = materialize(full.join(sets.select("node", F.size("shingles").alias("n"), "whole"), "node"))
+    # what is left: members of different components in one bucket
+    full = materialize(buckets.select("band", "size", "node").join(labels, "node", "left").select("band", "size", "node", F.coalesce("label", "node").alias("label")))
     sizes = full.groupBy("band", "label").agg(F.count(F.lit(1)).alias("size"))
     most = sizes.groupBy("band").agg(F.max_by("label", F.struct("size", "label")).alias("most"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-    few = full.join(most, "band").where(F.col("label") != F.col("most")).select("band", "node", "label", "n", "whole", "most")
-    x, y = few.alias("x"), full.alias("y")
+    full = materialize(full.join(materialize(most.select("band", "most")), "band"))
+    small, large = full.where(F.col("size") <= SMALL_BUCKET), full.where(F.col("size") > SMALL_BUCKET)
+    x, y = small.where("label != most").alias("x"), small.alias("y")
     once = (F.col("y.label") == F.col("x.most")) | (F.col("x.label") < F.col("y.label"))
-    across = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.label") != F.col("y.label")) & once & possible("x", "y", threshold))
-    pairs = across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    more = materialize(confirmed(pairs.join(first, ["a", "b"], "left_anti"), sets, threshold))
+    across = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.label") != F.col("y.label")) & once)
+    pairs = across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    if large.limit(1).count():
+        pairs = pairs.unionByName(sharing_rare(large, sets, threshold))
+    pairs = pairs.distinct().join(first, ["a", "b"], "left_anti")
+    more = materialize(confirmed(possible(pairs, sketches, threshold, samples), sets, threshold))
     if more.limit(1).count():
         labels = components(links.union(more))
     return members, labels
@@ -231,13 +328,13 @@ def parity(shingles: np.ndarray) -> np.ndarray:
 
 def _sets(rows: DataFrame) -> DataFrame:
     def run(batches):
-        long = pa.list_(pa.int64())
         for key, sets in set_slices(batches):
             yield pa.RecordBatch.from_arrays(
-                [key, pa.array([s.view(np.int64) for s in sets], long), pa.array([parity(s) for s in sets], long)], names=["node", "shingles", "whole"]
+                [key, pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([parity(s).tobytes() for s in sets], pa.binary())],
+                names=["node", "shingles", "whole"],
             )
 
-    return rows.mapInArrow(run, "node long, shingles array<long>, whole array<long>")
+    return mapped(rows, run, "node long, shingles array<long>, whole binary")
 
 
 def grouped(rows: DataFrame, threshold: float) -> DataFrame:
