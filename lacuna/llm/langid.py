@@ -2,9 +2,9 @@
 
 One model for each language, over characters of lower-cased text in which every run of other
 characters is one space.  The models are fitted on a bounded sample of the labelled rows (at most
-``FIT_CHARS`` characters for each language, drawn by a hash of the row); what is predicted is every
-whole text.  The tables are arrays of 64-bit hashes in order, looked up by binary search, with one
-column of log probabilities for each language.  A text gets the language of the lowest cross-entropy
+``FIT_CHARS`` characters for each language and ``FIT_TOTAL`` together, drawn by a hash of the row); what is predicted is every
+whole text.  Each language is fitted in a task of its own; its model is, for each order, an array of 64-bit hashes in order with their
+log probabilities, looked up by binary search, so models together grow with the sample only.  A text gets the language of the lowest cross-entropy
 for each character.  It is rejected when even that is beyond what the language's own texts show:
 the limits come from pieces of labelled rows kept out of the fit; a language with few of them has those of all languages.
 
@@ -24,17 +24,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import fresh, held_out, slices, table
+from ._spark import fresh, held_out, mapped, materialize, parts, slices, table
 
 ORDER = 4
-#: Characters of labelled text for each language that the fit may use.
-FIT_CHARS = 3_000_000
+#: Characters of labelled text that the fit may use, for each language and for all together.
+FIT_CHARS, FIT_TOTAL = 3_000_000, 60_000_000
 #: One labelled row in so many calibrates the rejection instead of being fitted.
 CALIBRATE_ONE_IN = 8
 #: Characters of the pieces that those rows are cut into, and pieces that a language needs for limits of its own.
 PIECE_CHARS, MIN_PIECES = 500, 20
 #: Characters beyond which a text gives no more certainty (for the score).
 SURE_CHARS = 40
+#: Characters that are worked on together.
+SEGMENT_CHARS = 1 << 19
 #: A text is rejected beyond SLACK times its language's usual cross-entropy, plus z deviations of the mean.
 SLACK = 1.5
 UND = "und"
@@ -63,52 +65,84 @@ def gram_hashes(codes: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def laid_out(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes of normal texts with ORDER - 1 spaces before each and one after; starts and lengths of what is predicted."""
-    pad = " " * (ORDER - 1)
-    joined = "".join(f"{pad}{t} " for t in texts)
-    codes = np.frombuffer(joined.encode("utf-32-le"), "<u4")
-    lengths = np.array([len(t) + 1 for t in texts], dtype=np.int64)
-    starts = np.cumsum(lengths + ORDER - 1) - lengths
-    return codes, starts, lengths
+def segments(texts: list[str]) -> list[tuple[int, str, str]]:
+    """(text's number, the ORDER - 1 characters before, characters to predict): a text and the space after it, in pieces of bounded size."""
+    out = []
+    for i, text in enumerate(texts):
+        whole = f"{' ' * (ORDER - 1)}{text} "
+        out += [(i, whole[a : a + ORDER - 1], whole[a + ORDER - 1 : a + ORDER - 1 + SEGMENT_CHARS]) for a in range(0, len(text) + 1, SEGMENT_CHARS)]
+    return out
+
+
+def laid_out(made: list[tuple[int, str, str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of segments end to end, each with what is before it, and the places that are predicted."""
+    codes = np.frombuffer("".join(before + body for _, before, body in made).encode("utf-32-le"), "<u4")
+    keep = np.ones(len(codes), bool)
+    sizes = np.array([len(body) for _, _, body in made], np.int64) + ORDER - 1
+    for k in range(ORDER - 1):
+        keep[np.cumsum(sizes) - sizes + k] = False
+    return codes, np.flatnonzero(keep)
+
+
+@dataclass
+class Language:
+    """The model of one language."""
+
+    name: str
+    grams: list[np.ndarray]  # for each order: hashes of its grams, in order
+    logs: list[np.ndarray]  # their log probabilities
+    contexts: list[np.ndarray]  # for each order: hashes of the contexts one shorter, in order
+    backs: list[np.ndarray]  # log weights of the lower order after them
+    unknown: float  # log probability of a character that was never seen
 
 
 @dataclass
 class Model:
-    languages: list[str]
-    grams: list[np.ndarray]  # for each order: hashes in order
-    logs: list[np.ndarray]  # grams x languages, NaN where a language lacks the gram
-    contexts: list[np.ndarray]  # hashes of contexts of each order, in order
-    backs: list[np.ndarray]  # contexts x languages, 0 where a language lacks the context
-    unknown: np.ndarray
+    made: list[Language]
     limits: np.ndarray | None = None  # languages x (mean, deviation of one character)
     z: float = 6.0
 
+    @property
+    def languages(self) -> list[str]:
+        return [x.name for x in self.made]
+
     def log_probs(self, hashes: list[np.ndarray], ends: np.ndarray) -> np.ndarray:
         """Natural log of each language's probability of the characters at ``ends``."""
-        out = np.broadcast_to(self.unknown, (len(ends), len(self.languages))).copy()
-        for n in range(ORDER):
-            if n:
-                out += _look(self.contexts[n], self.backs[n], hashes[n - 1][ends - 1], 0.0)
-            got = _look(self.grams[n], self.logs[n], hashes[n][ends], np.nan)
-            out = np.where(np.isnan(got), out, got)
+        # equal grams and contexts are looked up once
+        grams = [np.unique(hashes[n][ends], return_inverse=True) for n in range(ORDER)]
+        contexts = [None, *(np.unique(hashes[n - 1][ends - 1], return_inverse=True) for n in range(1, ORDER))]
+        out = np.empty((len(ends), len(self.made)))
+        for k, one in enumerate(self.made):
+            value = np.full(len(ends), one.unknown)
+            for n in range(ORDER):
+                if n:
+                    keys, where = contexts[n]
+                    value += _look(one.contexts[n], one.backs[n], keys, 0.0)[where]
+                keys, where = grams[n]
+                got = _look(one.grams[n], one.logs[n], keys, np.nan)[where]
+                value = np.where(np.isnan(got), value, got)
+            out[:, k] = value
         return out
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy (nats for each character) of each text under each language, and characters."""
-        codes, starts, lengths = laid_out(texts)
-        hashes = gram_hashes(codes)
-        ends = np.concatenate([np.arange(s, s + n) for s, n in zip(starts, lengths, strict=True)]) if texts else np.zeros(0, int)
-        _, first, where = np.unique(hashes[-1][ends], return_index=True, return_inverse=True)
-        logs = self.log_probs(hashes, ends[first])[where.ravel()]
-        offsets = np.cumsum(lengths) - lengths
-        return -np.add.reduceat(logs, offsets, axis=0) / lengths[:, None], lengths
+        lengths = np.array([len(t) + 1 for t in texts], np.int64)
+        sums, made = np.zeros((len(texts), len(self.made))), segments(texts)
+        for a, b in slices([len(body) for _, _, body in made], SEGMENT_CHARS):
+            codes, ends = laid_out(made[a:b])
+            hashes = gram_hashes(codes)
+            _, first, where = np.unique(hashes[-1][ends], return_index=True, return_inverse=True)
+            logs = self.log_probs(hashes, ends[first])[where.ravel()]
+            sizes = np.array([len(body) for _, _, body in made[a:b]], np.int64)
+            np.add.at(sums, [i for i, _, _ in made[a:b]], np.add.reduceat(logs, np.cumsum(sizes) - sizes, axis=0))
+        return -sums / lengths[:, None], lengths
 
     def predict(self, texts: list[str]) -> list[tuple[str, float, float, bool]]:
         """(language, score, cross-entropy, rejected) of normal texts."""
         out: list[tuple[str, float, float, bool]] = [(UND, 0.0, 0.0, True)] * len(texts)
-        rows = [i for i, t in enumerate(texts) if t] if self.languages else []
-        for a, b in slices([len(texts[i]) for i in rows], 1 << 19):
+        names = self.languages
+        rows = [i for i, t in enumerate(texts) if t] if names else []
+        for a, b in slices([len(texts[i]) for i in rows], SEGMENT_CHARS):
             part = rows[a:b]
             entropy, lengths = self.entropies([texts[i] for i in part])
             best = entropy.argmin(axis=1)
@@ -118,63 +152,62 @@ class Model:
             mean, deviation = self.limits[best, 0], self.limits[best, 1]
             far = low > mean * SLACK + self.z * deviation / np.sqrt(lengths)
             for i, k, s, h, r in zip(part, best, score, low, far, strict=True):
-                out[i] = (self.languages[k], float(s), float(h), bool(r))
+                out[i] = (names[k], float(s), float(h), bool(r))
         return out
 
 
 def _look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: float) -> np.ndarray:
-    at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
-    out = np.full((len(wanted), values.shape[1]), missing)
+    out = np.full(len(wanted), missing)
     if len(keys):
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
         hit = keys[at] == wanted
         out[hit] = values[at[hit]]
     return out
 
 
-def kneser_ney(counts: pd.DataFrame) -> Model:
-    """Models from the counts (lang, gram of ORDER characters, n) of each language's sample."""
-    languages = sorted(counts["lang"].unique())
-    rows: list[list[pd.DataFrame]] = [[] for _ in range(ORDER)]
-    backs: list[list[pd.DataFrame]] = [[] for _ in range(ORDER)]
-    unknown = np.zeros(len(languages))
-    alphabet = len(set("".join(counts["gram"].str[-1].unique()))) + 1
-    for k, lang in enumerate(languages):
-        level = counts.loc[counts["lang"] == lang, ["gram", "n"]]
-        levels = [level]
-        for _ in range(ORDER - 1):  # continuation counts: in how many left contexts a shorter gram was seen
-            shorter = levels[-1]["gram"].str[1:]
-            levels.append(shorter.value_counts(sort=False).rename_axis("gram").reset_index(name="n"))
-        levels.reverse()
-        lower: dict[str, float] = {}
-        for n, level in enumerate(levels):
-            once, twice = (level["n"] == 1).sum(), (level["n"] == 2).sum()
-            discount = min(max(once / max(once + 2 * twice, 1), 0.1), 0.9)
-            context = level["gram"].str[:-1]
-            total = level.groupby(context)["n"].transform("sum")
-            kinds = level.groupby(context)["n"].transform("size")
-            gamma = discount * kinds / total
-            below = level["gram"].str[1:].map(lower) if n else pd.Series(1.0 / alphabet, index=level.index)
-            prob = (level["n"] - discount) / total + gamma * below
-            lower = dict(zip(level["gram"], prob, strict=True))
-            rows[n].append(pd.DataFrame({"gram": level["gram"], "k": k, "v": np.log(prob)}))
-            if n:
-                back = pd.DataFrame({"gram": context, "v": np.log(gamma)}).drop_duplicates("gram")
-                backs[n].append(back.assign(k=k))
-            else:
-                unknown[k] = np.log(gamma.iloc[0] / alphabet)
-
-    def hashed(parts: list[pd.DataFrame], size: int, missing: float) -> tuple[np.ndarray, np.ndarray]:
-        if not parts or not size:
-            return np.zeros(0, np.uint64), np.zeros((0, len(languages)))
-        wide = pd.concat(parts).pivot(index="gram", columns="k", values="v").reindex(columns=range(len(languages)))
-        codes = np.frombuffer("".join(wide.index).encode("utf-32-le"), "<u4")
-        keys = gram_hashes(codes)[size - 1][size - 1 :: size]
-        order = np.argsort(keys)
-        return keys[order], np.nan_to_num(wide.to_numpy(), nan=missing)[order] if missing == 0 else wide.to_numpy()[order]
-
-    grams = [hashed(rows[n], n + 1, np.nan) for n in range(ORDER)]
-    context = [hashed(backs[n], n, 0.0) for n in range(ORDER)]
-    return Model(languages, [g[0] for g in grams], [g[1] for g in grams], [c[0] for c in context], [c[1] for c in context], unknown)
+def kneser_ney(name: str, counts: pd.DataFrame, alphabet: int) -> Language:
+    """The model of a language from the counts (gram of ORDER characters, n) of its sample; alphabet: kinds of characters, one for unseen ones among them."""
+    levels = [counts[["gram", "n"]]]
+    for _ in range(ORDER - 1):  # continuation counts: in how many left contexts a shorter gram was seen
+        shorter = levels[-1]["gram"].str[1:]
+        levels.append(shorter.value_counts(sort=False).rename_axis("gram").reset_index(name="n"))
+    levels.reverse()
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.float32))
+    grams, contexts, unknown, lower = [], [none], 0.0, {}
+    for n, level in enumerate(levels):
+        once, twice = (level["n"] == 1).sum(), (level["n"] == 2).sum()
+        discount = min(max(once / max(once + 2 * twice, 1), 0.1), 0.9)
+        context = level["gram"].str[:-1]
+        total = level.groupby(context)["n"].transform("sum")
+        kinds = level.groupby(context)["n"].transform("size")
+        gamma = discount * kinds / total
+        below = level["gram"].str[1:].map(lower) if n else pd.Series(1.0 / alphabet, index=level.index)
+        prob = (level["n"] - discount) / total + gamma * below
+        lower = dict(zip(level["gram"], prob, strict=True))
+        grams.append(_sorted(level["gram"], np.log(prob), n + 1))
+        if n:
+            back = pd.DataFrame({"gram": context, "v": np.log(gamma)}).drop_duplicates("gram")
+            contexts.append(_sorted(back["gram"], back["v"], n))
+        else:
+            unknown = float(np.log(gamma.iloc[0] / alphabet))
+    return Language(name, [g[0] for g in grams], [g[1] for g in grams], [c[0] for c in contexts], [c[1] for c in contexts], unknown)
+
+
+def _sorted(grams: pd.Series, values: pd.Series, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of grams of ``size`` characters in order, and their values."""
+    keys = gram_hashes(np.frombuffer("".join(grams).encode("utf-32-le"), "<u4"))[size - 1][size - 1 :: size]
+    order = np.argsort(keys)
+    return keys[order], values.to_numpy(np.float32)[order]
+
+
+_MADE = "lang string, level int, grams binary, logs binary, contexts binary, backs binary, unknown double"
+
+
+def _fit_one(counts: pd.DataFrame) -> pd.DataFrame:
+    """A language's model as one row for each order."""
+    one = kneser_ney(counts["lang"].iloc[0], counts, int(counts["alphabet"].iloc[0]))
+    rows = [(one.name, n, *(x[n].tobytes() for x in (one.grams, one.logs, one.contexts, one.backs)), one.unknown) for n in range(ORDER)]
+    return pd.DataFrame(rows, columns=[x.split()[0] for x in _MADE.split(", ")])
 
 
 def fit(labelled: DataFrame, fit_chars: int = FIT_CHARS) -> Model:
@@ -184,22 +217,21 @@ def fit(labelled: DataFrame, fit_chars: int = FIT_CHARS) -> Model:
     )
     # labels and their sizes: one row for each language
     sizes = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("chars")).orderBy("lang").collect()
-    none = Model([], *[[]] * 4, np.zeros(0))
+    none = Model([])
     if not sizes:
         return none
     draw = F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 20)) / float(1 << 20)
-    shares = labelled.sparkSession.createDataFrame([(r["lang"], min(1.0, fit_chars / max(r["chars"], 1))) for r in sizes], "lang string, share double")
+    shares = labelled.sparkSession.createDataFrame([(r["lang"], min(1.0, min(fit_chars, FIT_TOTAL / len(sizes)) / max(r["chars"], 1))) for r in sizes], "lang string, share double")
     part = F.pmod(F.xxhash64("text", F.lit(29)), F.lit(CALIBRATE_ONE_IN))
     sample = rows.join(F.broadcast(shares), "lang").where(draw < F.col("share")).select("text", "lang", part.alias("part"))
 
     def count(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole)):
             frame = batch.to_pandas()
             for lang, own in frame.groupby("lang"):
-                made = [t for t in map(normal, own["text"]) if t]
-                for a, b in slices([len(t) for t in made], 1 << 20):
-                    codes, starts, lengths = laid_out(made[a:b])
-                    ends = np.concatenate([np.arange(s, s + n) for s, n in zip(starts, lengths, strict=True)])
+                made = segments([t for t in map(normal, own["text"]) if t])
+                for a, b in slices([len(body) for _, _, body in made], SEGMENT_CHARS):
+                    codes, ends = laid_out(made[a:b])
                     view = np.lib.stride_tricks.sliding_window_view(codes, ORDER)[ends - ORDER + 1]
                     # four code points of 21 bits do not fit a word: count the raw bytes of each gram
                     raw = np.ascontiguousarray(view).view(f"V{4 * ORDER}").ravel()
@@ -207,19 +239,26 @@ def fit(labelled: DataFrame, fit_chars: int = FIT_CHARS) -> Model:
                     grams = [x.tobytes().decode("utf-32-le") for x in kinds]
                     yield pa.RecordBatch.from_pydict({"lang": [lang] * len(grams), "gram": grams, "n": n.astype(np.int64)})
 
-    counts = (
-        sample.where("part != 0").select("lang", "text").mapInArrow(count, "lang string, gram string, n long")
-        .groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    )  # bounded: at most fit_chars grams for each language
-    if not len(counts):
+    counted = mapped(sample.where("part != 0").select("lang", "text"), count, "lang string, gram string, n long")
+    counts = materialize(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")))
+    alphabet = counts.select(F.substring("gram", -1, 1)).distinct().count() + 1
+    # bounded: a language has at most fit_chars grams, and all models together at most FIT_TOTAL
+    rows = counts.withColumn("alphabet", F.lit(alphabet)).groupBy("lang").applyInPandas(_fit_one, _MADE).collect()
+    if not rows:
         return none
-    model = kneser_ney(counts)
+    rows.sort(key=lambda r: (r["lang"], r["level"]))
+    as_arrays = lambda own, name, kind: [np.frombuffer(bytes(r[name]), kind) for r in own]
+    made = []
+    for i in range(0, len(rows), ORDER):
+        own = rows[i : i + ORDER]
+        made.append(Language(own[0]["lang"], as_arrays(own, "grams", np.uint64), as_arrays(own, "logs", np.float32), as_arrays(own, "contexts", np.uint64), as_arrays(own, "backs", np.float32), own[0]["unknown"]))
+    model = Model(made)
     model.limits = np.tile([6.0, 2.0], (len(model.languages), 1))
     held = sample.where("part = 0").select("lang", "text")
     shared = labelled.sparkSession.sparkContext.broadcast(model)
 
     def calibrate(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole)):
             frame = batch.to_pandas()
             frame["text"] = [[t[i : i + PIECE_CHARS].strip() for i in range(0, len(t), PIECE_CHARS)] for t in map(normal, frame["text"])]
             frame = frame.explode("text", ignore_index=True).dropna()
@@ -237,7 +276,7 @@ def fit(labelled: DataFrame, fit_chars: int = FIT_CHARS) -> Model:
                         out["n"].append(int(n))
             yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("lang", pa.string()), ("h", pa.float64()), ("n", pa.int64())]))
 
-    seen = held.mapInArrow(calibrate, "lang string, h double, n long")
+    seen = mapped(held, calibrate, "lang string, h double, n long")
     sums = seen.groupBy("lang").agg(
         F.count(F.lit(1)).alias("pieces"), F.sum("n").alias("n"), F.sum(F.col("h") * F.col("n")).alias("hn"), F.sum(F.col("h") * F.col("h") * F.col("n")).alias("hhn")
     ).collect()  # one row for each language
@@ -265,7 +304,7 @@ def with_language(docs: DataFrame, model: Model, name: str) -> DataFrame:
     at = [c.lower() for c in docs.columns].index("text")
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, at)):
             made = shared.value.predict([normal(x) for x in batch.column(at).to_pylist()])
             columns = list(zip(*made, strict=True)) or [[]] * 4
             kinds = (pa.string(), pa.float64(), pa.float64(), pa.bool_())
@@ -275,7 +314,7 @@ def with_language(docs: DataFrame, model: Model, name: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, struct], names=[*batch.schema.names, name])
 
     kind = "struct<lang_pred:string,score:double,cross_entropy:double,rejected:boolean>"
-    return docs.mapInArrow(run, docs.select("*", F.lit(None).cast(kind).alias(name)).schema)
+    return mapped(docs, run, docs.select("*", F.lit(None).cast(kind).alias(name)).schema)
 
 
 def filter_documents(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
