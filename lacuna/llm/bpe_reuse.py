@@ -2,22 +2,24 @@
 
 A rolling hash over the last ``WINDOW`` bytes cuts texts into chunks wherever its low bits are zero, so
 equal passages fall into equal chunks wherever they stand.  Chunks seen more than once are encoded once
-for the whole corpus, into a table by hash.  A chunk's ends may cut a word: there the word is encoded
-anew, from the last white space before the cut to the first one after, where both encodings agree
-exactly (no pre-token crosses white space).  Documents are then put together from stored chunks and
+for the whole corpus, into a table by hash.  A chunk's ends may cut a word: the join is repaired by encoding the text around it
+anew, from white space inside the part before to white space inside the chunk, one more word of the chunk at a time, until the new
+ids end (or begin) with exactly the ids that the chunk's own words have by themselves; from that place on the chunk's stored ids hold.
+A chunk whose two joins never agree is encoded as part of its document.  Documents are then put together from stored chunks and
 their own parts.
 
-Which chunks are shared is told to the tasks as a Bloom filter of ``FILTER_BITS`` bits: its size is
-fixed, and a false hit only sends a chunk through the table that did not need to.
+Which chunks are shared is told to the tasks as a Bloom filter.  Its size follows the number of shared chunks up to ``MOST_BITS``;
+beyond that the least frequent of them are encoded where they stand, so the filter never fills up.  A false hit only sends a
+chunk through the table that did not need to.
 
-Defined cases: a null text is encoded as an empty one; texts with a special token's text or characters
-outside the plain set are encoded whole by the library; repeated or null ids are told apart by
-order (see ``keyed``); an empty table gives no rows; other columns are ignored.
+Defined cases: a null text is encoded as an empty one; texts with a special token's text are encoded whole by the library;
+repeated or null ids are told apart by order (see ``keyed``); an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 
 import numpy as np
@@ -26,13 +28,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import keyed, materialize, table, texts
-from ._tok import WordEncoder, encoder, plain
+from ._spark import kept, keyed, mapped, materialize, parts, table, texts
+from ._tok import WordEncoder
 from ._words import mix
 
 WINDOW, MEAN_CHUNK = 16, 1024
-FILTER_BITS, FILTER_HASHES = 1 << 24, 3
-_SPACE = re.compile(r"\s")
+#: Bits of the filter for each shared chunk, its least and greatest size, hashes of a chunk, steps of the histogram of counts to a doubling.
+CHUNK_BITS, LEAST_BITS, MOST_BITS, FILTER_HASHES, STEPS = 16, 1 << 16, 1 << 28, 3, 4
+#: Words of a chunk that a join may take before the chunk is given up, and characters beside it that are encoded anew.
+REPAIR_WORDS, REPAIR_CHARS = 8, 64
+#: White space between words (not a part of any token).
+WHITE = " \t\n\r"
+_SPACE = re.compile(f"[{WHITE}]")
 #: A random value for each byte.
 _GEAR = np.random.default_rng(20240611).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -69,37 +76,49 @@ def signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def positions(h: np.ndarray) -> np.ndarray:
+def cut_safely(text: str) -> bool:
+    """Whether a text may be encoded in parts: no special token's text."""
+    return "<|" not in text
+
+
+def positions(h: np.ndarray, bits: int) -> np.ndarray:
     """Bits of the filter for each hash (one row each)."""
     k = np.arange(1, FILTER_HASHES + 1, dtype=np.uint64)
-    return mix(h.astype(np.uint64)[:, None] + np.zeros_like(k), k[None, :] + np.zeros((len(h), 1), np.uint64)) % np.uint64(FILTER_BITS)
+    return mix(h.astype(np.uint64)[:, None] + np.zeros_like(k), k[None, :] + np.zeros((len(h), 1), np.uint64)) % np.uint64(bits)
 
 
 def shared_filter(docs: DataFrame) -> np.ndarray:
     """Bloom filter (64-bit words) of the chunks that occur more than once."""
 
     def run(batches):
-        for batch in batches:
-            got = [signed(chunk_hash(c)) for t in map(bytes.decode, texts(batch)) if plain(t) for c in chunks(t)]
+        for batch in (part for whole in batches for part in parts(whole)):
+            got = [signed(chunk_hash(c)) for t in map(bytes.decode, texts(batch)) if cut_safely(t) for c in chunks(t)]
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.int64())], names=["h"])
 
-    often = docs.select("text").mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    often = materialize(mapped(docs.select("text"), run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    step = F.floor(F.log2(F.col("n").cast("double")) * STEPS)
+    least, chosen = 2, 0
+    for r in often.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("chunks"), F.min("n").alias("least")).orderBy(F.desc("step")).collect():
+        if CHUNK_BITS * (chosen + r["chunks"]) > MOST_BITS and chosen:
+            break
+        least, chosen = r["least"], chosen + r["chunks"]
+    size = min(max(LEAST_BITS, 1 << math.ceil(math.log2(max(CHUNK_BITS * chosen, 1)))), MOST_BITS)
 
     def bits(batches):
         for batch in batches:
-            at = positions(batch.column("h").to_numpy().view(np.uint64)).ravel()
+            at = positions(batch.column("h").to_numpy().view(np.uint64), size).ravel()
             word, bit = (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63))
             yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bit.view(np.int64))], names=["word", "bits"])
 
-    words = often.select("h").mapInArrow(bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    out = np.zeros(FILTER_BITS // 64, np.uint64)
-    made = words.toPandas()  # at most FILTER_BITS / 64 rows
+    words = mapped(often.where(F.col("n") >= least).select("h"), bits, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    out = np.zeros(size // 64, np.uint64)
+    made = words.toPandas()  # at most MOST_BITS / 64 rows
     out[made["word"].to_numpy(np.int64)] = made["bits"].to_numpy(np.int64).view(np.uint64)
     return out
 
 
 def hits(words: np.ndarray, hashes: list[int]) -> np.ndarray:
-    at = positions(np.array(hashes, np.uint64))
+    at = positions(np.array(hashes, np.uint64), 64 * len(words))
     return ((words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=1)
 
 
@@ -107,22 +126,48 @@ def n_ids(ids: bytes) -> int:
     return len(ids) // 4
 
 
+def front_join(text: str, begin: int, start: int, chunk: str, one: WordEncoder) -> int | None:
+    """Where a chunk's own ids hold after its start: the place of the first white space up to which encoding anew agrees with the chunk's words."""
+    if not start or text[start - 1] in WHITE:
+        return 0
+    spaces = [m.start() for m in _SPACE.finditer(chunk)]
+    low = max(begin, start - REPAIR_CHARS)
+    before = max((m.start() for m in _SPACE.finditer(text, low, start)), default=low)
+    for first, after in list(zip(spaces, [*spaces[1:], len(chunk)], strict=True))[:REPAIR_WORDS]:
+        own = one.encode(chunk[first:after])
+        if own and one.whole(text[before : start + after]) == one.encode(text[before : start + first]) + own:
+            return first
+    return None
+
+
+def back_join(text: str, at: int, chunk: str, one: WordEncoder) -> int | None:
+    """The same for its end: the place of the last white space from which on the chunk's ids hold no more."""
+    if at == len(text) or text[at] in WHITE:
+        return len(chunk)
+    spaces = [m.start() for m in _SPACE.finditer(chunk)]
+    found = _SPACE.search(text, at, at + REPAIR_CHARS)
+    after = found.start() if found else min(at + REPAIR_CHARS, len(text))
+    start = at - len(chunk)
+    for last, before in list(zip(reversed(spaces), [*reversed(spaces[:-1]), 0], strict=True))[:REPAIR_WORDS]:
+        own = one.encode(chunk[before:last])
+        if own and one.whole(text[start + before : after]) == own + one.encode(text[start + last : after]):
+            return last
+    return None
+
+
 class Plan:
     """The parts of one text, in order: bytes of ids that are made here, or (hash, ids to drop at the front, at the end)."""
 
     def __init__(self, text: str, words: np.ndarray, one: WordEncoder):
         self.parts: list = []
-        own = chunks(text) if plain(text) else []
+        own = chunks(text) if cut_safely(text) else []
         shared = hits(words, [chunk_hash(c) for c in own]) if own else []
         done = at = 0
         for chunk, is_shared in zip(own, shared, strict=True):
             start, at = at, at + len(chunk)
             if not is_shared:
                 continue
-            spaces = [m.start() for m in _SPACE.finditer(chunk)]
-            # where the chunk's own ids hold: from a cut between words to a cut between words
-            first = 0 if not start or text[start - 1].isspace() else spaces[0] if spaces else None
-            last = len(chunk) if at == len(text) or text[at].isspace() else spaces[-1] + 1 if spaces else None
+            first, last = front_join(text, done, start, chunk, one), back_join(text, at, chunk, one)
             if first is None or last is None or first >= last:
                 continue
             self.own(text[done : start + first], one)
@@ -156,13 +201,14 @@ class Decoder:
         return len(made), hashlib.sha256(" ".join(map(self.decimal.__getitem__, made)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
 
 
-_DECODERS: dict = {}
+def tools(path: str) -> tuple[WordEncoder, Decoder]:
+    """Encoder and decoder of a Python worker, kept between the tasks of this operator."""
 
+    def make():
+        one = WordEncoder(path)
+        return one, Decoder(one)
 
-def decoder(path: str) -> Decoder:
-    if path not in _DECODERS:
-        _DECODERS[path] = Decoder(encoder(WordEncoder, path))
-    return _DECODERS[path]
+    return kept(("bpe", path), make)
 
 
 _PARTS = "key long, part int, h long, front int, back int, ids binary, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -184,8 +230,8 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(shared_filter(docs))
 
     def plans(batches):
-        one, names = encoder(WordEncoder, path), decoder(path)
-        for batch in batches:
+        one, names = tools(path)
+        for batch in (part for whole in batches for part in parts(whole)):
             rows = []
             for key, text in zip(batch.column("key").to_pylist(), texts(batch), strict=True):
                 plan = Plan(text.decode(), shared.value, one)
@@ -198,48 +244,48 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], names=_NAMES)
 
     def found(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole)):
             seen: dict[int, str] = {}
             for text in texts(batch):
-                if plain(text := text.decode()) and (own := chunks(text)):
+                if cut_safely(text := text.decode()) and (own := chunks(text)):
                     hashes = [chunk_hash(c) for c in own]
                     seen.update((h, c) for h, c, hit in zip(hashes, own, hits(shared.value, hashes), strict=True) if hit)
             yield pa.RecordBatch.from_arrays([pa.array(map(signed, seen), pa.int64()), pa.array(seen.values(), pa.string())], names=["h", "chunk"])
 
     def once(batches):
-        one = encoder(WordEncoder, path)
+        one, _ = tools(path)
         for batch in batches:
             made = [_short(one.encode(c)) for c in batch.column("chunk").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(made, pa.binary())], names=["h", "stored"])
 
     def joined(batches):
-        names = decoder(path)
-        key, parts = None, []
+        _, names = tools(path)
+        key, own = None, []
 
         def flush(rows):
             if key is not None:
-                rows.append((key, *names.digests(_long(b"".join(parts)))))
+                rows.append((key, *names.digests(_long(b"".join(own)))))
 
         for batch in batches:
             rows: list = []
             for k, ids in zip(batch.column("key").to_pylist(), batch.column("ids").to_pylist(), strict=True):
                 if k != key:
                     flush(rows)
-                    key, parts = k, []
-                parts.append(ids)
+                    key, own = k, []
+                own.append(ids)
             yield _result(rows)
         rows = []
         flush(rows)
         yield _result(rows)
 
-    planned = materialize(docs.select("key", "text").mapInArrow(plans, _PARTS))
-    distinct = docs.select("text").mapInArrow(found, "h long, chunk string").groupBy("h").agg(F.first("chunk").alias("chunk"))
-    stored = materialize(distinct.mapInArrow(once, "h long, stored binary"))
+    planned = materialize(mapped(docs.select("key", "text"), plans, _PARTS))
+    distinct = mapped(docs.select("text"), found, "h long, chunk string").groupBy("h").agg(F.first("chunk").alias("chunk"))
+    stored = materialize(mapped(distinct, once, "h long, stored binary"))
     holes = planned.where("h is not null").join(stored, "h", "left").select(
         "key", "part", F.expr("substring(stored, 2 * front + 1, length(stored) - 2 * front - 2 * back)").alias("ids")
     )
-    parts = planned.where("ids is not null").select("key", "part", "ids").unionByName(holes)
-    whole = parts.repartition("key").sortWithinPartitions("key", "part").mapInArrow(joined, _RESULT)
+    pieces = planned.where("ids is not null").select("key", "part", "ids").unionByName(holes)
+    whole = mapped(pieces.repartition("key").sortWithinPartitions("key", "part"), joined, _RESULT)
     return planned.where("n_tokens is not null").select("key", "n_tokens", "ids_sha256", "decoded_sha256").unionByName(whole)
 
 
