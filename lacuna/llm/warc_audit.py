@@ -2,11 +2,13 @@
 
 ``records`` lays pages out as WARC response records: each file holds the pages of one range of ids, in
 order, and each record has its byte range.  ``tree`` hashes the records and ordered offset ranges of
-``FANOUT`` nodes into parents, up to one root for each file.  ``audit`` compares the roots of two replicas
-and descends, level by level, only below nodes that differ; what is left at the bottom are the corrupt
-records with their byte ranges.
+``FANOUT`` nodes into parents, up to one root for each file; each level is written once and made from the one below.  ``audit`` compares
+the roots of two replicas and descends, level by level, to the children of nodes that differ; what is left at the bottom are the
+corrupt records with their byte ranges.  ``read`` gives the records of WARC bytes, so stored files can be audited, too.
 
-Everything is grouped by (file, node), at most ``FANOUT`` rows a group, with DataFrame functions only.
+Everything is grouped by (file, volume, node), at most ``FANOUT`` rows a group, with DataFrame functions only.  A file of more
+than ``FILE_PAGES`` different pages (unknown or repeated ids) is split into volumes by content; equal pages travel as one row
+with their number until they are laid out.
 
 Defined cases: null html or url count as empty; a null page_id belongs to file -1; rows that share a page_id
 are told apart by url and content, equal rows by their number; files present in one replica only are
@@ -15,81 +17,138 @@ reported as missing at the root; empty tables give no rows; other columns are ig
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._spark import materialize, table
+from ._spark import mapped, materialize, table
 
 #: Pages whose ids lie in one range of this many make a file; children of a tree's node.
 FILE_PAGES, FANOUT = 4096, 16
-#: Levels above the records: FANOUT ** LEVELS >= FILE_PAGES (longer files simply get a wider top).
-LEVELS = 3
+#: The day that records state (fixed, as the pages have none).
+DATE = "1970-01-01T00:00:00Z"
+_NODE = ["file", "volume", "node"]
+
+
+def record_id(url: Column, page_id: Column) -> Column:
+    """A record's id, made of what it is a record of."""
+    h = F.md5(F.concat(url, F.lit(" "), F.coalesce(page_id.cast("string"), F.lit(""))).cast("binary"))
+    part = lambda a, n: F.substring(h, a, n)
+    return F.concat(F.lit("<urn:uuid:"), part(1, 8), F.lit("-"), part(9, 4), F.lit("-"), part(13, 4), F.lit("-"), part(17, 4), F.lit("-"), part(21, 12), F.lit(">"))
+
+
+def body_of(url: Column, html: Column, page_id: Column) -> Column:
+    """The bytes of a page's record."""
+    return F.concat(
+        F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: "), record_id(url, page_id), F.lit(f"\r\nWARC-Date: {DATE}\r\nWARC-Target-URI: "), url,
+        F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(html).cast("string"), F.lit("\r\n\r\n"), html, F.lit("\r\n\r\n"),
+    )
 
 
 def records(pages: DataFrame) -> DataFrame:
-    """file, record (0, 1, ... in the file), page_id, offset, length and digest of each page's WARC record."""
-    url, html = F.coalesce(F.col("url").cast("string"), F.lit("")), F.coalesce(F.col("html").cast("string"), F.lit(""))
-    head = F.concat(
-        F.lit("WARC/1.1\r\nWARC-Type: response\r\nWARC-Target-URI: "), url,
-        F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(html).cast("string"), F.lit("\r\n\r\n"),
-    )
-    body = F.concat(head, html, F.lit("\r\n\r\n"))
+    """file, volume, record (0, 1, ... there), page_id, offset, length and digest of each page's WARC record."""
+    url, html, page_id = F.coalesce(F.col("url").cast("string"), F.lit("")), F.coalesce(F.col("html").cast("string"), F.lit("")), F.col("page_id").cast("long")
+    body = body_of(url, html, page_id)
     made = pages.select(
-        F.col("page_id").cast("long").alias("page_id"),
-        F.coalesce(F.floor(F.col("page_id").cast("long") / FILE_PAGES), F.lit(-1)).cast("long").alias("file"),
+        page_id.alias("page_id"),
+        F.coalesce(F.floor(page_id / FILE_PAGES), F.lit(-1)).cast("long").alias("file"),
         F.octet_length(body).cast("long").alias("length"),
         F.sha2(body, 256).alias("digest"),
         url.alias("url"),
     )
-    order = W.partitionBy("file").orderBy("page_id", "url", "digest")
-    return made.select(
-        "file", (F.row_number().over(order) - 1).cast("long").alias("record"), "page_id",
-        (F.sum("length").over(order.rowsBetween(W.unboundedPreceding, 0)) - F.col("length")).cast("long").alias("offset"),
-        "length", "digest",
+    same = ["file", "page_id", "url", "digest", "length"]
+    made = materialize(made.groupBy(*same).agg(F.count(F.lit(1)).alias("copies")))
+    sizes = made.groupBy("file").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") > FILE_PAGES)
+    volumes = materialize(sizes.select("file", F.ceil(F.col("pages") / FILE_PAGES).cast("long").alias("volumes")))
+    volume = F.pmod(F.xxhash64("digest", "url"), F.coalesce("volumes", F.lit(1).cast("long")))
+    made = made.join(volumes, "file", "left").withColumn("volume", volume)
+    before = W.partitionBy("file", "volume").orderBy("page_id", "url", "digest").rowsBetween(W.unboundedPreceding, -1)
+    first = lambda x: F.coalesce(F.sum(x).over(before), F.lit(0)).cast("long")
+    laid = made.select("file", "volume", "page_id", "length", "digest", first("copies").alias("record"), first(F.col("copies") * F.col("length")).alias("offset"), "copies")
+    each = laid.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    return each.select(
+        "file", "volume", (F.col("record") + F.col("k")).alias("record"), "page_id", (F.col("offset") + F.col("k") * F.col("length")).alias("offset"), "length", "digest"
     )
 
 
 def tree(laid: DataFrame) -> list[DataFrame]:
-    """Levels of the trees, records first, then parents up to the roots: file, node, offset, length, digest."""
+    """Levels of the trees, records first, then parents up to the roots: file, volume, node, offset, length, digest.
+
+    There are as many levels as the longest volume needs; each is written, and the next one is made from it.
+    """
     leaf = F.sha2(F.concat_ws("|", "digest", F.col("offset").cast("string"), F.col("length").cast("string")), 256)
-    levels = [laid.select("file", F.col("record").alias("node"), "offset", "length", leaf.alias("digest"))]
-    for k in range(LEVELS):
-        parent = F.floor(F.col("node") / FANOUT).cast("long") if k < LEVELS - 1 else F.lit(0).cast("long")
+    levels = [materialize(laid.select("file", "volume", F.col("record").alias("node"), "offset", "length", leaf.alias("digest")))]
+    last = levels[0].agg(F.max("node")).first()[0] or 0
+    while last or len(levels) == 1:
         children = F.array_sort(F.collect_list(F.struct("node", "digest")))
         text = F.array_join(F.transform(children, lambda x: x["digest"]), "")
-        levels.append(
-            levels[-1].groupBy("file", parent.alias("parent"))
-            .agg(F.min("offset").alias("offset"), F.sum("length").alias("length"), F.sha2(text, 256).alias("digest"))
-            .withColumnRenamed("parent", "node")
+        parents = levels[-1].groupBy("file", "volume", F.floor(F.col("node") / FANOUT).cast("long").alias("parent")).agg(
+            F.min("offset").alias("offset"), F.sum("length").alias("length"), F.sha2(text, 256).alias("digest")
         )
+        levels.append(materialize(parents.withColumnRenamed("parent", "node")))
+        last //= FANOUT
     return levels
 
 
 def audit(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Corrupt records of the second replica: file, record, offset, length, digest, replica_digest.
+    """Corrupt records of the second replica: file, volume, record, offset, length, digest, replica_digest.
 
     Both are tables of ``records``.  A file or record that one replica lacks has nulls on that side.
     """
-    ours, theirs = tree(materialize(first)), tree(materialize(second))
+    ours, theirs = tree(first), tree(second)
+    depth = max(len(ours), len(theirs)) - 1
+    # trees of unequal height have unequal roots: the lower one's are compared where they stand
     differing = None
-    for depth in range(LEVELS, -1, -1):
-        a = ours[depth].select("file", "node", "offset", "length", "digest")
-        b = theirs[depth].select("file", "node", F.col("digest").alias("replica_digest"), F.col("offset").alias("o"), F.col("length").alias("l"))
-        if differing is not None:  # only below nodes that differ
-            at = (F.col("node") / FANOUT).cast("long") if depth < LEVELS - 1 else F.lit(0).cast("long")
-            above = differing.select("file", F.col("node").alias("above"))
-            a = a.withColumn("above", at).join(above, ["file", "above"], "left_semi").drop("above")
-            b = b.withColumn("above", at).join(above, ["file", "above"], "left_semi").drop("above")
-        differing = (
-            a.join(b, ["file", "node"], "full").where(~F.col("digest").eqNullSafe(F.col("replica_digest")))
-            .select("file", "node", F.coalesce("offset", "o").alias("offset"), F.coalesce("length", "l").alias("length"), "digest", "replica_digest")
+    for level in range(depth, -1, -1):
+        a, b = (x[min(level, len(x) - 1)].where(F.lit(level < len(x))) for x in (ours, theirs))
+        b = b.select(*_NODE, F.col("digest").alias("replica_digest"), F.col("offset").alias("o"), F.col("length").alias("l"))
+        if differing is not None:  # only the children of nodes that differ are read
+            above = differing.select("file", "volume", F.col("node").alias("above"))
+            under = lambda x: x.withColumn("above", F.floor(F.col("node") / FANOUT).cast("long")).join(above, ["file", "volume", "above"], "left_semi").drop("above")  # noqa: B023, E731
+            a, b = under(a), under(b)
+        differing = materialize(
+            a.join(b, _NODE, "full").where(~F.col("digest").eqNullSafe(F.col("replica_digest")))
+            .select(*_NODE, F.coalesce("offset", "o").alias("offset"), F.coalesce("length", "l").alias("length"), "digest", "replica_digest")
         )
-        if depth:
-            differing = materialize(differing)
     return differing.withColumnRenamed("node", "record")
 
 
+_READ = "file string, record long, offset long, length long, digest string, record_id string, url string, complete boolean"
+
+
+def read(files: DataFrame) -> DataFrame:
+    """The records of WARC bytes (file, content): byte range, digest of the whole record, id and address.
+
+    Records are found one after another by their Content-Length.  Bytes that are not a record, and a record that breaks off, end the
+    file with one row that is not complete; null or empty bytes have no records.
+    """
+
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for name, data in zip(batch.column("file").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                at = n = 0
+                data = data or b""
+                while at < len(data):
+                    head = data.find(b"\r\n\r\n", at)
+                    said = dict(x.split(b":", 1) for x in data[at:head].split(b"\r\n")[1:] if b":" in x) if head > 0 and data.startswith(b"WARC/", at) else {}
+                    said = {k.strip().lower(): v.strip() for k, v in said.items()}
+                    size = said.get(b"content-length", b"")
+                    end = head + 4 + int(size) + 4 if size.isdigit() else len(data) + 1
+                    sound = end <= len(data)
+                    own = data[at : min(end, len(data))]
+                    rows.append((name, n, at, len(own), hashlib.sha256(own).hexdigest(), *(said[k].decode("utf-8", "replace") if k in said else None for k in (b"warc-record-id", b"warc-target-uri")), sound))
+                    at, n = end, n + 1
+            columns = list(zip(*rows, strict=True)) or [[]] * 8
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in _READ.split(", ")])
+
+    return mapped(files.select(F.col("file").cast("string").alias("file"), F.col("content").cast("binary").alias("content")), run, _READ)
+
+
 def decayed(pages: DataFrame) -> DataFrame:
     """A replica in which some pages have lost a character: those whose content's hash ends in '00'."""
     hit = F.endswith(F.sha2(F.col("html"), 256), F.lit("00"))
@@ -100,16 +159,19 @@ def op5_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's record (byte range and digest) with what the audit of a decayed replica says of it."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     laid = materialize(records(pages))
-    found = audit(laid, records(decayed(pages))).select("file", "record", F.lit(True).alias("found"))
-    out = laid.join(found, ["file", "record"], "left")
-    return out.select("page_id", "file", "record", "offset", "length", "digest", F.coalesce("found", F.lit(False)).alias("corrupt"))
+    found = audit(laid, records(decayed(pages))).select("file", "volume", "record", F.lit(True).alias("found"))
+    out = laid.join(found, ["file", "volume", "record"], "left")
+    return out.select("page_id", "file", "volume", "record", "offset", "length", "digest", F.coalesce("found", F.lit(False)).alias("corrupt"))
 
 
 def _body(html: str) -> str:
+    h = "md5(url || ' ' || page_id)"
+    part = lambda a, n: f"substr({h}, {a}, {n})"
+    name = f"'<urn:uuid:' || {part(1, 8)} || '-' || {part(9, 4)} || '-' || {part(13, 4)} || '-' || {part(17, 4)} || '-' || {part(21, 12)} || '>'"
+    line = " || chr(13) || chr(10) || "
     return (
-        "'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10)"
-        f" || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || CAST(strlen({html}) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10)"
-        f" || {html} || chr(13) || chr(10) || chr(13) || chr(10)"
+        f"'WARC/1.1'{line}'WARC-Type: response'{line}'WARC-Record-ID: ' || {name}{line}'WARC-Date: {DATE}'{line}'WARC-Target-URI: ' || url"
+        f"{line}'Content-Type: text/html'{line}'Content-Length: ' || CAST(strlen({html}) AS VARCHAR){line}chr(13) || chr(10) || {html}{line}chr(13) || chr(10)"
     )
 
 
@@ -117,7 +179,7 @@ ORACLE_SQL = f"""
 WITH made AS (
   SELECT page_id, page_id // {FILE_PAGES} AS file, url, html, {_body('html')} AS body FROM pages
 )
-SELECT page_id, CAST(file AS BIGINT) AS file,
+SELECT page_id, CAST(file AS BIGINT) AS file, CAST(0 AS BIGINT) AS volume,
   row_number() OVER w - 1 AS record,
   CAST(sum(strlen(body)) OVER w - strlen(body) AS BIGINT) AS "offset",
   strlen(body) AS length, sha256(body) AS digest,
