@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import table
+from ._spark import mapped, parts, table
 
 THRESHOLD = 0.8
 
@@ -166,13 +166,13 @@ def _with_windows(base: DataFrame, known: dict[str, list[str]], threshold: float
     other = re.compile("[^a-z0-9]+")
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, at)):
             found = [best_windows(other.sub(" ", t.lower()).split(), known, vocabulary, threshold) for t in batch.column(at).to_pylist()]
             rows = [None if x is None else dict(zip(("low", "license", "unit"), x, strict=True)) for x in found]
             kind = pa.struct([("low", pa.float64()), ("license", pa.string()), ("unit", pa.string())])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, kind)], names=[*batch.schema.names, "window"])
 
-    return base.mapInArrow(run, base.select("*", F.lit(None).cast("struct<low:double,license:string,unit:string>").alias("window")).schema)
+    return mapped(base, run, base.select("*", F.lit(None).cast("struct<low:double,license:string,unit:string>").alias("window")).schema)
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -213,7 +213,6 @@ def _oracle() -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     known = {k: bigrams(v) for k, v in TEMPLATES.items()}
     rows = ", ".join(f"({quoted(k)}, [{', '.join(map(quoted, v))}])" for k, v in known.items())
-    longest = max(max(admissible(len(v), THRESHOLD)) for v in known.values())
     grams = (
         "CASE WHEN len(words) > 1 THEN list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) ELSE words END"
     )
@@ -223,11 +222,7 @@ units AS (
   SELECT DISTINCT doc_id, trim(regexp_replace(lower(u), '[^a-z0-9]+', ' ', 'g')) AS unit
   FROM (SELECT doc_id, unnest(list_concat(string_split(text, chr(10)), regexp_split_to_array(text, '\\n[ \\t\\r]*\\n'))) AS u FROM documents)
 ),
-short AS (
-  SELECT doc_id, unit, string_split(unit, ' ') AS words FROM units
-  WHERE unit <> '' AND length(unit) - length(replace(unit, ' ', '')) <= {4 * longest}
-),
-cut AS (SELECT doc_id, unit, {grams} AS grams FROM short),
+cut AS (SELECT doc_id, unit, {grams} AS grams FROM (SELECT doc_id, unit, string_split(unit, ' ') AS words FROM units WHERE unit <> '')),
 rated AS (
   SELECT c.doc_id, c.unit, t.license, 2 * len(list_intersect(c.grams, t.template)) / (len(c.grams) + len(t.template)) AS dice
   FROM cut c LEFT JOIN templates t ON 2.0 * least(len(c.grams), len(t.template)) / (len(c.grams) + len(t.template)) >= {THRESHOLD}
