@@ -11,8 +11,8 @@ Buckets are not paired with themselves.  First each member meets the bucket's le
 neighbours in three orders (by size, and by the keys of other bands, so that neighbours agree in several);
 confirmed links give components.  Then only members of different components are left to compare.  In buckets of up to
 ``SMALL_BUCKET`` members, those outside the component that holds most of the bucket meet the others.  Larger buckets are
-split by the rarest elements of their sets: in an order of elements that all sets share, two sets of similarity t have an element in
-common among the first n (1 - t) + 1 of the larger and the first n (1 - t) / (1 + t) + 1 of the smaller one; the order puts
+split by the rarest elements of their sets: in an order of elements that all sets share, two sets of n and m elements with o in common
+have one in common among the first n - o + 1 and m - o + 1, where similarity t needs o = t (n + m) / (1 + t); the order puts
 elements first that few members have, so documents of one template, which share only common elements, do not meet at all.  No
 link between different components is lost either way.
 
@@ -247,24 +247,26 @@ def sharing_rare(members: DataFrame, sets: DataFrame, threshold: float) -> DataF
             for a, b in slices((8 * lengths).tolist()):
                 part = batch.slice(a, b - a)
                 node, label, lists = part.column("node").to_numpy(), part.column("label").to_numpy(), part.column("shingles")
-                out, index = [], []
+                out, place = [], []
                 for i, n in enumerate(lengths[a:b].tolist()):
                     own = lists[i].values.to_numpy().view(np.uint64)
                     first = n + percent * n // -100 + 1
                     out.append(own[np.lexsort((own, order.value[(own % np.uint64(SLOTS)).astype(np.int64)]))[:first]])
-                    index.append(np.arange(first) <= n + 2 * percent * n // -(100 + percent))
+                    place.append(np.arange(first))
                 size = [len(x) for x in out]
-                columns = [np.concatenate(out).view(np.int64), np.repeat(node, size), np.repeat(label, size), np.repeat(lengths[a:b].astype(np.int64), size), np.concatenate(index)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["element", "node", "label", "n", "index"])
+                columns = [np.concatenate(out).view(np.int64), np.repeat(node, size), np.repeat(label, size), np.repeat(lengths[a:b].astype(np.int64), size), np.concatenate(place)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["element", "node", "label", "n", "place"])
 
-    first = mapped(own, run, "element long, node long, label long, n long, index boolean")
+    first = mapped(own, run, "element long, node long, label long, n long, place long")
     # an element of one label alone brings nothing together
     several = first.groupBy("element").agg((F.min("label") != F.max("label")).alias("several")).where("several").select("element")
     rare = materialize(first.join(materialize(several), "element", "left_semi"))
-    x, y = rare.where("index").alias("x"), rare.alias("y")
+    # two sets of sizes n and m with at least o elements in common share one of the first n - o + 1 and m - o + 1
+    x, y = rare.where(f"place <= n - ceil({2 * percent} * n / {100 + percent}.0)").alias("x"), rare.alias("y")
     smaller = F.struct("x.n", "x.node") < F.struct("y.n", "y.node")
-    enough = 100 * F.col("x.n") >= percent * F.col("y.n")
-    met = x.join(y, (F.col("x.element") == F.col("y.element")) & (F.col("x.label") != F.col("y.label")) & smaller & enough)
+    common = F.ceil(percent * (F.col("x.n") + F.col("y.n")) / float(100 + percent))
+    early = (F.col("x.place") <= F.col("x.n") - common) & (F.col("y.place") <= F.col("y.n") - common)
+    met = x.join(y, (F.col("x.element") == F.col("y.element")) & (F.col("x.label") != F.col("y.label")) & smaller & early)
     return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
 
