@@ -131,6 +131,8 @@ def front_join(text: str, begin: int, start: int, chunk: str, one: WordEncoder)
     if not start or text[start - 1] in WHITE:
         return 0
     spaces = [m.start() for m in _SPACE.finditer(chunk)]
+    if not spaces:
+        return None
     low = max(begin, start - REPAIR_CHARS)
     before = max((m.start() for m in _SPACE.finditer(text, low, start)), default=low)
     for first, after in list(zip(spaces, [*spaces[1:], len(chunk)], strict=True))[:REPAIR_WORDS]:
@@ -145,6 +147,8 @@ def back_join(text: str, at: int, chunk: str, one: WordEncoder) -> int | None:
     if at == len(text) or text[at] in WHITE:
         return len(chunk)
     spaces = [m.start() for m in _SPACE.finditer(chunk)]
+    if not spaces:
+        return None
     found = _SPACE.search(text, at, at + REPAIR_CHARS)
     after = found.start() if found else min(at + REPAIR_CHARS, len(text))
     start = at - len(chunk)

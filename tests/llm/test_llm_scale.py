@@ -285,6 +285,8 @@ def test_joins_agree_for_any_characters(spark):
     rng = random.Random(12)
     shared = "".join(rng.choice(["word", " ", "Σίσυφος ", "ΟΔΟΣ", "日本語", "it's", "“quoted” ", "\n", "e\u0301", "12", "!?", "\x1c", "\u3000", "naïve "]) for _ in range(9000))
     rows = [(i, "xΣ" * i + shared[i * 37 : 14000 + i * 91] + "tail" * i) for i in range(12)]
+    whole = "".join(rng.choice("abcdefg日本") for _ in range(9000))  # no white space in any chunk
+    rows += [(20 + i, "y " * i + whole[i * 50 :] + " z" * i) for i in range(4)]
     out = bpe_reuse.encode(spark.createDataFrame(rows, "key long, text string")).collect()
     want = {k: hashlib.sha256(" ".join(map(str, t.encode(x, add_special_tokens=False).ids)).encode()).hexdigest() for k, x in rows}
     assert {r["key"]: r["ids_sha256"] for r in out} == want
