@@ -2,14 +2,26 @@
 
 from __future__ import annotations
 
+import random
+
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lacuna.functions.rng import uniform
+
+from .ranks import placed
+
 SMALL = 100
+#: Rows, drawn by a hash of the id, that neighbours are looked for among: a bounded sample where there are more.
+REFERENCE = 2000
 
 
 def estimator(kind: str, features: int, rows: int, weight: str | None = None):
@@ -25,21 +37,44 @@ def estimator(kind: str, features: int, rows: int, weight: str | None = None):
         return MultilayerPerceptronClassifier(layers=[features, 8 if small else 32, 3], maxIter=60, seed=42, **common)
     if kind == "boosting":  # Spark's boosted trees are binary: one for each class
         return OneVsRest(classifier=GBTClassifier(maxIter=10 if small else 20, maxDepth=3, seed=42, featuresCol="scaled"), **common)
-    if kind == "linear_svm":
+    if kind in ("linear_svm", "rbf_svm"):
         return OneVsRest(classifier=LinearSVC(maxIter=30, featuresCol="scaled"), **common)
     raise ValueError(kind)
 
 
+#: Random features that stand for a Gaussian kernel.
+FOURIER = 100
+
+
+def fourier_features(df: DataFrame, columns: list[str], train: DataFrame, count: int = FOURIER, seed: int = 17) -> DataFrame:
+    """df with ``r0``..: cosines of random projections of z-scores, whose products approximate a Gaussian kernel of width 1 / number of columns (Rahimi and Recht)."""
+    rng = np.random.default_rng(seed)
+    w, b = rng.normal(0, (2 / len(columns)) ** 0.5, (count, len(columns))), rng.uniform(0, 2 * np.pi, count)
+    s = train.agg(*[f(c).alias(f"{k}_{c}") for c in columns for k, f in (("m", F.avg), ("s", F.stddev_pop))])  # one row
+    z = F.array(*[F.when(F.col(f"s_{c}") > 1e-12, (F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}")).otherwise(0.0) for c in columns])
+    j = df.join(F.broadcast(s)).withColumn("z_scores", z)
+    waves = [(F.cos(sum((F.col("z_scores")[i] * float(w[k, i]) for i in range(len(columns))), start=F.lit(float(b[k])))) * (2 / count) ** 0.5).alias(f"r{k}") for k in range(count)]
+    return j.select(*df.columns, *waves)
+
+
+def fit_predict(train: DataFrame, test: DataFrame, columns: list[str], kind: str) -> DataFrame:
+    """Predictions of ``test`` by a classifier fitted on ``train``, of any kind."""
+    if kind == "rbf_svm":
+        names = [f"r{k}" for k in range(FOURIER)]
+        return predict(fit(fourier_features(train, columns, train), names, kind), fourier_features(test, columns, train))
+    return predict(fit(train, columns, kind), test)
+
+
 def fit(train: DataFrame, columns: list[str], kind: str, weight: str | None = None):
     stages = [VectorAssembler(inputCols=columns, outputCol="features"), StandardScaler(inputCol="features", outputCol="scaled", withMean=True)]
     return Pipeline(stages=[*stages, estimator(kind, len(columns), train.limit(SMALL).count(), weight)]).fit(train)
 
 
 def predict(model, test: DataFrame) -> DataFrame:
-    """id, label, y_pred and, where the classifier has them, p0..p2."""
+    """id, label, y_pred and, where the classifier has them, p0..p2 (0 for a class that its training rows lacked)."""
     out = model.transform(test)
     p = vector_to_array("probability") if "probability" in out.columns else None
-    extra = [p[k].alias(f"p{k}") for k in range(3)] if p is not None else []
+    extra = [F.coalesce(F.get(p, F.lit(k)), F.lit(0.0)).alias(f"p{k}") for k in range(3)] if p is not None else []
     return out.select("id", "label", F.col("prediction").cast("int").alias("y_pred"), *extra)
 
 
@@ -47,7 +82,7 @@ def cross_validate(df: DataFrame, columns: list[str], kind: str, folds: int) ->
     """Predictions of every row by the model fitted without its fold (column ``fold``)."""
     out = None
     for k in range(folds):
-        made = predict(fit(df.where(F.col("fold") != k), columns, kind), df.where(F.col("fold") == k)).withColumn("fold", F.lit(k))
+        made = fit_predict(df.where(F.col("fold") != k), df.where(F.col("fold") == k), columns, kind).withColumn("fold", F.lit(k))
         out = made if out is None else out.unionByName(made)
     return out
 
@@ -70,17 +105,6 @@ def feature_importance(train: DataFrame, columns: list[str]) -> DataFrame:
     return train.sparkSession.createDataFrame([(columns[i], float(values[i]), r + 1) for r, i in enumerate(order)], "var string, importance double, rank int")
 
 
-def group_kfold(df: DataFrame, group: str, folds: int = 5) -> DataFrame:
-    """df with ``fold``: whole groups, the largest to the lightest fold.  One row for each group is dealt on the driver."""
-    sizes = sorted(((r["n"], r["g"]) for r in df.groupBy(F.col(group).alias("g")).agg(F.count(F.lit(1)).alias("n")).collect()), key=lambda x: (-x[0], x[1]))
-    load, rows = [0] * folds, []
-    for n, g in sizes:
-        k = min(range(folds), key=lambda i: (load[i], i))
-        load[k] += n
-        rows.append((g, k))
-    return df.join(df.sparkSession.createDataFrame(rows, df.select(F.col(group), F.lit(0).alias("fold")).schema), group)
-
-
 def _positive(train: DataFrame, test: DataFrame, columns: list[str], kind: str, name: str) -> DataFrame:
     """test with the probability of label 1 of a two-class fit."""
     out = fit(train, columns, kind).transform(test)
@@ -101,3 +125,201 @@ def level_accuracies(predictions: DataFrame) -> DataFrame:
     one = c.select(F.lit("mcar or rest").alias("level"), ((F.col("label") > 0) == (F.col("y_pred") > 0)).alias("hit"))
     two = c.where("label > 0 and y_pred > 0").select(F.lit("mar or mnar"), F.col("label") == F.col("y_pred"))
     return one.union(two).union(c.select(F.lit("all"), F.col("label") == F.col("y_pred"))).groupBy("level").agg(F.avg(F.col("hit").cast("double")).alias("accuracy"), F.count(F.lit(1)).alias("n"))
+
+
+# ---- neighbours ---------------------------------------------------------------------------------
+
+
+def standardised(df: DataFrame, columns: list[str], train: DataFrame) -> DataFrame:
+    """df with the columns as z-scores of ``train`` (0 where that does not vary)."""
+    s = train.agg(*[f(c).alias(f"{k}_{c}") for c in columns for k, f in (("m", F.avg), ("s", F.stddev_pop))])  # one row
+    z = {c: F.when(F.col(f"s_{c}") > 1e-12, (F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}")).otherwise(0.0) for c in columns}
+    return df.join(F.broadcast(s)).withColumns(z).select(*df.columns)
+
+
+def reference(df: DataFrame, columns: list[str], most: int = REFERENCE, seed: int = 91) -> pd.DataFrame:
+    """id, label and columns of about ``most`` rows (all, if there are no more), in order of id."""
+    n = df.count()
+    return df.where(uniform(seed, "id") < most / max(n, 1)).select("id", "label", *columns).toPandas().sort_values("id", ignore_index=True)
+
+
+def nearest(queries: DataFrame, among: pd.DataFrame, columns: list[str], k: int) -> DataFrame:
+    """queries with near_ids, near_labels and near_values of the k nearest reference rows (not the row itself; of equally near ones the least id)."""
+    shared = queries.sparkSession.sparkContext.broadcast((among["id"].to_numpy(), among["label"].to_numpy(), among[columns].to_numpy(float)))
+
+    def run(frames):
+        ids, labels, values = shared.value
+        for f in frames:
+            x, own, picks = f[columns].to_numpy(float), f["id"].to_numpy(), []
+            for a in range(0, len(f), 256):
+                d = np.zeros((len(x[a : a + 256]), len(values)))
+                for c in range(len(columns)):
+                    d += (x[a : a + 256, c : c + 1] - values[None, :, c]) ** 2
+                d = np.round(d, 9)
+                d[own[a : a + 256, None] == ids[None, :]] = np.inf
+                picks.append(np.argsort(d, axis=1, kind="stable")[:, :k])
+            at = np.concatenate(picks) if picks else np.zeros((0, k), np.int64)
+            yield f.assign(near_ids=ids[at].tolist(), near_labels=labels[at].tolist(), near_values=[v.tolist() for v in values[at]])
+
+    kinds = ", ".join(f"`{c}` {t}" for c, t in queries.dtypes)
+    return queries.mapInPandas(run, f"{kinds}, near_ids array<long>, near_labels array<long>, near_values array<array<double>>")
+
+
+def _equal(labels: str, k: int):
+    """How many of an array's labels are k."""
+    return F.size(F.filter(labels, lambda x: x == k))
+
+
+def _majority(labels: str):
+    """The commonest label of an array (the lowest of equals)."""
+    count = [_equal(labels, k) for k in range(3)]
+    return F.when((count[0] >= count[1]) & (count[0] >= count[2]), 0).when(count[1] >= count[2], 1).otherwise(2)
+
+
+def knn_classify(train: DataFrame, test: DataFrame, columns: list[str]) -> DataFrame:
+    """id, label, y_pred: vote of the five nearest training rows (three, if there are fewer than a hundred) on z-scores."""
+    among = reference(standardised(train, columns, train), columns)
+    near = nearest(standardised(test.select("id", "label", *columns), columns, train), among, columns, 3 if len(among) < SMALL else 5)
+    return near.select("id", "label", _majority("near_labels").alias("y_pred"))
+
+
+# ---- balancing -----------------------------------------------------------------------------------
+
+
+def smote(df: DataFrame, columns: list[str], seed: int = 71, borderline: bool = False) -> DataFrame:
+    """id, label, columns, synthetic: every class brought to the size of the largest one by points between a row and one of its nearest of the same class.
+
+    Three neighbours (fewer, if the smallest class has no more); nothing is made if a class has one row.  Copies are dealt evenly over the
+    rows in order of id, neighbour and place on the way are draws of the row's id; synthetic rows have negative ids.  ``borderline``: only
+    rows with at least half of five neighbours of other classes are built upon (where a class has some).
+    """
+    sizes = {r["label"]: r["n"] for r in df.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each class
+    base = df.select("id", "label", *[F.col(c).cast("double").alias(c) for c in columns])
+    out = base.withColumn("synthetic", F.lit(False))
+    if min(sizes.values(), default=0) < 2:
+        return out
+    most, k = max(sizes.values()), min(3, min(sizes.values()) - 1)
+    every = reference(base, columns) if borderline else None
+    for label, n in sorted(sizes.items()):
+        if n == most:
+            continue
+        own = base.where(F.col("label") == label)
+        among = reference(own, columns)
+        if borderline:
+            seen = nearest(own, every, columns, 5)
+            near_others = seen.where(_equal("near_labels", label) * 2 <= F.size("near_labels")).select(*own.columns)
+            if (m := near_others.count()) > 0:
+                own, n_base = near_others, m
+            else:
+                n_base = n
+        else:
+            n_base = n
+        need = most - n
+        copies = (F.lit(need // n_base) + F.when(F.col("place") <= need % n_base, 1).otherwise(0)).cast("int")
+        near = nearest(placed(own, [], ["id"], "place"), among, columns, k).where(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
+        number = "id * 1009 + copy"
+        way, chosen = uniform(seed + 1, number), F.col("near_values")[F.floor(uniform(seed, number) * F.size("near_values")).cast("int")]
+        made = near.select((-F.expr(number)).alias("id"), "label", *[(F.col(c) + way * (chosen[i] - F.col(c))).alias(c) for i, c in enumerate(columns)], F.lit(True).alias("synthetic"))
+        out = out.unionByName(made)
+    return out
+
+
+def smote_clean(df: DataFrame, columns: list[str], method: str = "enn", seed: int = 71) -> DataFrame:
+    """``smote``, then rows are taken out whose label differs from that of most of their three nearest ("enn"), or that are each other's nearest
+    with different labels ("tomek"); "under" draws each class down to the smallest one instead, "none" leaves all as it is."""
+    if method in ("none", "under"):
+        base = df.select("id", "label", *columns).withColumn("synthetic", F.lit(False))
+        if method == "none":
+            return base
+        least = base.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("least"))
+        ranked = placed(base.withColumn("keep_draw", uniform(seed + 3, "id")), ["label"], ["keep_draw", "id"], "keep_place")
+        return ranked.join(F.broadcast(least)).where("keep_place <= least").select(*base.columns)
+    full = smote(df, columns, seed)
+    near = nearest(full, reference(full, columns, seed=seed + 5), columns, 3 if method == "enn" else 1)
+    if method == "enn":
+        return near.where(_majority("near_labels") == F.col("label")).select(*full.columns)
+    first = near.select("id", F.col("near_ids")[0].alias("met"), (F.col("near_labels")[0] != F.col("label")).alias("differ"))
+    back = first.select(F.col("id").alias("met"), F.col("met").alias("id"), F.lit(True).alias("mutual"))
+    gone = first.where("differ").join(back, ["id", "met"]).select("id")
+    return full.join(gone, "id", "left_anti")
+
+
+# ---- calibration, search -------------------------------------------------------------------------
+
+
+def platt_calibrate(train: DataFrame, test: DataFrame, columns: list[str], kind: str = "forest", folds: int = 3) -> DataFrame:
+    """id, label, y_pred, p0..p2: probabilities of a classifier through a sigmoid for each class, fitted on out-of-fold scores and made to sum to one.
+
+    train has a column ``fold``.
+    """
+    logit = lambda p: F.log(F.greatest(p, F.lit(1e-6)) / F.greatest(1 - F.col(p), F.lit(1e-6)))
+    held = cross_validate(train, columns, kind, folds)
+    made = fit_predict(train, test, columns, kind)
+    for k in range(3):
+        score = held.select((F.col("label") == k).cast("int").alias("is_k"), logit(f"p{k}").alias("s"))
+        one = Pipeline(stages=[VectorAssembler(inputCols=["s"], outputCol="v"), LogisticRegression(featuresCol="v", labelCol="is_k", probabilityCol=f"sure{k}", rawPredictionCol=f"raw{k}", predictionCol=f"pred{k}")]).fit(score)
+        made = one.transform(made.withColumn("s", logit(f"p{k}"))).withColumn(f"q{k}", F.coalesce(F.get(vector_to_array(f"sure{k}"), F.lit(1)), F.lit(0.0))).drop("s", "v", f"sure{k}", f"raw{k}", f"pred{k}")
+    total = F.greatest(F.col("q0") + F.col("q1") + F.col("q2"), F.lit(1e-12))
+    out = made.select("id", "label", *[(F.col(f"q{k}") / total).alias(f"p{k}") for k in range(3)])
+    top = F.greatest("p0", "p1", "p2")
+    return out.select("id", "label", F.when(F.col("p0") == top, 0).when(F.col("p1") == top, 1).otherwise(2).alias("y_pred"), "p0", "p1", "p2")
+
+
+def hyperparameter_search(df: DataFrame, columns: list[str], trials: int = 8, folds: int = 3, seed: int = 42) -> DataFrame:
+    """level, trial, trees, depth, share, accuracy, best: random settings of a forest for both levels (MCAR or not; MAR or MNAR), by accuracy over folds.
+
+    df has a column ``fold`` of whole groups (0 .. folds - 1).
+    """
+    rng, rows = random.Random(seed), []
+    for level, sub in (("mcar or rest", df.withColumn("label", (F.col("label") > 0).cast("int"))), ("mar or mnar", df.where("label > 0").withColumn("label", (F.col("label") - 1).cast("int")))):
+        forest = RandomForestClassifier(featuresCol="features", labelCol="label", seed=seed)
+        settings = [(rng.randrange(10, 60), rng.randrange(2, 9), rng.choice((0.5, 0.75, 1.0))) for _ in range(trials)]
+        grid = [{forest.numTrees: a, forest.maxDepth: b, forest.subsamplingRate: c} for a, b, c in settings]
+        rows_of = VectorAssembler(inputCols=columns, outputCol="features").transform(sub.withColumn("fold", F.col("fold").cast("int")))
+        cv = CrossValidator(estimator=forest, estimatorParamMaps=grid, evaluator=MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy"), numFolds=folds, foldCol="fold", parallelism=2)
+        got = cv.fit(rows_of).avgMetrics
+        top = max(range(trials), key=lambda i: (got[i], -i))
+        rows += [(level, i, *settings[i], float(got[i]), i == top) for i in range(trials)]
+    return df.sparkSession.createDataFrame(rows, "level string, trial int, trees int, depth int, share double, accuracy double, best boolean")
+
+
+# ---- relevance by models --------------------------------------------------------------------------
+
+
+def permutation_importance(model, df: DataFrame, columns: list[str], repeats: int = 10, seed: int = 61) -> DataFrame:
+    """var, mean, std: how much accuracy falls when a column is shuffled, over ``repeats`` shuffles.
+
+    A shuffle moves the column by a drawn distance around the rows in order of a draw; all columns and repeats are scored in one pass.
+    """
+    n, rng = df.count(), random.Random(seed)
+    ranked = placed(df.select("id", "label", *columns).withColumn("shuffle_draw", uniform(seed, "id")), [], ["shuffle_draw", "id"], "place").drop("shuffle_draw")
+    shifts = [rng.randrange(1, max(n, 2)) for _ in range(repeats)]
+    other = ranked.select(F.col("place").alias("at"), F.struct(*columns).alias("other"))
+    shift = F.explode(F.array(*[F.struct(F.lit(k).alias("repeat"), F.lit(x).alias("by")) for k, x in enumerate(shifts)])).alias("shift")
+    each = ranked.select("*", shift).withColumn("at", (F.col("place") - 1 + F.col("shift.by")) % n + 1).join(other, "at")
+    base = model.transform(df).agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("base"))
+    changed = each.select("label", F.col("shift.repeat").alias("repeat"), F.explode(F.array(*[
+        F.struct(F.lit(c).alias("var"), *[(F.col(f"other.{c}") if c == x else F.col(x)).alias(x) for x in columns]) for c in columns])).alias("row")).select("label", "repeat", "row.*")
+    hit = model.transform(changed).groupBy("var", "repeat").agg(F.avg((F.col("prediction") == F.col("label")).cast("double")).alias("accuracy"))
+    drop = hit.join(F.broadcast(base)).select("var", (F.col("base") - F.col("accuracy")).alias("fall"))
+    return drop.groupBy("var").agg(F.avg("fall").alias("mean"), F.stddev_pop("fall").alias("std"))
+
+
+def recursive_elimination(df: DataFrame, columns: list[str], keep: int = 15, step: int = 5) -> DataFrame:
+    """var, rank, selected: the least important ``step`` features of a forest go, again and again, until ``keep`` are left (rank 1)."""
+    left, rounds = list(columns), []
+    while len(left) > keep:
+        values = fit(df, left, "forest").stages[-1].featureImportances.toArray()
+        order = sorted(range(len(left)), key=lambda i: (values[i], left[i]))
+        rounds.append([left[i] for i in order[: min(step, len(left) - keep)]])
+        left = [c for c in left if c not in rounds[-1]]
+    rows = [(c, 1, True) for c in left] + [(c, k + 2, False) for k, gone in enumerate(reversed(rounds)) for c in gone]
+    return df.sparkSession.createDataFrame(rows, "var string, rank int, selected boolean")
+
+
+def level_importance_shift(train: DataFrame, test: DataFrame, columns: list[str], repeats: int = 10) -> DataFrame:
+    """var, first, second, delta: permutation importance of each feature at both levels (MCAR or not; MAR or MNAR) and its change."""
+    one = lambda df: df.withColumn("label", (F.col("label") > 0).cast("int"))
+    two = lambda df: df.where("label > 0").withColumn("label", (F.col("label") == 2).cast("int"))
+    first, second = (permutation_importance(fit(f(train), columns, "forest"), f(test), columns, repeats).select("var", F.col("mean").alias(n)) for f, n in ((one, "first"), (two, "second")))
+    return first.join(second, "var", "left").select("var", "first", F.coalesce("second", F.lit(0.0)).alias("second")).withColumn("delta", F.col("second") - F.col("first"))

@@ -2,7 +2,7 @@
 
 Scores: dataset_id, true_label (MCAR, MAR, MNAR), p-values little_p, pklm_p, levene_p (null: test not valid), auc_obs, auc_p, auc_z,
 mi_max, caafe_auc_self_delta, caafe_kl_density, caafe_kurt_excess, caafe_cond_entropy.
-Reference points are a calibration table: one row for each simulated dataset, so pairs with it are bounded by its size.
+Reference points are a calibration of bounded size, so pairs with it grow with the datasets only.
 """
 
 from __future__ import annotations
@@ -80,10 +80,21 @@ def _log_norm(bandwidth: float, dimensions: int) -> float:
     return dimensions * (math.log(bandwidth) + 0.5 * math.log(2 * math.pi))
 
 
+#: Reference points of each label that a calibration keeps: a sample by hash where there are more, so it can be broadcast.
+REFERENCE_POINTS = 2000
+
+
+def calibration(points: DataFrame, *more: str) -> DataFrame:
+    """label, ref and further columns: the reference points of a calibration, at most about ``REFERENCE_POINTS`` for each label."""
+    sizes = points.groupBy("label").agg(F.count(F.lit(1)).alias("label_points"))  # a row for each label
+    draw = F.pmod(F.xxhash64("dataset_id", F.lit(77)), F.lit(1 << 20)) / float(1 << 20)
+    return points.join(F.broadcast(sizes), "label").where(draw < REFERENCE_POINTS / F.col("label_points")).select("label", F.col("vec").alias("ref"), *more)
+
+
 def kde_loglik(points: DataFrame, reference: DataFrame, bandwidth: float, dimensions: int = 10) -> DataFrame:
     """dataset_id, label, loglik: Gaussian kernel density of each vector under the reference vectors of each label.
 
-    points: dataset_id, vec; reference: label, ref (a calibration table, broadcast).  Rows of one dataset and label are
+    points: dataset_id, vec; reference: label, ref (a ``calibration``, whose size is bounded; it is broadcast).  Rows of one dataset and label are
     summed stably around their nearest point.
     """
     pairs = points.select(*DS, "vec").join(F.broadcast(reference.select("label", "ref")))
@@ -112,7 +123,7 @@ def diagnose_bayes(loglik: DataFrame, prior: dict[str, float] | None = None) ->
 
 def bayes_cv(points: DataFrame, bandwidth: float, dimensions: int = 10) -> DataFrame:
     """Log likelihoods with reference points of other folds only; points: dataset_id, label, fold, vec."""
-    ref = points.select("label", F.col("fold").alias("ref_fold"), F.col("vec").alias("ref"))
+    ref = calibration(points, "fold").withColumnRenamed("fold", "ref_fold")
     pairs = points.select(*DS, "fold", "vec").join(F.broadcast(ref), F.col("fold") != F.col("ref_fold"))
     d = pairs.select(*DS, "label", (-_distance("vec", "ref") / (2 * bandwidth * bandwidth)).alias("e"))
     top = d.groupBy(*DS, "label").agg(F.max("e").alias("top"), F.count(F.lit(1)).alias("n"))
@@ -124,7 +135,7 @@ def select_bandwidth(points: DataFrame, count: int = 20, dimensions: int = 10) -
     """bandwidth, loglik: held-out log likelihood (own label, other folds) of log-spaced bandwidths from .1 to 10, best first
     marked by ``best``.  Distances are made once and meet the bandwidths as an array."""
     widths = [10 ** (-1 + 2 * i / (count - 1)) for i in range(count)]
-    ref = points.select("label", F.col("fold").alias("ref_fold"), F.col("vec").alias("ref"))
+    ref = calibration(points, "fold").withColumnRenamed("fold", "ref_fold")
     own = points.select(*DS, "label", "fold", "vec").join(F.broadcast(ref), "label").where("fold <> ref_fold")
     d = own.select(*DS, _distance("vec", "ref").alias("d"))
     near = d.groupBy(*DS).agg(F.min("d").alias("near"), F.count(F.lit(1)).alias("n"))

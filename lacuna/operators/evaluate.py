@@ -6,11 +6,17 @@ Everything after the confusion counts works on a few rows for each model.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lacuna.functions.rng import uniform
+from lacuna.functions import special
+from lacuna.functions.rng import normal_sql, uniform
+
+from .ranks import placed
+from .tests import _tail
 
 CLASSES = (0, 1, 2)
 BY = ["config", "model"]
@@ -56,20 +62,31 @@ def accuracy_by_group(predictions: DataFrame) -> DataFrame:
     return a.select("source_group", *BY, "n", "accuracy", label.alias("label"), place.cast("long").alias("place"))
 
 
+#: A draw of a Poisson variable of mean c (a cell's count) from a normal draw z, by the square root that evens its variance.
+_POISSON = "CASE WHEN {c} = 0 THEN 0.0 ELSE floor(greatest(power(greatest(sqrt({c} + 0.375) + {z} / 2, 0.0), 2) - 0.375, 0.0) + 0.5) END"
+
+
+def resampled(count: str, cell: str, seed: int) -> str:
+    """SQL text: the count of a cell in the resample ``replicate``."""
+    return _POISSON.format(c=count, z=normal_sql(seed, f"replicate * 16 + {cell}"))
+
+
 def bootstrap_ci(predictions: DataFrame, replicates: int = 1000, seed: int = 11, by: list[str] = BY) -> DataFrame:
-    """2.5 and 97.5 percentiles of accuracy over resamples of each model's predictions.
+    """2.5 and 97.5 percentiles of accuracy and macro F1 over resamples of each model's predictions.
 
-    A resample of n predictions has a binomial number of hits, so counts suffice: rows are not copied.  Each replicate draws
-    its number from the binomial's normal approximation with a draw that depends on its number alone.
+    Both follow from the nine counts of (truth, prediction), so a resample draws these: each row comes back a Poisson number of
+    times, and a cell of c rows a Poisson number of mean c (drawn through the normal distribution; n varies a little between resamples).
     """
-    from lacuna.functions.rng import normal
-
-    a = predictions.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("y_true") == F.col("y_pred")).cast("long")).alias("hits"))
-    each = a.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    p = F.col("hits") / F.col("n")
-    drawn = p + F.sqrt(p * (1 - p) / F.col("n")) * normal(seed, "replicate")
-    value = F.least(F.greatest(F.round(drawn * F.col("n")) / F.col("n"), F.lit(0.0)), F.lit(1.0))
-    return each.groupBy(*by).agg(F.max("hits").alias("hits"), F.max("n").alias("n"), F.percentile(value, 0.025).alias("low"), F.percentile(value, 0.975).alias("high"))
+    cells = predictions.groupBy(*by, "y_true", "y_pred").agg(F.count(F.lit(1)).alias("c")).withColumn("cell", F.col("y_true") * 3 + F.col("y_pred"))
+    each = cells.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("v", F.expr(resampled("c", "cell", seed)))
+    over = lambda test: F.sum(F.when(test, F.col("v")).otherwise(0.0))
+    t, p = F.col("y_true"), F.col("y_pred")
+    g = each.groupBy(*by, "replicate").agg(
+        F.sum("v").alias("n"), over(t == p).alias("hits"), *[over((t == k) & (p == k)).alias(f"h{k}") for k in CLASSES], *[(over(t == k) + over(p == k)).alias(f"s{k}") for k in CLASSES]
+    )
+    f1 = sum((_ratio(2 * F.col(f"h{k}"), F.col(f"s{k}")) for k in CLASSES), start=F.lit(0.0)) / 3
+    ends = lambda x, name: [F.percentile(x, q).alias(f"{name}_{end}") for end, q in (("low", 0.025), ("high", 0.975))]
+    return g.groupBy(*by).agg(*ends(_ratio(F.col("hits"), F.col("n")), "accuracy"), *ends(f1, "macro_f1"))
 
 
 def _paired(predictions: DataFrame, first: str, second: str, column: str, others: list[str]) -> DataFrame:
@@ -79,13 +96,14 @@ def _paired(predictions: DataFrame, first: str, second: str, column: str, others
 
 
 def mcnemar(predictions: DataFrame, first: str, second: str, column: str = "config") -> DataFrame:
-    """model, b (only the first is right), c (only the second), chi2 with continuity correction (0 where b + c = 0)."""
+    """model, b (only the first is right), c (only the second), chi2 with continuity correction (0 where b + c = 0), p."""
     others = [c for c in BY if c != column]
     p = _paired(predictions, first, second, column, others).groupBy(*others).agg(
         F.count_if(F.col("a") & ~F.col("b")).alias("b"), F.count_if(~F.col("a") & F.col("b")).alias("c")
     )
     d = F.abs(F.col("b") - F.col("c")) - 1
-    return p.select(*others, "b", "c", F.when(F.col("b") + F.col("c") > 0, d * d / (F.col("b") + F.col("c"))).otherwise(0.0).alias("chi2"))
+    made = p.select(*others, "b", "c", F.when(F.col("b") + F.col("c") > 0, d * d / (F.col("b") + F.col("c"))).otherwise(0.0).alias("chi2"))
+    return made.withColumn("z", F.sqrt("chi2")).select("*", _tail(special.normal_two_sided, "z").alias("p")).drop("z")
 
 
 def fold_scores(predictions: DataFrame) -> DataFrame:
@@ -93,7 +111,8 @@ def fold_scores(predictions: DataFrame) -> DataFrame:
 
 
 def wilcoxon(scores: DataFrame, first: str, second: str) -> DataFrame:
-    """Signed-rank statistic of fold scores of two configs, for each model: n without zero differences, W (the lesser sum)."""
+    """Signed-rank statistic of fold scores of two configs, for each model: n without zero differences, W (the lesser sum), two-sided p
+    (exact over all signs up to 50 differences, ties counted as ranks in order; the normal approximation beyond)."""
     a = scores.where(F.col("config") == first).select("model", "fold", F.col("score").alias("a"))
     b = scores.where(F.col("config") == second).select("model", "fold", F.col("score").alias("b"))
     d = a.join(b, ["model", "fold"]).select("model", F.round(F.col("a") - F.col("b"), 9).alias("d")).where("d <> 0").withColumn("size", F.abs("d"))
@@ -101,11 +120,12 @@ def wilcoxon(scores: DataFrame, first: str, second: str) -> DataFrame:
     s = d.withColumn("rank", rank).groupBy("model").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0.0)).alias("plus"), F.sum(F.when(F.col("d") < 0, F.col("rank")).otherwise(0.0)).alias("minus")
     )
-    return s.select("model", "n", F.least("plus", "minus").alias("w"))
+    made = s.select("model", "n", F.least("plus", "minus").alias("w"))
+    return made.select("*", _tail(special.signed_rank_two_sided, "w", F.col("n").cast("double")).alias("p"))
 
 
 def friedman(scores: DataFrame) -> DataFrame:
-    """Friedman's statistic of models ranked within each (config, fold), with its correction for ties: k, blocks, statistic."""
+    """Friedman's statistic of models ranked within each (config, fold), with its correction for ties: k, blocks, statistic, p."""
     block = ["config", "fold"]
     s = scores.withColumn("score", F.round("score", 9))
     rank = F.rank().over(W.partitionBy(*block).orderBy("score")) + (F.count(F.lit(1)).over(W.partitionBy(*block, "score")) - 1) / 2.0
@@ -115,7 +135,8 @@ def friedman(scores: DataFrame) -> DataFrame:
     a = sums.agg(F.count(F.lit(1)).alias("k"), F.max("blocks").alias("blocks"), F.sum(F.col("r") * F.col("r")).alias("squares"))
     k, n = F.col("k"), F.col("blocks")
     plain = 12.0 / (n * k * (k + 1)) * F.col("squares") - 3 * n * (k + 1)
-    return a.join(t).select("k", "blocks", (plain / (1 - F.col("ties") / (n * k * (k * k - 1)))).alias("statistic"))
+    made = a.join(t).select("k", "blocks", (plain / (1 - F.col("ties") / (n * k * (k * k - 1)))).alias("statistic"))
+    return made.withColumn("df", (F.col("k") - 1).cast("double")).select("*", _tail(special.chi2_upper, "statistic", "df").alias("p")).drop("df")
 
 
 def compare_configs(predictions: DataFrame, baseline: str, others: list[str]) -> DataFrame:
@@ -188,16 +209,38 @@ def group_shuffle_split(df: DataFrame, group: str, number: str, share: float = 0
     return df.join(chosen, group).withColumn("test", F.col("place") <= F.ceil(share * F.col("groups"))).drop("place", "groups")
 
 
-def stratified_kfold(df: DataFrame, label: str, number: str, folds: int = 5, seed: int = 6) -> DataFrame:
-    """df with ``fold``: rows of each label in order of a draw, dealt in turn."""
-    u = uniform(seed, number)
-    return df.withColumn("fold", ((F.row_number().over(W.partitionBy(label).orderBy(u, number)) - 1) % folds).cast("int"))
+def stratified_kfold(df: DataFrame, label: str, number: str, folds: int = 5, seed: int = 6, repeats: int = 1) -> DataFrame:
+    """df with ``fold``: rows of each label in order of a draw, dealt in turn; with several ``repeats`` also ``repeat``, each with draws of its own."""
+    if repeats > 1:
+        parts = [stratified_kfold(df, label, number, folds, seed + 101 * k).withColumn("repeat", F.lit(k)) for k in range(repeats)]
+        return reduce(DataFrame.unionByName, parts)
+    dealt = placed(df.withColumn("fold_draw", uniform(seed, number)), [label], ["fold_draw", number], "fold_place")
+    return dealt.withColumn("fold", ((F.col("fold_place") - 1) % folds).cast("int")).drop("fold_draw", "fold_place")
+
+
+def leave_one_out(df: DataFrame, number: str) -> DataFrame:
+    """df with ``fold``: every row is one of its own."""
+    return df.withColumn("fold", F.col(number))
 
 
 def leave_one_group_out(df: DataFrame, group: str) -> DataFrame:
-    """df once for each group as ``fold``, with ``test`` where the row is of that group."""
-    folds = df.select(F.col(group).alias("fold")).distinct()
-    return df.join(F.broadcast(folds)).withColumn("test", F.col("fold") == F.col(group))
+    """df with ``fold``: every group is one.  A fold's training rows are those of the others, so no row is copied."""
+    return df.withColumn("fold", F.col(group))
+
+
+def fold_sizes(df: DataFrame) -> DataFrame:
+    """fold, n_test, n_train, train_groups of folds that are whole groups."""
+    own = df.groupBy("fold").agg(F.count(F.lit(1)).alias("n_test"))
+    total = own.agg(F.sum("n_test").alias("n"), F.count(F.lit(1)).alias("groups"))
+    return own.join(F.broadcast(total)).select("fold", "n_test", (F.col("n") - F.col("n_test")).alias("n_train"), (F.col("groups") - 1).alias("train_groups"))
+
+
+def group_kfold(df: DataFrame, group: str, folds: int = 5) -> DataFrame:
+    """df with ``fold``: whole groups, dealt to and fro in order of size (the largest first), so that folds are of about one size."""
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("group_rows")).withColumn("group_order", -F.col("group_rows"))
+    at = (F.col("group_place") - 1) % (2 * folds)
+    fold = F.when(at < folds, at).otherwise(2 * folds - 1 - at).cast("int")
+    return df.join(placed(sizes, [], ["group_order", group], "group_place").select(group, fold.alias("fold")), group)
 
 
 # ---- routing of two-level classifiers ---------------------------------------------------------
@@ -271,11 +314,9 @@ def find_label_issues(df: DataFrame) -> DataFrame:
     joint = confident_joint(df)
     off = sum((F.when(F.col("y_true") != k, F.col(f"j{k}")).otherwise(0.0) for k in CLASSES), start=F.lit(0.0))
     n = joint.select("y_true", F.floor(off + 0.5).alias("issues"))
-    s = self_confidence(df).join(F.broadcast(n), "y_true")
-    place = F.row_number().over(W.partitionBy("y_true").orderBy("self_confidence", "sample_id"))
-    marked = s.withColumn("is_issue", place <= F.col("issues")).drop("issues")
-    rank = F.row_number().over(W.partitionBy("y_true", "is_issue").orderBy("self_confidence", "sample_id"))
-    return marked.withColumn("issue_rank", F.when(F.col("is_issue"), rank.cast("long")))
+    s = placed(self_confidence(df), ["y_true"], ["self_confidence", "sample_id"], "issue_place").join(F.broadcast(n), "y_true")
+    marked = s.withColumn("is_issue", F.col("issue_place") <= F.col("issues"))
+    return marked.withColumn("issue_rank", F.when(F.col("is_issue"), F.col("issue_place"))).drop("issues", "issue_place")
 
 
 def quality_by_dataset(issues: DataFrame) -> DataFrame:
@@ -305,5 +346,6 @@ def clean_labels(issues: DataFrame, mode: str, share: float = 0.1) -> DataFrame:
         likely = F.when(F.col("p0") == top, 0).when(F.col("p1") == top, 1).otherwise(2)
         return issues.withColumn("label", F.when(F.col("is_issue"), likely).otherwise(F.col("y_true")))
     most = int(share * issues.count())
-    gone = issues.where("is_issue").orderBy("self_confidence", "sample_id").limit(most).select("sample_id")
+    found = issues.where("is_issue").select("sample_id", "self_confidence")
+    gone = placed(found, [], ["self_confidence", "sample_id"], "place").where(F.col("place") <= most).select("sample_id")
     return issues.join(gone, "sample_id", "left_anti")

@@ -118,15 +118,15 @@ def _entropy(p: Column) -> Column:
     return F.when((p > 0) & (p < 1), -p * F.log2(p) - (1 - p) * F.log2(1 - p)).otherwise(0.0)
 
 
-def cond_entropy(panel: DataFrame) -> DataFrame:
-    """Share of the mask's entropy that at most five equal bins of the filled X0 explain."""
+def cond_entropy(panel: DataFrame, value: str = "x0f") -> DataFrame:
+    """Share of the mask's entropy that at most five equal bins of the filled X0 (or another column) explain."""
     df = with_mask(panel)
     ends = df.groupBy(*DS).agg(
-        F.min("x0f").alias("lo"), F.max("x0f").alias("hi"), F.least(F.lit(5), F.count_distinct("x0f")).alias("bins"),
+        F.min(value).alias("lo"), F.max(value).alias("hi"), F.least(F.lit(5), F.count_distinct(value)).alias("bins"),
         F.count(F.lit(1)).alias("n"), F.avg("mask").alias("p"),
     )
     width = F.col("hi") - F.col("lo")
-    at = F.when(width > 0, F.least(F.floor((F.col("x0f") - F.col("lo")) / width * F.col("bins")), F.col("bins") - 1)).otherwise(0)
+    at = F.when(width > 0, F.least(F.floor((F.col(value) - F.col("lo")) / width * F.col("bins")), F.col("bins") - 1)).otherwise(0)
     each = df.join(ends, DS).groupBy(*DS, "n", "p", at.alias("bin")).agg(F.count(F.lit(1)).alias("k"), F.avg("mask").alias("pb"))
     got = each.groupBy(*DS, "n", "p").agg(F.sum(F.col("k") / F.col("n") * _entropy(F.col("pb"))).alias("rest"))
     h = _entropy(F.col("p"))
@@ -156,12 +156,22 @@ def density_ratio(panel: DataFrame) -> DataFrame:
     )
 
 
+def extract_features(panel: DataFrame, label: str | None = "label", advanced: bool = True) -> DataFrame:
+    """All features in one row for each dataset, with source_group and label; infinite values are null, null statistics 0.
 
+    Those of the mask's moments, ranks, distributions and runs, of its linear models, of the fold test and of the forest of X0; ``advanced``
+    adds density ratios, imputation divergence and residual dependence.  Each family is one job of its own, written before they are joined.
+    """
+    from lacuna.sources.stage import materialize
 
-def extract_features(panel: DataFrame, label: str | None = "label") -> DataFrame:
-    """All features built from aggregations in one row for each dataset, with source_group and label; infinite values are null, null statistics 0."""
+    from . import linear, residuals
+    from .forest import auc_self_delta
+    from .tests import log_pval_x1, mannwhitney_pval
+
+    families = [moments, little_proxy_score, ks_obs_vs_imputed, tail_missing_ratio, mask_entropy, censoring_score, kl_density, cond_entropy, linear.mechdetect_features, log_pval_x1, mannwhitney_pval, auc_self_delta]
+    families += [density_ratio, residuals.imputation_divergence, residuals.residual_dependence] if advanced else []
     keys = panel.groupBy(*DS).agg(F.first("source_group").alias("source_group"), *([F.first(label).alias("label")] if label else []))
-    for family in (moments, little_proxy_score, ks_obs_vs_imputed, tail_missing_ratio, mask_entropy, censoring_score, kl_density, cond_entropy, density_ratio):
-        keys = keys.join(family(panel), DS, "left")
+    for family in families:
+        keys = keys.join(materialize(family(panel)), DS, "left")
     doubles = [c for c, t in keys.dtypes if t == "double"]
     return keys.withColumns({c: F.coalesce(F.when(F.abs(c) < float("inf"), F.col(c)), F.lit(0.0)) for c in doubles})

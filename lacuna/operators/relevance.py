@@ -114,3 +114,52 @@ def gaussian_nb(train: DataFrame, test: DataFrame, label: str = "label", smoothi
     p = s.select("id", *[(x / (e[0] + e[1] + e[2])).alias(f"p{k}") for k, x in enumerate(e)])
     best = F.greatest("p0", "p1", "p2")
     return p.select("id", F.when(F.col("p0") == best, 0).when(F.col("p1") == best, 1).otherwise(2).alias("y_pred"), "p0", "p1", "p2")
+
+
+def nb_cross_validate(long: DataFrame, by: list[str] | None = None, smoothing: float = 1e-9) -> DataFrame:
+    """by, id, fold, label, y_pred: Gaussian naive Bayes of every fold in one job; long: by, id, fold, label, var, value.
+
+    Sums by (fold, label, feature) are taken once; a fold's model is what the totals leave without its own sums.
+    """
+    by = by or []
+    mean = long.groupBy("var").agg(F.avg("value").alias("m0"))  # a row for each feature
+    d = long.join(F.broadcast(mean), "var").withColumn("d", F.col("value") - F.col("m0"))
+    own = d.groupBy(*by, "fold", "label", "var").agg(F.count(F.lit(1)).alias("n"), F.sum("d").alias("s"), F.sum(F.col("d") * F.col("d")).alias("q"))
+    total = own.groupBy(*by, "label", "var").agg(*[F.sum(c).alias(f"t{c}") for c in "nsq"])
+    folds = own.select(*by, "fold").distinct()
+    left = total.join(folds, by) if by else total.crossJoin(F.broadcast(folds))
+    left = left.join(own, [*by, "fold", "label", "var"], "left").select(*by, "fold", "label", "var", *[(F.col(f"t{c}") - F.coalesce(c, F.lit(0))).alias(c) for c in "nsq"]).where("n > 0")
+    spread = left.groupBy(*by, "fold", "var").agg((F.sum("q") / F.sum("n") - F.pow(F.sum("s") / F.sum("n"), 2)).alias("v"), F.sum("n").alias("all"))
+    widest = spread.groupBy(*by, "fold").agg(F.max("v").alias("widest"), F.max("all").alias("all"))
+    m = F.col("s") / F.col("n")
+    v = F.greatest(F.col("q") / F.col("n") - m * m, F.lit(0.0)) + smoothing * F.col("widest")
+    model = left.join(widest, [*by, "fold"]).select(*by, "fold", F.col("label").alias("class"), "var", m.alias("m"), v.alias("v"), F.log(F.col("n") / F.col("all")).alias("prior"))
+    j = d.select(*by, "id", "fold", "label", "var", "d").join(model, [*by, "fold", "var"])
+    ll = -0.5 * (F.log(2 * math.pi * F.col("v")) + F.pow(F.col("d") - F.col("m"), 2) / F.col("v"))
+    s = j.groupBy(*by, "id", "fold", "label", "class").agg((F.sum(ll) + F.max("prior")).alias("s"))
+    return s.groupBy(*by, "id", "fold", "label").agg(F.max_by("class", F.struct(F.round("s", 6).alias("s"), (-F.col("class")).alias("c"))).alias("y_pred"))
+
+
+def feature_set_ablation(long: DataFrame, sets: dict[str, list[str]]) -> DataFrame:
+    """config, n_features, accuracy, macro_recall and recall of each class over the folds of ``nb_cross_validate``, for named sets of features."""
+    spark = long.sparkSession
+    named = spark.createDataFrame([(k, v) for k, own in sets.items() for v in own], "config string, var string")  # a few rows
+    p = nb_cross_validate(long.join(F.broadcast(named), "var"), ["config"])
+    hit = (F.col("label") == F.col("y_pred")).cast("double")
+    g = p.groupBy("config").agg(F.avg(hit).alias("accuracy"), *[F.coalesce(F.avg(F.when(F.col("label") == k, hit)), F.lit(0.0)).alias(f"recall_{k}") for k in range(3)])
+    n = named.groupBy("config").agg(F.count(F.lit(1)).alias("n_features"))
+    return g.join(F.broadcast(n), "config").select("config", "n_features", "accuracy", ((F.col("recall_0") + F.col("recall_1") + F.col("recall_2")) / 3).alias("macro_recall"), "recall_0", "recall_1", "recall_2")
+
+
+def scenario_ablation(df: DataFrame, columns: list[str], suspect: str, folds: dict[str, str]) -> DataFrame:
+    """cv, full, without, only: accuracy with all columns, without ``suspect`` and with it alone, under every scheme of folds (name: column
+    of df), the differences of the first to the others, and of each scheme's accuracy to that of the first scheme."""
+    schemes = F.explode(F.array(*[F.struct(F.lit(k).alias("cv"), F.col(c).cast("string").alias("fold")) for k, c in folds.items()]))
+    long = long_features(df.withColumn("scheme", schemes).select("id", "label", "scheme.*", *columns), ["id", "label", "cv", "fold"], columns)
+    scenario = F.array(F.lit("full"), F.when(F.col("var") == suspect, F.lit("only")).otherwise(F.lit("without")))
+    p = nb_cross_validate(long.withColumn("scenario", F.explode(scenario)), ["scenario", "cv"])
+    wide = p.groupBy("cv").pivot("scenario", ["full", "without", "only"]).agg(F.avg((F.col("label") == F.col("y_pred")).cast("double")))
+    first = wide.where(F.col("cv") == next(iter(folds))).select(F.col("full").alias("first"))
+    return wide.join(F.broadcast(first)).select(
+        "cv", "full", "without", "only", (F.col("full") - F.col("without")).alias("full_minus_without"), (F.col("full") - F.col("only")).alias("full_minus_only"), (F.col("first") - F.col("full")).alias("first_minus_own")
+    )

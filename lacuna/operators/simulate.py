@@ -80,20 +80,20 @@ def simulate(panel: DataFrame, variant: str | Column, rate: float | Column, seed
     df = panel.withColumns({"rate": F.lit(rate) if isinstance(rate, float) else rate, "way": name})
     df = _figures(df, which).withColumn("u", uniform(seed, _NUMBER))
     ds = W.partitionBy("dataset_id")
-    ranks = {
-        "mcar_fixed": {"by_u": ["u", "row_id"]},
-        "mar_threshold": {"x1_down": [F.desc("x1"), "row_id"]},
-        "mar_rank": {"x1_down": [F.desc("x1"), "row_id"]},
-        "mnar_quantile_threshold": {"x0_down": [F.desc("x0"), "row_id"]},
-        "mnar_tail_censoring": {"x0_down": [F.desc("x0"), "row_id"], "x0_up": ["x0", "row_id"]},
-    }
-    for column, order in {k: v for w in which for k, v in ranks.get(w, {}).items()}.items():
-        df = df.withColumn(column, F.row_number().over(ds.orderBy(*order)))
+    # what a way ranks a dataset's rows by, from the top: one sort for all ways
+    keys = {"mcar_fixed": -F.col("u"), "mar_threshold": F.col("x1"), "mar_rank": F.col("x1"), "mnar_quantile_threshold": F.col("x0"), "mnar_tail_censoring": F.col("x0")}
+    ranked = [w for w in which if w in keys]
+    if ranked:
+        key = F.lit(None).cast("double")
+        for w in ranked:
+            key = F.when(F.col("way") == w, keys[w]).otherwise(key)
+        df = df.withColumn("rank_key", key).withColumn("down", F.row_number().over(ds.orderBy(F.desc("rank_key"), "row_id")))
+    if "mnar_tail_censoring" in which:  # equal values are ranked by row from either end
+        df = df.withColumn("up", F.row_number().over(ds.orderBy("rank_key", "row_id")))
     if "mcar_block" in which:
         df = df.join(_blocks(df.where("way = 'mcar_block'"), seed).withColumn("in_block", F.lit(True)), ["dataset_id", "row_id"], "left")
-    for w, value, down in (("mar_threshold", "x1", "x1_down"), ("mnar_quantile_threshold", "x0", "x0_down")):
-        if w in which:
-            df = df.withColumn(f"cut_{value}", _quantile(value, down, ds))
+    if {"mar_threshold", "mnar_quantile_threshold"} & set(which):
+        df = df.withColumn("cut", _quantile("rank_key", "down", ds))
     rate_, u = F.col("rate"), F.col("u")
     p = F.lit(None).cast("double")
     for w in which:
@@ -113,12 +113,12 @@ def simulate(panel: DataFrame, variant: str | Column, rate: float | Column, seed
     low = F.floor(F.col("n_miss") / 2)
     hits = {
         "mcar_uniform": lambda: u < rate_,
-        "mcar_fixed": lambda: F.col("by_u") <= F.col("n_miss"),
+        "mcar_fixed": lambda: F.col("down") <= F.col("n_miss"),
         "mcar_block": lambda: F.coalesce(F.col("in_block"), F.lit(False)),
-        "mar_threshold": lambda: F.col("x1") >= F.col("cut_x1"),
-        "mar_rank": lambda: F.col("x1_down") <= F.col("n_miss"),
-        "mnar_quantile_threshold": lambda: F.col("x0") >= F.col("cut_x0"),
-        "mnar_tail_censoring": lambda: (F.col("x0_up") <= low) | (F.col("x0_down") <= F.col("n_miss") - low),
+        "mar_threshold": lambda: F.col("x1") >= F.col("cut"),
+        "mar_rank": lambda: F.col("down") <= F.col("n_miss"),
+        "mnar_quantile_threshold": lambda: F.col("x0") >= F.col("cut"),
+        "mnar_tail_censoring": lambda: (F.col("up") <= low) | (F.col("down") <= F.col("n_miss") - low),
     }
     hit = u < F.col("p")
     for w in which:
@@ -154,9 +154,9 @@ def generate_benchmark(panel: DataFrame, seed: int = 42) -> DataFrame:
     )
 
 
-def base_panel(spark: SparkSession, datasets: int, rows: int, seed: int = 42) -> DataFrame:
-    """Complete synthetic panels in [0, 1]: uniform, clipped normal, clipped exponential and Beta(2, 5), in turn."""
-    ids = spark.range(datasets * rows).select((F.col("id") / rows).cast("long").alias("dataset_no"), (F.col("id") % rows + 1).alias("row_id"))
+def base_values(keys: DataFrame, seed: int = 42) -> DataFrame:
+    """Complete synthetic values x0..x4 in [0, 1] for rows of (dataset_id, dataset_no, source_group, row_id): uniform, clipped normal,
+    clipped exponential and Beta(2, 5) datasets in turn."""
     made = {}
     for k in range(5):
         s = seed + 31 * k
@@ -169,4 +169,10 @@ def base_panel(spark: SparkSession, datasets: int, rows: int, seed: int = 42) ->
             .when(F.col("dataset_no") % 4 == 2, clip(-0.3 * F.log(1 - u)))
             .otherwise(beta)
         )
-    return ids.select(F.concat(F.lit("B"), F.col("dataset_no").cast("string")).alias("dataset_id"), "dataset_no", F.lit("base").alias("source_group"), "row_id", *[v.alias(k) for k, v in made.items()])
+    return keys.select("dataset_id", "dataset_no", "source_group", "row_id", *[v.alias(k) for k, v in made.items()])
+
+
+def base_panel(spark: SparkSession, datasets: int, rows: int, seed: int = 42) -> DataFrame:
+    """``datasets`` complete synthetic panels of ``rows`` rows."""
+    ids = spark.range(datasets * rows).select((F.col("id") / rows).cast("long").alias("dataset_no"), (F.col("id") % rows + 1).alias("row_id"))
+    return base_values(ids.select(F.concat(F.lit("B"), F.col("dataset_no").cast("string")).alias("dataset_id"), "dataset_no", F.lit("base").alias("source_group"), "row_id"), seed)

@@ -1,7 +1,9 @@
 """Queries of diagnosis and calibration (TS), with their oracles.
 
-Scores of each dataset come from the masked panel: the chance that X1 tells missing rows, the kurtosis and skew of the observed X0, its distance to the
-filled one; p-values are draws that lean to zero where the mechanism is not MCAR.
+The scores that the rules, posteriors and calibrations work on are measured on the masked panel, without a look at the label.  They are
+those of the protocol that SQL can recompute: Little's test, Levene's, mutual information and the features of X0 as they are, and in the
+places of forests (``pklm_p``, ``auc_*``, ``caafe_auc_self_delta``) the combined Welch tests, the rank statistic of the best predictor, and
+what bins of the filled X0 tell of the mask beyond the best predictor.  ``ts13_validate_datasets`` runs the protocol with its forests.
 """
 
 from __future__ import annotations
@@ -10,61 +12,121 @@ import math
 
 from pyspark.sql import functions as F
 
-from lacuna.functions.rng import uniform_sql
+from lacuna.functions import special
 from lacuna.operators import diagnose as dg
 from lacuna.operators import features as ft
-from lacuna.operators.kernels import auc, with_mask
+from lacuna.operators import tests as ts
+from lacuna.operators.kernels import rank_sums, unpivoted, with_mask
+from lacuna.operators.nearest import mask_mutual_info
+from lacuna.operators.patterns import little_mcar
 from lacuna.sources.stage import derived
 
-from .q_features import MOM, _ks, masked, rounded
+from .q_features import _H, MOM, masked, rounded
+from .sqltests import LEVENE, LITTLE, LONG, MASK_MI, WELCH, normal_two_sided
 from .sqltext import PANEL, r
 
 QUERIES: dict = {}
-_DRAWS = {
-    "little_p": f"CASE WHEN dataset_no % 11 = 3 THEN NULL ELSE power({uniform_sql(61, 'dataset_no')}, CASE WHEN label > 0 THEN 6 ELSE 1 END) END",
-    "pklm_p": f"power({uniform_sql(62, 'dataset_no')}, CASE WHEN label > 0 THEN 4 ELSE 1 END)",
-    "levene_p": f"power({uniform_sql(63, 'dataset_no')}, CASE WHEN label > 0 THEN 5 ELSE 1 END)",
-    "auc_p": uniform_sql(64, "dataset_no"),
-    "auc_z": f"label + 2 * {uniform_sql(65, 'dataset_no')}",
-    "mi_max": f"0.1 * {uniform_sql(66, 'dataset_no')} * CASE WHEN label = 1 THEN 1.0 ELSE 0.6 END",
-    "caafe_auc_self_delta": f"0.1 * {uniform_sql(67, 'dataset_no')} * CASE WHEN label = 2 THEN 1.0 ELSE 0.5 END",
-    "caafe_cond_entropy": f"0.12 * {uniform_sql(68, 'dataset_no')} * CASE WHEN label = 2 THEN 1.0 ELSE 0.5 END",
-    "mwu_p": f"0.2 * {uniform_sql(69, 'dataset_no')}",
-    "auc_complete": f"0.5 + 0.3 * {uniform_sql(70, 'dataset_no')}",
-    "auc_shuffled": f"0.5 + 0.05 * {uniform_sql(71, 'dataset_no')}",
-    "auc_excluded": f"0.5 + 0.3 * {uniform_sql(72, 'dataset_no')}",
-}
-#: Rounded where scores enter thresholds, so that both engines see equal values.
-_COLS = list(_DRAWS)
+DS = ["dataset_id"]
+_VARS = ("x1", "x2", "x3", "x4", "x0f")
+_NAMES_OF = ("little_p", "pklm_p", "levene_p", "auc_obs", "auc_p", "auc_z", "mi_max", "caafe_auc_self_delta", "caafe_kl_density", "caafe_kurt_excess", "caafe_cond_entropy", "corr_x1", "auc_complete", "auc_excluded", "auc_shuffled", "mwu_p")
+
+
+def rank_aucs(df, flag: str = "mask"):
+    """dataset_id, var, auc (of either direction, at least one half), z and p of the rank test, for the predictors and the filled X0."""
+    s = rank_sums(unpivoted(df, _VARS, (*DS, flag)), [*DS, "var"], "value", F.col(flag))
+    n1, n0 = F.col("n1"), F.col("n0")
+    n, u = n1 + n0, F.col("rank_sum") - n1 * (n1 + 1) / 2.0
+    spread = F.sqrt(n1 * n0 / 12.0 * ((n + 1) - F.col("ties") / (n * (n - 1))))
+    return s.where((n1 > 0) & (n0 > 0)).select(*DS, "var", (0.5 + F.abs(u / (n1 * n0) - 0.5)).alias("auc"), F.when(spread > 0, F.abs(u - n1 * n0 / 2.0) / spread).otherwise(0.0).alias("z"))
+
+
+def bin_gains(panel):
+    """dataset_id, var, gain: share of the mask's entropy that five bins of a column explain."""
+    out = None
+    for v in _VARS[:4]:
+        own = ft.cond_entropy(panel, value=v).select(*DS, F.lit(v).alias("var"), F.col("caafe_cond_entropy_X0_mask").alias("gain"))
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 def scores(spark, sf_dir):
     def build():
         m = masked(spark, sf_dir)
         df = with_mask(m)
-        base = m.groupBy("dataset_id").agg(F.max("dataset_no").alias("dataset_no"), F.max("label").alias("label"), F.max("mechanism").alias("true_label"), F.kurtosis("x0").alias("kurt"), F.corr("x1", F.when(F.col("x0").isNull(), 1.0).otherwise(0.0)).alias("corr"))
-        out = base.join(auc(df, ["dataset_id"], "x1", F.col("mask")).select("dataset_id", "auc"), "dataset_id").join(ft.ks_obs_vs_imputed(m), "dataset_id")
-        return out.select(
-            "dataset_id", "dataset_no", "label", "true_label", *[F.round(F.expr(e), 9).alias(k) for k, e in _DRAWS.items()], F.round("auc", 9).alias("auc_obs"),
-            F.round("kurt", 9).alias("caafe_kurt_excess"), F.round(2 * F.col("X0_ks_obs_vs_imputed"), 9).alias("caafe_kl_density"), F.round("corr", 9).alias("corr_x1"),
+        base = m.groupBy(*DS).agg(
+            F.max("dataset_no").alias("dataset_no"), F.max("label").alias("label"), F.max("mechanism").alias("true_label"), F.corr("x1", F.when(F.col("x0").isNull(), 1.0).otherwise(0.0)).alias("corr_x1")
         )
+        aucs = rank_aucs(df)
+        best = aucs.where("var <> 'x0f'").groupBy(*DS).agg(F.max("auc").alias("auc_excluded"), F.max_by("auc", F.struct(F.round("z", 9).alias("z"), "var")).alias("auc_obs"), F.max("z").alias("auc_z"))
+        every = aucs.groupBy(*DS).agg(F.max("auc").alias("auc_complete"))
+        sizes = m.groupBy(*DS).agg(F.count(F.lit(1)).alias("n"))
+        # the mask of the row half a dataset further on, for a mask that means nothing
+        other = df.select(*DS, F.col("row_id").alias("from"), F.col("mask").alias("other"))
+        turned = df.join(sizes, DS).withColumn("from", (F.col("row_id") - 1 + F.floor(F.col("n") / 2)) % F.col("n") + 1).join(other, [*DS, "from"])
+        shuffled = rank_aucs(turned, "other").groupBy(*DS).agg(F.max("auc").alias("auc_shuffled"))
+        gain = bin_gains(m).groupBy(*DS).agg(F.max("gain").alias("best_gain"))
+        own = ft.cond_entropy(m).select(*DS, F.col("caafe_cond_entropy_X0_mask").alias("caafe_cond_entropy"))
+        parts = (
+            little_mcar(m).select(*DS, "little_p"), ts.little_proxy(m).select(*DS, F.col("p").alias("pklm_p")), ts.levene_bonferroni(m).select(*DS, F.col("p").alias("levene_p")),
+            best, every, shuffled, mask_mutual_info(m).select(*DS, "mi_max"), gain, own, ft.kl_density(m), ft.moments(m).select(*DS, F.col("caafe_kurtosis_excess").alias("caafe_kurt_excess")),
+            ts.mannwhitney_pval(m).select(*DS, F.col("X1_mannwhitney_pval").alias("mwu_p")),
+        )
+        out = base
+        for p in parts:
+            out = out.join(p, DS, "left")
+        out = out.withColumn("auc_p", ts._tail(special.normal_two_sided, "auc_z")).withColumn("caafe_auc_self_delta", F.greatest(F.col("caafe_cond_entropy") - F.col("best_gain"), F.lit(0.0)))
+        # rounded where scores enter thresholds, so that both engines see equal values
+        return out.select("dataset_id", "dataset_no", "label", "true_label", *[F.round(c, 5).alias(c) for c in _NAMES_OF])
 
     return derived(spark, sf_dir, "scores", build)
 
 
-SCORES = f"""{PANEL}, {MOM}, {_ks('d', 'dataset_id', 'x0f', '1 - mask', '1')},
-  rk AS (SELECT dataset_id, mask, rank() OVER (PARTITION BY dataset_id ORDER BY x1) + (count(*) OVER (PARTITION BY dataset_id, x1) - 1) / 2.0::DOUBLE AS rk FROM panel),
-  au AS (SELECT dataset_id, (sum(rk) FILTER (mask = 1) - sum(mask) * (sum(mask) + 1) / 2.0::DOUBLE) / (sum(mask) * sum(1 - mask)) AS a FROM rk GROUP BY dataset_id),
+def _auc_sql(out: str, rows: str, flag: str) -> str:
+    union = " UNION ALL ".join(f"SELECT dataset_id, {flag} AS flag, '{v}' AS var, {v} AS value FROM {rows}" for v in _VARS)
+    return f"""{out}_l AS ({union}),
+  {out}_k AS (SELECT *, rank() OVER (PARTITION BY dataset_id, var ORDER BY value) + (count(*) OVER (PARTITION BY dataset_id, var, value) - 1) / 2.0::DOUBLE AS rk, count(*) OVER (PARTITION BY dataset_id, var, value) AS t FROM {out}_l),
+  {out}_u AS (SELECT dataset_id, var, CAST(sum(flag) AS DOUBLE) AS n1, CAST(sum(1 - flag) AS DOUBLE) AS n0, sum(rk) FILTER (flag = 1) - sum(flag) * (sum(flag) + 1) / 2.0::DOUBLE AS u, CAST(sum(t * t - 1) AS DOUBLE) AS ties FROM {out}_k GROUP BY dataset_id, var),
+  {out}_s AS (SELECT *, sqrt(n1 * n0 / 12.0 * ((n1 + n0 + 1) - ties / ((n1 + n0) * (n1 + n0 - 1)))) AS spread FROM {out}_u WHERE n1 > 0 AND n0 > 0),
+  {out} AS (SELECT dataset_id, var, 0.5 + abs(u / (n1 * n0) - 0.5) AS auc, CASE WHEN spread > 0 THEN abs(u - n1 * n0 / 2.0) / spread ELSE 0.0 END AS z, CASE WHEN spread > 0 THEN greatest(abs(u - n1 * n0 / 2.0) - 0.5, 0.0) / spread END AS zc FROM {out}_s)"""
+
+
+def _gain_sql(v: str) -> str:
+    return f"""ge_{v} AS (SELECT dataset_id, min({v}) AS lo, max({v}) AS hi, least(5, count(DISTINCT {v})) AS bins, count(*) AS n, avg(mask) AS p FROM d GROUP BY dataset_id),
+  gb_{v} AS (SELECT dataset_id, n, p, CASE WHEN hi > lo THEN least(floor(({v} - lo) / (hi - lo) * bins), bins - 1) ELSE 0 END AS bin, count(*) AS k, avg(mask) AS pb FROM d JOIN ge_{v} USING (dataset_id) GROUP BY ALL),
+  gain_{v} AS (SELECT dataset_id, CASE WHEN any_value(n) > 10 AND any_value({_H('p')}) > 1e-10 THEN (any_value({_H('p')}) - sum(k / CAST(n AS DOUBLE) * {_H('pb')})) / any_value({_H('p')}) ELSE 0.0 END AS gain FROM gb_{v} GROUP BY dataset_id)"""
+
+
+KL = """ke AS (SELECT *, min(x0f) OVER w AS lo, max(x0f) OVER w AS hi, sum(mask) OVER w AS m, sum(1 - mask) OVER w AS o FROM d WINDOW w AS (PARTITION BY dataset_id)),
+  kb AS (SELECT *, CAST(least(floor((x0f - lo) / (hi + 1e-10 - lo) * 20), 19) AS INT) AS bin FROM ke),
+  kgrid AS (SELECT dataset_id, bin, any_value(m) AS m, any_value(o) AS o FROM (SELECT DISTINCT dataset_id, m, o FROM kb), (SELECT unnest(range(20)) AS bin) GROUP BY dataset_id, bin),
+  kh AS (SELECT g.dataset_id, (coalesce(c.hm, 0) + 1e-10) / (g.m + 2e-9) AS pm, (coalesce(c.ho, 0) + 1e-10) / (g.o + 2e-9) AS po, g.m, g.o FROM kgrid g
+    LEFT JOIN (SELECT dataset_id, bin, sum(mask) AS hm, sum(1 - mask) AS ho FROM kb GROUP BY dataset_id, bin) c USING (dataset_id, bin)),
+  kld AS (SELECT dataset_id, CASE WHEN min(m) < 5 OR min(o) < 5 THEN 0.0 ELSE sum(po * ln(po / pm)) END AS kl FROM kh GROUP BY dataset_id)"""
+
+SCORES = f"""{PANEL}, {MOM}, {LONG}, {LITTLE}, {WELCH}, {LEVENE}, {MASK_MI}, {KL}, {', '.join(map(_gain_sql, _VARS))}, {_auc_sql('au', 'd', 'mask')},
+  sz AS (SELECT dataset_id, count(*) AS n FROM d GROUP BY dataset_id),
+  tu AS (SELECT d.*, o.mask AS other FROM d JOIN sz USING (dataset_id) JOIN d o ON o.dataset_id = d.dataset_id AND o.row_id = (d.row_id - 1 + sz.n // 2) % sz.n + 1),
+  {_auc_sql('as_', 'tu', 'other')},
+  ab AS (SELECT dataset_id, max(auc) FILTER (var <> 'x0f') AS auc_excluded, arg_max(auc, {{'z': round(z, 9), 'v': var}}) FILTER (var <> 'x0f') AS auc_obs, max(z) FILTER (var <> 'x0f') AS auc_z, max(auc) AS auc_complete,
+    max(zc) FILTER (var = 'x1') AS zx1 FROM au GROUP BY dataset_id),
+  ash AS (SELECT dataset_id, max(auc) AS auc_shuffled FROM as_ GROUP BY dataset_id),
   ce AS (SELECT *, x0 - avg(x0) OVER (PARTITION BY dataset_id) AS co FROM panel),
   ba AS (SELECT dataset_id, any_value(dataset_no) AS dataset_no, any_value(label) AS label, any_value(mechanism) AS true_label, avg(power(co, 4)) / power(avg(co * co), 2) - 3 AS kurt, corr(x1, mask) AS cr FROM ce GROUP BY dataset_id),
-  scores AS (SELECT ba.dataset_id, dataset_no, label, true_label, {', '.join(f'round({e}, 9) AS {k_}' for k_, e in _DRAWS.items())}, round(a, 9) AS auc_obs, round(kurt, 9) AS caafe_kurt_excess,
-    round(2 * ks, 9) AS caafe_kl_density, round(cr, 9) AS corr_x1 FROM ba JOIN au USING (dataset_id) JOIN k USING (dataset_id))"""
+  scores AS (SELECT ba.dataset_id, dataset_no, label, true_label, round(little.p, 5) AS little_p, round(welch.p, 5) AS pklm_p, round(levene.p, 5) AS levene_p, round(auc_obs, 5) AS auc_obs,
+    round({normal_two_sided('auc_z')}, 5) AS auc_p, round(auc_z, 5) AS auc_z, round(mi_max, 5) AS mi_max, round(greatest(gain_x0f.gain - greatest({', '.join(f'gain_{v}.gain' for v in _VARS[:4])}), 0.0), 5) AS caafe_auc_self_delta,
+    round(kl, 5) AS caafe_kl_density, round(kurt, 5) AS caafe_kurt_excess, round(gain_x0f.gain, 5) AS caafe_cond_entropy, round(cr, 5) AS corr_x1, round(auc_complete, 5) AS auc_complete, round(auc_excluded, 5) AS auc_excluded,
+    round(auc_shuffled, 5) AS auc_shuffled, round(coalesce({normal_two_sided('zx1')}, 1.0), 5) AS mwu_p
+    FROM ba LEFT JOIN little USING (dataset_id) LEFT JOIN welch USING (dataset_id) LEFT JOIN levene USING (dataset_id) LEFT JOIN ab USING (dataset_id) LEFT JOIN ash USING (dataset_id) LEFT JOIN mask_mi USING (dataset_id)
+    LEFT JOIN kld USING (dataset_id) {' '.join(f'LEFT JOIN gain_{v} ON gain_{v}.dataset_id = ba.dataset_id' for v in _VARS)})"""
 
 
 def add(name, fn, sql):
     QUERIES[name] = (lambda s, d: rounded(fn(s, d)), f"WITH {SCORES}{sql}" if sql.lstrip().startswith(",") else f"WITH {SCORES}\n{sql}")
 
 
+add(
+    "ts_scores", lambda s, d: scores(s, d), f"SELECT dataset_id, dataset_no, label, true_label, {', '.join(f'({c} + 0.0) AS {c}' for c in _NAMES_OF)} FROM scores",
+)
 _REJ = " + ".join(f"CASE WHEN {t} < 0.05 THEN 1 ELSE 0 END" for t in dg.TESTS)
 _VAL = " + ".join(f"CASE WHEN {t} IS NOT NULL THEN 1 ELSE 0 END" for t in dg.TESTS)
 VOTED = f"voted AS (SELECT *, nr >= CASE WHEN nv >= 2 THEN 2 ELSE 1 END AS rejects FROM (SELECT *, {_REJ} AS nr, {_VAL} AS nv FROM scores))"
@@ -99,7 +161,7 @@ def _ll(where: str, h: float) -> str:
   ll AS (SELECT dataset_id, label, any_value(top) + ln(sum(exp(e - top))) - ln(any_value(n)) - {_NORM(h)!r} AS loglik FROM pr JOIN tp USING (dataset_id, label) GROUP BY dataset_id, label)"""
 
 
-_REF = lambda s, d: points(s, d).select("label", F.col("vec").alias("ref"))
+_REF = lambda s, d: dg.calibration(points(s, d))
 add("ts11_kde_loglik", lambda s, d: dg.kde_loglik(points(s, d), _REF(s, d), 1.0), f", {PTS}, {_ll('true', 1.0)} SELECT dataset_id, label, {r('loglik')} AS loglik FROM ll")
 _BAYES = """w AS (SELECT dataset_id, max(loglik) FILTER (label = 'MCAR') AS a, max(loglik) FILTER (label = 'MAR') AS b, max(loglik) FILTER (label = 'MNAR') AS c FROM ll GROUP BY dataset_id),
   x AS (SELECT dataset_id, coalesce(exp(a - greatest(a, b, c)), 0) AS a, coalesce(exp(b - greatest(a, b, c)), 0) AS b, coalesce(exp(c - greatest(a, b, c)), 0) AS c FROM w),

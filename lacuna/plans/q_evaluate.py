@@ -14,6 +14,7 @@ from lacuna.sources import panels
 from lacuna.sources.stage import derived
 
 from .q_features import rounded
+from .sqltests import normal_two_sided
 from .sqltext import r
 
 QUERIES: dict = {}
@@ -69,33 +70,39 @@ add(
     f", a AS (SELECT source_group, config, model, count(*) AS n, avg(CASE WHEN y_true = y_pred THEN 1.0 ELSE 0.0 END) AS acc, {_MODE('y_true')} AS label FROM predictions GROUP BY ALL)"
     f" SELECT source_group, config, model, n, {r('acc')} AS accuracy, label, row_number() OVER (PARTITION BY config, model ORDER BY acc, source_group) AS place FROM a",
 )
+_F1 = " + ".join(f"CASE WHEN s{k} > 0 THEN 2 * h{k} / s{k} ELSE 0.0 END" for k in range(3))
 add(
     "ev4_bootstrap_ci", lambda s, d: ev.bootstrap_ci(predictions(s, d)),
-    f""", a AS (SELECT config, model, count(*) AS n, count(*) FILTER (y_true = y_pred) AS hits FROM predictions GROUP BY config, model),
-  b AS (SELECT *, hits / CAST(n AS DOUBLE) AS p, unnest(range(1, 201)) AS replicate FROM a),
-  c AS (SELECT *, least(greatest(round((p + sqrt(p * (1 - p) / n) * {normal_sql(11, 'replicate')}) * n) / n, 0.0), 1.0) AS v FROM b)
-  SELECT config, model, max(hits) AS hits, max(n) AS n, {r('quantile_cont(v, 0.025)')} AS low, {r('quantile_cont(v, 0.975)')} AS high FROM c GROUP BY config, model""",
+    f""", a AS (SELECT config, model, y_true, y_pred, count(*) AS c, y_true * 3 + y_pred AS cell FROM predictions GROUP BY config, model, y_true, y_pred),
+  b AS (SELECT *, unnest(range(1, 1001)) AS replicate FROM a), e AS (SELECT *, {ev.resampled('c', 'cell', 11)} AS v FROM b),
+  g AS (SELECT config, model, replicate, sum(v) AS n, sum(CASE WHEN y_true = y_pred THEN v ELSE 0 END) AS hits,
+    {', '.join(f'sum(CASE WHEN y_true = {k} AND y_pred = {k} THEN v ELSE 0 END) AS h{k}, sum(CASE WHEN y_true = {k} THEN v ELSE 0 END) + sum(CASE WHEN y_pred = {k} THEN v ELSE 0 END) AS s{k}' for k in range(3))} FROM e GROUP BY config, model, replicate),
+  m AS (SELECT config, model, CASE WHEN n > 0 THEN hits / n ELSE 0.0 END AS acc, ({_F1}) / 3 AS f1 FROM g)
+  SELECT config, model, {', '.join(f'{r(f"quantile_cont({x}, {q})")} AS {name}_{end}' for x, name in (('acc', 'accuracy'), ('f1', 'macro_f1')) for end, q in (('low', 0.025), ('high', 0.975)))} FROM m GROUP BY config, model""",
 )
 _PAIR = "SELECT a.model, a.y_true = a.y_pred AS a, b.y_true = b.y_pred AS b FROM predictions a JOIN predictions b ON a.sample_id = b.sample_id AND a.model = b.model WHERE a.config = 'base' AND b.config = 'full'"
 add(
     "ev5_mcnemar", lambda s, d: ev.mcnemar(predictions(s, d), "base", "full"),
     f", p AS ({_PAIR}), n AS (SELECT model, count(*) FILTER (a AND NOT b) AS b, count(*) FILTER (NOT a AND b) AS c FROM p GROUP BY model)"
-    f" SELECT model, b, c, {r('CASE WHEN b + c > 0 THEN power(abs(b - c) - 1, 2) / (b + c) ELSE 0.0 END')} AS chi2 FROM n",
+    f", x AS (SELECT *, CASE WHEN b + c > 0 THEN power(abs(b - c) - 1, 2) / (b + c) ELSE 0.0 END AS x2 FROM n) SELECT model, b, c, {r('x2')} AS chi2, {r(normal_two_sided('sqrt(x2)'))} AS p FROM x",
 )
 SCORES = "scores AS (SELECT config, model, fold, avg(CASE WHEN y_true = y_pred THEN 1.0::DOUBLE ELSE 0.0 END) AS score FROM predictions GROUP BY config, model, fold)"
 add(
     "ev6_wilcoxon", lambda s, d: ev.wilcoxon(ev.fold_scores(predictions(s, d)), "full", "base"),
     f""", {SCORES}, d AS (SELECT a.model, round(a.score - b.score, 9) AS d FROM scores a JOIN scores b USING (model, fold) WHERE a.config = 'full' AND b.config = 'base'),
-  k AS (SELECT *, rank() OVER (PARTITION BY model ORDER BY abs(d)) + (count(*) OVER (PARTITION BY model, abs(d)) - 1) / 2.0::DOUBLE AS rk FROM d WHERE d <> 0)
-  SELECT model, count(*) AS n, {r('least(sum(CASE WHEN d > 0 THEN rk ELSE 0 END), sum(CASE WHEN d < 0 THEN rk ELSE 0 END))')} AS w FROM k GROUP BY model""",
+  k AS (SELECT *, rank() OVER (PARTITION BY model ORDER BY abs(d)) + (count(*) OVER (PARTITION BY model, abs(d)) - 1) / 2.0::DOUBLE AS rk FROM d WHERE d <> 0),
+  w AS (SELECT model, count(*) AS n, least(sum(CASE WHEN d > 0 THEN rk ELSE 0 END), sum(CASE WHEN d < 0 THEN rk ELSE 0 END)) AS w FROM k GROUP BY model),
+  signs AS (SELECT model, any_value(w) AS w, any_value(n) AS n, s, sum(CASE WHEN (s >> (i - 1)) & 1 = 1 THEN i ELSE 0 END) AS total FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM (SELECT *, unnest(range(CAST(power(2, n) AS BIGINT))) AS s FROM w)) GROUP BY model, s)
+  SELECT model, any_value(n) AS n, {r('any_value(w)')} AS w, {r('least(1.0, 2 * count(*) FILTER (total <= floor(w)) / power(2, any_value(n)))')} AS p FROM signs GROUP BY model""",
 )
 add(
     "ev7_friedman", lambda s, d: ev.friedman(ev.fold_scores(predictions(s, d))),
     f""", {SCORES}, s AS (SELECT config, fold, model, round(score, 9) AS score FROM scores),
   k AS (SELECT *, rank() OVER (PARTITION BY config, fold ORDER BY score) + (count(*) OVER (PARTITION BY config, fold, score) - 1) / 2.0::DOUBLE AS rk FROM s),
   t AS (SELECT CAST(sum(t * t * t - t) AS DOUBLE) AS ties FROM (SELECT count(*) AS t FROM s GROUP BY config, fold, score)),
-  m AS (SELECT count(*) AS k, max(n) AS n, sum(rs * rs) AS sq FROM (SELECT model, sum(rk) AS rs, count(*) AS n FROM k GROUP BY model))
-  SELECT k, n AS blocks, {r('(12.0 / (n * k * (k + 1)) * sq - 3 * n * (k + 1)) / (1 - ties / (n * k * (k * k - 1)))')} AS statistic FROM m, t""",
+  m AS (SELECT count(*) AS k, max(n) AS n, sum(rs * rs) AS sq FROM (SELECT model, sum(rk) AS rs, count(*) AS n FROM k GROUP BY model)),
+  x AS (SELECT k, n, (12.0 / (n * k * (k + 1)) * sq - 3 * n * (k + 1)) / (1 - ties / (n * k * (k * k - 1))) AS x FROM m, t)
+  SELECT k, n AS blocks, {r('x')} AS statistic, {r(f"{normal_two_sided('sqrt(x.x)')} + sqrt(2 * x.x / pi()) * exp(-x.x / 2)")} AS p FROM x""",
 )
 _ACC = lambda c: f"avg(CASE WHEN y_true = y_pred THEN 1.0::DOUBLE ELSE 0.0 END) FILTER (config = '{c}')"
 add(
@@ -146,10 +153,19 @@ add(
     f", {_ONE} SELECT sample_id, y_true, CAST((row_number() OVER (PARTITION BY y_true ORDER BY {uniform_sql(6, 'sample_id')}, sample_id) - 1) % 5 AS INT) AS fold FROM one",
 )
 add(
-    "ml14_leave_one_group_out",
-    lambda s, d: ev.leave_one_group_out(one(s, d).drop("fold"), "source_group").groupBy("fold").agg(F.count_if("test").alias("n_test"), F.count_if(~F.col("test")).alias("n_train"), F.count_distinct(F.when(~F.col("test"), F.col("source_group"))).alias("train_groups")),
+    "ml14_leave_one_group_out", lambda s, d: ev.fold_sizes(ev.leave_one_group_out(one(s, d).drop("fold"), "source_group")),
     f", {_ONE}, f AS (SELECT DISTINCT source_group AS fd FROM one) SELECT fd AS fold, count(*) FILTER (source_group = fd) AS n_test, count(*) FILTER (source_group <> fd) AS n_train, count(DISTINCT source_group) FILTER (source_group <> fd) AS train_groups FROM one, f GROUP BY fd",
 )
+add(
+    "ml12_repeated_kfold", lambda s, d: ev.stratified_kfold(one(s, d).drop("fold"), "y_true", "sample_id", repeats=3).select("sample_id", "repeat", "fold"),
+    ", " + _ONE + " " + " UNION ALL ".join(f"SELECT sample_id, {k} AS repeat, CAST((row_number() OVER (PARTITION BY y_true ORDER BY {uniform_sql(6 + 101 * k, 'sample_id')}, sample_id) - 1) % 5 AS INT) AS fold FROM one" for k in range(3)),
+)
+add("ml12_leave_one_out", lambda s, d: ev.leave_one_out(one(s, d).drop("fold"), "sample_id").select("sample_id", "fold"), f", {_ONE} SELECT sample_id, sample_id AS fold FROM one")
+add(
+    "ml13_group_kfold", lambda s, d: ev.group_kfold(one(s, d).drop("fold"), "source_group").select("sample_id", "source_group", "fold"),
+    f""", {_ONE}, g AS (SELECT source_group, (row_number() OVER (ORDER BY count(*) DESC, source_group) - 1) % 10 AS pos FROM one GROUP BY source_group)
+  SELECT sample_id, source_group, CAST(CASE WHEN pos < 5 THEN pos ELSE 9 - pos END AS INT) AS fold FROM one JOIN g USING (source_group)""",
+)
 
 
 def two_level(s, d):

@@ -4,16 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lacuna.functions.rng import normal_sql, row_number_sql, uniform_sql
 from lacuna.operators import features as ft
 from lacuna.operators import profiles as pf
+from lacuna.operators import residuals as rs
 from lacuna.operators import simulate as sim
 from lacuna.operators.kernels import zero_safe
 from lacuna.sources import panels
 from lacuna.sources.stage import derived
 
+from .sqltests import least_squares
 from .sqltext import P1_CORRELATED, P1_PLAIN, P2, on_panel, r, simulated
 
 QUERIES: dict = {}
+_NUM = row_number_sql()
 
 
 def rounded(df, digits: int = 6):
@@ -47,6 +51,13 @@ QUERIES["sim14_generate_benchmark"] = (
     on_panel("SELECT dataset_id, row_id, x0, variant, mechanism, label FROM panel"),
 )
 
+_B = lambda k, s: f"""CASE WHEN dataset_no % 4 = 0 THEN {uniform_sql(s, _NUM)} WHEN dataset_no % 4 = 1 THEN least(greatest(0.5 + 0.15 * {normal_sql(s, _NUM)}, 0.0), 1.0)
+    WHEN dataset_no % 4 = 2 THEN least(greatest(-0.3 * ln(1 - {uniform_sql(s, _NUM)}), 0.0), 1.0) ELSE list_sort([{', '.join(uniform_sql(s + 200 + j, _NUM) for j in range(6))}])[2] END"""
+QUERIES["sim1_base_panel"] = (
+    lambda s, d: rounded(sim.base_values(complete(s, d)).select("dataset_id", "row_id", *[f"x{k}" for k in range(5)])),
+    f"WITH {P1_PLAIN} SELECT dataset_id, row_id, {', '.join(f'{r(_B(k, 42 + 31 * k))} AS x{k}' for k in range(5))} FROM p1",
+)
+
 # ---- features ------------------------------------------------------------------------------
 
 MOM = """d AS (SELECT *, coalesce(x0, median(x0) OVER (PARTITION BY dataset_id)) AS x0f FROM panel)"""
@@ -130,6 +141,31 @@ on_masked(
   FROM s LEFT JOIN u USING (dataset_id)""",
 )
 
+QUERIES["ft29_30_residual_dependence"] = (
+    lambda s, d: rounded(rs.residual_dependence(masked(s, d)), 4),
+    on_panel(f""", {MOM}, {least_squares('ls', 'd', {'x': 'x0f', 'm': 'mask'})},
+  re AS (SELECT d.dataset_id, mask, round(x0f - (base_x + x1 * b1_x + x2 * b2_x + x3 * b3_x + x4 * b4_x), 6) AS a, round(mask - (base_m + x1 * b1_m + x2 * b2_m + x3 * b3_m + x4 * b4_m), 9) AS b FROM d JOIN ls USING (dataset_id)),
+  rr AS (SELECT *, rank() OVER (PARTITION BY dataset_id ORDER BY a) + (count(*) OVER (PARTITION BY dataset_id, a) - 1) / 2.0::DOUBLE AS ra, rank() OVER (PARTITION BY dataset_id ORDER BY b) + (count(*) OVER (PARTITION BY dataset_id, b) - 1) / 2.0::DOUBLE AS rb FROM re)
+  SELECT dataset_id, {r('CASE WHEN count(*) >= 20 AND sum(mask) >= 5 THEN abs(corr(a, b)) ELSE 0.0 END', 4)} AS "adv_partial_dcor_X0_mask", {r('CASE WHEN count(*) >= 20 AND sum(mask) >= 5 THEN abs(corr(ra, rb)) ELSE 0.0 END', 4)} AS "adv_residual_spearman_X0_mask" FROM rr GROUP BY dataset_id"""),
+)
+QUERIES["ft26_28_imputation_divergence"] = (lambda s, d: rounded(rs.imputation_divergence(correlated(s, d))), None)
+_CORRELATED = f"WITH {P1_CORRELATED}, {simulated('p1', 'masked', repr('mnar_self_logistic'), 'CAST(0.2 AS DOUBLE)', 9)}, panel AS (SELECT *, CASE WHEN x0 IS NULL THEN 1 ELSE 0 END AS mask FROM masked)"
+
+
+def correlated(spark, sf_dir):
+    """The panel whose X0 follows a predictor, a fifth of it missing by its own value."""
+    return derived(spark, sf_dir, "p1c_masked", lambda: sim.simulate(panels.lineitem_panel(spark, sf_dir, correlated=True), "mnar_self_logistic", 0.2, 9))
+
+
+QUERIES["pf6_regression_quartile_rates"] = (
+    lambda s, d: rounded(rs.regression_quartile_rates(correlated(s, d)), 4),
+    f"""{_CORRELATED}, {MOM}, ob AS (SELECT * FROM d WHERE x0 IS NOT NULL), {least_squares('ls', 'ob', {'x': 'x0'})},
+  es AS (SELECT d.dataset_id, mask, r2_x, coalesce(x0, base_x + x1 * b1_x + x2 * b2_x + x3 * b3_x + x4 * b4_x) AS e FROM d JOIN ls USING (dataset_id)),
+  q AS (SELECT dataset_id, quantile_cont(e, 0.25) AS a, quantile_cont(e, 0.5) AS b, quantile_cont(e, 0.75) AS c, avg(mask) AS rate, CASE WHEN sum(mask) > 0 THEN round(max(r2_x), 4) ELSE 0.0 END AS r2 FROM es GROUP BY dataset_id),
+  pt AS (SELECT es.dataset_id, mask, rate, r2, CASE WHEN e < a THEN 1 WHEN e < b THEN 2 WHEN e < c THEN 3 ELSE 4 END AS part FROM es JOIN q USING (dataset_id))
+  SELECT dataset_id, {r('any_value(r2)', 4)} AS x0_imputation_r2, {', '.join(f"{r(f'CASE WHEN any_value(r2) >= 0.1 THEN coalesce(avg(CASE WHEN part = {k} THEN mask END), 0.0) ELSE any_value(rate) END', 4)} AS q{k}_rate" for k in range(1, 5))} FROM pt GROUP BY dataset_id""",
+)
+
 R6A = r('avg(len) FILTER (mask = 1)')
 R6B = r('count(*) / (2 * sum(len) FILTER (mask = 1) * (sum(len) - sum(len) FILTER (mask = 1)) / CAST(sum(len) AS DOUBLE) + 1)')
 

@@ -15,7 +15,8 @@ from lacuna.operators import tests as ts
 from lacuna.sources import panels
 from lacuna.sources.stage import derived
 
-from .q_features import _LONG, MOM, masked, rounded
+from .q_features import _LONG, MOM, _ks, masked, rounded
+from .sqltests import LEVENE, LONG, WELCH, kolmogorov, mutual_information, normal_two_sided, t_two_sided
 from .sqltext import on_panel, r
 
 QUERIES: dict = {}
@@ -122,12 +123,33 @@ on_masked(
     f""", {MOM}, {_LONG}, c AS (SELECT dataset_id, var, corr(value, mask) AS cr FROM long GROUP BY dataset_id, var)
   SELECT dataset_id, arg_max(var, {{'r': round(abs(cr), 9), 'v': var}}) AS var, {r('max(abs(cr))')} AS r FROM c WHERE NOT isnan(cr) GROUP BY dataset_id""",
 )
-QUERIES["ts2_little_proxy"] = (lambda s, d: ts.little_proxy(masked(s, d)), None)
-QUERIES["ts3_levene_bonferroni"] = (lambda s, d: ts.levene_bonferroni(masked(s, d)), None)
-QUERIES["ft7_log_pval_x1_mask"] = (lambda s, d: ts.log_pval_x1(masked(s, d)), None)
-QUERIES["ft9_mannwhitney_pval"] = (lambda s, d: ts.mannwhitney_pval(masked(s, d)), None)
-QUERIES["ts16_mnar_ks_test"] = (lambda s, d: ts.mnar_ks_test(masked(s, d)), None)
-QUERIES["pf8_normality_ks"] = (lambda s, d: ts.normality_ks(masked(s, d)), None)
+on_masked("ts2_little_proxy", ts.little_proxy, f", {MOM}, {LONG}, {WELCH} SELECT dataset_id, tests, {r('p')} AS p FROM welch")
+on_masked("ts3_levene_bonferroni", ts.levene_bonferroni, f", {MOM}, {LONG}, {LEVENE} SELECT dataset_id, tests, {r('p')} AS p FROM levene")
+on_masked(
+    "ft7_log_pval_x1_mask", ts.log_pval_x1,
+    f""", c AS (SELECT dataset_id, corr(mask, x1) AS cr, CAST(count(*) - 2 AS DOUBLE) AS df FROM panel GROUP BY dataset_id), t AS (SELECT *, abs(cr) * sqrt(df / greatest(1 - cr * cr, 1e-300)) AS t FROM c)
+  SELECT dataset_id, {r(f"CASE WHEN isnan(cr) THEN 0.0 ELSE -log10(greatest({t_two_sided('t', 'df')}, 1e-100)) END")} AS "log_pval_X1_mask" FROM t""",
+)
+on_masked(
+    "ft9_mannwhitney_pval", ts.mannwhitney_pval,
+    f""", k AS (SELECT dataset_id, mask, rank() OVER (PARTITION BY dataset_id ORDER BY x1) + (count(*) OVER (PARTITION BY dataset_id, x1) - 1) / 2.0::DOUBLE AS rk, count(*) OVER (PARTITION BY dataset_id, x1) AS t FROM panel),
+  u AS (SELECT dataset_id, CAST(sum(mask) AS DOUBLE) AS n1, CAST(sum(1 - mask) AS DOUBLE) AS n0, sum(rk) FILTER (mask = 1) - sum(mask) * (sum(mask) + 1) / 2.0::DOUBLE AS u, CAST(sum(t * t - 1) AS DOUBLE) AS ties FROM k GROUP BY dataset_id),
+  z AS (SELECT dataset_id, greatest(abs(u - n1 * n0 / 2) - 0.5, 0.0) / sqrt(n1 * n0 / 12.0 * ((n1 + n0 + 1) - ties / ((n1 + n0) * (n1 + n0 - 1)))) AS z FROM u)
+  SELECT dataset_id, {r(f"coalesce({normal_two_sided('z')}, 1.0)")} AS "X1_mannwhitney_pval" FROM z""",
+)
+on_masked(
+    "ts16_mnar_ks_test", ts.mnar_ks_test,
+    f""", {MOM}, {_ks('d', 'dataset_id', 'x0f', '1 - mask', '1')}, e AS (SELECT dataset_id, CASE WHEN na >= 10 AND nb - na >= 3 THEN ks END AS ks, na * nb / (na + nb) AS n FROM k)
+  SELECT dataset_id, {r('ks')} AS ks, CASE WHEN ks IS NOT NULL THEN {r(kolmogorov('ks', 'n'))} END AS p FROM e""",
+)
+on_masked(
+    "pf8_normality_ks", ts.normality_ks,
+    f""", o AS (SELECT dataset_id, x0, avg(x0) OVER w AS m, greatest(stddev_pop(x0) OVER w, 1e-10) AS s, count(*) OVER w AS n FROM panel WHERE x0 IS NOT NULL WINDOW w AS (PARTITION BY dataset_id)),
+  v AS (SELECT dataset_id, x0, any_value((x0 - m) / s) AS z, any_value(n) AS n, count(*) AS k FROM o WHERE n > 20 GROUP BY dataset_id, x0),
+  c AS (SELECT *, sum(k) OVER (PARTITION BY dataset_id ORDER BY x0) AS upto, CASE WHEN z > 0 THEN 1 - {normal_two_sided('z')} / 2 ELSE {normal_two_sided('z')} / 2 END AS cdf FROM v),
+  g AS (SELECT dataset_id, CAST(any_value(n) AS DOUBLE) AS n, max(greatest(upto / CAST(n AS DOUBLE) - cdf, cdf - (upto - k) / CAST(n AS DOUBLE))) AS ks FROM c GROUP BY dataset_id)
+  SELECT dataset_id, {r('ks')} AS ks, {r(kolmogorov('ks', 'n'))} AS p FROM g""",
+)
 
 
 def _linear(s, d):
@@ -158,12 +180,12 @@ def _classify(kind):
         from lacuna.operators import classify
 
         train, test = _split(s, d)
-        return rounded(classify.predict(classify.fit(train, _COLUMNS, kind), test))
+        return rounded(classify.fit_predict(train, test, _COLUMNS, kind))
 
     return query
 
 
-for _i, _kind in ((6, "forest"), (7, "logistic"), (8, "perceptron"), (9, "boosting"), (10, "linear_svm")):
+for _i, _kind in ((6, "forest"), (7, "logistic"), (8, "perceptron"), (9, "boosting"), (10, "linear_svm"), (10, "rbf_svm")):
     QUERIES[f"ml{_i}_{_kind}"] = (_classify(_kind), None)
 
 
@@ -181,24 +203,15 @@ QUERIES["ml25_feature_importance"] = (_ml("feature_importance"), None)
 
 
 def _cv(s, d):
-    from lacuna.operators import classify
+    from lacuna.operators import classify, evaluate
 
-    return rounded(classify.cross_validate(features(s, d).withColumn("fold", (F.col("id") % 3).cast("int")), ["draw", "customer"], "logistic", 3))
+    folds = evaluate.stratified_kfold(features(s, d), "label", "id", 3)
+    return rounded(classify.cross_validate(folds, ["draw", "customer"], "logistic", 3))
 
 
 QUERIES["ml15_cross_validate"] = (_cv, None)
 
 
-def _group_folds(s, d):
-    from lacuna.operators import classify
-
-    df = panels.read(s, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 25).alias("grp"))
-    return classify.group_kfold(df, "grp")
-
-
-QUERIES["ml13_group_kfold"] = (_group_folds, None)
-
-
 def _hierarchical(s, d):
     from lacuna.operators import classify, evaluate
 
@@ -222,20 +235,171 @@ QUERIES["ml22_weighted_fit"] = (_weighted, None)
 
 def _out_of_sample(s, d):
     """Probabilities of every order by models that have not seen its customer."""
-    from lacuna.operators import classify
+    from lacuna.operators import classify, evaluate
 
     groups = panels.read(s, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 25).alias("grp"))
-    df = classify.group_kfold(features(s, d).join(groups, "id"), "grp", 3)
+    df = evaluate.group_kfold(features(s, d).join(groups, "id"), "grp", 3)
     return rounded(classify.cross_validate(df, _COLUMNS, "logistic", 3))
 
 
 QUERIES["lq1_out_of_sample_probs"] = (_out_of_sample, None)
 
 
-def _wide(s, d):
-    from lacuna.operators import features as ft
+def feature_matrix(s, d):
+    """The features of every masked dataset, with its label and a number as id."""
+
+    def build():
+        from lacuna.operators import features as ft
+
+        ids = masked(s, d).groupBy("dataset_id").agg(F.max("dataset_no").alias("id"))
+        return ft.extract_features(masked(s, d)).join(ids, "dataset_id")
+
+    return derived(s, d, "feature_matrix", build)
+
+
+def _names(df):
+    return [c for c, t in df.dtypes if t == "double"]
+
+
+QUERIES["ft33_extract_features"] = (lambda s, d: rounded(feature_matrix(s, d).drop("id")), None)
+
+# ---- neighbours, balancing, calibration, search ----------------------------------------------------
+
+_KNN_TRAIN = f"tr AS (SELECT * FROM feat WHERE id % 5 <> 0), st AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}' for c in _COLUMNS)} FROM tr)"
+_Z = ", ".join(f"CASE WHEN s_{c} > 1e-12 THEN ({c} - m_{c}) / s_{c} ELSE 0.0 END AS {c}" for c in _COLUMNS)
+
+
+def _knn(s, d):
+    from lacuna.operators import classify
+
+    train, test = _split(s, d)
+    return classify.knn_classify(train, test, _COLUMNS)
+
+
+add(
+    "ml5_knn_classify", _knn,
+    f""", {_KNN_TRAIN}, rf AS (SELECT id, label, {_Z} FROM tr, st WHERE {uniform_sql(91, 'id')} < 2000.0 / (SELECT count(*) FROM tr)), te AS (SELECT id, label, {_Z} FROM feat, st WHERE id % 5 = 0),
+  pr AS (SELECT te.id, te.label, rf.label AS near, row_number() OVER (PARTITION BY te.id ORDER BY round({' + '.join(f'power(te.{c} - rf.{c}, 2)' for c in _COLUMNS)}, 9), rf.id) AS k FROM te, rf),
+  vo AS (SELECT id, any_value(label) AS label, {', '.join(f'count(*) FILTER (near = {k}) AS v{k}' for k in range(3))} FROM pr WHERE k <= 5 GROUP BY id)
+  SELECT id, label, CASE WHEN v0 >= v1 AND v0 >= v2 THEN 0 WHEN v1 >= v2 THEN 1 ELSE 2 END AS y_pred FROM vo""",
+)
+
+
+def priorities(s, d):
+    """Order features with the order's priority as an uneven label: urgent, high, others."""
+    urgency = F.when(F.col("o_orderpriority").startswith("1"), 2).when(F.col("o_orderpriority").startswith("2"), 1).otherwise(0)
+    label = panels.read(s, d, "orders").select(F.col("o_orderkey").alias("id"), urgency.alias("label"))
+    return features(s, d).drop("label").join(label, "id")
+
+
+def _balanced(method):
+    def query(s, d):
+        from lacuna.operators import classify
+
+        df = priorities(s, d)
+        return rounded({"smote": lambda: classify.smote(df, _COLUMNS), "borderline": lambda: classify.smote(df, _COLUMNS, borderline=True)}.get(method, lambda: classify.smote_clean(df, _COLUMNS, method))())
+
+    return query
+
+
+for _name, _method in (("ml16_smote", "smote"), ("ml17_smote_borderline", "borderline"), ("ml17_smote_enn", "enn"), ("ml17_smote_tomek", "tomek")):
+    QUERIES[_name] = (_balanced(_method), None)
+_PRIORITY = "pri AS (SELECT o_orderkey AS id, CAST(CASE WHEN o_orderpriority LIKE '1%' THEN 2 WHEN o_orderpriority LIKE '2%' THEN 1 ELSE 0 END AS INT) AS label FROM orders)"
+QUERIES["ml17_undersample"] = (
+    lambda s, d: _balanced("under")(s, d).select("id", "label"),
+    f"WITH {_PRIORITY}, k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {uniform_sql(74, 'id')}, id) AS place FROM pri) SELECT id, label FROM k WHERE place <= (SELECT min(n) FROM (SELECT count(*) AS n FROM pri GROUP BY label))",
+)
+
+
+def _platt(s, d):
+    from lacuna.operators import classify, evaluate
+
+    train, test = _split(s, d)
+    return rounded(classify.platt_calibrate(evaluate.stratified_kfold(train, "label", "id", 3), test, ["price", "draw"], "forest", 3))
+
+
+def _search(s, d):
+    from lacuna.operators import classify, evaluate
+
+    df = feature_matrix(s, d)
+    return rounded(classify.hyperparameter_search(evaluate.group_kfold(df, "source_group", 3), _names(df), trials=6))
+
+
+QUERIES["ml21_platt_calibrate"] = (_platt, None)
+QUERIES["ml23_hyperparameter_search"] = (_search, None)
+
+# ---- relevance by models, ablations -----------------------------------------------------------------
+
+
+def _permutation(s, d):
+    from lacuna.operators import classify
+
+    train, test = _split(s, d)
+    return rounded(classify.permutation_importance(classify.fit(train, _COLUMNS, "forest"), test, _COLUMNS))
+
 
-    return rounded(ft.extract_features(masked(s, d)))
+def _rfe(s, d):
+    from lacuna.operators import classify
+
+    df = feature_matrix(s, d)
+    return classify.recursive_elimination(df, _names(df))
+
+
+def _shift(s, d):
+    from lacuna.operators import classify
+
+    train, test = _split(s, d)
+    return rounded(classify.level_importance_shift(train, test, _COLUMNS, 5))
+
+
+QUERIES["fr2_permutation_importance"] = (_permutation, None)
+QUERIES["fr5_recursive_elimination"] = (_rfe, None)
+QUERIES["fr9_level_importance_shift"] = (_shift, None)
+
+
+def _feature_mi(s, d):
+    from lacuna.operators import nearest
 
+    return nearest.feature_mutual_info(long(s, d))
 
-QUERIES["ft33_extract_features"] = (_wide, None)
+
+add("fr3_mutual_information", _feature_mi, f", {mutual_information('fm', 'lf', 'var', 'id', 'label')} SELECT var, {r('mi')} AS mi, fm.mi < 0.01 AS low FROM fm")
+
+
+def folded(s, d):
+    """Order features with folds of their own and of whole customer groups."""
+    groups = panels.read(s, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 25).alias("own_group"), (F.col("o_custkey") % 5).alias("five"))
+    return features(s, d).join(groups, "id")
+
+
+def _nb(out: str, rows: str, by: str) -> str:
+    """CTEs that end in ``out`` (by, id, fold, label, y_pred); rows: by, id, fold, label, var, value."""
+    b, on = (f"{by}, ", lambda x, y, keys: " AND ".join(f"{x}.{k.strip()} = {y}.{k.strip()}" for k in keys.split(",")))
+    return f"""{out}_0 AS (SELECT var, avg(value) AS m0 FROM {rows} GROUP BY var), {out}_d AS (SELECT {rows}.*, value - m0 AS dv FROM {rows} JOIN {out}_0 USING (var)),
+  {out}_o AS (SELECT {b}fold, label, var, count(*) AS n, sum(dv) AS s, sum(dv * dv) AS q FROM {out}_d GROUP BY {b}fold, label, var),
+  {out}_t AS (SELECT {b}label, var, sum(n) AS n, sum(s) AS s, sum(q) AS q FROM {out}_o GROUP BY {b}label, var), {out}_f AS (SELECT DISTINCT {b}fold FROM {out}_o),
+  {out}_l AS (SELECT {', '.join(f't.{k.strip()}' for k in by.split(','))}, f.fold, t.label, t.var, CAST(t.n - coalesce(o.n, 0) AS DOUBLE) AS n, t.s - coalesce(o.s, 0) AS s, t.q - coalesce(o.q, 0) AS q FROM {out}_t t JOIN {out}_f f ON {on('t', 'f', by)}
+    LEFT JOIN {out}_o o ON {on('t', 'o', by + ', label, var')} AND o.fold = f.fold WHERE t.n - coalesce(o.n, 0) > 0),
+  {out}_s AS (SELECT {b}fold, max(v) AS widest, max(alln) AS alln FROM (SELECT {b}fold, var, sum(q) / sum(n) - power(sum(s) / sum(n), 2) AS v, sum(n) AS alln FROM {out}_l GROUP BY {b}fold, var) GROUP BY {b}fold),
+  {out}_m AS (SELECT {out}_l.*, s / n AS m, greatest(q / n - (s / n) * (s / n), 0.0) + 1e-9 * widest AS v, ln(n / alln) AS prior FROM {out}_l JOIN {out}_s USING ({b}fold)),
+  {out}_e AS (SELECT {', '.join(f'd.{k.strip()}' for k in by.split(','))}, d.id, d.fold, d.label, m.label AS class, sum(-0.5 * (ln({2 * math.pi!r} * v) + power(dv - m, 2) / v)) + max(prior) AS s FROM {out}_d d JOIN {out}_m m ON {on('d', 'm', by + ', fold, var')} GROUP BY ALL),
+  {out} AS (SELECT {b}id, fold, label, arg_max(class, {{'s': round(s, 6), 'c': -class}}) AS y_pred FROM {out}_e GROUP BY {b}id, fold, label)"""
+
+
+_SETS = {"E1": ["price"], "E2": ["price", "draw"], "E3": ["price", "draw", "customer"], "E4": list(_COLUMNS)}
+_HIT = "CASE WHEN label = y_pred THEN 1.0::DOUBLE ELSE 0.0 END"
+_RECALL = lambda k: f"coalesce(avg({_HIT}) FILTER (label = {k}), 0.0)"
+add(
+    "ev8_feature_set_ablation",
+    lambda s, d: fr.feature_set_ablation(fr.long_features(folded(s, d).withColumnRenamed("five", "fold"), ["id", "label", "fold"], _COLUMNS), _SETS),
+    f""", sets(config, var) AS (VALUES {', '.join(f"('{k}', '{v}')" for k, own in _SETS.items() for v in own)}), ab AS (SELECT config, lf.id, o_custkey % 5 AS fold, label, lf.var, value FROM lf JOIN orders ON o_orderkey = lf.id JOIN sets ON sets.var = lf.var),
+  {_nb('nb', 'ab', 'config')}, n AS (SELECT config, count(*) AS n_features FROM sets GROUP BY config)
+  SELECT nb.config, any_value(n_features) AS n_features, {r(f'avg({_HIT})')} AS accuracy, {r(f'({" + ".join(map(_RECALL, range(3)))}) / 3')} AS macro_recall, {', '.join(f'{r(_RECALL(k))} AS recall_{k}' for k in range(3))} FROM nb JOIN n ON n.config = nb.config GROUP BY nb.config""",
+)
+add(
+    "ev9_scenario_ablation", lambda s, d: fr.scenario_ablation(folded(s, d), _COLUMNS, "price", {"group5": "five", "leave_one_group_out": "own_group"}),
+    f""", sl AS (SELECT cv, scenario, lf.id, CASE cv WHEN 'group5' THEN o_custkey % 5 ELSE o_custkey % 25 END AS fold, label, var, value FROM lf JOIN orders ON o_orderkey = lf.id, (SELECT unnest(['group5', 'leave_one_group_out']) AS cv), (SELECT unnest(['full', 'without', 'only']) AS scenario)
+    WHERE scenario = 'full' OR (scenario = 'only') = (var = 'price')), {_nb('nb', 'sl', 'scenario, cv')},
+  w AS (SELECT cv, {', '.join(f"avg({_HIT}) FILTER (scenario = '{x}') AS a_{x}" for x in ('full', 'without', 'only'))} FROM nb GROUP BY cv)
+  SELECT cv, {', '.join(f'{r(f"a_{x}")} AS "{x}"' for x in ('full', 'without', 'only'))}, {r('a_full - a_without')} AS full_minus_without, {r('a_full - a_only')} AS full_minus_only, {r("(SELECT a_full FROM w WHERE cv = 'group5') - a_full")} AS first_minus_own FROM w""",
+)

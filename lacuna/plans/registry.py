@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import q_diagnose, q_evaluate, q_features, q_prepare, q_relevance
+from . import q_diagnose, q_evaluate, q_features, q_prepare, q_relevance, q_validate
 
-_MODULES = (q_features, q_prepare, q_evaluate, q_diagnose, q_relevance)
+_MODULES = (q_features, q_prepare, q_evaluate, q_diagnose, q_relevance, q_validate)
 
 
 def queries():

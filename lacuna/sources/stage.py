@@ -12,10 +12,13 @@ _DERIVED: dict[tuple, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a temporary one only where none is set."""
+    """The cluster's shared folder (``spark.checkpoint.dir``); a temporary one only where Spark runs in one process."""
     got = spark.conf.get("spark.checkpoint.dir", None)
     if got:
         return got.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     key = (spark.sparkContext.applicationId, "shared")
     if key not in _DERIVED:
         _DERIVED[key] = tempfile.mkdtemp(prefix="spark-checkpoint-")
@@ -23,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    path = f"{shared_dir(df.sparkSession)}/lacuna-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/lacuna-{df.sparkSession.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -32,7 +35,7 @@ def derived(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Dat
     """A table that Spark derives from the given ones, written once for each application."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _DERIVED:
-        path = f"{shared_dir(spark)}/lacuna-{name}-{uuid.uuid4().hex}"
+        path = f"{shared_dir(spark)}/lacuna-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
         build().write.parquet(path)
         _DERIVED[key] = path
     return spark.read.parquet(_DERIVED[key])
