@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,8 @@ WINDOW, MEAN_CHUNK = 16, 1024
 CHUNK_BITS, LEAST_BITS, MOST_BITS, FILTER_HASHES, STEPS = 16, 1 << 16, 1 << 28, 3, 4
 #: Words of a chunk that a join may take before the chunk is given up, and characters beside it that are encoded anew.
 REPAIR_WORDS, REPAIR_CHARS = 8, 64
+#: Joins that a task remembers.
+MEMO_JOINS = 50_000
 #: White space between words (not a part of any token).
 WHITE = " \t\n\r"
 _SPACE = re.compile(f"[{WHITE}]")
@@ -126,43 +129,56 @@ def n_ids(ids: bytes) -> int:
     return len(ids) // 4
 
 
-def front_join(text: str, begin: int, start: int, chunk: str, one: WordEncoder) -> int | None:
-    """Where a chunk's own ids hold after its start: the place of the first white space up to which encoding anew agrees with the chunk's words."""
-    if not start or text[start - 1] in WHITE:
-        return 0
-    spaces = [m.start() for m in _SPACE.finditer(chunk)]
-    if not spaces:
+class Joins:
+    """Whether texts are encoded alike apart and together; what was asked before is kept (neighbouring shared chunks meet in many documents)."""
+
+    def __init__(self, one: WordEncoder):
+        self.one, self.seen = one, {}
+
+    def agree(self, left: str, right: str) -> bool:
+        """The library's ids of both together are those of the first, then those of the second one (which has some)."""
+        got = self.seen.get((left, right))
+        if got is None:
+            if len(self.seen) >= MEMO_JOINS:
+                self.seen.clear()
+            own = self.one.encode(right)
+            both = self.one.tokenizer.encode_batch_fast([left + right], add_special_tokens=False)[0].ids
+            got = self.seen[left, right] = bool(own) and array("I", both).tobytes() == self.one.encode(left) + own
+        return got
+
+    def front(self, text: str, begin: int, start: int, chunk: str) -> int | None:
+        """Where a chunk's own ids hold after its start: the first white space up to which encoding anew agrees with the chunk's words."""
+        if not start or text[start - 1] in WHITE:
+            return 0
+        low = max(begin, start - REPAIR_CHARS)
+        before = 1 + max(text.rfind(x, low, start) for x in WHITE) or low + 1
+        first, tried = _SPACE.search(chunk), 0
+        while first and tried < REPAIR_WORDS:
+            after = _SPACE.search(chunk, first.end())
+            if self.agree(text[before - 1 : start + first.start()], chunk[first.start() : after.start() if after else len(chunk)]):
+                return first.start()
+            first, tried = after, tried + 1
         return None
-    low = max(begin, start - REPAIR_CHARS)
-    before = max((m.start() for m in _SPACE.finditer(text, low, start)), default=low)
-    for first, after in list(zip(spaces, [*spaces[1:], len(chunk)], strict=True))[:REPAIR_WORDS]:
-        own = one.encode(chunk[first:after])
-        if own and one.whole(text[before : start + after]) == one.encode(text[before : start + first]) + own:
-            return first
-    return None
-
-
-def back_join(text: str, at: int, chunk: str, one: WordEncoder) -> int | None:
-    """The same for its end: the place of the last white space from which on the chunk's ids hold no more."""
-    if at == len(text) or text[at] in WHITE:
-        return len(chunk)
-    spaces = [m.start() for m in _SPACE.finditer(chunk)]
-    if not spaces:
+
+    def back(self, text: str, at: int, chunk: str) -> int | None:
+        """The same for its end: the last white space from which on the chunk's ids hold no more."""
+        if at == len(text) or text[at] in WHITE:
+            return len(chunk)
+        found = _SPACE.search(text, at, at + REPAIR_CHARS)
+        after = found.start() if found else min(at + REPAIR_CHARS, len(text))
+        last, tried = max(chunk.rfind(x) for x in WHITE), 0
+        while last >= 0 and tried < REPAIR_WORDS:
+            before = max(max(chunk.rfind(x, 0, last) for x in WHITE), 0)
+            if self.agree(chunk[before:last], chunk[last:] + text[at:after]):
+                return last
+            last, tried = (before if chunk[before] in WHITE else -1), tried + 1
         return None
-    found = _SPACE.search(text, at, at + REPAIR_CHARS)
-    after = found.start() if found else min(at + REPAIR_CHARS, len(text))
-    start = at - len(chunk)
-    for last, before in list(zip(reversed(spaces), [*reversed(spaces[:-1]), 0], strict=True))[:REPAIR_WORDS]:
-        own = one.encode(chunk[before:last])
-        if own and one.whole(text[start + before : after]) == own + one.encode(text[start + last : after]):
-            return last
-    return None
 
 
 class Plan:
     """The parts of one text, in order: bytes of ids that are made here, or (hash, ids to drop at the front, at the end)."""
 
-    def __init__(self, text: str, words: np.ndarray, one: WordEncoder):
+    def __init__(self, text: str, words: np.ndarray, one: WordEncoder, joins: Joins):
         self.parts: list = []
         own = chunks(text) if cut_safely(text) else []
         shared = hits(words, [chunk_hash(c) for c in own]) if own else []
@@ -171,7 +187,8 @@ class Plan:
             start, at = at, at + len(chunk)
             if not is_shared:
                 continue
-            first, last = front_join(text, done, start, chunk, one), back_join(text, at, chunk, one)
+            first = joins.front(text, done, start, chunk)
+            last = None if first is None else joins.back(text, at, chunk)
             if first is None or last is None or first >= last:
                 continue
             self.own(text[done : start + first], one)
@@ -235,10 +252,11 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def plans(batches):
         one, names = tools(path)
+        joins = Joins(one)
         for batch in (part for whole in batches for part in parts(whole)):
             rows = []
             for key, text in zip(batch.column("key").to_pylist(), texts(batch), strict=True):
-                plan = Plan(text.decode(), shared.value, one)
+                plan = Plan(text.decode(), shared.value, one, joins)
                 if (ids := plan.whole) is not None:
                     rows.append((key, None, None, None, None, None, *names.digests(ids)))
                     continue
