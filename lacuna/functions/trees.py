@@ -29,22 +29,21 @@ def grow(codes: np.ndarray, g: np.ndarray, h: np.ndarray, count: np.ndarray, dep
     chooses among ``features`` features.
     """
     n, k = codes.shape
-    node, plan = np.zeros(n, np.int64), []
+    node, plan, by_feature = np.zeros(n, np.int64), [], np.ascontiguousarray(codes.T)
+    weights = [np.tile(w, k) for w in ((g, h) if count is h else (g, h, count))]
     for level in range(depth):
         nodes = 1 << level
-        best, feature, cut = np.full(nodes, 1e-12), np.zeros(nodes, np.int64), np.full(nodes, BINS)
         allowed = rng.random((nodes, k)).argsort(axis=1).argsort(axis=1) < features
-        for j in range(k):
-            at = node * BINS + codes[:, j]
-            left = [np.bincount(at, w, nodes * BINS).reshape(nodes, BINS).cumsum(axis=1) for w in (g, h, count)]
-            right = [x[:, -1:] - x for x in left]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                gain = left[0] ** 2 / left[1] + right[0] ** 2 / right[1] - (left[0][:, -1:] ** 2 / left[1][:, -1:])
-            gain = np.where((left[2] >= least) & (right[2] >= least) & allowed[:, j : j + 1], gain, -1.0)
-            top = gain.argmax(axis=1)
-            value = gain[np.arange(nodes), top]
-            better = value > best
-            best[better], feature[better], cut[better] = value[better], j, top[better]
+        at = ((np.arange(k)[:, None] * nodes + node) * BINS + by_feature).ravel()
+        left = [np.bincount(at, w, k * nodes * BINS).reshape(k, nodes, BINS).cumsum(axis=2) for w in weights]
+        right = [x[:, :, -1:] - x for x in left]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = left[0] ** 2 / left[1] + right[0] ** 2 / right[1] - left[0][:, :, -1:] ** 2 / left[1][:, :, -1:]
+        gain = np.where((left[-1] >= least) & (right[-1] >= least) & allowed.T[:, :, None], gain, -1.0)
+        flat = gain.transpose(1, 0, 2).reshape(nodes, k * BINS)
+        top = flat.argmax(axis=1)
+        good = flat[np.arange(nodes), top] > 1e-12
+        feature, cut = np.where(good, top // BINS, 0), np.where(good, top % BINS, BINS)
         plan.append((feature, cut))
         node = 2 * node + (codes[np.arange(n), feature[node]] > cut[node])
     leaves = 1 << depth
@@ -101,36 +100,43 @@ def drawn_leaves(codes: np.ndarray, trees: int, depth: int, rng: np.random.Gener
     return node
 
 
+def _sums(columns: np.ndarray, cell: np.ndarray, cells: int) -> np.ndarray:
+    """Sums of the rows of ``columns`` that share a cell, one row for each cell."""
+    order = np.argsort(cell, kind="stable")
+    first = np.flatnonzero(np.diff(cell[order], prepend=-1))
+    out = np.zeros((cells, columns.shape[1]), columns.dtype)
+    out[cell[order][first]] = np.add.reduceat(columns[order], first, axis=0)
+    return out
+
+
 def out_of_bag(leaves: np.ndarray, labels: np.ndarray, least: int, rng: np.random.Generator) -> np.ndarray:
     """Shares of label 1 (one row for each row of ``labels``) of the trees that did not draw a row in their bootstrap sample."""
-    n = leaves.shape[1]
-    out, times, overall = np.zeros(labels.shape, np.float32), np.zeros(n, np.float32), labels.mean(axis=1, keepdims=True)
+    n, columns = leaves.shape[1], np.ascontiguousarray(labels.T)
+    out, times, overall = np.zeros_like(columns), np.zeros((n, 1), np.float32), columns.mean(axis=0, keepdims=True)
     for leaf in leaves:
         w = np.bincount(rng.integers(0, n, n), minlength=n).astype(np.float32)
-        member = np.zeros((n, int(leaf.max()) + 1), np.float32)
-        member[np.arange(n), leaf] = w
-        weight = member.sum(axis=0)
-        value = np.where(weight >= least, (labels @ member) / np.maximum(weight, 1), overall)
+        size = int(leaf.max()) + 1
+        weight = np.bincount(leaf, w, size)[:, None].astype(np.float32)
+        value = np.where(weight >= least, _sums(columns * w[:, None], leaf, size) / np.maximum(weight, 1), overall)
         gone = w == 0
-        out[:, gone] += value[:, leaf[gone]]
-        times += gone
-    return np.where(times > 0, out / np.maximum(times, 1), overall)
+        out[gone] += value[leaf[gone]]
+        times[gone] += 1
+    return np.where(times > 0, out / np.maximum(times, 1), overall).T
 
 
 def held_out(leaves: np.ndarray, labels: np.ndarray, fold: np.ndarray, least: int) -> np.ndarray:
     """Shares of label 1 (one row for each row of ``labels``) of trees filled with the rows of other folds."""
-    n, folds = leaves.shape[1], int(fold.max()) + 1
-    out, overall = np.zeros(labels.shape, np.float32), labels.mean(axis=1, keepdims=True)
+    folds, columns = int(fold.max()) + 1, np.ascontiguousarray(labels.T)
+    out, overall = np.zeros_like(columns), columns.mean(axis=0, keepdims=True)
     for leaf in leaves:
         size = int(leaf.max()) + 1
-        member = np.zeros((n, size * folds), np.float32)
-        member[np.arange(n), leaf * folds + fold] = 1
-        own = (labels @ member).reshape(len(labels), size, folds)
-        weight = member.sum(axis=0).reshape(size, folds)
-        rest, weight = own.sum(axis=2, keepdims=True) - own, weight.sum(axis=1, keepdims=True) - weight
-        value = np.where(weight >= least, rest / np.maximum(weight, 1), overall[:, :, None])
-        out += value[:, leaf, fold]
-    return out / len(leaves)
+        cell = leaf * folds + fold
+        own = _sums(columns, cell, size * folds).reshape(size, folds, -1)
+        weight = np.bincount(cell, minlength=size * folds).reshape(size, folds, 1).astype(np.float32)
+        rest, weight = own.sum(axis=1, keepdims=True) - own, weight.sum(axis=1, keepdims=True) - weight
+        value = np.where(weight >= least, rest / np.maximum(weight, 1), overall).reshape(size * folds, -1)
+        out += value[cell]
+    return (out / len(leaves)).T
 
 
 def auc(score: np.ndarray, y: np.ndarray) -> float:

@@ -69,6 +69,14 @@ def runs(df: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
     return marked.groupBy(*by, "run").agg(F.first(value).alias("value"), F.count(F.lit(1)).alias("length"))
 
 
+def corr(a: str | Column, b: str | Column) -> Column:
+    """Pearson correlation as an aggregate; null where one side does not vary."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    known = a.isNotNull() & b.isNotNull()
+    a, b = F.when(known, a.cast("double")), F.when(known, b.cast("double"))
+    return F.try_divide(F.covar_pop(a, b), F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0)))
+
+
 def zero_safe(x: Column, digits: int = 6) -> Column:
     """Rounded for reports; -0.0 becomes 0.0."""
     return F.round(x, digits) + F.lit(0.0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import runs, with_mask
+from .kernels import corr, runs, with_mask
 
 DS = ["dataset_id"]
 MECHANISMS = ("MCAR", "MAR", "MNAR")
@@ -56,7 +56,7 @@ def evidence_scores(panel: DataFrame) -> DataFrame:
     """First-order figures and combined evidence for MAR and MNAR, conflict, anomaly, agreement of signs."""
     df = panel.withColumn("mask", F.when(F.col("x0").isNull(), 1).otherwise(0))
     a = df.groupBy(*DS).agg(
-        F.count(F.lit(1)).alias("n_total"), F.sum("mask").alias("n_missing"), F.corr("mask", "x1").alias("r"),
+        F.count(F.lit(1)).alias("n_total"), F.sum("mask").alias("n_missing"), corr("mask", "x1").alias("r"),
         (F.avg(F.when(F.col("mask") == 1, F.col("x1"))) - F.avg(F.when(F.col("mask") == 0, F.col("x1")))).alias("shift"),
         F.skewness("x0").alias("skew"), F.percentile("x0", 0.5).alias("median"), F.avg("x0").alias("mean"), (F.max("x0") - F.min("x0")).alias("range"), F.count("x0").alias("n_obs"),
     )
@@ -96,7 +96,7 @@ def x1_quartile_missing_rates(panel: DataFrame) -> DataFrame:
 def mask_correlations(panel: DataFrame) -> DataFrame:
     """Pearson correlation of the mask with each predictor, rounded; null for a constant one."""
     df = panel.withColumn("mask", F.when(F.col("x0").isNull(), 1.0).otherwise(0.0))
-    value = lambda x: F.when(~F.isnan(F.corr("mask", x)), F.round(F.corr("mask", x), 4) + F.lit(0.0))
+    value = lambda x: F.when(~F.isnan(corr("mask", x)), F.round(corr("mask", x), 4) + F.lit(0.0))
     return df.groupBy(*DS).agg(*[value(f"x{k}").alias(f"corr_mask_x{k}") for k in range(1, 5)])
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .kernels import corr
+
 
 def long_features(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     parts = F.array(*[F.struct(F.lit(c).alias("var"), F.col(c).cast("double").alias("value")) for c in columns])
@@ -59,7 +61,7 @@ def standardize(long: DataFrame, by: list[str] | None = None) -> DataFrame:
 def correlations(df: DataFrame, columns: list[str], cut: float = 0.9) -> DataFrame:
     """var_a, var_b, r of every pair of features, and ``high`` where |r| > cut; all pairs of columns in one aggregation."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    wide = df.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    wide = df.agg(*[corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     parts = F.array(*[F.struct(F.lit(a).alias("var_a"), F.lit(b).alias("var_b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)])
     return wide.select(F.explode(parts).alias("x")).select("x.*").withColumn("high", F.abs("r") > cut)
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .forest import by_dataset
-from .kernels import with_mask
+from .kernels import corr, with_mask
 
 DS = ["dataset_id"]
 X = ("x1", "x2", "x3", "x4")
@@ -19,12 +19,19 @@ X = ("x1", "x2", "x3", "x4")
 LEAST_ROWS, LEAST_R2 = 10, 0.1
 
 
-def least_squares(df: DataFrame, targets: dict[str, Column], prefix: str = "fit") -> DataFrame:
+def with_known_predictors(panel: DataFrame) -> DataFrame:
+    """``with_mask``, and unknown predictors filled with their dataset's mean (0 where none is known)."""
+    df = with_mask(panel)
+    known = {x: F.nanvl(F.col(x), F.lit(None).cast("double")) for x in X}
+    means = df.groupBy(*DS).agg(*[F.avg(known[x]).alias(f"mean_{x}") for x in X])
+    return df.join(means, DS).withColumns({x: F.coalesce(known[x], F.col(f"mean_{x}"), F.lit(0.0)) for x in X}).drop(*[f"mean_{x}" for x in X])
+
+
+def least_squares(df: DataFrame, targets: dict[str, Column]) -> DataFrame:
     """dataset_id, n and for each target its mean, slopes (array) and share of variance; rows without the target do not count."""
-    name, c = list(targets), {}
     base = df.select(*DS, *X, *[t.alias(f"t_{k}") for k, t in targets.items()])
     out = None
-    for k in name:
+    for k in targets:
         own = base.where(F.col(f"t_{k}").isNotNull())
         m = own.groupBy(*DS).agg(*[F.avg(x).alias(f"m_{x}") for x in X], F.avg(f"t_{k}").alias("m_t"), F.count(F.lit(1)).alias("n"))
         z = [F.col(x) - F.col(f"m_{x}") for x in X] + [F.col(f"t_{k}") - F.col("m_t")]
@@ -57,14 +64,14 @@ def residual_dependence(panel: DataFrame) -> DataFrame:
 
     Absolute Pearson and Spearman correlation of what the predictors leave of the filled X0 and of the mask; 0 below 20 rows or five missing ones.
     """
-    df = with_mask(panel)
+    df = with_known_predictors(panel)
     fits = least_squares(df, {"x": F.col("x0f"), "m": F.col("mask").cast("double")})
     # residuals that differ by rounding only are ties
     left = df.join(fits, DS).select(*DS, F.round(F.col("x0f") - predicted("x"), 6).alias("a"), F.round(F.col("mask") - predicted("m"), 9).alias("b"), "mask")
     ranked = left
     for c in "ab":
         ranked = _mean_ranks(ranked, c)
-    g = ranked.groupBy(*DS).agg(F.corr("a", "b").alias("r"), F.corr("rank_a", "rank_b").alias("rho"), F.count(F.lit(1)).alias("n"), F.sum("mask").alias("m"))
+    g = ranked.groupBy(*DS).agg(corr("a", "b").alias("r"), corr("rank_a", "rank_b").alias("rho"), F.count(F.lit(1)).alias("n"), F.sum("mask").alias("m"))
     value = lambda c: F.when((F.col("n") >= 20) & (F.col("m") >= 5) & ~F.isnan(c), F.coalesce(F.abs(c), F.lit(0.0))).otherwise(0.0)
     return g.select(*DS, value("r").alias("adv_partial_dcor_X0_mask"), value("rho").alias("adv_residual_spearman_X0_mask"))
 
@@ -83,7 +90,7 @@ def regression_quartile_rates(panel: DataFrame) -> DataFrame:
 
     Where the fit explains less than a tenth of the variance (or nothing can be fitted) all four are the overall rate.
     """
-    df = with_mask(panel)
+    df = with_known_predictors(panel)
     fits = least_squares(df, {"x": F.col("x0")})
     est = df.join(fits, DS, "left").select(*DS, "mask", "x_n", "x_r2", F.coalesce("x0", predicted("x")).alias("est"))
     cuts = est.groupBy(*DS).agg(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lacuna.functions import special
 
-from .kernels import ks, rank_sums, unpivoted, with_mask
+from .kernels import corr, ks, rank_sums, unpivoted, with_mask
 
 DS = ["dataset_id"]
 
@@ -81,7 +81,7 @@ def levene_bonferroni(panel: DataFrame) -> DataFrame:
 def log_pval_x1(panel: DataFrame) -> DataFrame:
     """-log10 of the p-value of X1's correlation with the mask (floor 1e-100); 0 without spread."""
     df = with_mask(panel)
-    a = df.groupBy(*DS).agg(F.corr("mask", "x1").alias("r"), F.count(F.lit(1)).alias("n"))
+    a = df.groupBy(*DS).agg(corr("mask", "x1").alias("r"), F.count(F.lit(1)).alias("n"))
     r = F.when(~F.isnan("r"), F.col("r"))
     t = F.abs(r) * F.sqrt((F.col("n") - 2) / F.greatest(1 - r * r, F.lit(1e-300)))
     p = _tail(special.t_two_sided, "t", "df")
@@ -108,7 +108,7 @@ def mannwhitney_pval(panel: DataFrame, value: str = "x1") -> DataFrame:
 
 def max_mask_correlation(panel: DataFrame) -> DataFrame:
     """dataset_id, var, r: the predictor of the greatest absolute correlation with the mask."""
-    c = unpivoted(with_mask(panel)).groupBy(*DS, "var").agg(F.abs(F.corr("value", "mask")).alias("r")).where(~F.isnan("r") & F.col("r").isNotNull())
+    c = unpivoted(with_mask(panel)).groupBy(*DS, "var").agg(F.abs(corr("value", "mask")).alias("r")).where(~F.isnan("r") & F.col("r").isNotNull())
     return c.groupBy(*DS).agg(F.max_by("var", F.struct(F.round("r", 9).alias("r"), "var")).alias("var"), F.max("r").alias("r"))
 
 

@@ -16,7 +16,7 @@ from lacuna.functions import special
 from lacuna.operators import diagnose as dg
 from lacuna.operators import features as ft
 from lacuna.operators import tests as ts
-from lacuna.operators.kernels import rank_sums, unpivoted, with_mask
+from lacuna.operators.kernels import corr, rank_sums, unpivoted, with_mask
 from lacuna.operators.nearest import mask_mutual_info
 from lacuna.operators.patterns import little_mcar
 from lacuna.sources.stage import derived
@@ -54,7 +54,7 @@ def scores(spark, sf_dir):
         m = masked(spark, sf_dir)
         df = with_mask(m)
         base = m.groupBy(*DS).agg(
-            F.max("dataset_no").alias("dataset_no"), F.max("label").alias("label"), F.max("mechanism").alias("true_label"), F.corr("x1", F.when(F.col("x0").isNull(), 1.0).otherwise(0.0)).alias("corr_x1")
+            F.max("dataset_no").alias("dataset_no"), F.max("label").alias("label"), F.max("mechanism").alias("true_label"), corr("x1", F.when(F.col("x0").isNull(), 1.0).otherwise(0.0)).alias("corr_x1")
         )
         aucs = rank_aucs(df)
         best = aucs.where("var <> 'x0f'").groupBy(*DS).agg(F.max("auc").alias("auc_excluded"), F.max_by("auc", F.struct(F.round("z", 9).alias("z"), "var")).alias("auc_obs"), F.max("z").alias("auc_z"))
