@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from lacuna.operators import classify
+from lacuna.operators import classify, evaluate
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +25,7 @@ def test_components_importance_and_folds(clouds):
     pca = classify.pca_share(clouds, ["a", "b"]).collect()
     assert pca[-1]["cumulative"] == pytest.approx(1.0)
     assert classify.feature_importance(clouds, ["a", "b"]).where("rank = 1").first()["var"] == "a"
-    folded = classify.group_kfold(clouds.drop("fold").withColumnRenamed("label", "g"), "g", 2)
+    folded = evaluate.group_kfold(clouds.drop("fold").withColumnRenamed("label", "g"), "g", 2)
     assert folded.groupBy("g").agg({"fold": "min"}).count() == 3 and folded.count() == 240
 
 
@@ -35,3 +35,13 @@ def test_two_levels(clouds):
     out = evaluate.route(classify.hierarchical(clouds.where("id % 5 <> 0"), clouds.where("id % 5 = 0"), ["a", "b"]), "hard")
     acc = {r["level"]: r["accuracy"] for r in classify.level_accuracies(out).collect()}
     assert acc["all"] > 0.9 and acc["mcar or rest"] > 0.9
+
+
+def test_gaussian_kernel_holds_the_middle_class(clouds):
+    out = classify.fit_predict(clouds.where("id % 5 <> 0"), clouds.where("id % 5 = 0"), ["a", "b"], "rbf_svm")
+    assert out.where("label = y_pred").count() / out.count() > 0.85
+
+
+def test_a_class_that_training_lacked_has_no_probability(clouds):
+    out = classify.predict(classify.fit(clouds.where("label < 2"), ["a", "b"], "logistic"), clouds.where("label = 2"))
+    assert out.where("p2 = 0 and p0 + p1 > 0.99").count() == 80
