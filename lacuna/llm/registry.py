@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe_reuse, hmm, langid, licenses, matroska, near_dedup, packing, quality, substring_dedup, warc_audit
+from . import bpe_reuse, hmm, langid, licenses, matroska, mixing, near_dedup, packing, periodic, prefix_trie, quality, substring_dedup, warc_audit
 
 _QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -18,8 +18,11 @@ _QUERIES = {
     "op8_hmm": hmm.op8_hmm,
     "op9_bpe_reuse": bpe_reuse.op9_bpe_reuse,
     "op10_quality": quality.op10_quality,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_periodic": periodic.op12_periodic,
+    "op13_mixing": mixing.op13_mixing,
 }
-_ORACLES: dict[str, str] = {"op5_warc_audit": warc_audit.ORACLE_SQL, "op6_licenses": licenses.ORACLE_SQL}
+_ORACLES: dict[str, str] = {"op5_warc_audit": warc_audit.ORACLE_SQL, "op6_licenses": licenses.ORACLE_SQL, "op11_prefix_trie": prefix_trie.ORACLE_SQL}
 
 
 def queries():
