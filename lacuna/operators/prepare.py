@@ -11,8 +11,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lacuna.functions.rng import normal, row_number_sql, uniform
+from lacuna.sources.panels import checked
 from lacuna.sources.stage import materialize
 
+from .ranks import placed
+
 DS = ["dataset_id"]
 PREDICTORS = ("x1", "x2", "x3", "x4")
 _NUMBER = row_number_sql()
@@ -133,8 +136,9 @@ def prepare_dataset(panel: DataFrame, order: str = "jittered") -> DataFrame:
 def bootstrap_datasets(panel: DataFrame, resamples: int = 50, size: int = 100, least_rate: float = 0.01, seed: int = 13) -> DataFrame:
     """dataset_id, boot_id, draw, x0..x4: resamples with replacement of min(size, n) rows; those below the least missing rate go.
 
-    Draws are exploded from one row for each dataset and meet the rows by (dataset, row_id).
+    Draws are exploded from one row for each dataset and meet the rows by (dataset, row_id), which must be 1, 2, ..., n (checked).
     """
+    panel = checked(panel)
     n = panel.groupBy(*DS).agg(F.max("dataset_no").alias("dataset_no"), F.count(F.lit(1)).alias("n"))
     draws = n.withColumn("boot_id", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("draw", F.explode(F.sequence(F.lit(1), F.least(F.lit(size), F.col("n")).cast("int"))))
     number = f"dataset_no * 1000003 + boot_id * {size} + draw"
@@ -152,8 +156,8 @@ def sample_rows(df: DataFrame, n: int, number: str, seed: int = 14) -> DataFrame
 def sample_datasets_per_class(datasets: DataFrame, n: int, seed: int = 15) -> DataFrame:
     """n datasets of each mechanism; datasets: one row each with dataset_no and mechanism."""
     u = uniform(seed, "dataset_no")
-    place = F.row_number().over(W.partitionBy("mechanism").orderBy(u, "dataset_no"))
-    return datasets.withColumn("place", place).where(F.col("place") <= n).drop("place")
+    ranked = placed(datasets.withColumn("class_draw", u), ["mechanism"], ["class_draw", "dataset_no"], "class_place")
+    return ranked.where(F.col("class_place") <= n).select(*datasets.columns)
 
 
 def dataset_summary(panel: DataFrame) -> DataFrame:

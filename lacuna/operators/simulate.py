@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lacuna.functions.rng import STRIDE, normal, row_number_sql, uniform
+from lacuna.sources.panels import checked
 
 VARIANTS = {
     "mcar_uniform": "MCAR", "mcar_fixed": "MCAR", "mcar_block": "MCAR",
@@ -91,6 +92,7 @@ def simulate(panel: DataFrame, variant: str | Column, rate: float | Column, seed
     if "mnar_tail_censoring" in which:  # equal values are ranked by row from either end
         df = df.withColumn("up", F.row_number().over(ds.orderBy("rank_key", "row_id")))
     if "mcar_block" in which:
+        checked(panel)  # blocks are drawn as ranges of row numbers
         df = df.join(_blocks(df.where("way = 'mcar_block'"), seed).withColumn("in_block", F.lit(True)), ["dataset_id", "row_id"], "left")
     if {"mar_threshold", "mnar_quantile_threshold"} & set(which):
         df = df.withColumn("cut", _quantile("rank_key", "down", ds))

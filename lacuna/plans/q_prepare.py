@@ -150,14 +150,18 @@ add(
     f"WITH {GAPPY}, {cap_cte('gappy', 'cp')}, {scaled_cte('cp', 'sc')}, {deck_cte('sc', 'h1', 'x1', 40)} SELECT dataset_id, row_id, {_X} FROM h1",
 )
 _B = "dr.dataset_no * 1000003 + boot_id * 100 + draw"
-add(
-    "pr12_bootstrap_datasets", lambda s, d: pr.bootstrap_datasets(masked(s, d)),
-    on_panel(f""", nn AS (SELECT dataset_id, any_value(dataset_no) AS dataset_no, count(*) AS n FROM panel GROUP BY dataset_id),
+
+
+def bootstrap_sql(number: str = "dataset_no") -> str:
+    """The resamples of the masked panel, its datasets numbered in the given way."""
+    return on_panel(f""", nn AS (SELECT dataset_id, any_value(dataset_no) AS dataset_no, count(*) AS n FROM (SELECT * REPLACE ({number} AS dataset_no) FROM panel) GROUP BY dataset_id),
   b AS (SELECT *, unnest(range(1, 51)) AS boot_id FROM nn), dr AS (SELECT *, unnest(range(1, least(100, n) + 1)) AS draw FROM b),
   j AS (SELECT dr.dataset_id, CAST(boot_id AS INT) AS boot_id, CAST(draw AS INT) AS draw, x0, x1, x2, x3, x4, avg(CASE WHEN x0 IS NULL THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY dr.dataset_id, boot_id) AS rate
     FROM dr JOIN panel p ON p.dataset_id = dr.dataset_id AND p.row_id = 1 + CAST(floor({uniform_sql(13, _B)} * n) AS BIGINT))
-  SELECT dataset_id, boot_id, draw, {_X} FROM j WHERE rate >= 0.01"""),
-)
+  SELECT dataset_id, boot_id, draw, {_X} FROM j WHERE rate >= 0.01""")
+
+
+add("pr12_bootstrap_datasets", lambda s, d: pr.bootstrap_datasets(masked(s, d)), bootstrap_sql())
 add("pr13_sample_rows", lambda s, d: pr.sample_rows(panels.read(s, d, "orders").select("o_orderkey", "o_custkey"), 500, "o_orderkey"), f"SELECT o_orderkey, o_custkey FROM orders ORDER BY {uniform_sql(14, 'o_orderkey')}, o_orderkey LIMIT 500")
 add(
     "pr14_sample_datasets_per_class", lambda s, d: pr.sample_datasets_per_class(masked(s, d).select("dataset_id", "dataset_no", "mechanism").distinct(), 10),

@@ -7,15 +7,17 @@ import uuid
 from pyspark.sql import functions as F
 
 from lacuna.operators import diagnose as dg
-from lacuna.operators import forest, nearest, patterns, validate
+from lacuna.operators import features as ft
+from lacuna.operators import forest, nearest, patterns, prepare, simulate, validate
 from lacuna.sources import io
 from lacuna.sources.stage import derived, shared_dir
 from lacuna.streaming.resume import process_new_files
 
-from . import q_diagnose
-from .q_features import MOM, masked, rounded
-from .sqltests import LITTLE, LONG, MASK_MI
-from .sqltext import on_panel, r
+from . import q_diagnose, q_prepare
+from .q_features import MOM, complete, masked, rounded
+from .q_features import QUERIES as QUERIES_OF_FEATURES
+from .sqltests import LEVENE, LITTLE, LONG, MASK_MI
+from .sqltext import P1_PLAIN, on_panel, r, simulated
 
 QUERIES: dict = {}
 
@@ -50,17 +52,47 @@ def _fresh(s):
     return f"{shared_dir(s)}/lacuna-{s.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
-def _files(s, d):
-    """The masked panel written as tab-separated files below a folder for each mechanism, and read back."""
+def _read(s, d, build, name):
+    """A panel written as a tree of dataset files and read back."""
     path = _fresh(s)
-    for m in io.MECHANISMS:
-        masked(s, d).where(F.col("mechanism") == m).select("x0", "x1", "x2", "x3", "x4").write.option("sep", "\t").option("header", True).csv(f"{path}/{m}")
-    return io.read_datasets(s, path).groupBy("mechanism").agg(F.count(F.lit(1)).alias("n"), F.count("x0").alias("n_observed"), *[F.sum(f"x{k}").alias(f"sum_x{k}") for k in range(5)])
 
+    def read():
+        io.write_datasets(build(s, d), path)
+        return io.read_datasets(s, path)
 
+    return derived(s, d, name, read)
+
+
+def files(s, d):
+    return _read(s, d, masked, "p1_files")
+
+
+def complete_files(s, d):
+    return _read(s, d, lambda s, d: complete(s, d).withColumn("mechanism", F.lit("MCAR")), "p1_complete_files")
+
+
+_VALUES = [f"x{k}" for k in range(5)]
+_NUMBERED = "dense_rank() OVER (ORDER BY mechanism, dataset_id)"
 QUERIES["io1_read_datasets"] = (
-    lambda s, d: rounded(_files(s, d), 3),
-    on_panel(f"SELECT mechanism, count(*) AS n, count(x0) AS n_observed, {', '.join(f'{r(f"sum(x{k})", 3)} AS sum_x{k}' for k in range(5))} FROM panel GROUP BY mechanism"),
+    lambda s, d: rounded(files(s, d).groupBy("dataset_id", "dataset_no", "mechanism", "label").agg(
+        F.count(F.lit(1)).alias("n"), F.count("x0").alias("n_observed"), F.max("row_id").alias("last_row"), F.count_distinct("row_id").alias("rows"),
+        *[F.sum(F.col("row_id") * F.col(v)).alias(f"sum_{v}") for v in _VALUES]), 3),
+    on_panel(f"""SELECT dataset_id, dataset_no, mechanism, label, count(*) AS n, count(x0) AS n_observed, max(row_id) AS last_row, count(DISTINCT row_id) AS rows,
+  {', '.join(f'{r(f"sum(row_id * {v})", 3)} AS sum_{v}' for v in _VALUES)} FROM (SELECT * REPLACE ({_NUMBERED} AS dataset_no) FROM panel) GROUP BY ALL"""),
+)
+QUERIES["io1_mask_entropy"] = (lambda s, d: rounded(ft.mask_entropy(files(s, d))), QUERIES_OF_FEATURES["ft13_mask_entropy"][1])
+QUERIES["io1_bootstrap_datasets"] = (
+    lambda s, d: prepare.bootstrap_datasets(files(s, d)), q_prepare.bootstrap_sql(_NUMBERED),
+)
+QUERIES["io1_block_masking"] = (
+    lambda s, d: simulate.simulate(complete_files(s, d), "mcar_block", 0.1, 42).select("dataset_id", "row_id", "x0"),
+    f"WITH {P1_PLAIN}, numbered AS (SELECT * REPLACE (dense_rank() OVER (ORDER BY dataset_id) AS dataset_no) FROM p1), {simulated('numbered', 'masked', repr('mcar_block'), 'CAST(0.1 AS DOUBLE)', 42)} SELECT dataset_id, row_id, x0 FROM masked",
+)
+# the protocol on files as read; of its figures those that SQL can recompute
+QUERIES["io1_validate_datasets"] = (
+    lambda s, d: rounded(validate.validate_datasets(files(s, d), permutations=20).select("dataset_id", "missing_rate", "little_p", "levene_p", "caafe_kl_density"), 5),
+    on_panel(f""", {MOM}, {LONG}, {LITTLE}, {LEVENE}, {q_diagnose.KL} SELECT dataset_id, mr.missing_rate, {r('little.p', 5)} AS little_p, {r('levene.p', 5)} AS levene_p, {r('kl', 5)} AS caafe_kl_density
+  FROM (SELECT dataset_id, {r('avg(CASE WHEN x0 IS NULL THEN 1.0::DOUBLE ELSE 0.0 END)', 4)} AS missing_rate FROM panel GROUP BY dataset_id) mr JOIN little USING (dataset_id) JOIN levene USING (dataset_id) JOIN kld USING (dataset_id)"""),
 )
 
 

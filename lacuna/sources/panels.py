@@ -46,3 +46,23 @@ def events_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("U"), F.col("dataset_no").cast("string")).alias("dataset_id"), "dataset_no", F.lit("events").alias("source_group"), "row_id",
         "x0", F.hour("ts").cast("double").alias("x1"), *[uniform(100 + k, n).alias(f"x{k}") for k in (2, 3, 4)],
     )
+
+
+def checked(panel: DataFrame) -> DataFrame:
+    """``panel``, if the rows of every dataset are numbered 1, 2, ..., n below ``STRIDE``, as operators that draw row numbers need; else an error.
+
+    One aggregation over two columns.
+    """
+    from lacuna.functions.rng import STRIDE
+
+    one = panel.groupBy("dataset_id").agg(
+        F.min("row_id").alias("low"), F.max("row_id").alias("high"), F.count("row_id").alias("n"), F.count(F.lit(1)).alias("rows"),
+        F.sum(F.col("row_id").cast("decimal(38,0)")).alias("total"), F.min("dataset_no").alias("no"), F.max("dataset_no").alias("other_no"),
+    )
+    n = F.col("n").cast("decimal(38,0)")
+    odd = (F.col("low") != 1) | (F.col("high") != F.col("n")) | (F.col("n") != F.col("rows")) | (2 * F.col("total") != n * (n + 1)) | F.col("no").isNull() | (F.col("no") != F.col("other_no"))
+    if bad := one.where(odd).select("dataset_id").head(1):
+        raise ValueError(f"rows of dataset {bad[0][0]} are not numbered 1 to n under one dataset_no")
+    if bad := one.where(F.col("high") >= STRIDE).select("dataset_id").head(1):
+        raise ValueError(f"dataset {bad[0][0]} has {STRIDE} rows or more: draws would repeat those of the next dataset")
+    return panel
