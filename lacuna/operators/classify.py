@@ -5,7 +5,6 @@ from __future__ import annotations
 import random
 
 import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
@@ -16,12 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions.rng import uniform
+from lacuna.sources.stage import materialize
 
+from .neighbours import nearest
 from .ranks import placed
 
 SMALL = 100
-#: Rows, drawn by a hash of the id, that neighbours are looked for among: a bounded sample where there are more.
-REFERENCE = 2000
 
 
 def estimator(kind: str, features: int, rows: int, weight: str | None = None):
@@ -137,34 +136,6 @@ def standardised(df: DataFrame, columns: list[str], train: DataFrame) -> DataFra
     return df.join(F.broadcast(s)).withColumns(z).select(*df.columns)
 
 
-def reference(df: DataFrame, columns: list[str], most: int = REFERENCE, seed: int = 91) -> pd.DataFrame:
-    """id, label and columns of about ``most`` rows (all, if there are no more), in order of id."""
-    n = df.count()
-    return df.where(uniform(seed, "id") < most / max(n, 1)).select("id", "label", *columns).toPandas().sort_values("id", ignore_index=True)
-
-
-def nearest(queries: DataFrame, among: pd.DataFrame, columns: list[str], k: int) -> DataFrame:
-    """queries with near_ids, near_labels and near_values of the k nearest reference rows (not the row itself; of equally near ones the least id)."""
-    shared = queries.sparkSession.sparkContext.broadcast((among["id"].to_numpy(), among["label"].to_numpy(), among[columns].to_numpy(float)))
-
-    def run(frames):
-        ids, labels, values = shared.value
-        for f in frames:
-            x, own, picks = f[columns].to_numpy(float), f["id"].to_numpy(), []
-            for a in range(0, len(f), 256):
-                d = np.zeros((len(x[a : a + 256]), len(values)))
-                for c in range(len(columns)):
-                    d += (x[a : a + 256, c : c + 1] - values[None, :, c]) ** 2
-                d = np.round(d, 9)
-                d[own[a : a + 256, None] == ids[None, :]] = np.inf
-                picks.append(np.argsort(d, axis=1, kind="stable")[:, :k])
-            at = np.concatenate(picks) if picks else np.zeros((0, k), np.int64)
-            yield f.assign(near_ids=ids[at].tolist(), near_labels=labels[at].tolist(), near_values=[v.tolist() for v in values[at]])
-
-    kinds = ", ".join(f"`{c}` {t}" for c, t in queries.dtypes)
-    return queries.mapInPandas(run, f"{kinds}, near_ids array<long>, near_labels array<long>, near_values array<array<double>>")
-
-
 def _equal(labels: str, k: int):
     """How many of an array's labels are k."""
     return F.size(F.filter(labels, lambda x: x == k))
@@ -178,8 +149,8 @@ def _majority(labels: str):
 
 def knn_classify(train: DataFrame, test: DataFrame, columns: list[str]) -> DataFrame:
     """id, label, y_pred: vote of the five nearest training rows (three, if there are fewer than a hundred) on z-scores."""
-    among = reference(standardised(train, columns, train), columns)
-    near = nearest(standardised(test.select("id", "label", *columns), columns, train), among, columns, 3 if len(among) < SMALL else 5)
+    among = standardised(train.select("id", "label", *columns), columns, train)
+    near = nearest(standardised(test.select("id", "label", *columns), columns, train), among, columns, 3 if among.limit(SMALL).count() < SMALL else 5)
     return near.select("id", "label", _majority("near_labels").alias("y_pred"))
 
 
@@ -189,38 +160,34 @@ def knn_classify(train: DataFrame, test: DataFrame, columns: list[str]) -> DataF
 def smote(df: DataFrame, columns: list[str], seed: int = 71, borderline: bool = False) -> DataFrame:
     """id, label, columns, synthetic: every class brought to the size of the largest one by points between a row and one of its nearest of the same class.
 
-    Three neighbours (fewer, if the smallest class has no more); nothing is made if a class has one row.  Copies are dealt evenly over the
-    rows in order of id, neighbour and place on the way are draws of the row's id; synthetic rows have negative ids.  ``borderline``: only
-    rows with at least half of five neighbours of other classes are built upon (where a class has some).
+    Three neighbours (fewer, if the smallest class has no more), the nearest among all rows of the class; nothing is made if a class has one row.  Copies are
+    dealt evenly over the rows in order of id.  Synthetic rows are numbered through all classes, downwards from the least id or 0; neighbour and place on
+    the way are draws of that number.  ``borderline``: only rows with at least half of five neighbours of other classes are built upon (where a class has some).
     """
     sizes = {r["label"]: r["n"] for r in df.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each class
-    base = df.select("id", "label", *[F.col(c).cast("double").alias(c) for c in columns])
+    base = materialize(df.select(F.col("id").cast("long").alias("id"), "label", *[F.col(c).cast("double").alias(c) for c in columns]))
     out = base.withColumn("synthetic", F.lit(False))
     if min(sizes.values(), default=0) < 2:
         return out
     most, k = max(sizes.values()), min(3, min(sizes.values()) - 1)
-    every = reference(base, columns) if borderline else None
+    start, made_before = min(base.agg(F.min("id")).first()[0], 0), 0
     for label, n in sorted(sizes.items()):
         if n == most:
             continue
-        own = base.where(F.col("label") == label)
-        among = reference(own, columns)
+        own, of_class, n_base = base.where(F.col("label") == label), base.where(F.col("label") == label), n
         if borderline:
-            seen = nearest(own, every, columns, 5)
-            near_others = seen.where(_equal("near_labels", label) * 2 <= F.size("near_labels")).select(*own.columns)
-            if (m := near_others.count()) > 0:
-                own, n_base = near_others, m
-            else:
-                n_base = n
-        else:
-            n_base = n
-        need = most - n
-        copies = (F.lit(need // n_base) + F.when(F.col("place") <= need % n_base, 1).otherwise(0)).cast("int")
-        near = nearest(placed(own, [], ["id"], "place"), among, columns, k).where(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
-        number = "id * 1009 + copy"
-        way, chosen = uniform(seed + 1, number), F.col("near_values")[F.floor(uniform(seed, number) * F.size("near_values")).cast("int")]
-        made = near.select((-F.expr(number)).alias("id"), "label", *[(F.col(c) + way * (chosen[i] - F.col(c))).alias(c) for i, c in enumerate(columns)], F.lit(True).alias("synthetic"))
-        out = out.unionByName(made)
+            seen = materialize(nearest(own, base, columns, 5).where(_equal("near_labels", label) * 2 <= F.size("near_labels")).select(*own.columns))
+            if (m := seen.count()) > 0:
+                own, n_base = seen, m
+        share, rest = divmod(most - n, n_base)
+        copies = (F.lit(share) + F.when(F.col("place") <= rest, 1).otherwise(0)).cast("int")
+        earlier = (F.col("place") - 1) * share + F.least(F.col("place") - 1, F.lit(rest))  # copies of the rows before
+        ranked = placed(own.withColumn("all", F.lit(1)), ["all"], ["id"], "place").drop("all").where(copies > 0)
+        near = nearest(ranked, of_class, columns, k).withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
+        near = near.withColumn("synthetic_no", made_before + earlier + F.col("copy"))
+        way, chosen = uniform(seed + 1, "synthetic_no"), F.col("near_values")[F.floor(uniform(seed, "synthetic_no") * F.size("near_values")).cast("int")]
+        made = near.select((start - F.col("synthetic_no")).alias("id"), "label", *[(F.col(c) + way * (chosen[i] - F.col(c))).alias(c) for i, c in enumerate(columns)], F.lit(True).alias("synthetic"))
+        out, made_before = out.unionByName(made), made_before + most - n
     return out
 
 
@@ -234,14 +201,18 @@ def smote_clean(df: DataFrame, columns: list[str], method: str = "enn", seed: in
         least = base.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("least"))
         ranked = placed(base.withColumn("keep_draw", uniform(seed + 3, "id")), ["label"], ["keep_draw", "id"], "keep_place")
         return ranked.join(F.broadcast(least)).where("keep_place <= least").select(*base.columns)
-    full = smote(df, columns, seed)
-    near = nearest(full, reference(full, columns, seed=seed + 5), columns, 3 if method == "enn" else 1)
+    return cleaned(materialize(smote(df, columns, seed)), columns, method)
+
+
+def cleaned(df: DataFrame, columns: list[str], method: str) -> DataFrame:
+    """df without the rows that edited neighbours ("enn") or Tomek links ("tomek") take out; neighbours are looked for among all rows."""
+    near = nearest(df, df, columns, 3 if method == "enn" else 1)
     if method == "enn":
-        return near.where(_majority("near_labels") == F.col("label")).select(*full.columns)
-    first = near.select("id", F.col("near_ids")[0].alias("met"), (F.col("near_labels")[0] != F.col("label")).alias("differ"))
-    back = first.select(F.col("id").alias("met"), F.col("met").alias("id"), F.lit(True).alias("mutual"))
+        return near.where((F.size("near_labels") == 0) | (_majority("near_labels") == F.col("label"))).select(*df.columns)
+    first = materialize(near.where(F.size("near_ids") > 0).select("id", F.col("near_ids")[0].alias("met"), (F.col("near_labels")[0] != F.col("label")).alias("differ")))
+    back = first.select(F.col("id").alias("met"), F.col("met").alias("id"))
     gone = first.where("differ").join(back, ["id", "met"]).select("id")
-    return full.join(gone, "id", "left_anti")
+    return df.join(gone, "id", "left_anti").select(*df.columns)
 
 
 # ---- calibration, search -------------------------------------------------------------------------

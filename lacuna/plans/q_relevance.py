@@ -278,7 +278,7 @@ def _knn(s, d):
 
 add(
     "ml5_knn_classify", _knn,
-    f""", {_KNN_TRAIN}, rf AS (SELECT id, label, {_Z} FROM tr, st WHERE {uniform_sql(91, 'id')} < 2000.0 / (SELECT count(*) FROM tr)), te AS (SELECT id, label, {_Z} FROM feat, st WHERE id % 5 = 0),
+    f""", {_KNN_TRAIN}, rf AS (SELECT id, label, {_Z} FROM tr, st), te AS (SELECT id, label, {_Z} FROM feat, st WHERE id % 5 = 0),
   pr AS (SELECT te.id, te.label, rf.label AS near, row_number() OVER (PARTITION BY te.id ORDER BY round({' + '.join(f'power(te.{c} - rf.{c}, 2)' for c in _COLUMNS)}, 9), rf.id) AS k FROM te, rf),
   vo AS (SELECT id, any_value(label) AS label, {', '.join(f'count(*) FILTER (near = {k}) AS v{k}' for k in range(3))} FROM pr WHERE k <= 5 GROUP BY id)
   SELECT id, label, CASE WHEN v0 >= v1 AND v0 >= v2 THEN 0 WHEN v1 >= v2 THEN 1 ELSE 2 END AS y_pred FROM vo""",
