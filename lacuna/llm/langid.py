@@ -2,11 +2,11 @@
 
 One model for each language, over characters of lower-cased text in which every run of other
 characters is one space.  The models are fitted on a bounded sample of the labelled rows (at most
-``FIT_CHARS`` characters for each language and ``FIT_TOTAL`` together, drawn by a hash of the row); what is predicted is every
-whole text.  Each language is fitted in a task of its own; its model is, for each order, an array of 64-bit hashes in order with their
+``FIT_CHARS`` characters for each language and ``FIT_TOTAL`` together, in pieces of texts that are drawn by a hash of the row and the piece's place, and
+one piece of every language in any case); what is predicted is every whole text.  Each language is fitted in a task of its own; its model is, for each order, an array of 64-bit hashes in order with their
 log probabilities, looked up by binary search, so models together grow with the sample only.  A text gets the language of the lowest cross-entropy
 for each character.  It is rejected when even that is beyond what the language's own texts show:
-the limits come from pieces of labelled rows kept out of the fit; a language with few of them has those of all languages.
+the limits come from pieces kept out of the fit; a language with few of them has those of all languages.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0, and rejected; with no
 labelled rows at all, every text is ``und``; ties go to the language that sorts first; each row is
@@ -29,9 +29,9 @@ from ._spark import fresh, held_out, mapped, materialize, parts, slices, table
 ORDER = 4
 #: Characters of labelled text that the fit may use, for each language and for all together.
 FIT_CHARS, FIT_TOTAL = 3_000_000, 60_000_000
-#: One labelled row in so many calibrates the rejection instead of being fitted.
+#: One piece in so many calibrates the rejection instead of being fitted.
 CALIBRATE_ONE_IN = 8
-#: Characters of the pieces that those rows are cut into, and pieces that a language needs for limits of its own.
+#: Characters of the pieces that labelled texts are cut into, and pieces that a language needs for limits of its own.
 PIECE_CHARS, MIN_PIECES = 500, 20
 #: Characters beyond which a text gives no more certainty (for the score).
 SURE_CHARS = 40
@@ -210,26 +210,64 @@ def _fit_one(counts: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[x.split()[0] for x in _MADE.split(", ")])
 
 
+def pieces_of(text: str) -> list[str]:
+    """A normal text in pieces of about PIECE_CHARS that end after a word (a longer word is cut)."""
+    out, at = [], 0
+    while len(text) - at > PIECE_CHARS:
+        cut = text.rfind(" ", at + PIECE_CHARS // 2, at + PIECE_CHARS)
+        end = cut if cut > 0 else at + PIECE_CHARS
+        out.append(text[at:end].strip())
+        at = end
+    return [x for x in [*out, text[at:].strip()] if x]
+
+
+def _draws(key: int, n: int) -> np.ndarray:
+    """Two draws in [0, 1) for each of n pieces of a row."""
+    with np.errstate(over="ignore"):
+        base = np.uint64(key & (2**64 - 1)) + np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)
+        return np.stack([_mix(_mix(base + np.uint64(salt))) >> np.uint64(11) for salt in (17, 29)]) / float(1 << 53)
+
+
 def fit(labelled: DataFrame, fit_chars: int = FIT_CHARS) -> Model:
-    """A model from rows of (text, lang) with both known; see the module's text for the sample's bound."""
+    """A model from rows of (text, lang) with both known, and doc_id if there is one, which tells equal texts apart in the draw.
+
+    See the module's text for the sample's bound.  Whatever the draw is, the first piece of one text of every language is fitted.
+    """
+    ids = [F.col("doc_id").cast("string")] if "doc_id" in [c.lower() for c in labelled.columns] else []
     rows = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select(
-        F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")
+        F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"), F.xxhash64(*ids, "text").alias("key")
     )
     # labels and their sizes: one row for each language
-    sizes = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("chars")).orderBy("lang").collect()
+    spoken = F.when(F.col("text").rlike(r"\p{L}"), F.col("key"))
+    sizes = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"), F.min(spoken).alias("first")).orderBy("lang").collect()
     none = Model([])
     if not sizes:
         return none
-    draw = F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 20)) / float(1 << 20)
-    shares = labelled.sparkSession.createDataFrame([(r["lang"], min(1.0, min(fit_chars, FIT_TOTAL / len(sizes)) / max(r["chars"], 1))) for r in sizes], "lang string, share double")
-    part = F.pmod(F.xxhash64("text", F.lit(29)), F.lit(CALIBRATE_ONE_IN))
-    sample = rows.join(F.broadcast(shares), "lang").where(draw < F.col("share")).select("text", "lang", part.alias("part"))
+    shares = labelled.sparkSession.createDataFrame(
+        [(r["lang"], min(1.0, min(fit_chars, FIT_TOTAL / len(sizes)) / max(r["chars"], 1)), r["first"]) for r in sizes], "lang string, share double, first long"
+    )
+    known = rows.join(F.broadcast(shares), "lang").select("text", "lang", "key", "share", (F.col("key") == F.col("first")).alias("first"))
+
+    def sampled(batches):
+        for batch in (part for whole in batches for part in parts(whole)):
+            out: list[list] = [[], [], []]
+            columns = (batch.column(c).to_pylist() for c in ("text", "lang", "key", "share", "first"))
+            for text, lang, key, share, first in zip(*columns, strict=True):
+                made = pieces_of(normal(text))
+                drawn, part = _draws(key, len(made))
+                for i in np.flatnonzero((drawn < share) | ((np.arange(len(made)) == 0) & bool(first))).tolist():
+                    fitted = (first and i == 0) or part[i] * CALIBRATE_ONE_IN >= 1
+                    for column, value in zip(out, (lang, made[i], int(fitted)), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64())], names=["lang", "text", "part"])
+
+    sample = materialize(mapped(known, sampled, "lang string, text string, part long"))  # bounded, read twice
 
     def count(batches):
         for batch in (part for whole in batches for part in parts(whole)):
             frame = batch.to_pandas()
             for lang, own in frame.groupby("lang"):
-                made = segments([t for t in map(normal, own["text"]) if t])
+                made = segments(own["text"].tolist())
                 for a, b in slices([len(body) for _, _, body in made], SEGMENT_CHARS):
                     codes, ends = laid_out(made[a:b])
                     view = np.lib.stride_tricks.sliding_window_view(codes, ORDER)[ends - ORDER + 1]
@@ -260,9 +298,6 @@ def fit(labelled: DataFrame, fit_chars: int = FIT_CHARS) -> Model:
     def calibrate(batches):
         for batch in (part for whole in batches for part in parts(whole)):
             frame = batch.to_pandas()
-            frame["text"] = [[t[i : i + PIECE_CHARS].strip() for i in range(0, len(t), PIECE_CHARS)] for t in map(normal, frame["text"])]
-            frame = frame.explode("text", ignore_index=True).dropna()
-            frame = frame[frame["text"].str.len() > 0]
             made = shared.value
             place = {lang: k for k, lang in enumerate(made.languages)}
             out = {"lang": [], "h": [], "n": []}
@@ -326,6 +361,6 @@ def filter_documents(docs: DataFrame, labelled: DataFrame | None = None) -> Data
 
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    model = fit(docs.where(~held_out("doc_id", 4)).select("text", "lang"))
+    model = fit(docs.where(~held_out("doc_id", 4)))
     out = with_language(docs.select("doc_id", "text"), model, "language")
     return out.select("doc_id", held_out("doc_id", 4).alias("held_out"), "language.*")

@@ -408,3 +408,46 @@ def test_overfull_files_are_split(spark, monkeypatch):
     changed = pages.withColumn("html", F.when((F.col("page_id") == 40), "broken").otherwise(F.col("html")))
     found = warc_audit.audit(laid, warc_audit.records(changed)).collect()
     assert len(found) >= 1 and all(r["file"] == 1 for r in found)
+
+
+# ---- languages of few or long texts ---------------------------------------------------------------
+
+
+def _letters(k):
+    """A script of its own for a language: ten letters."""
+    return [chr(0x4E00 + 40 * k + i) for i in range(10)]
+
+
+def _text(k, n, seed=0):
+    rng = random.Random(1000 * k + seed)
+    return " ".join("".join(rng.choices(_letters(k), k=rng.randrange(2, 6))) for _ in range(n))
+
+
+def test_every_language_of_one_text_is_learnt(spark):
+    rows = [(k, _text(k, 30), f"l{k:02}") for k in range(20)] + [(90, None, "none"), (91, "123", "digits")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == [f"l{k:02}" for k in range(20)]
+    assert [r[0] for r in model.predict([_text(k, 20, 1) for k in range(20)])] == model.languages
+
+
+def test_every_language_of_one_long_text_is_learnt(spark):
+    rows = [(k, _text(k, 30_000), f"l{k}") for k in range(6)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), fit_chars=20_000)
+    assert model.languages == [f"l{k}" for k in range(6)]
+    assert not any(r[3] for r in model.predict([_text(k, 20, 1) for k in range(6)]))
+
+
+def test_the_bound_of_the_fit_holds_for_repeated_texts(spark, monkeypatch):
+    rows = [(i, _text(1, 200), "one") for i in range(300)]  # one text of about 900 characters under 300 ids
+    seen = []
+    monkeypatch.setattr(langid, "kneser_ney", lambda name, counts, alphabet, real=langid.kneser_ney: seen.append(counts["n"].sum()) or real(name, counts, alphabet))
+    langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1), fit_chars=30_000)
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), fit_chars=30_000)
+    assert model.languages == ["one"] and all(15_000 < n < 45_000 for n in seen)
+
+
+def test_pieces_hold_all_words():
+    for n in (0, 1, 100, 5000):
+        text = langid.normal(_text(2, n))
+        assert " ".join(langid.pieces_of(text)) == text and all(len(p) <= langid.PIECE_CHARS for p in langid.pieces_of(text))
+    assert "".join(langid.pieces_of("x" * 1700)) == "x" * 1700
