@@ -407,7 +407,34 @@ def test_overfull_files_are_split(spark, monkeypatch):
         assert [r["record"] for r in own] == list(range(len(own))) and [r["offset"] for r in own] == [sum(x["length"] for x in own[:i]) for i in range(len(own))]
     changed = pages.withColumn("html", F.when((F.col("page_id") == 40), "broken").otherwise(F.col("html")))
     found = warc_audit.audit(laid, warc_audit.records(changed)).collect()
-    assert len(found) >= 1 and all(r["file"] == 1 for r in found)
+    assert [(r["file"], r["page_id"]) for r in found] == [(1, 40)] and found[0]["digest"] != found[0]["replica_digest"]
+
+
+def _audited(spark, rows, change):
+    schema = "page_id long, url string, html string"
+    laid = warc_audit.records(spark.createDataFrame(rows, schema))
+    return warc_audit.audit(laid, warc_audit.records(spark.createDataFrame(change(rows), schema))).collect()
+
+
+def test_one_change_is_one_finding_in_overfull_and_ordinary_files(spark, monkeypatch):
+    monkeypatch.setattr(warc_audit, "FILE_PAGES", 64)
+    overfull = [(None, f"u{i}", f"text {i}") for i in range(600)] + [(3, "v", str(i)) for i in range(200)]
+    ordinary = [(64 + i, f"w{i}", f"page {i}") for i in range(60)]
+    rows = overfull + ordinary
+    put = lambda at, html: lambda r: [*r[:at], (*r[at][:2], html), *r[at + 1 :]]
+    for at, html in ((17, "changed"), (299, "text 299 and longer"), (810, "p"), (811, "a page that has grown")):
+        found = _audited(spark, rows, put(at, html))
+        assert [(r["page_id"], r["digest"] is None, r["replica_digest"] is None) for r in found] == [(rows[at][0], False, False)]
+    gone = _audited(spark, rows, lambda r: r[:100] + r[101:])
+    assert [(r["page_id"], r["replica_digest"]) for r in gone] == [(None, None)]
+    more = _audited(spark, rows, lambda r: [*r, (70, "new", "page")])
+    assert [(r["page_id"], r["digest"]) for r in more] == [(70, None)]
+    # one of many contents of one id and address: the old one and the new one are told apart by content only
+    assert len(_audited(spark, rows, put(700, "other"))) == 1
+    # a copy more and a file less
+    assert [r["digest"] for r in _audited(spark, rows, lambda r: [*r, r[5]])] == [None]
+    assert len(_audited(spark, rows, lambda r: r[:800])) == 60
+    assert _audited(spark, rows, lambda r: r[::-1]) == []
 
 
 # ---- languages of few or long texts ---------------------------------------------------------------
