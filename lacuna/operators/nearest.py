@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lacuna.functions.digamma import digamma_sql
 from lacuna.functions.rng import normal, row_number_sql
 
+from lacuna.sources.stage import materialize
+
 from .kernels import unpivoted, with_mask
+from .ranks import placed, with_near
 
 DS = ["dataset_id"]
 NEIGHBOURS = 3
@@ -23,23 +25,27 @@ def mutual_information(long: DataFrame, by: list[str], number: str, label: str,
     """by, mi: mutual information (nats, at least 0) of value and label in each group; long has by, value, the label and a whole number.
 
     For each row the distance to its third neighbour of the same label is met with the number of all rows closer than that.  Values are
-    scaled by their deviation, and equal ones told apart by a tiny draw of the row's number.
+    scaled by their deviation, and equal ones told apart by a tiny draw of the row's number.  Neighbours and running counts are found by ranges
+    and blocks, so no group is one task.
     """
     clean = long.where("value is not null and not isnan(value)")
     s = clean.groupBy(*by).agg(F.stddev_pop("value").alias("s"), F.avg(F.abs("value")).alias("m"))
     scale = F.when(F.col("s") > 0, F.col("s")).otherwise(1.0)
     v = F.col("value") / scale + JITTER * F.greatest(F.lit(1.0), F.col("m") / scale) * normal(seed, number)
     rows = clean.join(s, by).select(*by, F.expr(number).alias("id"), F.col(label).alias("label"), v.alias("v"))
-    own = W.partitionBy(*by, "label").orderBy("v", "id")
-    gaps = [F.col("v") - F.lag("v", k).over(own) for k in range(1, NEIGHBOURS + 1)] + [F.lead("v", k).over(own) - F.col("v") for k in range(1, NEIGHBOURS + 1)]
-    near = rows.select(*by, "id", "label", "v", F.array_sort(F.array_compact(F.array(*gaps))).alias("gaps"), F.count(F.lit(1)).over(W.partitionBy(*by, "label")).alias("same"))
-    near = near.where("same > 1").withColumn("k", F.least(F.lit(NEIGHBOURS), F.col("same") - 1).cast("int"))
-    near = near.withColumn("r", INSIDE * F.col("gaps")[F.col("k") - 1])  # the neighbour itself lies outside
+    sizes = rows.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("same"))
+    ordered = placed(rows, [*by, "label"], ["v", "id"], "place")
+    gaps = {f"before{k}": (lambda w, k=k: F.col("v") - F.lag("v", k).over(w)) for k in range(1, NEIGHBOURS + 1)}
+    gaps |= {f"after{k}": (lambda w, k=k: F.lead("v", k).over(w) - F.col("v")) for k in range(1, NEIGHBOURS + 1)}
+    near = with_near(ordered, [*by, "label"], "place", NEIGHBOURS, gaps).join(sizes.where("same > 1"), [*by, "label"])
+    near = near.withColumn("k", F.least(F.lit(NEIGHBOURS), F.col("same") - 1).cast("int"))
+    closest = F.array_sort(F.array_compact(F.array(*gaps)))
+    near = materialize(near.withColumn("r", INSIDE * closest[F.col("k") - 1]).select(*by, "id", "label", "v", "r", "k", "same"))  # the neighbour itself lies outside
     # how many rows lie inside (v - r, v + r): running counts at both ends, ends before or after equal values
     event = lambda value, kind: F.struct(value.alias("at"), F.lit(kind).alias("kind"))
     events = near.select(*by, "id", F.explode(F.array(event(F.col("v"), 1), event(F.col("v") + F.col("r"), 0), event(F.col("v") - F.col("r"), 2))).alias("e"))
-    upto = F.sum(F.when(F.col("e.kind") == 1, 1).otherwise(0)).over(W.partitionBy(*by).orderBy("e.at", "e.kind").rowsBetween(W.unboundedPreceding, 0))
-    inside = events.select(*by, "id", F.col("e.kind").alias("kind"), upto.alias("upto")).groupBy(*by, "id").agg(
+    counted = placed(events.select(*by, "id", "e.at", "e.kind"), by, ["at", "kind", "id"], "event_no", {"upto": (F.col("kind") == 1).cast("long")})
+    inside = counted.groupBy(*by, "id").agg(
         (F.max(F.when(F.col("kind") == 0, F.col("upto"))) - F.max(F.when(F.col("kind") == 2, F.col("upto")))).alias("inside")
     )
     psi = lambda x: F.expr(digamma_sql(x))

@@ -2,19 +2,20 @@
 
 Each way takes a panel, a rate (a number or a column that is constant within a dataset) and a seed.
 If no row of a dataset is hit, the row of highest probability (a random one where rows are equal) is.
-Dataset-wide figures come from aggregations that combine inside tasks and are joined back; only
-ways defined by rank sort a dataset's rows.
+Dataset-wide figures come from aggregations that combine inside tasks and are joined back; ranks come from
+ranges of (dataset, value), so that no dataset is one task.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lacuna.functions.rng import STRIDE, normal, row_number_sql, uniform
 from lacuna.sources.panels import checked
 
+from .ranks import placed
+
 VARIANTS = {
     "mcar_uniform": "MCAR", "mcar_fixed": "MCAR", "mcar_block": "MCAR",
     "mar_logistic": "MAR", "mar_threshold": "MAR", "mar_rank": "MAR", "mar_quantile_group": "MAR", "mar_multi_predictor": "MAR",
@@ -65,12 +66,32 @@ def _blocks(panel: DataFrame, seed: int) -> DataFrame:
     return each.select("dataset_id", rows.alias("row_id")).distinct()
 
 
-def _quantile(value: str, rank_down: str, dataset) -> Column:
-    """Linear (1 - rate) quantile of a dataset, from its values and their ranks from the top."""
-    h = (F.col("n") - 1) * (1 - F.col("rate"))
-    low, high = F.floor(h), F.ceil(h)
-    at = lambda j: F.max(F.when(F.col("n") - F.col(rank_down) == j, F.col(value))).over(dataset)
-    return at(low) + (h - low) * (at(high) - at(low))
+def _ranked(df: DataFrame, keys: dict[str, Column], ways: list[str]) -> DataFrame:
+    """df with, for the rows of the given ways, ``down`` (place from the top), ``up`` (from the bottom, for censored tails) and ``cut`` (the linear 1 - rate quantile).
+
+    Places come from ranges of (dataset, key), whichever size a dataset has; equal values are ranked by row from either end.
+    """
+    key = F.lit(None).cast("double")
+    for w in ways:
+        key = F.when(F.col("way") == w, keys[w]).otherwise(key)
+    rows = df.where(F.col("way").isin(*ways)).select("dataset_id", "row_id", "way", "n", "rate", key.alias("rank_key"))
+    ends = placed(rows, ["dataset_id"], [F.desc("rank_key"), "row_id"], "down")
+    out = ends.select("dataset_id", "row_id", "down")
+    if "mnar_tail_censoring" in ways:
+        tails = rows.where("way = 'mnar_tail_censoring'").select("dataset_id", "row_id", "rank_key")
+        out = out.join(placed(tails, ["dataset_id"], ["rank_key", "row_id"], "up").drop("rank_key"), ["dataset_id", "row_id"], "left")
+    df = df.join(out, ["dataset_id", "row_id"], "left")
+    cut = [w for w in ("mar_threshold", "mnar_quantile_threshold") if w in ways]
+    if cut:
+        h = (F.col("n") - 1) * (1 - F.col("rate"))
+        low, high = F.floor(h), F.ceil(h)
+        at = lambda j: F.max(F.when(F.col("n") - F.col("down") == j, F.col("rank_key")))
+        two = ends.where(F.col("way").isin(*cut)).withColumns({"h": h, "low": low, "high": high})
+        two = two.where((F.col("n") - F.col("down")).between(F.col("low"), F.col("high"))).groupBy("dataset_id").agg(
+            at(F.col("low")).alias("a"), at(F.col("high")).alias("b"), F.max(F.col("h") - F.col("low")).alias("part")
+        )
+        df = df.join(two.select("dataset_id", (F.col("a") + F.col("part") * (F.col("b") - F.col("a"))).alias("cut")), "dataset_id", "left")
+    return df
 
 
 def simulate(panel: DataFrame, variant: str | Column, rate: float | Column, seed: int) -> DataFrame:
@@ -80,22 +101,13 @@ def simulate(panel: DataFrame, variant: str | Column, rate: float | Column, seed
     columns = panel.columns
     df = panel.withColumns({"rate": F.lit(rate) if isinstance(rate, float) else rate, "way": name})
     df = _figures(df, which).withColumn("u", uniform(seed, _NUMBER))
-    ds = W.partitionBy("dataset_id")
-    # what a way ranks a dataset's rows by, from the top: one sort for all ways
+    # what a way ranks a dataset's rows by, from the top
     keys = {"mcar_fixed": -F.col("u"), "mar_threshold": F.col("x1"), "mar_rank": F.col("x1"), "mnar_quantile_threshold": F.col("x0"), "mnar_tail_censoring": F.col("x0")}
-    ranked = [w for w in which if w in keys]
-    if ranked:
-        key = F.lit(None).cast("double")
-        for w in ranked:
-            key = F.when(F.col("way") == w, keys[w]).otherwise(key)
-        df = df.withColumn("rank_key", key).withColumn("down", F.row_number().over(ds.orderBy(F.desc("rank_key"), "row_id")))
-    if "mnar_tail_censoring" in which:  # equal values are ranked by row from either end
-        df = df.withColumn("up", F.row_number().over(ds.orderBy("rank_key", "row_id")))
+    if ranked := [w for w in which if w in keys]:
+        df = _ranked(df, keys, ranked)
     if "mcar_block" in which:
         checked(panel)  # blocks are drawn as ranges of row numbers
         df = df.join(_blocks(df.where("way = 'mcar_block'"), seed).withColumn("in_block", F.lit(True)), ["dataset_id", "row_id"], "left")
-    if {"mar_threshold", "mnar_quantile_threshold"} & set(which):
-        df = df.withColumn("cut", _quantile("rank_key", "down", ds))
     rate_, u = F.col("rate"), F.col("u")
     p = F.lit(None).cast("double")
     for w in which:

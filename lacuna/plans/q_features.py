@@ -146,7 +146,13 @@ QUERIES["ft29_30_residual_dependence"] = (
     on_panel(f""", {MOM}, {least_squares('ls', 'd', {'x': 'x0f', 'm': 'mask'})},
   re AS (SELECT d.dataset_id, mask, round(x0f - (base_x + x1 * b1_x + x2 * b2_x + x3 * b3_x + x4 * b4_x), 6) AS a, round(mask - (base_m + x1 * b1_m + x2 * b2_m + x3 * b3_m + x4 * b4_m), 9) AS b FROM d JOIN ls USING (dataset_id)),
   rr AS (SELECT *, rank() OVER (PARTITION BY dataset_id ORDER BY a) + (count(*) OVER (PARTITION BY dataset_id, a) - 1) / 2.0::DOUBLE AS ra, rank() OVER (PARTITION BY dataset_id ORDER BY b) + (count(*) OVER (PARTITION BY dataset_id, b) - 1) / 2.0::DOUBLE AS rb FROM re)
-  SELECT dataset_id, {r('CASE WHEN count(*) >= 20 AND sum(mask) >= 5 THEN abs(corr(a, b)) ELSE 0.0 END', 4)} AS "adv_partial_dcor_X0_mask", {r('CASE WHEN count(*) >= 20 AND sum(mask) >= 5 THEN abs(corr(ra, rb)) ELSE 0.0 END', 4)} AS "adv_residual_spearman_X0_mask" FROM rr GROUP BY dataset_id"""),
+  , pr AS (SELECT p.dataset_id, p.row AS i, abs(p.a - q.a) AS x, abs(p.b - q.b) AS y FROM (SELECT *, row_number() OVER () AS row FROM re) p JOIN re q USING (dataset_id)),
+  ps AS (SELECT dataset_id, i, sum(x) AS sx, sum(y) AS sy, sum(x * y) AS sxy, sum(x * x) AS sxx, sum(y * y) AS syy, CAST(count(*) AS DOUBLE) AS n FROM pr GROUP BY dataset_id, i),
+  pd AS (SELECT dataset_id, sum(sxy) / any_value(n * n) + sum(sx) * sum(sy) / any_value(n * n * n * n) - 2 * sum(sx * sy) / any_value(n * n * n) AS cov,
+    sum(sxx) / any_value(n * n) + sum(sx) * sum(sx) / any_value(n * n * n * n) - 2 * sum(sx * sx) / any_value(n * n * n) AS va, sum(syy) / any_value(n * n) + sum(sy) * sum(sy) / any_value(n * n * n * n) - 2 * sum(sy * sy) / any_value(n * n * n) AS vb FROM ps GROUP BY dataset_id),
+  cs AS (SELECT dataset_id, count(*) >= 20 AND sum(mask) >= 5 AS ok, abs(corr(a, b)) AS pearson, abs(corr(ra, rb)) AS spearman FROM rr GROUP BY dataset_id)
+  SELECT dataset_id, {r('CASE WHEN ok THEN sqrt(greatest(cov, 0.0) / sqrt(va * vb)) ELSE 0.0 END', 4)} AS "adv_partial_dcor_X0_mask", {r('CASE WHEN ok THEN spearman ELSE 0.0 END', 4)} AS "adv_residual_spearman_X0_mask",
+    {r('CASE WHEN ok THEN pearson ELSE 0.0 END', 4)} AS "adv_residual_pearson_X0_mask" FROM cs JOIN pd USING (dataset_id)"""),
 )
 QUERIES["ft26_28_imputation_divergence"] = (lambda s, d: rounded(rs.imputation_divergence(correlated(s, d))), None)
 _CORRELATED = f"WITH {P1_CORRELATED}, {simulated('p1', 'masked', repr('mnar_self_logistic'), 'CAST(0.2 AS DOUBLE)', 9)}, panel AS (SELECT *, CASE WHEN x0 IS NULL THEN 1 ELSE 0 END AS mask FROM masked)"

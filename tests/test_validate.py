@@ -142,7 +142,7 @@ def test_residuals_equal_plain_least_squares(panel):
         x = np.column_stack([np.ones(len(rows)), [r[5:9] for r in rows]])
         filled, mask = np.where(np.isnan(x0), np.nanmedian(x0), x0), np.isnan(x0).astype(float)
         left = [y - x @ np.linalg.lstsq(x, y, rcond=None)[0] for y in (filled, mask)]
-        assert got[k]["adv_partial_dcor_X0_mask"] == pytest.approx(abs(np.corrcoef(*left)[0, 1]), abs=1e-6)
+        assert got[k]["adv_residual_pearson_X0_mask"] == pytest.approx(abs(np.corrcoef(*left)[0, 1]), abs=1e-6)
         rank = [np.argsort(np.argsort(v)) for v in left]
         assert got[k]["adv_residual_spearman_X0_mask"] == pytest.approx(abs(np.corrcoef(*rank)[0, 1]), abs=1e-6)
     assert got["E3"]["adv_partial_dcor_X0_mask"] == 0
