@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lacuna.functions import special
 from lacuna.functions.rng import normal_sql, uniform
+from lacuna.sources.stage import materialize
 
 from .ranks import placed
 from .tests import _tail
@@ -235,12 +236,48 @@ def fold_sizes(df: DataFrame) -> DataFrame:
     return own.join(F.broadcast(total)).select("fold", "n_test", (F.col("n") - F.col("n_test")).alias("n_train"), (F.col("groups") - 1).alias("train_groups"))
 
 
+def dealt(sizes: list[tuple[int, int]], folds: int) -> list[tuple[int, int, list[int]]]:
+    """(size, first, cycle) for groups dealt one by one, the largest first, each to the lightest fold (the lowest of equals).
+
+    sizes: (size, number of groups), falling.  From the first-th group of a size on (until the next entry of that size), groups go to the folds of the
+    cycle in turn: between two turns of the lightest fold, every fold that is lighter than its next load has one.
+    """
+    load, out = [0] * folds, []
+    for size, count in sizes:
+        done = 0
+        while done < count:
+            order = sorted(range(folds), key=lambda f: (load[f], f))
+            low = order[0]
+            cycle = [f for f in order if (load[f], f) < (load[low] + size, low)]
+            items = count - done
+            if len(cycle) < folds:
+                other = order[len(cycle)]
+                turns, rest = divmod(load[other] - load[low], size)
+                items = min(items, len(cycle) * (turns - (rest == 0 and other < low)))
+            out.append((size, done + 1, cycle))
+            for place, f in enumerate(cycle):
+                load[f] += size * (items // len(cycle) + (place < items % len(cycle)))
+            done += items
+    return out
+
+
 def group_kfold(df: DataFrame, group: str, folds: int = 5) -> DataFrame:
-    """df with ``fold``: whole groups, dealt to and fro in order of size (the largest first), so that folds are of about one size."""
-    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("group_rows")).withColumn("group_order", -F.col("group_rows"))
-    at = (F.col("group_place") - 1) % (2 * folds)
-    fold = F.when(at < folds, at).otherwise(2 * folds - 1 - at).cast("int")
-    return df.join(placed(sizes, [], ["group_order", group], "group_place").select(group, fold.alias("fold")), group)
+    """df with ``fold``: whole groups, the largest first (of equal ones the least name), each to the lightest fold.
+
+    Groups of one size are dealt in bulk: what goes through the driver is the number of groups of each size, at most the root of twice the rows.
+    """
+    sizes = materialize(df.groupBy(group).agg(F.count(F.lit(1)).alias("group_rows")))
+    kinds = [(r["group_rows"], r["n"]) for r in sizes.groupBy("group_rows").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("group_rows")).collect()]
+    turns = dealt(kinds, folds)
+    schema = "group_rows long, turns array<struct<first:long,cycle:array<int>>>"
+    by_size: dict[int, list] = {}
+    for size, first, cycle in turns:
+        by_size.setdefault(size, []).append((first, cycle))
+    table = df.sparkSession.createDataFrame(list(by_size.items()), schema)
+    ranked = placed(sizes, ["group_rows"], [group], "group_place").join(table, "group_rows")
+    turn = F.element_at(F.filter("turns", lambda t: t.first <= F.col("group_place")), -1)
+    own = ranked.withColumn("turn", turn).select(group, F.get("turn.cycle", ((F.col("group_place") - F.col("turn.first")) % F.size("turn.cycle")).cast("int")).alias("fold"))
+    return df.join(own, group)
 
 
 # ---- routing of two-level classifiers ---------------------------------------------------------

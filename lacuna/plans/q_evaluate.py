@@ -163,9 +163,12 @@ add(
 add("ml12_leave_one_out", lambda s, d: ev.leave_one_out(one(s, d).drop("fold"), "sample_id").select("sample_id", "fold"), f", {_ONE} SELECT sample_id, sample_id AS fold FROM one")
 add(
     "ml13_group_kfold", lambda s, d: ev.group_kfold(one(s, d).drop("fold"), "source_group").select("sample_id", "source_group", "fold"),
-    f""", {_ONE}, g AS (SELECT source_group, (row_number() OVER (ORDER BY count(*) DESC, source_group) - 1) % 10 AS pos FROM one GROUP BY source_group)
-  SELECT sample_id, source_group, CAST(CASE WHEN pos < 5 THEN pos ELSE 9 - pos END AS INT) AS fold FROM one JOIN g USING (source_group)""",
+    f""", {_ONE}, g AS (SELECT source_group, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, source_group) AS k FROM one GROUP BY source_group),
+  dealing AS (SELECT CAST(0 AS BIGINT) AS k, [0, 0, 0, 0, 0]::BIGINT[] AS loads, CAST(0 AS BIGINT) AS fold
+    UNION ALL SELECT g.k, list_transform(loads, lambda x, i: CASE WHEN i = list_position(loads, list_min(loads)) THEN x + g.size ELSE x END), list_position(loads, list_min(loads)) FROM dealing JOIN g ON g.k = dealing.k + 1)
+  SELECT sample_id, source_group, CAST(dealing.fold - 1 AS INT) AS fold FROM one JOIN g USING (source_group) JOIN dealing USING (k)""",
 )
+QUERIES["ml13_group_kfold"] = (QUERIES["ml13_group_kfold"][0], QUERIES["ml13_group_kfold"][1].replace("WITH ", "WITH RECURSIVE ", 1))
 
 
 def two_level(s, d):

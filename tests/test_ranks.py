@@ -44,3 +44,25 @@ def test_distance_correlation_is_that_of_the_definition(spark):
     assert set(got) == set(panels)
     for g, own in panels.items():
         assert got[g] == pytest.approx(plain_dcor(*zip(*own, strict=True)), abs=1e-6), g
+
+
+def test_groups_are_dealt_as_one_by_one():
+    rng = random.Random(9)
+    from lacuna.operators import evaluate
+
+    for _ in range(400):
+        folds, sizes = rng.randrange(1, 7), sorted((rng.choice([1, 2, 3, 7, 50, 1000]) for _ in range(rng.randrange(1, 60))), reverse=True)
+        load, want = [0] * folds, []
+        for s in sizes:
+            f = min(range(folds), key=lambda f: (load[f], f))
+            load[f] += s
+            want.append(f)
+        kinds = sorted({(s, sizes.count(s)) for s in sizes}, reverse=True)
+        turns, got = evaluate.dealt(kinds, folds), []
+        for s, n in kinds:
+            own = [t for t in turns if t[0] == s]
+            for place in range(1, n + 1):
+                _, first, cycle = [t for t in own if t[1] <= place][-1]
+                got.append(cycle[(place - first) % len(cycle)])
+        assert got == want
+        assert len(turns) <= len(kinds) * folds
