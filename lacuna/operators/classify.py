@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from lacuna.functions.rng import uniform
 from lacuna.sources.stage import materialize
 
+from .attribution import mean_attribution
 from .neighbours import nearest
 from .ranks import placed
 
@@ -288,9 +289,9 @@ def recursive_elimination(df: DataFrame, columns: list[str], keep: int = 15, ste
     return df.sparkSession.createDataFrame(rows, "var string, rank int, selected boolean")
 
 
-def level_importance_shift(train: DataFrame, test: DataFrame, columns: list[str], repeats: int = 10) -> DataFrame:
-    """var, first, second, delta: permutation importance of each feature at both levels (MCAR or not; MAR or MNAR) and its change."""
+def level_importance_shift(train: DataFrame, test: DataFrame, columns: list[str]) -> DataFrame:
+    """var, first, second, delta: mean absolute Shapley value of each feature at both levels (MCAR or not; MAR or MNAR) and its change."""
     one = lambda df: df.withColumn("label", (F.col("label") > 0).cast("int"))
     two = lambda df: df.where("label > 0").withColumn("label", (F.col("label") == 2).cast("int"))
-    first, second = (permutation_importance(fit(f(train), columns, "forest"), f(test), columns, repeats).select("var", F.col("mean").alias(n)) for f, n in ((one, "first"), (two, "second")))
+    first, second = (mean_attribution(fit(f(train), columns, "forest"), f(test), columns).select("var", F.col("mean").alias(n)) for f, n in ((one, "first"), (two, "second")))
     return first.join(second, "var", "left").select("var", "first", F.coalesce("second", F.lit(0.0)).alias("second")).withColumn("delta", F.col("second") - F.col("first"))

@@ -345,16 +345,32 @@ def _rfe(s, d):
     return classify.recursive_elimination(df, _names(df))
 
 
+def _shapley(s, d):
+    """Attributions of the test rows, held against the forest: their sum and the base are its probability."""
+    from lacuna.operators import attribution, classify
+
+    train, test = _split(s, d)
+    model = classify.fit(train, _COLUMNS, "forest")
+    each = attribution.attributed(model, test, _COLUMNS).join(classify.predict(model, test), "id")
+    of = lambda c: F.element_at("base", c + 1) + F.aggregate("values", F.lit(0.0), lambda a, v: a + F.element_at(v, c + 1))
+    off = F.greatest(*[F.abs(of(c) - F.col(f"p{c}")) for c in range(3)])
+    names = F.element_at(F.array(*[F.lit(c) for c in _COLUMNS]), F.col("at") + 1)
+    return each.select("id", off.alias("off"), F.posexplode("values").alias("at", "own")).select("id", names.alias("var"), (F.col("off") < 1e-6).alias("adds_up"))
+
+
 def _shift(s, d):
     from lacuna.operators import classify
 
     train, test = _split(s, d)
-    return rounded(classify.level_importance_shift(train, test, _COLUMNS, 5))
+    return rounded(classify.level_importance_shift(train, test, _COLUMNS))
 
 
 QUERIES["fr2_permutation_importance"] = (_permutation, None)
 QUERIES["fr5_recursive_elimination"] = (_rfe, None)
 QUERIES["fr9_level_importance_shift"] = (_shift, None)
+QUERIES["fr9_shapley_values"] = (
+    _shapley, f"SELECT o_orderkey AS id, var, true AS adds_up FROM orders, (SELECT unnest([{', '.join(repr(c) for c in _COLUMNS)}]) AS var) WHERE o_orderkey % 5 = 0",
+)
 
 
 def _feature_mi(s, d):
