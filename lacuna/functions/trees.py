@@ -80,65 +80,6 @@ def boosted_scores(train: np.ndarray, y: np.ndarray, test: np.ndarray, rounds: i
     return out
 
 
-def drawn_leaves(codes: np.ndarray, trees: int, depth: int, rng: np.random.Generator) -> np.ndarray:
-    """Leaves (trees x rows) of trees whose features and cuts are drawn without a look at labels, between the least and greatest bin of a node.
-
-    One set of trees serves every permutation of the labels, as it would have been drawn for each of them.
-    """
-    n, k = codes.shape
-    node = np.zeros((trees, n), np.int64)
-    for level in range(depth):
-        nodes = 1 << level
-        feature = rng.integers(0, k, (trees, nodes))
-        value = codes.T[np.take_along_axis(feature, node, axis=1), np.arange(n)[None, :]]
-        flat = (np.arange(trees)[:, None] * nodes + node).ravel()
-        low, high = np.full(trees * nodes, BINS), np.full(trees * nodes, -1)
-        np.minimum.at(low, flat, value.ravel())
-        np.maximum.at(high, flat, value.ravel())
-        cut = low + np.floor(rng.random(trees * nodes) * np.maximum(high - low, 1)).astype(np.int64)
-        node = 2 * node + (value > cut[flat].reshape(trees, n))
-    return node
-
-
-def _sums(columns: np.ndarray, cell: np.ndarray, cells: int) -> np.ndarray:
-    """Sums of the rows of ``columns`` that share a cell, one row for each cell."""
-    order = np.argsort(cell, kind="stable")
-    first = np.flatnonzero(np.diff(cell[order], prepend=-1))
-    out = np.zeros((cells, columns.shape[1]), columns.dtype)
-    out[cell[order][first]] = np.add.reduceat(columns[order], first, axis=0)
-    return out
-
-
-def out_of_bag(leaves: np.ndarray, labels: np.ndarray, least: int, rng: np.random.Generator) -> np.ndarray:
-    """Shares of label 1 (one row for each row of ``labels``) of the trees that did not draw a row in their bootstrap sample."""
-    n, columns = leaves.shape[1], np.ascontiguousarray(labels.T)
-    out, times, overall = np.zeros_like(columns), np.zeros((n, 1), np.float32), columns.mean(axis=0, keepdims=True)
-    for leaf in leaves:
-        w = np.bincount(rng.integers(0, n, n), minlength=n).astype(np.float32)
-        size = int(leaf.max()) + 1
-        weight = np.bincount(leaf, w, size)[:, None].astype(np.float32)
-        value = np.where(weight >= least, _sums(columns * w[:, None], leaf, size) / np.maximum(weight, 1), overall)
-        gone = w == 0
-        out[gone] += value[leaf[gone]]
-        times[gone] += 1
-    return np.where(times > 0, out / np.maximum(times, 1), overall).T
-
-
-def held_out(leaves: np.ndarray, labels: np.ndarray, fold: np.ndarray, least: int) -> np.ndarray:
-    """Shares of label 1 (one row for each row of ``labels``) of trees filled with the rows of other folds."""
-    folds, columns = int(fold.max()) + 1, np.ascontiguousarray(labels.T)
-    out, overall = np.zeros_like(columns), columns.mean(axis=0, keepdims=True)
-    for leaf in leaves:
-        size = int(leaf.max()) + 1
-        cell = leaf * folds + fold
-        own = _sums(columns, cell, size * folds).reshape(size, folds, -1)
-        weight = np.bincount(cell, minlength=size * folds).reshape(size, folds, 1).astype(np.float32)
-        rest, weight = own.sum(axis=1, keepdims=True) - own, weight.sum(axis=1, keepdims=True) - weight
-        value = np.where(weight >= least, rest / np.maximum(weight, 1), overall).reshape(size * folds, -1)
-        out += value[cell]
-    return (out / len(leaves)).T
-
-
 def auc(score: np.ndarray, y: np.ndarray) -> float:
     """The chance that a row of label 1 scores above one of label 0 (NaN for one class)."""
     pos, neg = score[y == 1], np.sort(score[y == 0])

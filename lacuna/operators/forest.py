@@ -1,7 +1,7 @@
-"""Tests and features of the mask by forests: one task for the rows of a dataset, all permutations at once.
+"""Features of the mask by greedy forests and boosted trees: one task for the rows of a dataset.
 
-A forest is fitted on at most ``ROWS`` rows of a dataset, drawn by a hash of the row (a bounded sample); smaller datasets are used
-whole.  Draws depend on the seed and the dataset's number only.
+Trees are fitted and scored on at most ``ROWS`` rows of a dataset, drawn by a hash of the row (a bounded sample); smaller datasets are used
+whole.  Draws depend on the seed and the dataset's number only.  The permutation tests, which use all rows, are in ``mask_forest``.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from lacuna.functions import trees
 from lacuna.functions.rng import row_number_sql, uniform
 
 from .kernels import with_mask
+from .mask_forest import mask_auc_permutation, pklm
 
 DS = ["dataset_id"]
 #: Rows of a dataset that a forest may use.
@@ -38,57 +39,6 @@ def by_dataset(panel: DataFrame, work, schema: str, seed: int) -> DataFrame:
     return drawn.select(*DS, "dataset_no", "row_id", "mask", "x0f", *_X).groupBy(*DS).applyInPandas(run, f"dataset_id string, {schema}")
 
 
-def _permuted(y: np.ndarray, times: int, rng: np.random.Generator) -> np.ndarray:
-    """The labels, then ``times`` permutations of them, one in each row."""
-    return np.stack([y, *(rng.permutation(y) for _ in range(times))]).astype(np.float32)
-
-
-def divergence(p: np.ndarray, q: np.ndarray, bins: int = 20) -> float:
-    """Jensen-Shannon divergence of two samples of shares, from histograms on [0, 1]."""
-    a, b = (np.bincount(np.minimum((x * bins).astype(np.int64), bins - 1), minlength=bins) / max(len(x), 1) + 1e-10 for x in (p, q))
-    m = (a + b) / 2
-    return float(0.5 * (a * np.log(a / m)).sum() + 0.5 * (b * np.log(b / m)).sum())
-
-
-def pklm(panel: DataFrame, permutations: int = 100, n_trees: int = 100, depth: int = 5, least: int = 10, seed: int = 42) -> DataFrame:
-    """dataset_id, pklm_stat, pklm_p, pklm_log_stat.
-
-    The statistic is the divergence of the forest's out-of-bag shares between missing and observed rows; the p-value is the share
-    of permuted masks that reach it.  Fewer than five rows on a side: 0 and 1.
-    """
-
-    def work(rows, rng):
-        y = rows["mask"].to_numpy()
-        if min(y.sum(), len(y) - y.sum()) < LEAST_SIDE:
-            return {"pklm_stat": 0.0, "pklm_p": 1.0, "pklm_log_stat": 0.0}
-        labels = _permuted(y, permutations, rng)
-        shares = trees.out_of_bag(trees.drawn_leaves(trees.binned(rows[_X].to_numpy(float)), n_trees, depth, rng), labels, least, rng)
-        got = np.array([divergence(s[l == 1], s[l == 0]) for s, l in zip(shares, labels, strict=True)])
-        return {"pklm_stat": got[0], "pklm_p": float((got[1:] >= got[0]).mean()), "pklm_log_stat": float(np.log1p(got[0]))}
-
-    return by_dataset(panel, work, "pklm_stat double, pklm_p double, pklm_log_stat double", seed)
-
-
-def mask_auc_permutation(panel: DataFrame, permutations: int = 200, n_trees: int = 100, depth: int = 5, least: int = 10, seed: int = 43) -> DataFrame:
-    """dataset_id, auc_obs, auc_p, auc_z: five-fold AUC of the mask from the predictors against permuted masks.
-
-    Fewer than five rows on a side: 0.5, 1 and 0.
-    """
-
-    def work(rows, rng):
-        y = rows["mask"].to_numpy()
-        if min(y.sum(), len(y) - y.sum()) < LEAST_SIDE:
-            return {"auc_obs": 0.5, "auc_p": 1.0, "auc_z": 0.0}
-        labels = _permuted(y, permutations, rng)
-        fold = trees.folds_of(y, 5, rng)
-        shares = trees.held_out(trees.drawn_leaves(trees.binned(rows[_X].to_numpy(float)), n_trees, depth, rng), labels, fold, least)
-        each = np.array([[trees.auc(s[fold == k], l[fold == k]) for k in range(5)] for s, l in zip(shares, labels, strict=True)])
-        got = np.array([r[~np.isnan(r)].mean() if (~np.isnan(r)).any() else 0.5 for r in each])
-        return {"auc_obs": got[0], "auc_p": float((got[1:] >= got[0]).mean()), "auc_z": float((got[0] - got[1:].mean()) / max(got[1:].std(), 1e-9))}
-
-    return by_dataset(panel, work, "auc_obs double, auc_p double, auc_z double", seed)
-
-
 def _cv_auc(codes: np.ndarray, y: np.ndarray, fold: np.ndarray, score) -> list[float]:
     got = [trees.auc(score(codes[fold != k], y[fold != k], codes[fold == k]), y[fold == k]) for k in range(int(fold.max()) + 1)]
     return [x for x in got if x == x]
@@ -144,3 +94,6 @@ def _u_test(a: list[float], b: list[float]) -> float:
     from math import erfc, sqrt
 
     return float(erfc(max(abs(u - n * m / 2) - 0.5, 0.0) / spread / sqrt(2))) if spread > 0 else 1.0
+
+
+__all__ = ["auc_self_delta", "boosted_tasks", "by_dataset", "mask_auc_permutation", "pklm"]
