@@ -6,7 +6,7 @@ import random
 
 import numpy as np
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from lacuna.functions.rng import uniform
 from lacuna.sources.stage import materialize
 
+from . import boosting
 from .attribution import mean_attribution
 from .neighbours import nearest
 from .ranks import placed
@@ -35,8 +36,6 @@ def estimator(kind: str, features: int, rows: int, weight: str | None = None):
         return LogisticRegression(maxIter=100, regParam=0.1 if small else 0.01, **common, **weighted)
     if kind == "perceptron":
         return MultilayerPerceptronClassifier(layers=[features, 8 if small else 32, 3], maxIter=60, seed=42, **common)
-    if kind == "boosting":  # Spark's boosted trees are binary: one for each class
-        return OneVsRest(classifier=GBTClassifier(maxIter=10 if small else 20, maxDepth=3, seed=42, featuresCol="scaled"), **common)
     if kind in ("linear_svm", "rbf_svm"):
         return OneVsRest(classifier=LinearSVC(maxIter=30, featuresCol="scaled"), **common)
     raise ValueError(kind)
@@ -66,14 +65,22 @@ def fit_predict(train: DataFrame, test: DataFrame, columns: list[str], kind: str
 
 
 def fit(train: DataFrame, columns: list[str], kind: str, weight: str | None = None):
+    if kind == "boosting":  # Spark's own boosted trees are binary
+        return boosting.fit(train, columns, 10 if train.limit(SMALL).count() < SMALL else 20)
     stages = [VectorAssembler(inputCols=columns, outputCol="features"), StandardScaler(inputCol="features", outputCol="scaled", withMean=True)]
     return Pipeline(stages=[*stages, estimator(kind, len(columns), train.limit(SMALL).count(), weight)]).fit(train)
 
 
+def _probability(out: DataFrame):
+    """The probabilities of a model's output as an array; None where it has none."""
+    kind = dict(out.dtypes).get("probability")
+    return None if kind is None else F.col("probability") if kind == "array<double>" else vector_to_array("probability")
+
+
 def predict(model, test: DataFrame) -> DataFrame:
     """id, label, y_pred and, where the classifier has them, p0..p2 (0 for a class that its training rows lacked)."""
     out = model.transform(test)
-    p = vector_to_array("probability") if "probability" in out.columns else None
+    p = _probability(out)
     extra = [F.coalesce(F.get(p, F.lit(k)), F.lit(0.0)).alias(f"p{k}") for k in range(3)] if p is not None else []
     return out.select("id", "label", F.col("prediction").cast("int").alias("y_pred"), *extra)
 
@@ -108,7 +115,7 @@ def feature_importance(train: DataFrame, columns: list[str]) -> DataFrame:
 def _positive(train: DataFrame, test: DataFrame, columns: list[str], kind: str, name: str) -> DataFrame:
     """test with the probability of label 1 of a two-class fit."""
     out = fit(train, columns, kind).transform(test)
-    return out.withColumn(name, vector_to_array("probability")[1]).select(*test.columns, name)
+    return out.withColumn(name, _probability(out)[1]).select(*test.columns, name)
 
 
 def hierarchical(train: DataFrame, test: DataFrame, columns: list[str], kind: str = "logistic") -> DataFrame:

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 
 def with_mask(panel: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The panel with ``mask`` (1 where x0 is missing), ``median`` of the observed and ``x0f`` (x0 filled with it)."""
+    """The panel with ``mask`` (1 where x0 is missing), ``median`` of the observed and ``x0f`` (x0 filled with it); as it is where it has them."""
+    if {"mask", "median", "x0f"} <= set(panel.columns):
+        return panel
     clean = panel.withColumn("x0", F.when(~F.isnan("x0"), F.col("x0")))
     median = clean.groupBy("dataset_id").agg(F.percentile("x0", 0.5).alias("median"))
     out = clean.join(median, "dataset_id")

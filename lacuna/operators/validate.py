@@ -13,6 +13,7 @@ from . import features as ft
 from . import tests as ts
 from .diagnose import diagnose_bayes, diagnose_rules, kde_loglik, mcar_vote, score_vector
 from .forest import auc_self_delta, mask_auc_permutation, pklm
+from .kernels import with_mask
 from .nearest import mask_mutual_info
 from .patterns import little_mcar
 
@@ -41,7 +42,11 @@ def mcar_tests(panel: DataFrame, permutations: int = 200) -> DataFrame:
 
 
 def scores(panel: DataFrame, permutations: int = 200) -> DataFrame:
-    """All scores of the three layers, one row for each dataset; written once, as the rules and the posterior read them."""
+    """All scores of the three layers, one row for each dataset; written once, as the rules and the posterior read them.
+
+    The filled panel is written once, too: every family reads it.
+    """
+    panel = materialize(with_mask(panel.select("dataset_id", "dataset_no", "row_id", *[f"x{k}" for k in range(5)])))
     layers = (mcar_tests(panel, permutations), mask_auc_permutation(panel, permutations), mask_mutual_info(panel), mnar_scores(panel))
     rate = panel.groupBy(*DS).agg(F.round(F.avg(F.when(F.col("x0").isNull() | F.isnan("x0"), 1.0).otherwise(0.0)), 4).alias("missing_rate"))
     return materialize(mcar_vote(reduce(lambda a, b: a.join(b, DS), layers, rate)))

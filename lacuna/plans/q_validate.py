@@ -92,7 +92,7 @@ QUERIES["io1_block_masking"] = (
 QUERIES["io1_validate_datasets"] = (
     lambda s, d: rounded(validate.validate_datasets(files(s, d), permutations=20).select("dataset_id", "missing_rate", "little_p", "levene_p", "caafe_kl_density"), 5),
     on_panel(f""", {MOM}, {LONG}, {LITTLE}, {LEVENE}, {q_diagnose.KL} SELECT dataset_id, mr.missing_rate, {r('little.p', 5)} AS little_p, {r('levene.p', 5)} AS levene_p, {r('kl', 5)} AS caafe_kl_density
-  FROM (SELECT dataset_id, {r('avg(CASE WHEN x0 IS NULL THEN 1.0::DOUBLE ELSE 0.0 END)', 4)} AS missing_rate FROM panel GROUP BY dataset_id) mr JOIN little USING (dataset_id) JOIN levene USING (dataset_id) JOIN kld USING (dataset_id)"""),
+  FROM (SELECT dataset_id, {r('avg(CASE WHEN x0 IS NULL THEN 1.0::DOUBLE ELSE 0.0 END)', 4)} AS missing_rate FROM panel GROUP BY dataset_id) mr JOIN little USING (dataset_id) LEFT JOIN levene USING (dataset_id) JOIN kld USING (dataset_id)"""),
 )
 
 
