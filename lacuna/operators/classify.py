@@ -14,6 +14,7 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lacuna.functions import search
 from lacuna.functions.rng import uniform
 from lacuna.sources.stage import materialize
 
@@ -244,22 +245,36 @@ def platt_calibrate(train: DataFrame, test: DataFrame, columns: list[str], kind:
     return out.select("id", "label", F.when(F.col("p0") == top, 0).when(F.col("p1") == top, 1).otherwise(2).alias("y_pred"), "p0", "p1", "p2")
 
 
-def hyperparameter_search(df: DataFrame, columns: list[str], trials: int = 8, folds: int = 3, seed: int = 42) -> DataFrame:
-    """level, trial, trees, depth, share, accuracy, best: random settings of a forest for both levels (MCAR or not; MAR or MNAR), by accuracy over folds.
+#: Settings that the search may choose for each kind of model.
+SPACE = {
+    "forest": {"trees": (10, 60), "depth": (2, 9), "share": [0.5, 0.75, 1.0]},
+    "logistic": {"penalty": (1e-4, 1.0, "log")},
+}
 
-    df has a column ``fold`` of whole groups (0 .. folds - 1).
+
+def hyperparameter_search(df: DataFrame, columns: list[str], trials: int = 8, folds: int = 3, seed: int = 42, start: int = 3) -> DataFrame:
+    """level, trial, kind, trees, depth, share, penalty, accuracy, best: the history of a search for both levels (MCAR or not; MAR or MNAR), by accuracy over folds.
+
+    After ``start`` random trials each is proposed by Parzen estimators of the good and the other trials before it (see ``functions.search``).  df has a
+    column ``fold`` of whole groups (0 .. folds - 1).
     """
-    rng, rows = random.Random(seed), []
+    history = []
     for level, sub in (("mcar or rest", df.withColumn("label", (F.col("label") > 0).cast("int"))), ("mar or mnar", df.where("label > 0").withColumn("label", (F.col("label") - 1).cast("int")))):
-        forest = RandomForestClassifier(featuresCol="features", labelCol="label", seed=seed)
-        settings = [(rng.randrange(10, 60), rng.randrange(2, 9), rng.choice((0.5, 0.75, 1.0))) for _ in range(trials)]
-        grid = [{forest.numTrees: a, forest.maxDepth: b, forest.subsamplingRate: c} for a, b, c in settings]
-        rows_of = VectorAssembler(inputCols=columns, outputCol="features").transform(sub.withColumn("fold", F.col("fold").cast("int")))
-        cv = CrossValidator(estimator=forest, estimatorParamMaps=grid, evaluator=MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy"), numFolds=folds, foldCol="fold", parallelism=2)
-        got = cv.fit(rows_of).avgMetrics
-        top = max(range(trials), key=lambda i: (got[i], -i))
-        rows += [(level, i, *settings[i], float(got[i]), i == top) for i in range(trials)]
-    return df.sparkSession.createDataFrame(rows, "level string, trial int, trees int, depth int, share double, accuracy double, best boolean")
+        rng = random.Random(seed)
+        stages = [VectorAssembler(inputCols=columns, outputCol="raw_features"), StandardScaler(inputCol="raw_features", outputCol="features", withMean=True)]
+        rows_of = Pipeline(stages=stages).fit(sub).transform(sub.withColumn("fold", F.col("fold").cast("int")))
+        done: list[tuple[dict, float]] = []
+        for _ in range(trials):
+            s = search.proposed(SPACE, done, rng, start)
+            if s["kind"] == "forest":
+                model = RandomForestClassifier(numTrees=s["trees"], maxDepth=s["depth"], subsamplingRate=s["share"], featuresCol="features", labelCol="label", seed=seed)
+            else:
+                model = LogisticRegression(maxIter=50, regParam=s["penalty"], featuresCol="features", labelCol="label")
+            cv = CrossValidator(estimator=model, estimatorParamMaps=[{}], evaluator=MulticlassClassificationEvaluator(labelCol="label", metricName="accuracy"), numFolds=folds, foldCol="fold")
+            done.append((s, float(cv.fit(rows_of).avgMetrics[0])))
+        top = max(range(trials), key=lambda i: (done[i][1], -i))
+        history += [(level, i, s["kind"], s.get("trees"), s.get("depth"), s.get("share"), s.get("penalty"), score, i == top) for i, (s, score) in enumerate(done)]
+    return df.sparkSession.createDataFrame(history, "level string, trial int, kind string, trees int, depth int, share double, penalty double, accuracy double, best boolean")
 
 
 # ---- relevance by models --------------------------------------------------------------------------
