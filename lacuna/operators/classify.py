@@ -261,6 +261,7 @@ def hyperparameter_search(df: DataFrame, columns: list[str], trials: int = 8, fo
     history = []
     for level, sub in (("mcar or rest", df.withColumn("label", (F.col("label") > 0).cast("int"))), ("mar or mnar", df.where("label > 0").withColumn("label", (F.col("label") - 1).cast("int")))):
         rng = random.Random(seed)
+        sub = materialize(sub.select("label", "fold", *columns))  # every trial reads it
         stages = [VectorAssembler(inputCols=columns, outputCol="raw_features"), StandardScaler(inputCol="raw_features", outputCol="features", withMean=True)]
         rows_of = Pipeline(stages=stages).fit(sub).transform(sub.withColumn("fold", F.col("fold").cast("int")))
         done: list[tuple[dict, float]] = []
