@@ -2,7 +2,7 @@
 
 Scores: dataset_id, true_label (MCAR, MAR, MNAR), p-values little_p, pklm_p, levene_p (null: test not valid), auc_obs, auc_p, auc_z,
 mi_max, caafe_auc_self_delta, caafe_kl_density, caafe_kurt_excess, caafe_cond_entropy.
-Reference points are a calibration of bounded size, so pairs with it grow with the datasets only.
+Reference points are met in blocks; cross-validation and the search for a bandwidth use a calibration of bounded size.
 """
 
 from __future__ import annotations
@@ -13,6 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lacuna.sources.stage import materialize
+
+from .ranks import placed
+
 DS = ["dataset_id"]
 LABELS = ("MCAR", "MAR", "MNAR")
 TESTS = ("little_p", "pklm_p", "levene_p")
@@ -91,17 +95,35 @@ def calibration(points: DataFrame, *more: str) -> DataFrame:
     return points.join(F.broadcast(sizes), "label").where(draw < REFERENCE_POINTS / F.col("label_points")).select("label", F.col("vec").alias("ref"), *more)
 
 
-def kde_loglik(points: DataFrame, reference: DataFrame, bandwidth: float, dimensions: int = 10) -> DataFrame:
+def _key(label: str, block: Column) -> Column:
+    return F.struct(F.lit(label).alias("label"), block.cast("int").alias("block"))
+
+
+#: Reference points that a vector meets together.
+TOGETHER = 512
+
+
+def kde_loglik(points: DataFrame, reference: DataFrame, bandwidth: float, dimensions: int = 10, together: int = TOGETHER) -> DataFrame:
     """dataset_id, label, loglik: Gaussian kernel density of each vector under the reference vectors of each label.
 
-    points: dataset_id, vec; reference: label, ref (a ``calibration``, whose size is bounded; it is broadcast).  Rows of one dataset and label are
-    summed stably around their nearest point.
+    points: dataset_id, vec; reference: label, ref, any number of them.  Reference points are put in numbered blocks, vectors meet blocks by an equality join, and
+    each meeting gives one row (greatest exponent, scaled sum, points); these are merged for each dataset and label.  No sample, and no row for a pair.
     """
-    pairs = points.select(*DS, "vec").join(F.broadcast(reference.select("label", "ref")))
-    d = pairs.select(*DS, "label", (-_distance("vec", "ref") / (2 * bandwidth * bandwidth)).alias("e"))
-    top = d.groupBy(*DS, "label").agg(F.max("e").alias("top"), F.count(F.lit(1)).alias("n"))
-    s = d.join(top, [*DS, "label"]).groupBy(*DS, "label", "top", "n").agg(F.sum(F.exp(F.col("e") - F.col("top"))).alias("s"))
-    return s.select(*DS, "label", (F.col("top") + F.log("s") - F.log(F.col("n").cast("double")) - _log_norm(bandwidth, dimensions)).alias("loglik"))
+    numbered = materialize(reference.select("label", "ref").withColumn("ref_id", F.monotonically_increasing_id()))
+    blocks = placed(numbered, ["label"], ["ref_id"], "place").groupBy("label", F.floor((F.col("place") - 1) / together).cast("int").alias("block")).agg(F.collect_list("ref").alias("refs"))
+    blocks = materialize(blocks)
+    counts = blocks.groupBy("label").agg(F.count(F.lit(1)).alias("blocks")).collect()  # a row for each label
+    keys = [F.transform(F.sequence(F.lit(0), F.lit(n - 1)), (lambda label: lambda i: _key(label, i))(label)) for label, n in counts]
+    if not keys:
+        return points.select(*DS, F.lit(None).cast("string").alias("label"), F.lit(None).cast("double").alias("loglik")).limit(0)
+    each = points.select(*DS, "vec", F.explode(F.concat(*keys)).alias("key")).select(*DS, "vec", "key.label", "key.block").join(blocks, ["label", "block"])
+    e = F.transform("refs", lambda ref: -_distance("vec", ref) / (2 * bandwidth * bandwidth))
+    met = each.select(*DS, "label", e.alias("e")).select(*DS, "label", "e", F.array_max("e").alias("top"), F.size("e").alias("n"))
+    met = met.select(*DS, "label", "top", "n", F.aggregate("e", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top"))).alias("s"))
+    rows = F.collect_list(F.struct("top", "s"))  # one for each block
+    g = met.groupBy(*DS, "label").agg(F.max("top").alias("top"), F.sum("n").alias("n"), rows.alias("rows"))
+    total = F.aggregate("rows", F.lit(0.0), lambda a, x: a + x.s * F.exp(x.top - F.col("top")))
+    return g.select(*DS, "label", (F.col("top") + F.log(total) - F.log(F.col("n").cast("double")) - _log_norm(bandwidth, dimensions)).alias("loglik"))
 
 
 def diagnose_bayes(loglik: DataFrame, prior: dict[str, float] | None = None) -> DataFrame:
