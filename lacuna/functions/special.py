@@ -61,23 +61,9 @@ def _kolmogorov(d: float, n: float) -> float:
     return min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * z * z) for k in range(1, 101))))
 
 
-def _signed_rank(w: float, n: float) -> float:
-    """Two-sided p-value of the lesser sum of signed ranks: all signs are equally likely."""
-    n = int(n)
-    if n > 50:
-        spread = math.sqrt(n * (n + 1) * (2 * n + 1) / 24)
-        return math.erfc(abs(w - n * (n + 1) / 4) / spread / math.sqrt(2))
-    ways = np.zeros(n * (n + 1) // 2 + 1)
-    ways[0] = 1
-    for k in range(1, n + 1):
-        ways[k:] = ways[k:] + ways[:-k]
-    return min(1.0, 2 * float(ways[: int(math.floor(w)) + 1].sum()) / 2.0**n)
-
-
 normal_two_sided = _each(lambda z: math.erfc(abs(z) / math.sqrt(2)))
 normal_cdf = _each(lambda z: 0.5 * math.erfc(-z / math.sqrt(2)))
 t_two_sided = _each(lambda t, df: beta_inc(df / 2, 0.5, df / (df + t * t)))
 f_upper = _each(lambda f, a, b: beta_inc(b / 2, a / 2, b / (b + a * f)) if f > 0 else 1.0)
 chi2_upper = _each(_chi2)
-signed_rank_two_sided = _each(_signed_rank)
 kolmogorov_upper = _each(_kolmogorov)

@@ -6,13 +6,16 @@ Everything after the confusion counts works on a few rows for each model.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lacuna.functions import special
+from lacuna.functions import exact, special
 from lacuna.functions.rng import normal_sql, uniform
 from lacuna.sources.stage import materialize
 
@@ -111,18 +114,32 @@ def fold_scores(predictions: DataFrame) -> DataFrame:
     return predictions.groupBy(*BY, "fold").agg(F.avg((F.col("y_true") == F.col("y_pred")).cast("double")).alias("score"))
 
 
+#: Signed-rank tests of at most so many differences count all signs.
+EXACT_SIGNS = 50
+
+
+@F.pandas_udf(T.DoubleType())
+def _signed_rank(ranks: pd.Series, n: pd.Series, w: pd.Series, squares: pd.Series) -> pd.Series:
+    """Two-sided p-values: exact where the doubled ranks are listed, else normal with the variance of the ranks at hand (ties included)."""
+    def one(ranks, n, w, squares):
+        return exact.signed_rank(ranks, w) if len(ranks) else math.erfc(abs(w - n * (n + 1) / 4) / math.sqrt(squares / 4) / math.sqrt(2))
+
+    return pd.Series([one(*x) for x in zip(ranks, n, w, squares, strict=True)], dtype="float64")
+
+
 def wilcoxon(scores: DataFrame, first: str, second: str) -> DataFrame:
     """Signed-rank statistic of fold scores of two configs, for each model: n without zero differences, W (the lesser sum), two-sided p
-    (exact over all signs up to 50 differences, ties counted as ranks in order; the normal approximation beyond)."""
+    (exact over all signs up to ``EXACT_SIGNS`` differences, ties with their mean ranks; the normal approximation beyond)."""
     a = scores.where(F.col("config") == first).select("model", "fold", F.col("score").alias("a"))
     b = scores.where(F.col("config") == second).select("model", "fold", F.col("score").alias("b"))
     d = a.join(b, ["model", "fold"]).select("model", F.round(F.col("a") - F.col("b"), 9).alias("d")).where("d <> 0").withColumn("size", F.abs("d"))
     rank = F.rank().over(W.partitionBy("model").orderBy("size")) + (F.count(F.lit(1)).over(W.partitionBy("model", "size")) - 1) / 2.0
-    s = d.withColumn("rank", rank).groupBy("model").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0.0)).alias("plus"), F.sum(F.when(F.col("d") < 0, F.col("rank")).otherwise(0.0)).alias("minus")
+    s = d.withColumns({"rank": rank, "of": F.count(F.lit(1)).over(W.partitionBy("model"))}).groupBy("model").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("d") > 0, F.col("rank")).otherwise(0.0)).alias("plus"), F.sum(F.when(F.col("d") < 0, F.col("rank")).otherwise(0.0)).alias("minus"),
+        F.sum(F.col("rank") * F.col("rank")).alias("squares"), F.collect_list(F.when(F.col("of") <= EXACT_SIGNS, (2 * F.col("rank")).cast("long"))).alias("ranks"),
     )
-    made = s.select("model", "n", F.least("plus", "minus").alias("w"))
-    return made.select("*", _tail(special.signed_rank_two_sided, "w", F.col("n").cast("double")).alias("p"))
+    made = s.withColumn("w", F.least("plus", "minus"))
+    return made.select("model", "n", "w", _signed_rank("ranks", "n", "w", "squares").alias("p"))
 
 
 def friedman(scores: DataFrame) -> DataFrame:

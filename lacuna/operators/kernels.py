@@ -45,14 +45,17 @@ def ks(df: DataFrame, by: list[str], value: str, a: Column, b: Column) -> DataFr
     return c.groupBy(*by).agg(F.max(gap).alias("ks"), F.max("na").alias("na"), F.max("nb").alias("nb"))
 
 
-def rank_sums(df: DataFrame, by: list[str], value: str, flag: Column) -> DataFrame:
-    """by, n1, n0, rank_sum (mean ranks of rows with the flag), rank_squares (of all rows), ties (sum of t^3 - t)."""
+def rank_sums(df: DataFrame, by: list[str], value: str, flag: Column, listed: int = 0) -> DataFrame:
+    """by, n1, n0, rank_sum (mean ranks of rows with the flag), rank_squares (of all rows), ties (sum of t^3 - t); with ``listed`` also
+    tied: how many rows share each value, in order (empty for groups of more than ``listed`` rows)."""
     c = value_counts(df, by, value, flag, 1 - flag)
     t = F.col("a") + F.col("b")
     rank = F.col("ca") + F.col("cb") - t + (t + 1) / F.lit(2.0)
+    pairs = F.collect_list(F.when(F.col("na") + F.col("nb") <= listed, F.struct("value", t.alias("t"))))
     return c.groupBy(*by).agg(
         F.sum("a").alias("n1"), F.sum("b").alias("n0"), F.sum(F.col("a") * rank).alias("rank_sum"),
         F.sum(t * rank * rank).alias("rank_squares"), F.sum((t * t * t - t).cast("double")).alias("ties"),
+        *([F.transform(F.sort_array(pairs), lambda x: x.t).alias("tied")] if listed else []),
     )
 
 

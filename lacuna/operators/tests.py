@@ -6,12 +6,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lacuna.functions import special
+from lacuna.functions import exact, special
 
 from .kernels import corr, ks, rank_sums, unpivoted, with_mask
 
 DS = ["dataset_id"]
+#: U tests of at most so many rows count all ways to deal their ranks, ties or not.
+EXACT_ROWS = 60
+#: U tests without ties do so where a side has at most so many rows.
+EXACT_SIDE = 8
+#: The largest side of an exact two-sample test without ties (U or Kolmogorov-Smirnov); asymptotic beyond.
+EXACT_UNTIED = 10_000
 
 
 def _tail(f, *columns) -> Column:
@@ -95,15 +102,34 @@ def mannwhitney_statistics(panel: DataFrame, value: str = "x1") -> DataFrame:
     return s.select(*DS, "n1", "n0", (F.col("rank_sum") - F.col("n1") * (F.col("n1") + 1) / 2.0).alias("u"))
 
 
+@F.pandas_udf(T.DoubleType())
+def _exact_u(tied: pd.Series, n1: pd.Series, n0: pd.Series, rank_sum: pd.Series, ties: pd.Series) -> pd.Series:
+    """Exact p-values of the U test where a table of counts is small enough, else null."""
+    def one(tied, a, b, total, ties):
+        if min(a, b) == 0:
+            return None
+        if len(tied):
+            return exact.rank_sum(exact.doubled_ranks(tied), int(a), total)
+        if ties == 0 and min(a, b) <= EXACT_SIDE and max(a, b) <= EXACT_UNTIED:
+            return exact.untied_u(total - a * (a + 1) / 2, a, b)
+        return None
+
+    return pd.Series([one(*x) for x in zip(tied, n1, n0, rank_sum, ties, strict=True)], dtype="float64")
+
+
 def mannwhitney_pval(panel: DataFrame, value: str = "x1") -> DataFrame:
-    """Two-sided p-value of the U test: normal approximation with corrections for ties and continuity; 1 without two sides."""
-    s = rank_sums(with_mask(panel), DS, value, F.col("mask"))
+    """Two-sided p-value of the U test; 1 without two sides.
+
+    Exact up to ``EXACT_ROWS`` rows (all ways to deal the ranks, ties included) and, without ties, where a side has at most ``EXACT_SIDE`` rows; else
+    the normal approximation with corrections for ties and continuity.
+    """
+    s = rank_sums(with_mask(panel), DS, value, F.col("mask"), EXACT_ROWS)
     n1, n0 = F.col("n1"), F.col("n0")
     n, u = n1 + n0, F.col("rank_sum") - n1 * (n1 + 1) / 2.0
-    spread = F.sqrt(n1 * n0 / 12.0 * ((n + 1) - F.col("ties") / (n * (n - 1))))
+    spread = F.sqrt(n1 * n0 / 12.0 * ((n + 1) - F.try_divide("ties", n * (n - 1))))
     z = F.when(spread > 0, F.greatest(F.abs(u - n1 * n0 / 2.0) - 0.5, F.lit(0.0)) / spread)
-    made = s.select(*DS, z.alias("z")).withColumn("p", _tail(special.normal_two_sided, "z"))
-    return made.select(*DS, F.coalesce("p", F.lit(1.0)).alias("X1_mannwhitney_pval"))
+    made = s.select(*DS, z.alias("z"), _exact_u("tied", "n1", "n0", "rank_sum", "ties").alias("counted")).withColumn("p", _tail(special.normal_two_sided, "z"))
+    return made.select(*DS, F.coalesce(F.nanvl("counted", F.lit(None).cast("double")), "p", F.lit(1.0)).alias("X1_mannwhitney_pval"))
 
 
 def max_mask_correlation(panel: DataFrame) -> DataFrame:
@@ -112,12 +138,24 @@ def max_mask_correlation(panel: DataFrame) -> DataFrame:
     return c.groupBy(*DS).agg(F.max_by("var", F.struct(F.round("r", 9).alias("r"), "var")).alias("var"), F.max("r").alias("r"))
 
 
+@F.pandas_udf(T.DoubleType())
+def _exact_ks(ks: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
+    """Exact p-values of two samples of at most ``EXACT_UNTIED`` rows each, else null."""
+    known = ks.notna() & (na <= EXACT_UNTIED) & (nb <= EXACT_UNTIED)
+    return pd.Series([exact.two_sample_ks(d, int(a), int(b)) if k else None for d, a, b, k in zip(ks, na, nb, known, strict=True)], dtype="float64")
+
+
 def mnar_ks_test(panel: DataFrame) -> DataFrame:
-    """dataset_id, ks, p of observed against filled X0 (asymptotic); null below ten observed or three missing rows."""
+    """dataset_id, ks, p of observed against filled X0; null below ten observed or three missing rows.
+
+    Exact for samples of at most ``EXACT_UNTIED`` rows, as if all values were different (the filled column repeats the observed one: a
+    conservative p-value), asymptotic beyond.
+    """
     k = ks(with_mask(panel), DS, "x0f", 1 - F.col("mask"), F.lit(1))
     ok = (F.col("na") >= 10) & (F.col("nb") - F.col("na") >= 3)
-    made = k.select(*DS, F.when(ok, F.col("ks")).alias("ks"), (F.col("na") * F.col("nb") / (F.col("na") + F.col("nb"))).alias("n"))
-    return made.select(*DS, "ks", _tail(special.kolmogorov_upper, "ks", "n").alias("p"))
+    made = k.select(*DS, F.when(ok, F.col("ks")).alias("ks"), "na", "nb", (F.col("na") * F.col("nb") / (F.col("na") + F.col("nb"))).alias("n"))
+    counted = F.nanvl(_exact_ks("ks", "na", "nb"), F.lit(None).cast("double"))
+    return made.select(*DS, "ks", F.coalesce(counted, _tail(special.kolmogorov_upper, "ks", "n")).alias("p"))
 
 
 def normality_ks(panel: DataFrame) -> DataFrame:

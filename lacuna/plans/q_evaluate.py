@@ -92,8 +92,9 @@ add(
     f""", {SCORES}, d AS (SELECT a.model, round(a.score - b.score, 9) AS d FROM scores a JOIN scores b USING (model, fold) WHERE a.config = 'full' AND b.config = 'base'),
   k AS (SELECT *, rank() OVER (PARTITION BY model ORDER BY abs(d)) + (count(*) OVER (PARTITION BY model, abs(d)) - 1) / 2.0::DOUBLE AS rk FROM d WHERE d <> 0),
   w AS (SELECT model, count(*) AS n, least(sum(CASE WHEN d > 0 THEN rk ELSE 0 END), sum(CASE WHEN d < 0 THEN rk ELSE 0 END)) AS w FROM k GROUP BY model),
-  signs AS (SELECT model, any_value(w) AS w, any_value(n) AS n, s, sum(CASE WHEN (s >> (i - 1)) & 1 = 1 THEN i ELSE 0 END) AS total FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM (SELECT *, unnest(range(CAST(power(2, n) AS BIGINT))) AS s FROM w)) GROUP BY model, s)
-  SELECT model, any_value(n) AS n, {r('any_value(w)')} AS w, {r('least(1.0, 2 * count(*) FILTER (total <= floor(w)) / power(2, any_value(n)))')} AS p FROM signs GROUP BY model""",
+  i AS (SELECT model, rk, row_number() OVER (PARTITION BY model ORDER BY rk) AS i FROM k),
+  signs AS (SELECT model, any_value(w) AS w, any_value(n) AS n, s, sum(CASE WHEN (s >> (i - 1)) & 1 = 1 THEN rk ELSE 0 END) AS total FROM (SELECT *, unnest(range(CAST(power(2, n) AS BIGINT))) AS s FROM w) JOIN i USING (model) GROUP BY model, s)
+  SELECT model, any_value(n) AS n, {r('any_value(w)')} AS w, {r('least(1.0, 2 * count(*) FILTER (total <= w) / power(2, any_value(n)))')} AS p FROM signs GROUP BY model""",
 )
 add(
     "ev7_friedman", lambda s, d: ev.friedman(ev.fold_scores(predictions(s, d))),

@@ -16,7 +16,7 @@ from lacuna.sources import panels
 from lacuna.sources.stage import derived
 
 from .q_features import _LONG, MOM, _ks, masked, rounded
-from .sqltests import LEVENE, LONG, WELCH, kolmogorov, mutual_information, normal_two_sided, t_two_sided
+from .sqltests import LEVENE, LONG, WELCH, kolmogorov, mutual_information, normal_two_sided, t_two_sided, two_sample_ks
 from .sqltext import on_panel, r
 
 QUERIES: dict = {}
@@ -139,8 +139,8 @@ on_masked(
 )
 on_masked(
     "ts16_mnar_ks_test", ts.mnar_ks_test,
-    f""", {MOM}, {_ks('d', 'dataset_id', 'x0f', '1 - mask', '1')}, e AS (SELECT dataset_id, CASE WHEN na >= 10 AND nb - na >= 3 THEN ks END AS ks, na * nb / (na + nb) AS n FROM k)
-  SELECT dataset_id, {r('ks')} AS ks, CASE WHEN ks IS NOT NULL THEN {r(kolmogorov('ks', 'n'))} END AS p FROM e""",
+    f""", {MOM}, {_ks('d', 'dataset_id', 'x0f', '1 - mask', '1')}, e AS (SELECT dataset_id, CASE WHEN na >= 10 AND nb - na >= 3 THEN ks END AS ks, na, nb FROM k), {two_sample_ks('x', 'e')}
+  SELECT dataset_id, {r('ks')} AS ks, {r('x.p')} AS p FROM e LEFT JOIN x USING (dataset_id)""",
 )
 on_masked(
     "pf8_normality_ks", ts.normality_ks,

@@ -35,6 +35,23 @@ def kolmogorov(d: str, n: str) -> str:
     return f"CASE WHEN {z} < 0.2 THEN 1.0 ELSE least(1.0, greatest(0.0, 2 * list_sum(list_transform(range(1, 101), lambda i: CASE WHEN i % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END * exp(-2.0 * i * i * {z} * {z}))))) END"
 
 
+def two_sample_ks(out: str, source: str) -> str:
+    """CTEs that end in ``out`` (dataset_id, p): the exact chance of a difference of ks or more between samples of na and nb different values.
+
+    Chances of the paths inside the band go from one diagonal to the next; what falls outside is summed up."""
+    return f"""{out}_0 AS (SELECT dataset_id, CAST(na AS BIGINT) AS m, CAST(nb AS BIGINT) AS n, CAST(round(ks * na * nb) AS BIGINT) AS h FROM {source} WHERE ks IS NOT NULL),
+  {out}_w AS (WITH RECURSIVE walk AS (
+    SELECT dataset_id, m, n, h, CAST(0 AS BIGINT) AS t, CAST(0 AS BIGINT) AS low, [1.0::DOUBLE] AS mass, 0.0::DOUBLE AS gone FROM {out}_0 WHERE h > 0
+    UNION ALL
+    SELECT dataset_id, m, n, h, t + 1, f, b[f - low + 1 : e - low], list_sum(b) - coalesce(list_sum(b[f - low + 1 : e - low]), 0.0) FROM (
+      SELECT *, least(CAST(ceil(((t + 1) * m + h) / (m + n)) AS BIGINT), low + len(b)) AS e FROM (
+        SELECT *, greatest(CAST(floor(((t + 1) * m - h) / (m + n)) AS BIGINT) + 1, low) AS f,
+          list_transform(range(low, low + len(mass) + 1), lambda i: coalesce(mass[i - low + 1], 0.0) * (n - t + i) / (m + n - t) + CASE WHEN i > low THEN mass[i - low] * (m - i + 1) / (m + n - t) ELSE 0.0 END) AS b
+        FROM walk WHERE t < m + n AND len(mass) > 0)))
+    SELECT dataset_id, sum(gone) AS p FROM walk GROUP BY dataset_id),
+  {out} AS (SELECT dataset_id, CASE WHEN h > 0 THEN least(1.0, p) ELSE 1.0 END AS p FROM {out}_0 LEFT JOIN {out}_w USING (dataset_id))"""
+
+
 LONG = "long AS (" + " UNION ALL ".join(f"SELECT dataset_id, dataset_no, row_id, mask, '{v}' AS var, {v} AS value FROM d" for v in ("x1", "x2", "x3", "x4")) + ")"
 
 # ---- Welch, Levene ----------------------------------------------------------------------------
