@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lacuna.functions import exact, special
-from lacuna.functions.rng import normal_sql, uniform
+from lacuna.functions.draws import multinomial
+from lacuna.functions.rng import uniform
 from lacuna.sources.stage import materialize
 
 from .ranks import placed
@@ -66,31 +68,34 @@ def accuracy_by_group(predictions: DataFrame) -> DataFrame:
     return a.select("source_group", *BY, "n", "accuracy", label.alias("label"), place.cast("long").alias("place"))
 
 
-#: A draw of a Poisson variable of mean c (a cell's count) from a normal draw z, by the square root that evens its variance.
-_POISSON = "CASE WHEN {c} = 0 THEN 0.0 ELSE floor(greatest(power(greatest(sqrt({c} + 0.375) + {z} / 2, 0.0), 2) - 0.375, 0.0) + 0.5) END"
+def draw_number(cell: str) -> str:
+    """SQL text: the number of a cell's draw in the resample ``replicate``."""
+    return f"replicate * 16 + {cell}"
 
 
-def resampled(count: str, cell: str, seed: int) -> str:
-    """SQL text: the count of a cell in the resample ``replicate``."""
-    return _POISSON.format(c=count, z=normal_sql(seed, f"replicate * 16 + {cell}"))
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _resample(counts: pd.Series, draws: pd.Series) -> pd.Series:
+    """One multinomial resample of each row's counts: cell after cell, a binomial share of what is left."""
+    return pd.Series(list(multinomial(np.stack(counts.to_list()), np.stack(draws.to_list()))))
 
 
 def bootstrap_ci(predictions: DataFrame, replicates: int = 1000, seed: int = 11, by: list[str] = BY) -> DataFrame:
     """2.5 and 97.5 percentiles of accuracy and macro F1 over resamples of each model's predictions.
 
-    Both follow from the nine counts of (truth, prediction), so a resample draws these: each row comes back a Poisson number of
-    times, and a cell of c rows a Poisson number of mean c (drawn through the normal distribution; n varies a little between resamples).
+    Both follow from the nine counts of (truth, prediction), so a resample of n rows with replacement draws these counts: a multinomial
+    of n, by binomials of each cell given the cells before (inverse distribution, one draw a cell). n is kept.
     """
-    cells = predictions.groupBy(*by, "y_true", "y_pred").agg(F.count(F.lit(1)).alias("c")).withColumn("cell", F.col("y_true") * 3 + F.col("y_pred"))
-    each = cells.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("v", F.expr(resampled("c", "cell", seed)))
-    over = lambda test: F.sum(F.when(test, F.col("v")).otherwise(0.0))
     t, p = F.col("y_true"), F.col("y_pred")
-    g = each.groupBy(*by, "replicate").agg(
-        F.sum("v").alias("n"), over(t == p).alias("hits"), *[over((t == k) & (p == k)).alias(f"h{k}") for k in CLASSES], *[(over(t == k) + over(p == k)).alias(f"s{k}") for k in CLASSES]
-    )
-    f1 = sum((_ratio(2 * F.col(f"h{k}"), F.col(f"s{k}")) for k in CLASSES), start=F.lit(0.0)) / 3
+    grid = [(i, j) for i in CLASSES for j in CLASSES]
+    cells = predictions.groupBy(*by).agg(F.array(*[F.count_if((t == i) & (p == j)) for i, j in grid]).alias("counts"))
+    each = cells.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
+    draws = F.array(*[uniform(seed, draw_number(str(k))) for k in range(len(grid))])
+    made = each.repartition(*by, "replicate").select(*by, _resample("counts", draws).alias("v"))
+    over = lambda test: sum((F.col("v")[k] for k, c in enumerate(grid) if test(*c)), start=F.lit(0))
+    f1 = sum((_ratio(2 * over(lambda i, j: i == j == c), over(lambda i, j: i == c) + over(lambda i, j: j == c)) for c in CLASSES), start=F.lit(0.0)) / 3
     ends = lambda x, name: [F.percentile(x, q).alias(f"{name}_{end}") for end, q in (("low", 0.025), ("high", 0.975))]
-    return g.groupBy(*by).agg(*ends(_ratio(F.col("hits"), F.col("n")), "accuracy"), *ends(f1, "macro_f1"))
+    accuracy = _ratio(over(lambda i, j: i == j), over(lambda i, j: True))
+    return made.select(*by, accuracy.alias("accuracy"), f1.alias("f1")).groupBy(*by).agg(*ends("accuracy", "accuracy"), *ends("f1", "macro_f1"))
 
 
 def _paired(predictions: DataFrame, first: str, second: str, column: str, others: list[str]) -> DataFrame:

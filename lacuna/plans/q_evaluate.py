@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lacuna.functions.rng import normal_sql, uniform_sql
+from lacuna.functions.draws import REACH, STEPS
+from lacuna.functions.rng import uniform_sql
 from lacuna.operators import evaluate as ev
 from lacuna.sources import panels
 from lacuna.sources.stage import derived
@@ -70,14 +71,28 @@ add(
     f", a AS (SELECT source_group, config, model, count(*) AS n, avg(CASE WHEN y_true = y_pred THEN 1.0 ELSE 0.0 END) AS acc, {_MODE('y_true')} AS label FROM predictions GROUP BY ALL)"
     f" SELECT source_group, config, model, n, {r('acc')} AS accuracy, label, row_number() OVER (PARTITION BY config, model ORDER BY acc, source_group) AS place FROM a",
 )
-_F1 = " + ".join(f"CASE WHEN s{k} > 0 THEN 2 * h{k} / s{k} ELSE 0.0 END" for k in range(3))
+_F1 = " + ".join(f"CASE WHEN {s} > 0 THEN 2.0 * v{4 * k} / {s} ELSE 0.0 END" for k in range(3) for s in [f"({' + '.join(f'v{3 * k + j} + v{3 * j + k}' for j in range(3))})"])
+
+
+def _drawn(k: int) -> str:
+    """The CTE of cell k: the least count whose chances add up to more than the draw. The reduction takes chances off the draw until it is
+    below zero and one for each count after that; ``rest`` and ``of`` are the rows and counts of the cells not yet drawn."""
+    x, p = f"v{k}", f"(c{k} / CAST(of AS DOUBLE))"
+    reach = f"({REACH} * sqrt(rest * {p} * (1 - {p})) + {STEPS})"
+    chance = f"exp(lgamma(rest + 1) - lgamma(i + 1) - lgamma(rest - i + 1) + i * ln({p}) + (rest - i) * ln(1 - {p}))"
+    low, high = f"greatest(0, CAST(floor(rest * {p} - {reach}) AS BIGINT))", f"least(rest, CAST(ceil(rest * {p} + {reach}) AS BIGINT))"
+    chances = f"list_transform(range({low}, {high} + 1), lambda i: {chance})"
+    left = f"list_reduce(list_prepend({uniform_sql(11, ev.draw_number(str(k)))}, {chances}), lambda a, b: CASE WHEN a < 0 THEN a - 1 ELSE a - b END)"
+    inner = f"{high} - greatest(0, CAST(floor(-({left})) AS BIGINT))"
+    return f"""d{k} AS (SELECT * EXCLUDE (rest, of), rest - {x} AS rest, of - c{k} AS of FROM (
+    SELECT *, CASE WHEN rest <= 0 OR c{k} = 0 THEN 0 WHEN c{k} = of THEN rest ELSE {inner} END AS {x} FROM {f'd{k - 1}' if k else 'b'}))"""
+
+
+_CELLS = ", ".join(f"count(*) FILTER (y_true = {k // 3} AND y_pred = {k % 3}) AS c{k}" for k in range(9))
 add(
     "ev4_bootstrap_ci", lambda s, d: ev.bootstrap_ci(predictions(s, d)),
-    f""", a AS (SELECT config, model, y_true, y_pred, count(*) AS c, y_true * 3 + y_pred AS cell FROM predictions GROUP BY config, model, y_true, y_pred),
-  b AS (SELECT *, unnest(range(1, 1001)) AS replicate FROM a), e AS (SELECT *, {ev.resampled('c', 'cell', 11)} AS v FROM b),
-  g AS (SELECT config, model, replicate, sum(v) AS n, sum(CASE WHEN y_true = y_pred THEN v ELSE 0 END) AS hits,
-    {', '.join(f'sum(CASE WHEN y_true = {k} AND y_pred = {k} THEN v ELSE 0 END) AS h{k}, sum(CASE WHEN y_true = {k} THEN v ELSE 0 END) + sum(CASE WHEN y_pred = {k} THEN v ELSE 0 END) AS s{k}' for k in range(3))} FROM e GROUP BY config, model, replicate),
-  m AS (SELECT config, model, CASE WHEN n > 0 THEN hits / n ELSE 0.0 END AS acc, ({_F1}) / 3 AS f1 FROM g)
+    f""", a AS (SELECT config, model, {_CELLS}, count(*) AS rest, count(*) AS of FROM predictions GROUP BY config, model), b AS (SELECT *, unnest(range(1, 1001)) AS replicate FROM a),
+  {', '.join(_drawn(k) for k in range(9))}, m AS (SELECT config, model, (v0 + v4 + v8) / CAST({' + '.join(f'v{k}' for k in range(9))} AS DOUBLE) AS acc, ({_F1}) / 3 AS f1 FROM d8)
   SELECT config, model, {', '.join(f'{r(f"quantile_cont({x}, {q})")} AS {name}_{end}' for x, name in (('acc', 'accuracy'), ('f1', 'macro_f1')) for end, q in (('low', 0.025), ('high', 0.975)))} FROM m GROUP BY config, model""",
 )
 _PAIR = "SELECT a.model, a.y_true = a.y_pred AS a, b.y_true = b.y_pred AS b FROM predictions a JOIN predictions b ON a.sample_id = b.sample_id AND a.model = b.model WHERE a.config = 'base' AND b.config = 'full'"
