@@ -84,15 +84,9 @@ def _log_norm(bandwidth: float, dimensions: int) -> float:
     return dimensions * (math.log(bandwidth) + 0.5 * math.log(2 * math.pi))
 
 
-#: Reference points of each label that a calibration keeps: a sample by hash where there are more, so it can be broadcast.
-REFERENCE_POINTS = 2000
-
-
-def calibration(points: DataFrame, *more: str) -> DataFrame:
-    """label, ref and further columns: the reference points of a calibration, at most about ``REFERENCE_POINTS`` for each label."""
-    sizes = points.groupBy("label").agg(F.count(F.lit(1)).alias("label_points"))  # a row for each label
-    draw = F.pmod(F.xxhash64("dataset_id", F.lit(77)), F.lit(1 << 20)) / float(1 << 20)
-    return points.join(F.broadcast(sizes), "label").where(draw < REFERENCE_POINTS / F.col("label_points")).select("label", F.col("vec").alias("ref"), *more)
+def calibration(points: DataFrame) -> DataFrame:
+    """label, ref: the reference points of a calibration, all of them."""
+    return points.select("label", F.col("vec").alias("ref"))
 
 
 def _key(label: str, block: Column) -> Column:
@@ -103,27 +97,45 @@ def _key(label: str, block: Column) -> Column:
 TOGETHER = 512
 
 
-def kde_loglik(points: DataFrame, reference: DataFrame, bandwidth: float, dimensions: int = 10, together: int = TOGETHER) -> DataFrame:
-    """dataset_id, label, loglik: Gaussian kernel density of each vector under the reference vectors of each label.
+def _densities(points: DataFrame, reference: DataFrame, widths: list[float], dimensions: int, together: int, own_label: bool = False) -> DataFrame:
+    """dataset_id, label, logliks: log densities of each vector under the reference vectors of each label (of its own one only), one for each width.
 
-    points: dataset_id, vec; reference: label, ref, any number of them.  Reference points are put in numbered blocks, vectors meet blocks by an equality join, and
-    each meeting gives one row (greatest exponent, scaled sum, points); these are merged for each dataset and label.  No sample, and no row for a pair.
+    Reference points are put in numbered blocks, vectors meet blocks by an equality join, and each meeting gives one row (least squared
+    distance, a scaled sum for each width, points); these are merged for each dataset and label.  No sample, and no row for a pair.
+    With a fold in both tables, points of the vector's own fold are left out.
     """
-    numbered = materialize(reference.select("label", "ref").withColumn("ref_id", F.monotonically_increasing_id()))
-    blocks = placed(numbered, ["label"], ["ref_id"], "place").groupBy("label", F.floor((F.col("place") - 1) / together).cast("int").alias("block")).agg(F.collect_list("ref").alias("refs"))
-    blocks = materialize(blocks)
+    by_fold = "fold" in reference.columns
+    numbered = materialize(reference.select("label", "ref", *["fold"] * by_fold).withColumn("ref_id", F.monotonically_increasing_id()))
+    blocks = placed(numbered, ["label"], ["ref_id"], "place").groupBy("label", F.floor((F.col("place") - 1) / together).cast("int").alias("block"))
+    blocks = materialize(blocks.agg(F.collect_list(F.struct("ref", *[F.col("fold").alias("of")] * by_fold)).alias("refs")))
     counts = blocks.groupBy("label").agg(F.count(F.lit(1)).alias("blocks")).collect()  # a row for each label
     keys = [F.transform(F.sequence(F.lit(0), F.lit(n - 1)), (lambda label: lambda i: _key(label, i))(label)) for label, n in counts]
     if not keys:
-        return points.select(*DS, F.lit(None).cast("string").alias("label"), F.lit(None).cast("double").alias("loglik")).limit(0)
-    each = points.select(*DS, "vec", F.explode(F.concat(*keys)).alias("key")).select(*DS, "vec", "key.label", "key.block").join(blocks, ["label", "block"])
-    e = F.transform("refs", lambda ref: -_distance("vec", ref) / (2 * bandwidth * bandwidth))
-    met = each.select(*DS, "label", e.alias("e")).select(*DS, "label", "e", F.array_max("e").alias("top"), F.size("e").alias("n"))
-    met = met.select(*DS, "label", "top", "n", F.aggregate("e", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top"))).alias("s"))
-    rows = F.collect_list(F.struct("top", "s"))  # one for each block
-    g = met.groupBy(*DS, "label").agg(F.max("top").alias("top"), F.sum("n").alias("n"), rows.alias("rows"))
-    total = F.aggregate("rows", F.lit(0.0), lambda a, x: a + x.s * F.exp(x.top - F.col("top")))
-    return g.select(*DS, "label", (F.col("top") + F.log(total) - F.log(F.col("n").cast("double")) - _log_norm(bandwidth, dimensions)).alias("loglik"))
+        return points.select(*DS, F.lit(None).cast("string").alias("label"), F.lit(None).cast("array<double>").alias("logliks")).limit(0)
+    met = F.filter(F.concat(*keys), lambda k: k.label == F.col("label")) if own_label else F.concat(*keys)
+    of = ["vec", *["fold"] * by_fold]
+    each = points.select(*DS, *of, F.explode(met).alias("key")).select(*DS, *of, "key.label", "key.block").join(blocks, ["label", "block"])
+    others = F.filter("refs", lambda r: r.of != F.col("fold")) if by_fold else F.col("refs")
+    each = each.select(*DS, "label", "vec", others.alias("others")).where(F.size("others") > 0)
+    each = each.select(*DS, "label", F.transform("others", lambda r: _distance("vec", r.ref)).alias("d")).select(*DS, "label", "d", F.array_min("d").alias("near"))
+    scaled = lambda w: F.aggregate("d", F.lit(0.0), lambda a, x: a + F.exp((F.col("near") - x) / (2 * w * w)))
+    each = each.select(*DS, "label", "near", F.size("d").alias("n"), F.array(*map(scaled, widths)).alias("s"))
+    rows = F.collect_list(F.struct("near", "s"))  # one for each block
+    g = each.groupBy(*DS, "label").agg(F.min("near").alias("near"), F.sum("n").alias("n"), rows.alias("rows"))
+
+    def loglik(k: int, w: float) -> Column:
+        total = F.aggregate("rows", F.lit(0.0), lambda a, x: a + x.s[k] * F.exp((F.col("near") - x.near) / (2 * w * w)))
+        return F.log(total) - F.col("near") / (2 * w * w) - F.log(F.col("n").cast("double")) - _log_norm(w, dimensions)
+
+    return g.select(*DS, "label", F.array(*[loglik(k, w) for k, w in enumerate(widths)]).alias("logliks"))
+
+
+def kde_loglik(points: DataFrame, reference: DataFrame, bandwidth: float, dimensions: int = 10, together: int = TOGETHER) -> DataFrame:
+    """dataset_id, label, loglik: Gaussian kernel density of each vector under the reference vectors of each label.
+
+    points: dataset_id, vec; reference: label, ref, any number of them (met in blocks, see ``_densities``).
+    """
+    return _densities(points.select(*DS, "vec"), reference.select("label", "ref"), [bandwidth], dimensions, together).select(*DS, "label", F.col("logliks")[0].alias("loglik"))
 
 
 def diagnose_bayes(loglik: DataFrame, prior: dict[str, float] | None = None) -> DataFrame:
@@ -143,31 +155,26 @@ def diagnose_bayes(loglik: DataFrame, prior: dict[str, float] | None = None) ->
     )
 
 
-def bayes_cv(points: DataFrame, bandwidth: float, dimensions: int = 10) -> DataFrame:
-    """Log likelihoods with reference points of other folds only; points: dataset_id, label, fold, vec."""
-    ref = calibration(points, "fold").withColumnRenamed("fold", "ref_fold")
-    pairs = points.select(*DS, "fold", "vec").join(F.broadcast(ref), F.col("fold") != F.col("ref_fold"))
-    d = pairs.select(*DS, "label", (-_distance("vec", "ref") / (2 * bandwidth * bandwidth)).alias("e"))
-    top = d.groupBy(*DS, "label").agg(F.max("e").alias("top"), F.count(F.lit(1)).alias("n"))
-    s = d.join(top, [*DS, "label"]).groupBy(*DS, "label", "top", "n").agg(F.sum(F.exp(F.col("e") - F.col("top"))).alias("s"))
-    return s.select(*DS, "label", (F.col("top") + F.log("s") - F.log(F.col("n").cast("double")) - _log_norm(bandwidth, dimensions)).alias("loglik"))
+def _by_fold(points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    kept = materialize(points.select(*DS, "label", "fold", "vec"))
+    return kept, kept.select("label", F.col("vec").alias("ref"), "fold")
+
+
+def bayes_cv(points: DataFrame, bandwidth: float, dimensions: int = 10, together: int = TOGETHER) -> DataFrame:
+    """dataset_id, label, loglik: log densities under all points of other folds; points: dataset_id, label, fold, vec."""
+    kept, reference = _by_fold(points)
+    return _densities(kept.drop("label"), reference, [bandwidth], dimensions, together).select(*DS, "label", F.col("logliks")[0].alias("loglik"))
 
 
-def select_bandwidth(points: DataFrame, count: int = 20, dimensions: int = 10) -> DataFrame:
-    """bandwidth, loglik: held-out log likelihood (own label, other folds) of log-spaced bandwidths from .1 to 10, best first
-    marked by ``best``.  Distances are made once and meet the bandwidths as an array."""
+def select_bandwidth(points: DataFrame, count: int = 20, dimensions: int = 10, together: int = TOGETHER) -> DataFrame:
+    """bandwidth, loglik: held-out log likelihood (own label, all points of other folds) of log-spaced bandwidths from .1 to 10, best first
+    marked by ``best``.  Distances are made once and meet all bandwidths."""
     widths = [10 ** (-1 + 2 * i / (count - 1)) for i in range(count)]
-    ref = calibration(points, "fold").withColumnRenamed("fold", "ref_fold")
-    own = points.select(*DS, "label", "fold", "vec").join(F.broadcast(ref), "label").where("fold <> ref_fold")
-    d = own.select(*DS, _distance("vec", "ref").alias("d"))
-    near = d.groupBy(*DS).agg(F.min("d").alias("near"), F.count(F.lit(1)).alias("n"))
-    h = F.explode(F.array(*[F.lit(w) for w in widths])).alias("h")
-    each = d.join(near, DS).select(*DS, "d", "near", "n", h)
-    s = each.groupBy(*DS, "h", "near", "n").agg(F.sum(F.exp(-(F.col("d") - F.col("near")) / (2 * F.col("h") * F.col("h")))).alias("s"))
-    norm = dimensions * (F.log("h") + 0.5 * math.log(2 * math.pi))
-    ll = s.select("h", (-F.col("near") / (2 * F.col("h") * F.col("h")) + F.log("s") - F.log(F.col("n").cast("double")) - norm).alias("l"))
-    total = ll.groupBy("h").agg(F.sum("l").alias("loglik"))
-    return total.select(F.col("h").alias("bandwidth"), "loglik", (F.row_number().over(W.orderBy(F.desc("loglik"), "h")) == 1).alias("best"))
+    kept, reference = _by_fold(points)
+    each = _densities(kept, reference, widths, dimensions, together, own_label=True)
+    total = each.agg(*[F.sum(F.col("logliks")[k]).alias(f"l{k}") for k in range(count)])
+    long = total.select(F.explode(F.array(*[F.struct(F.lit(w).alias("bandwidth"), F.col(f"l{k}").alias("loglik")) for k, w in enumerate(widths)])).alias("x")).select("x.*")
+    return long.select("*", (F.row_number().over(W.orderBy(F.desc("loglik"), "bandwidth")) == 1).alias("best"))
 
 
 # ---- calibration --------------------------------------------------------------------------------
