@@ -6,6 +6,8 @@ import math
 
 import numpy as np
 
+from . import exact
+
 
 def _each(f):
     return lambda *a: np.array([f(*map(float, x)) if all(v is not None and np.isfinite(v) for v in x) else np.nan for x in np.broadcast(*map(np.asarray, a))])
@@ -61,9 +63,18 @@ def _kolmogorov(d: float, n: float) -> float:
     return min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * z * z) for k in range(1, 101))))
 
 
+def _signed_rank(w: float, n: float) -> float:
+    """Two-sided p-value of the lesser sum of signed ranks without ties."""
+    if n > 50:
+        spread = math.sqrt(n * (n + 1) * (2 * n + 1) / 24)
+        return math.erfc(abs(w - n * (n + 1) / 4) / spread / math.sqrt(2))
+    return exact.signed_rank([2 * k for k in range(1, int(n) + 1)], w)
+
+
 normal_two_sided = _each(lambda z: math.erfc(abs(z) / math.sqrt(2)))
 normal_cdf = _each(lambda z: 0.5 * math.erfc(-z / math.sqrt(2)))
 t_two_sided = _each(lambda t, df: beta_inc(df / 2, 0.5, df / (df + t * t)))
 f_upper = _each(lambda f, a, b: beta_inc(b / 2, a / 2, b / (b + a * f)) if f > 0 else 1.0)
 chi2_upper = _each(_chi2)
+signed_rank_two_sided = _each(_signed_rank)
 kolmogorov_upper = _each(_kolmogorov)
