@@ -9,8 +9,9 @@ words of a class), and the word counts come from every training text, however ma
 Baum-Welch: each iteration runs scaled forward-backward over all training texts inside the tasks, and expected counts are summed
 across partitions (states x classes and states x states numbers: a fixed size).  Long texts are worked on in segments of
 ``SEGMENT`` tokens side by side: products of the steps' matrices carry the forward and backward values from segment to segment, so the
-counts are those of whole texts.  It starts from a few iterations on a sample: segments of texts of every length, drawn by hash, about
-``START_TOKENS`` tokens in expectation.  Scoring runs the scaled forward recursion over every whole
+counts are those of whole texts.  It starts from a chain fitted to the counts of all pairs of neighbouring classes in all training texts
+(each text's first class follows a class ``BEGIN`` of its own): at most (classes + 1) x classes numbers, a row for each first class, on
+which every step of expectation and maximization is a job, too.  Nothing is drawn.  Scoring runs the scaled forward recursion over every whole
 text: the exact likelihood of its classes, plus the words' shares of their classes.
 
 Counts of the commonest words (at most ``KNOWN``, from a threshold that a histogram of the counts gives) are broadcast; other words
@@ -39,11 +40,15 @@ SUFFIXES = 1 << SUFFIX_BITS
 CLASSES = FREQUENT + SUFFIXES
 #: Words whose counts every task holds, and steps of the histogram of counts to a doubling.
 KNOWN, STEPS = 1 << 18, 16
-#: Iterations over all training texts; tokens and iterations of the start on a sample.
-ITERATIONS, START_TOKENS, START_ITERATIONS = 2, 600_000, 12
+#: What stands before a text's first class.
+BEGIN = CLASSES
+#: Iterations over all training texts; iterations of the start over their counts of pairs.
+ITERATIONS, START_ITERATIONS = 2, 60
 EMIT_PRIOR, MOVE_PRIOR = 0.05, 1.0
 #: Bytes of text, and of classes (two bytes a token), that are worked on together.
 _SLICE, _CLASS_SLICE = 1 << 22, 1 << 20
+#: Tasks that a table of pairs is divided into, and rows of it that are worked on together.
+_PAIR_TASKS, _PAIR_ROWS = 8, 256
 #: Tokens of a segment.
 SEGMENT = 1024
 _LOW = np.uint64(SUFFIXES - 1)
@@ -309,6 +314,69 @@ def by_length(batch: pa.RecordBatch) -> tuple[list[int], list[tuple[int, int]]]:
     return order, list(slices([len(sizes[i]) for i in order], _CLASS_SLICE))
 
 
+def pair_counts(train: DataFrame) -> DataFrame:
+    """For each class (and BEGIN) the classes that follow it in the texts, with their numbers: (a, next: [(b, n)])."""
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("classes").to_pylist()
+            for a, b in slices([len(x) for x in lists], 4 * _CLASS_SLICE):
+                classes, sizes = sequences(lists[a:b])
+                before = np.roll(classes, 1)
+                before[np.cumsum(sizes) - sizes] = BEGIN
+                pair, n = np.unique((before * CLASSES + classes).astype(np.int32), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n, pa.int64())], names=["pair", "n"])
+
+    pairs = mapped(train, run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    each = pairs.select(F.expr(f"int(pair div {CLASSES})").alias("a"), (F.col("pair") % CLASSES).alias("b"), "n")
+    rows = each.repartition(_PAIR_TASKS, "a").groupBy("a").agg(F.sort_array(F.collect_list(F.struct("b", "n"))).alias("next"))
+    return materialize(rows.sortWithinPartitions("a"))
+
+
+def expected_of_pairs(joint: np.ndarray, emits: np.ndarray, a: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Expected counts of pairs of states and of emissions, from rows ``a`` of the table of pairs (n: one column for each next class).
+
+    ``joint`` is the probability of each pair of states; its last row stands for BEGIN.  A class counts half as the first and half as the next one.
+    """
+    first = np.zeros((len(a), STATES + 1))
+    inner = a != BEGIN
+    first[inner, :STATES], first[~inner, STATES] = emits.T[a[inner]], 1.0
+    ahead = joint @ emits
+    ratio = n / (first @ ahead)
+    behind = first.T @ ratio
+    out = emits * (joint.T @ behind)
+    out[:, a[inner]] += (first * (ratio @ ahead.T))[inner, :STATES].T
+    return joint * (behind @ emits.T), out / 2
+
+
+def start_chain(pairs: DataFrame, chain: Chain) -> Chain:
+    """The chain that the counts of pairs lead to from ``chain``."""
+    joint = np.concatenate([chain.moves, chain.start[None, :]]) / (STATES + 1)
+    for _ in range(START_ITERATIONS):
+        model = pairs.sparkSession.sparkContext.broadcast((joint, chain.emits))
+
+        def expect(batches, model=model):
+            moved, emits = np.zeros((STATES + 1, STATES)), np.zeros((STATES, CLASSES))
+            for batch in batches:
+                a, nexts = batch.column("a").to_numpy(), batch.column("next")
+                for at in range(0, len(a), _PAIR_ROWS):
+                    some = nexts.slice(at, _PAIR_ROWS)
+                    flat, long = some.flatten(), pa.compute.list_value_length(some).to_numpy()
+                    n = np.zeros((len(some), CLASSES))
+                    n[np.repeat(np.arange(len(some)), long), flat.field("b").to_numpy()] = flat.field("n").to_numpy()
+                    got = expected_of_pairs(*model.value, a[at : at + _PAIR_ROWS], n)
+                    moved, emits = moved + got[0], emits + got[1]
+            yield pa.RecordBatch.from_arrays([pa.array([moved.tobytes()]), pa.array([emits.tobytes()])], names=["moved", "emits"])
+
+        got = mapped(pairs, expect, "moved binary, emits binary").collect()  # a row of fixed size from each of a few tasks
+        moved = sum(np.frombuffer(r["moved"]) for r in got).reshape(STATES + 1, STATES)
+        emits = sum(np.frombuffer(r["emits"]) for r in got).reshape(STATES, CLASSES)
+        model.destroy()
+        chain = Chain.learnt(moved[STATES], moved[:STATES], emits)
+        joint = (moved + MOVE_PRIOR) / (moved + MOVE_PRIOR).sum()
+    return chain
+
+
 def train_chain(coded_: DataFrame, counts: Counts) -> Chain:
     """Baum-Welch over all texts to learn from."""
     spark = coded_.sparkSession
@@ -319,22 +387,8 @@ def train_chain(coded_: DataFrame, counts: Counts) -> Chain:
     chain = Chain.first(unigram / max(unigram.sum(), 1))
     if not counts.total:
         return Chain.learnt(np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, CLASSES)))
-    train, share = coded_.where("learn").select("key", "classes"), START_TOKENS / counts.total
-
-    def draw(batches):
-        for batch in batches:
-            out = []
-            for key, data in zip(batch.column("key").to_pylist(), batch.column("classes").to_pylist(), strict=True):
-                out += [data[i : i + 2 * SEGMENT] for i in range(0, len(data), 2 * SEGMENT) if xxhash.xxh32_intdigest(f"{key} {i}") < share * (1 << 32)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["classes"])
-
-    sample = mapped(train, draw, "classes binary").toPandas()["classes"]
-    if len(sample):
-        flat, sizes = sequences(sorted(map(bytes, sample)))
-        for _ in range(START_ITERATIONS):
-            start, moves, emits = chain.expected(flat, sizes)
-            # the sample is a small part: classes that it lacks keep their overall frequency
-            chain = Chain.learnt(start, moves, emits + 0.02 * emits.sum(1, keepdims=True) * unigram / unigram.sum())
+    train = coded_.where("learn").select("classes")
+    chain = start_chain(pair_counts(train), chain)
     for _ in range(ITERATIONS):
         model = spark.sparkContext.broadcast(chain)
 
@@ -349,7 +403,7 @@ def train_chain(coded_: DataFrame, counts: Counts) -> Chain:
             state, slot = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(state, pa.int32()), pa.array(slot, pa.int32()), pa.array(total[state, slot])], names=["state", "slot", "n"])
 
-        got = mapped(train.select("classes"), expect, "state int, slot int, n double").groupBy("state", "slot").agg(F.sum("n").alias("n")).toPandas()
+        got = mapped(train, expect, "state int, slot int, n double").groupBy("state", "slot").agg(F.sum("n").alias("n")).toPandas()
         total = np.zeros((STATES, CLASSES + STATES + 1))
         total[got["state"].to_numpy(np.int64), got["slot"].to_numpy(np.int64)] = got["n"]
         chain = Chain.learnt(total[:, -1], total[:, CLASSES:-1], total[:, :CLASSES])

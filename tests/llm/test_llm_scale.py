@@ -259,6 +259,54 @@ def test_language_model_end_to_end(spark):
         assert got[i]["score"] == pytest.approx(total + inside)
 
 
+def _two_kinds(n, shift=0):
+    rng = random.Random(8)
+    kinds = [["the", "a", "cat", "dog", "runs"], ["le", "un", "chat", "chien", "court"]]
+    return [(i + shift, " ".join(rng.choice(kinds[i % 2] + [f"w{rng.randrange(99)}"]) for _ in range(1 + i % 50)), i % 7 > 0) for i in range(n)]
+
+
+def test_training_draws_no_sample(spark, monkeypatch):
+    """Every text counts in every iteration, so other keys for the same texts change nothing."""
+    monkeypatch.setattr(hmm, "START_TOKENS", 300, raising=False)
+    monkeypatch.setattr(hmm, "START_ITERATIONS", 6)
+    schema = "key long, text string, learn boolean"
+    one, other = ({r["key"] - k: r["score"] for r in hmm.score(spark.createDataFrame(_two_kinds(80, k), schema)).collect()} for k in (0, 1000))
+    assert one == pytest.approx(other, rel=1e-9)
+
+
+def test_start_counts_the_pairs_of_every_text(spark, monkeypatch):
+    """The start equals plain expectation and maximization, pair of tokens by pair of tokens, over all training texts."""
+    monkeypatch.setattr(hmm, "START_ITERATIONS", 2)
+    monkeypatch.setattr(hmm, "ITERATIONS", 0)
+    monkeypatch.setattr(hmm, "_PAIR_ROWS", 5)
+    df = spark.createDataFrame(_two_kinds(30), "key long, text string, learn boolean")
+    _, held = hmm.training_counts(df.where("learn"))
+    known = hmm.coded_texts(df, held)
+    pairs = collections.Counter()
+    for r in known.where("learn").collect():
+        classes = np.frombuffer(r["classes"], "<i2").tolist()
+        pairs.update(zip([hmm.BEGIN, *classes], classes, strict=False))
+    got = {(r["a"], x["b"]): x["n"] for r in hmm.pair_counts(known.where("learn")).collect() for x in r["next"]}
+    assert got == pairs and sum(got.values()) == held.total
+    unigram = np.bincount([b for _, b in pairs.elements()], minlength=hmm.CLASSES)
+    chain = hmm.Chain.first(unigram / unigram.sum())
+    joint = np.vstack([chain.moves, chain.start]) / (hmm.STATES + 1)
+    for _ in range(2):
+        moved, emits = np.zeros(joint.shape), np.zeros(chain.emits.shape)
+        for (a, b), n in pairs.items():
+            begin = np.eye(hmm.STATES + 1)[hmm.STATES] if a == hmm.BEGIN else np.append(chain.emits[:, a], 0)
+            share = begin[:, None] * joint * chain.emits[:, b]
+            share *= n / share.sum()
+            moved += share
+            emits[:, b] += share.sum(0) / 2
+            if a != hmm.BEGIN:
+                emits[:, a] += share.sum(1)[:-1] / 2
+        chain, joint = hmm.Chain.learnt(moved[-1], moved[:-1], emits), (moved + hmm.MOVE_PRIOR) / (moved + hmm.MOVE_PRIOR).sum()
+    learnt = hmm.train_chain(known, held)
+    for x, y in zip((learnt.start, learnt.moves, learnt.emits), (chain.start, chain.moves, chain.emits), strict=True):
+        assert np.allclose(x, y, rtol=1e-9, atol=0)
+
+
 def test_known_words_stay_below_their_bound(spark, monkeypatch):
     monkeypatch.setattr(hmm, "KNOWN", 20)
     rows = [(i, " ".join(f"w{j}" for j in range(i + 1)), True) for i in range(60)]
