@@ -28,3 +28,15 @@ def test_prices_at_halves_round_as_sql_does(spark, tmp_path):
     got, want = _both(spark, tmp_path, "fr1_variance_profile", orders=orders)
     assert got == want
     assert registry.queries()["fr1_variance_profile"](spark, str(tmp_path)).where("var = 'price'").first()["n_distinct"] == 3
+
+
+def test_votes_add_up_in_order_of_the_orders(spark, tmp_path):
+    # doubles such as 0.1 + 0.2 + 0.3 depend on their order: so do winners among near equals
+    orders = spark.range(3000).select(F.col("id").alias("o_orderkey"), (F.col("id") % 199 % 40).alias("o_custkey"), F.lit(1.0).alias("o_totalprice"))
+    got, want = _both(spark, tmp_path, "pf10_weighted_vote", orders=orders)
+    assert got == want
+    other = tmp_path / "other"
+    for k, part in enumerate((orders.where("o_orderkey % 2 = 0"), orders.where("o_orderkey % 2 = 1"))):
+        part.orderBy(F.desc("o_orderkey")).coalesce(1).write.mode("append" if k else "overwrite").parquet(f"{other}/orders.parquet")
+    turned = registry.queries()["pf10_weighted_vote"](spark, str(other))
+    assert sorted(map(tuple, turned.select(*sorted(turned.columns)).collect()), key=repr) == want
