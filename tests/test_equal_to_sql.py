@@ -40,3 +40,19 @@ def test_votes_add_up_in_order_of_the_orders(spark, tmp_path):
         part.orderBy(F.desc("o_orderkey")).coalesce(1).write.mode("append" if k else "overwrite").parquet(f"{other}/orders.parquet")
     turned = registry.queries()["pf10_weighted_vote"](spark, str(other))
     assert sorted(map(tuple, turned.select(*sorted(turned.columns)).collect()), key=repr) == want
+
+
+def test_datasets_too_small_for_the_forest_test_are_classed_as_the_sql_says(spark):
+    import duckdb
+
+    from lacuna.operators import diagnose
+
+    rows = [("a", None, 0.3), ("b", None, 0.0), ("c", None, None), ("d", 0.2, 0.3), ("e", 0.01, 0.3), ("f", 0.01, 0.0), ("g", 0.05, 0.0)]
+    tests = spark.createDataFrame(rows, "dataset_id string, pklm_p double, corr_x1 double")
+    con = duckdb.connect()
+    con.execute("create table scores (dataset_id varchar, pklm_p double, corr_x1 double)")
+    con.executemany("insert into scores values (?, ?, ?)", rows)
+    sql = registry.oracle_sql()["ts18_pklm_classify"]
+    want = dict(con.execute(sql[sql.rindex("SELECT dataset_id, CASE") :]).fetchall())
+    assert dict(map(tuple, diagnose.pklm_classify(tests, "shift").collect())) == want
+    assert dict(map(tuple, diagnose.pklm_classify(tests).collect())) == want | dict.fromkeys("abc", "MCAR")
