@@ -56,3 +56,22 @@ def test_datasets_too_small_for_the_forest_test_are_classed_as_the_sql_says(spar
     want = dict(con.execute(sql[sql.rindex("SELECT dataset_id, CASE") :]).fetchall())
     assert dict(map(tuple, diagnose.pklm_classify(tests, "shift").collect())) == want
     assert dict(map(tuple, diagnose.pklm_classify(tests).collect())) == want | dict.fromkeys("abc", "MCAR")
+
+
+def test_small_datasets_lose_the_row_that_the_sql_says(spark, tmp_path):
+    # four rows at 1 to 10 percent: most ways hit none, so the likeliest row (or the one of the lowest draw) goes
+    rows = spark.range(240).select(
+        (F.col("id") % 60).alias("l_suppkey"), F.col("id").alias("l_orderkey"), F.lit(1).alias("l_linenumber"), (F.col("id") % 17).alias("l_partkey"),
+        (F.col("id") * 7 % 50).cast("double").alias("l_quantity"), (F.col("id") * 13 % 101 + 0.25).alias("l_extendedprice"),
+        (F.col("id") % 11 / 100).alias("l_discount"), (F.col("id") % 9 / 100).alias("l_tax"),
+    )
+    got, want = _both(spark, tmp_path, "sim14_generate_benchmark", lineitem=rows)
+    assert got == want
+
+
+def test_simulation_reads_written_steps(spark):
+    from lacuna.operators import simulate
+
+    panel = simulate.base_panel(spark, 24, 20)
+    plan = simulate.simulate(panel, simulate.variant_of(), 0.1, 42)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 6  # dozens, and the ranks again and again, when each step held all those before it
